@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, sstable
+from . import exact_dedup, line_dedup, mixing, ngram_join, packing, sstable
 from .common import read
 from .tokens import default_tokenizer
 
@@ -49,6 +49,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(spark, read(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate_lines(spark, read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -107,10 +111,11 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_shards": op7_token_shards,
+    "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op9_line_dedup": line_dedup.oracle(), "op10_source_mixing": _op10_sql()}
+    return {"op6_exact_dedup": OP6_SQL, "op8_ngram_join": ngram_join.oracle(), "op9_line_dedup": line_dedup.oracle(), "op10_source_mixing": _op10_sql()}
