@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, packing, sstable
+from . import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, sstable, toxicity
 from .common import read
 from .tokens import default_tokenizer
 
@@ -34,12 +34,20 @@ def words() -> object:
     return F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(spark, read(spark, sf_dir, "documents"), default_tokenizer(), 2048, 0)
     digests = packed.pieces.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return digests.join(packed.placements, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark, read(spark, sf_dir, "documents"))
 
@@ -108,7 +116,9 @@ def _op10_sql() -> str:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_quality": op4_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_shards": op7_token_shards,
     "op8_ngram_join": op8_ngram_join,
