@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, sstable, toxicity
+from . import balltree, exact_dedup, html_text, line_dedup, mixing, ngram_join, packing, quality, sstable, toxicity
 from .common import read
 from .tokens import default_tokenizer
 
@@ -44,10 +44,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.join(packed.placements, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), balltree.quantised(F.col("embedding")).alias("v"))
+    return balltree.top_k(spark, vectors, vectors.where("id % 20 = 0"), 20)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark, read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark, read(spark, sf_dir, "documents"))
 
@@ -78,6 +87,18 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def _op10_sql() -> str:
     lang = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LANGUAGE_WEIGHT.items()) + " ELSE 1 END"
 
@@ -118,7 +139,9 @@ def _op10_sql() -> str:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_top_k": op3_top_k,
     "op4_quality": op4_quality,
+    "op5_main_text": op5_main_text,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_shards": op7_token_shards,
     "op8_ngram_join": op8_ngram_join,
@@ -128,4 +151,4 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op8_ngram_join": ngram_join.oracle(), "op9_line_dedup": line_dedup.oracle(), "op10_source_mixing": _op10_sql()}
+    return {"op3_top_k": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_ngram_join": ngram_join.oracle(), "op9_line_dedup": line_dedup.oracle(), "op10_source_mixing": _op10_sql()}
