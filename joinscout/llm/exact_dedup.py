@@ -86,7 +86,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     Rows equal in id and text are told apart by nothing, so one of them stays.
     """
     groups = exact_groups(spark, docs, id_col, text_col, capacity).where("kept")
-    kept = groups.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    scratch = Scratch(spark, "exact")
+    kept = scratch.save(groups.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count(F.lit(1)).alias("__n")), "kept")
     marked = docs.withColumns({"__own": F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)})
     hit = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return hit.drop_duplicates([id_col, "__own"]).drop("__own")
+    if not kept.where("__n > 1").isEmpty():
+        hit = hit.drop_duplicates([id_col, "__own"])
+    return hit.drop("__own")
