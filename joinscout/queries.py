@@ -1,6 +1,757 @@
-"""Queries over the test tables, one for each operator, and the same in DuckDB's SQL."""
+"""Queries over the test tables, at least one for each operator, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import policy, scalars
+from .operators import augment, discovery, joins, models, profile, rollups, selection, stats, timeseries
+from .plans import graph, paths, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a query and its SQL under the function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+ITEM_FIRST = """first_item AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) = 1)"""
+
+# ---- joins ----
+
+
+@query(f"""WITH {ITEM_FIRST} SELECT o_orderkey, o_totalprice, l_orderkey, l_partkey, l_quantity FROM orders LEFT JOIN first_item ON o_orderkey = l_orderkey""")
+def exact_left_join_m1(spark, d):
+    out = joins.exact_left_join(read(spark, d, "orders"), read(spark, d, "lineitem"), "o_orderkey", "l_orderkey", ITEM_ORDER)
+    return out.select("o_orderkey", "o_totalprice", "l_orderkey", "l_partkey", "l_quantity")
+
+
+@query("""SELECT l_orderkey, l_linenumber, p_partkey, p_brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
+def exact_left_join_fanout(spark, d):
+    return joins.exact_left_join(read(spark, d, "lineitem"), read(spark, d, "part"), "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber", "p_partkey", "p_brand")
+
+
+@query("""SELECT o_orderkey, c_acctbal, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def join_chain_two_hops(spark, d):
+    out = joins.exact_left_join(read(spark, d, "orders"), read(spark, d, "customer"), "o_custkey", "c_custkey", ["c_name"])
+    out = joins.exact_left_join(out, read(spark, d, "nation"), "c_nationkey", "n_nationkey", ["n_name"])
+    return joins.exact_left_join(out, read(spark, d, "region"), "n_regionkey", "r_regionkey", ["r_name"]).select("o_orderkey", "c_acctbal", "n_name", "r_name")
+
+
+@query(f"""WITH {ITEM_FIRST} SELECT count(*) AS n_rows, count(l_orderkey) AS n_matched, round(count(l_orderkey) / count(*), 6) AS ratio FROM orders LEFT JOIN first_item ON o_orderkey = l_orderkey""")
+def match_ratio(spark, d):
+    joined = joins.exact_left_join(read(spark, d, "orders"), read(spark, d, "lineitem"), "o_orderkey", "l_orderkey", ITEM_ORDER)
+    return rounded(joins.match_ratio(joined, "l_orderkey"), "ratio")
+
+
+@query(f"""WITH {ITEM_FIRST} SELECT 11 AS n_added, 0 AS n_all_null, round(1 - count(l_orderkey) / count(*), 6) AS mean_missing FROM orders LEFT JOIN first_item ON o_orderkey = l_orderkey""")
+def join_diagnostics(spark, d):
+    base = read(spark, d, "orders")
+    joined = joins.exact_left_join(base, read(spark, d, "lineitem"), "o_orderkey", "l_orderkey", ITEM_ORDER)
+    return rounded(joins.join_diagnostics(base, joined), "mean_missing")
+
+
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS n_found, round(count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) / count(*), 6) AS ratio FROM customer""")
+def semi_join_ratio(spark, d):
+    return rounded(joins.semi_ratio(read(spark, d, "customer"), read(spark, d, "orders"), "c_custkey", "o_custkey"), "ratio")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), b AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT a.l_partkey, a.l_suppkey, quantity FROM a LEFT JOIN b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey""")
+def composite_key_join(spark, d):
+    items = read(spark, d, "lineitem")
+    right = items.where("l_returnflag = 'R'").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("quantity"))
+    return joins.left_join_on(items.select("l_partkey", "l_suppkey").distinct(), right, ["l_partkey", "l_suppkey"])
+
+
+@query("""SELECT s_suppkey, s_name, s_nationkey, n_name, n_regionkey FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""")
+def direct_key_join(spark, d):
+    nation = read(spark, d, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    return joins.direct_join(read(spark, d, "supplier"), nation, "s_nationkey", "s_nationkey").select("s_suppkey", "s_name", "s_nationkey", "n_name", "n_regionkey")
+
+
+@query("""WITH a AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1), p AS (SELECT user_id AS k, max(value) AS top FROM events WHERE event_type = 'purchase' GROUP BY 1), c AS (SELECT user_id AS k, min(value) AS low FROM events WHERE event_type = 'click' GROUP BY 1)
+SELECT a.k, n, top AS purchases__top, low AS clicks__low FROM a LEFT JOIN p ON a.k IS NOT DISTINCT FROM p.k LEFT JOIN c ON a.k IS NOT DISTINCT FROM c.k""")
+def fold_exact_joins(spark, d):
+    e = read(spark, d, "events").withColumnRenamed("user_id", "k")
+    tables = {"purchases": e.where("event_type = 'purchase'").groupBy("k").agg(F.max("value").alias("top")), "clicks": e.where("event_type = 'click'").groupBy("k").agg(F.min("value").alias("low"))}
+    return joins.fold_joins(e.groupBy("k").agg(F.count(F.lit(1)).alias("n")), tables, "k")
+
+
+def _asof(direction: str, by: bool, tolerance: int | None) -> str:
+    key = "l.user_id = r.user_id AND " if by else ""
+    cut = (lambda x: f"CASE WHEN abs(epoch_us(l.ts) - epoch_us({x}.ts)) <= {tolerance}000000 THEN {x}.event_id END") if tolerance is not None else (lambda x: f"{x}.event_id")
+    base = "WITH l AS (SELECT * FROM events WHERE event_type = 'purchase'), r AS (SELECT * FROM events WHERE event_type = 'click')"
+    if direction != "nearest":
+        op = ">=" if direction == "backward" else "<="
+        return f"{base} SELECT l.event_id, {cut('r')} AS click_id FROM l ASOF LEFT JOIN r ON {key}l.ts {op} r.ts"
+    return f"""{base}, b AS (SELECT l.event_id, r.event_id AS bid, r.ts AS bts FROM l ASOF LEFT JOIN r ON {key}l.ts >= r.ts), f AS (SELECT l.event_id, r.event_id AS fid, r.ts AS fts FROM l ASOF LEFT JOIN r ON {key}l.ts <= r.ts),
+    x AS (SELECT l.event_id, l.ts AS lts, CASE WHEN bid IS NULL THEN fid WHEN fid IS NULL OR l.ts - bts <= fts - l.ts THEN bid ELSE fid END AS cid FROM l JOIN b USING (event_id) JOIN f USING (event_id))
+    SELECT x.event_id, {"CASE WHEN abs(epoch_us(lts) - epoch_us(r.ts)) <= " + str(tolerance) + "000000 THEN cid END" if tolerance is not None else "cid"} AS click_id FROM x LEFT JOIN r ON r.event_id = cid"""
+
+
+def _asof_query(spark, d, direction, by, tolerance):
+    e = read(spark, d, "events")
+    left = e.where("event_type = 'purchase'").select("event_id", "ts", "user_id")
+    right = e.where("event_type = 'click'").select("ts", "user_id", F.col("event_id").alias("click_id"))
+    if not by:
+        right = right.drop("user_id")
+    out = joins.asof_join(left, right, "ts", "ts", by=["user_id"] if by else [], tolerance=tolerance, direction=direction, order="click_id")
+    return out.select("event_id", "click_id")
+
+
+@query(_asof("backward", True, 86400))
+def asof_backward(spark, d):
+    return _asof_query(spark, d, "backward", True, 86400)
+
+
+@query(_asof("forward", True, 86400))
+def asof_forward(spark, d):
+    return _asof_query(spark, d, "forward", True, 86400)
+
+
+@query(_asof("nearest", True, 43200))
+def asof_nearest(spark, d):
+    return _asof_query(spark, d, "nearest", True, 43200)
+
+
+@query(_asof("nearest", False, None))
+def asof_nearest_unlimited(spark, d):
+    return _asof_query(spark, d, "nearest", False, None)
+
+
+@query(_asof("backward", False, 60))
+def asof_backward_no_entity(spark, d):
+    return _asof_query(spark, d, "backward", False, 60)
+
+
+# ---- graph and search ----
+
+LINKS = [("orders", "customer", "o_custkey", "c_custkey", 1.0), ("customer", "nation", "c_nationkey", "n_nationkey", 1.0), ("nation", "region", "n_regionkey", "r_regionkey", 1.0), ("lineitem", "orders", "l_orderkey", "o_orderkey", 1.0), ("lineitem", "part", "l_partkey", "p_partkey", 0.9), ("supplier", "nation", "s_nationkey", "n_nationkey", 0.8)]
+MORE = [("orders", "customer", "o_custkey", "c_custkey", 0.4), ("supplier", "nation", "s_nationkey", "n_nationkey", 0.95), ("part", "supplier", "p_size", "s_nationkey", 0.3)]
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows) + ") AS g(from_id, to_id, from_column, to_column, weight)"
+
+
+UNDIRECTED = f"u AS (SELECT from_id, to_id, weight FROM {_values(LINKS)} UNION ALL SELECT to_id, from_id, weight FROM {_values(LINKS)})"
+
+
+@query(f"SELECT from_id, to_id, from_column, to_column, max(weight)::DOUBLE AS weight FROM (SELECT * FROM {_values(LINKS)} UNION ALL SELECT * FROM {_values(MORE)}) GROUP BY ALL")
+def edge_upsert_max(spark, d):
+    return graph.upsert(graph.edges(spark, LINKS), graph.edges(spark, MORE))
+
+
+@query(f"WITH {UNDIRECTED} SELECT to_id AS node, max(weight)::DOUBLE AS weight FROM u WHERE from_id = 'nation' GROUP BY 1")
+def adjacent_tables(spark, d):
+    return graph.adjacent(graph.edges(spark, LINKS), "nation")
+
+
+@query(f"WITH RECURSIVE {UNDIRECTED}, r AS (SELECT 'orders' AS node, 0 AS hops UNION ALL SELECT to_id, hops + 1 FROM r JOIN u ON u.from_id = r.node WHERE hops < 3) SELECT node, min(hops)::INT AS hops FROM r WHERE node <> 'orders' GROUP BY 1")
+def reachable_tables(spark, d):
+    return graph.reachable(graph.edges(spark, LINKS), "orders", 3)
+
+
+@query(f"WITH {UNDIRECTED} SELECT from_id AS node, count(DISTINCT to_id) AS degree FROM u GROUP BY 1")
+def graph_degrees(spark, d):
+    return graph.degrees(graph.edges(spark, LINKS))
+
+
+@query(f"SELECT from_id, to_id, from_column, to_column, weight::DOUBLE AS weight FROM {_values(LINKS)} WHERE from_id = 'orders' AND to_id = 'customer'")
+def edges_between(spark, d):
+    return graph.between(graph.edges(spark, LINKS), "orders", "customer")
+
+
+@query(f"SELECT to_id AS node, from_column, to_column FROM {_values(LINKS)} WHERE from_id = 'orders' AND weight = 1 UNION SELECT from_id, to_column, from_column FROM {_values(LINKS)} WHERE to_id = 'orders' AND weight = 1")
+def key_neighbours(spark, d):
+    return graph.key_neighbours(graph.edges(spark, LINKS), "orders")
+
+
+@query(f"SELECT from_id, count(*) AS n FROM {_values(LINKS)} GROUP BY 1")
+def edges_per_source(spark, d):
+    return graph.edge_counts(graph.edges(spark, LINKS))
+
+
+@query(f"SELECT from_id, to_id, from_column, to_column, weight::DOUBLE AS weight FROM {_values(LINKS)} WHERE weight >= 0.9 AND (from_id LIKE '%nation%' OR to_id LIKE '%nation%')")
+def filtered_edges(spark, d):
+    return graph.filtered(graph.edges(spark, LINKS), 0.9, "nation")
+
+
+def lake(spark: SparkSession, d: str) -> search.Lake:
+    names = ("orders", "customer", "nation", "region")
+    return search.Lake({n: read(spark, d, n) for n in names}, graph.edges(spark, [e for e in LINKS if e[0] in names and e[1] in names]), {"customer": ["c_name"], "nation": ["n_name"], "region": ["r_name"]})
+
+
+@query("""SELECT o_totalprice, o_orderkey AS orders__o_orderkey, c_acctbal AS customer__c_acctbal, n_name AS nation__n_name, r_name AS region__r_name
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def join_all_breadth_first(spark, d):
+    out, _ = search.join_all(lake(spark, d), "orders", search.Settings("o_totalprice"))
+    return out.select("o_totalprice", "orders__o_orderkey", "customer__c_acctbal", "nation__n_name", "region__r_name")
+
+
+@query("""SELECT o_totalprice, o_orderkey AS orders__o_orderkey, c_acctbal AS customer__c_acctbal, r_regionkey AS region__r_regionkey
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def join_all_depth_first(spark, d):
+    out, _ = search.join_all(lake(spark, d), "orders", search.Settings("o_totalprice"), depth_first=True)
+    return out.select("o_totalprice", "orders__o_orderkey", "customer__c_acctbal", "region__r_regionkey")
+
+
+PATH = "orders--orders|o_custkey|c_custkey|customer--customer|c_nationkey|n_nationkey|nation--nation|n_regionkey|r_regionkey|region"
+
+
+@query("""SELECT o_totalprice, o_orderkey AS orders__o_orderkey, n_name AS nation__n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def materialise_path(spark, d):
+    return search.materialise(lake(spark, d), PATH, ["orders__o_orderkey", "nation__n_name"], search.Settings("o_totalprice"))
+
+
+@query("""SELECT o_totalprice, c_custkey AS customer__c_custkey, r_name AS region__r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def replay_path(spark, d):
+    return search.replay(lake(spark, d), PATH, search.Settings("o_totalprice")).select("o_totalprice", "customer__c_custkey", "region__r_name")
+
+
+@query()
+def search_paths(spark, d):
+    found = search.search(lake(spark, d), "orders", search.Settings("o_totalprice", parity=False))
+    return spark.createDataFrame([(p, float(r), paths.length(p), len(found.features.get(p, []))) for p, r in found.ranking.items()], "path string, rank double, length int, n_features int")
+
+
+# ---- statistics and selection ----
+
+ORDER_CHAIN = "chain AS (SELECT o_totalprice AS y, c_acctbal, c_nationkey::DOUBLE AS c_nationkey, o_custkey::DOUBLE AS o_custkey, o_orderkey::DOUBLE AS o_orderkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"
+CHAIN = ["c_acctbal", "c_nationkey", "o_custkey", "o_orderkey"]
+UNPIVOT = "p AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, y FROM chain WHERE {c} IS NOT NULL AND y IS NOT NULL" for c in CHAIN) + ")"
+RANKS = "r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2 AS ry FROM p)"
+
+
+def chain(spark, d):
+    out = joins.exact_left_join(read(spark, d, "orders"), read(spark, d, "customer"), "o_custkey", "c_custkey", ["c_name"])
+    return out.withColumnRenamed("o_totalprice", "y").select("y", *[F.col(c).cast("double").alias(c) for c in CHAIN])
+
+
+@query(f"WITH {ORDER_CHAIN}, {UNPIVOT} SELECT feature, round(corr(x, y), 6) AS correlation, count(*) AS n FROM p GROUP BY 1")
+def pearson_correlation(spark, d):
+    return rounded(stats.pearson(chain(spark, d), CHAIN, "y"), "correlation")
+
+
+@query(f"WITH {ORDER_CHAIN}, {UNPIVOT}, {RANKS} SELECT feature, round(corr(rx, ry), 6) AS correlation, count(*) AS n FROM r GROUP BY 1")
+def spearman_correlation(spark, d):
+    return rounded(stats.spearman(chain(spark, d), CHAIN, "y"), "correlation").withColumn("n", F.col("n").cast("long"))
+
+
+SCORED = "s AS (SELECT feature, round(abs(corr(rx, ry)), 6) AS score FROM r GROUP BY 1)"
+
+
+@query(f"WITH {ORDER_CHAIN}, {UNPIVOT}, {RANKS}, {SCORED} SELECT * FROM s WHERE score > 0 AND score < 1")
+def join_chain_relevance(spark, d):
+    return rounded(stats.relevance(chain(spark, d), CHAIN, "y"), "score")
+
+
+@query(f"WITH {ORDER_CHAIN}, {UNPIVOT} SELECT feature, round(abs(corr(x, y)), 6) AS score FROM p GROUP BY 1 HAVING abs(corr(x, y)) > 0 AND abs(corr(x, y)) < 1")
+def pearson_relevance(spark, d):
+    return rounded(stats.relevance(chain(spark, d), CHAIN, "y", "pearson"), "score")
+
+
+@query(f"WITH {ORDER_CHAIN}, {UNPIVOT}, {RANKS}, {SCORED} SELECT * FROM s ORDER BY score DESC, feature LIMIT 2")
+def spearman_top_half(spark, d):
+    return rounded(stats.top_half(chain(spark, d), CHAIN, "y"), "score")
+
+
+ITEM = "i AS (SELECT l_quantity, l_discount, l_tax, l_linenumber::DOUBLE AS l_linenumber, (l_returnflag = 'R')::INT::DOUBLE AS y FROM lineitem)"
+ITEMS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _bin(c: str) -> str:
+    return f"coalesce(least(floor(({c} - (min({c}) OVER ())) * 5 / nullif((max({c}) OVER ()) - (min({c}) OVER ()), 0)), 4), 0)::INT AS {c}"
+
+
+BINNED = f"b AS (SELECT {', '.join(map(_bin, ITEMS))}, y FROM i)"
+
+
+def _entropy(name: str, keys: str, source: str = "q") -> str:
+    return f"{name} AS (SELECT feature, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT feature, {keys}, count(*) AS n FROM {source} GROUP BY ALL) GROUP BY 1)"
+
+
+def _pairs(columns: list[str], y: str, source: str, name: str = "q") -> str:
+    return f"{name} AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS x, {y}::DOUBLE AS y FROM {source}" for c in columns) + ")"
+
+
+def items(spark, d):
+    return read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_linenumber").cast("double").alias("l_linenumber"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
+
+
+@query(f"WITH {ITEM}, {BINNED} SELECT *, count(*) AS n FROM b GROUP BY ALL")
+def bin_uniform5(spark, d):
+    return stats.bin_uniform(items(spark, d), ITEMS).groupBy(*ITEMS, "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ITEM}, {_pairs(ITEMS, 'y', 'i')}, {_entropy('hxy', 'x, y')}, {_entropy('hx', 'x')}, {_entropy('hy', 'y')} SELECT feature, round(hy.h, 6) AS h_target, round(hxy.h - hx.h, 6) AS h_conditional, round(hx.h + hy.h - hxy.h, 6) AS mi FROM hxy JOIN hx USING (feature) JOIN hy USING (feature)")
+def mutual_information(spark, d):
+    return rounded(stats.mutual_information(items(spark, d), ITEMS, "y"), "h_target", "h_conditional", "mi")
+
+
+TRIPLES = "q AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS x, l_linenumber::DOUBLE AS y, y::DOUBLE AS z FROM i" for c in ITEMS[:3]) + ")"
+
+
+@query(f"WITH {ITEM}, {TRIPLES}, {_entropy('a', 'x, z')}, {_entropy('b', 'y, z')}, {_entropy('c', 'x, y, z')}, {_entropy('e', 'z')} SELECT feature, round(a.h + b.h - c.h - e.h, 6) AS cmi FROM a JOIN b USING (feature) JOIN c USING (feature) JOIN e USING (feature)")
+def conditional_mutual_information(spark, d):
+    return rounded(stats.conditional_mutual_information(items(spark, d), ITEMS[:3], "l_linenumber", "y"), "cmi")
+
+
+_MI = lambda s: f"{_entropy(f'{s}xy', 'x, y', s)}, {_entropy(f'{s}x', 'x', s)}, {_entropy(f'{s}y', 'y', s)}, {s}mi AS (SELECT feature, {s}x.h + {s}y.h - {s}xy.h AS mi FROM {s}xy JOIN {s}x USING (feature) JOIN {s}y USING (feature))"
+
+
+@query(f"WITH {ITEM}, {BINNED}, {_pairs(ITEMS[1:], 'y', 'b', 't')}, {_pairs(ITEMS[1:], 'l_quantity', 'b', 's')}, {_MI('t')}, {_MI('s')} SELECT feature, round(tmi.mi - smi.mi, 6) AS score FROM tmi JOIN smi USING (feature)")
+def mrmr_scores(spark, d):
+    out = stats.redundancy(items(spark, d), ["l_quantity"], ITEMS[1:], "y", parity=False)
+    return rounded(out.select("feature", "score"), "score")
+
+
+SCORES = f"""WITH {ORDER_CHAIN}, {UNPIVOT}, {RANKS}, {SCORED}, m AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, 1 - count({c}) / count(*) AS missing FROM chain" for c in CHAIN)})
+SELECT feature, round(score, 6) AS utility, 0 AS pattern_risk, 0 AS identifier_risk, (score >= 0.999)::INT AS proxy_risk, (score >= 0.999)::INT AS privacy_risk, round(missing, 6) AS missing_ratio, round(score - 0.25 * (score >= 0.999)::INT - 0.1 * missing - 0.001, 6) AS score_plus FROM s JOIN m USING (feature)"""
+
+
+@query(SCORES)
+def feature_scores(spark, d):
+    return rounded(selection.score_features(chain(spark, d), "y"), "utility", "missing_ratio", "score_plus")
+
+
+@query(f"SELECT feature, score_plus FROM ({SCORES}) ORDER BY score_plus DESC, utility DESC, feature LIMIT 3")
+def score_plus_topk(spark, d):
+    scores = selection.score_features(chain(spark, d), "y")
+    return rounded(selection.chosen(scores, 3).select("feature", "score_plus"), "score_plus")
+
+
+@query("SELECT * FROM (VALUES ('l_shipdate', true), ('l_quantity', false), ('orders.user_id', true), ('lat95', true), ('x.time', true), ('timer', false)) AS t(name, sensitive)")
+def sensitive_names(spark, d):
+    patterns = [*policy.SENSITIVE, *policy.policy_patterns(["time-private", "target-proxy-private"])]
+    names = ["l_shipdate", "l_quantity", "orders.user_id", "lat95", "x.time", "timer"]
+    return spark.createDataFrame([(n, policy.is_sensitive(n, patterns)) for n in names], "name string, sensitive boolean")
+
+
+# ---- profiles and discovery ----
+
+
+def _describe(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(DISTINCT {c}) AS n_unique, count(*) - count({c}) AS n_null, count(DISTINCT {c}) <= 1 AS is_constant, round(count(DISTINCT {c}) / count(*), 6) AS cardinality_ratio FROM {table}" for c in columns)
+
+
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query(_describe("orders", ORDER_COLUMNS))
+def describe_columns(spark, d):
+    return rounded(profile.describe(read(spark, d, "orders")), "cardinality_ratio")
+
+
+@query(f"SELECT \"column\", cardinality_ratio FROM ({_describe('orders', ORDER_COLUMNS)}) WHERE NOT is_constant ORDER BY 2, 1 LIMIT 3")
+def candidate_join_keys(spark, d):
+    return rounded(profile.candidate_join_keys(read(spark, d, "orders"), 3), "cardinality_ratio")
+
+
+def _profile(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.95), 4) AS p95, round(quantile_cont({c}, 0.99), 4) AS p99, max({c})::DOUBLE AS max, round(1 - count({c}) / count(*), 6) AS missing_ratio FROM {table}" for c in columns)
+
+
+@query(_profile("lineitem", ["l_quantity", "l_extendedprice", "l_discount"]))
+def profile_stats(spark, d):
+    out = profile.numeric_profile(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return rounded(rounded(out, "mean", "std", "p50", "p95", "p99", places=4), "missing_ratio")
+
+
+@query("SELECT user_id, count(*) AS n_rows, min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last, count(*) - count(ts) AS n_unparsed, count(DISTINCT ts) = count(ts) AS is_unique FROM events GROUP BY 1")
+def quality_summary(spark, d):
+    return profile.quality_summary(read(spark, d, "events"), "ts", ["user_id"])
+
+
+@query("SELECT user_id, coalesce(max((value < before)::INT), 0) = 0 AS is_monotonic FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) GROUP BY 1")
+def monotonic_check(spark, d):
+    return profile.is_monotonic(read(spark, d, "events"), "value", ["event_id"], ["user_id"])
+
+
+@query("""SELECT 'row_count' AS "check", '' AS "column", count(*) >= 1 AS passed FROM events UNION ALL SELECT 'exists', 'ts', true UNION ALL SELECT 'exists', 'nope', false UNION ALL SELECT 'not_null', 'value', count(value) = count(*) FROM events
+UNION ALL SELECT 'unique', 'event_id', count(DISTINCT event_id) = count(event_id) FROM events UNION ALL SELECT 'unique', 'user_id', count(DISTINCT user_id) = count(user_id) FROM events UNION ALL SELECT 'no_all_null', '', true""")
+def expectation_checks(spark, d):
+    return profile.expectations(read(spark, d, "events"), ["ts", "nope"], ["value"], ["event_id", "user_id"])
+
+
+@query("""SELECT 'props' AS "column", round(avg((TRY_CAST(regexp_replace(props, '[^0-9eE+\\-.]', '', 'g') AS DOUBLE) IS NOT NULL)::INT), 6) AS parsed FROM events UNION ALL SELECT 'event_type', round(avg((TRY_CAST(regexp_replace(event_type, '[^0-9eE+\\-.]', '', 'g') AS DOUBLE) IS NOT NULL)::INT), 6) FROM events""")
+def parse_ratios(spark, d):
+    return rounded(profile.parse_ratios(read(spark, d, "events"), ["props", "event_type"]), "parsed")
+
+
+def _num(c: str) -> str:
+    return f"round({c}::DOUBLE, 6)"
+
+
+VALUE_COLUMNS = [("customer", "c_custkey"), ("customer", "c_nationkey"), ("nation", "n_nationkey"), ("orders", "o_custkey"), ("supplier", "s_nationkey"), ("supplier", "s_suppkey")]
+VALUES = "v AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {_num(c)} AS x FROM {t} WHERE {c} IS NOT NULL" for t, c in VALUE_COLUMNS) + ")"
+OVERLAP = f"{VALUES}, z AS (SELECT t, c, count(*) AS n FROM v GROUP BY ALL), o AS (SELECT a.t AS left_table, a.c AS left_column, b.t AS right_table, b.c AS right_column, count(*) AS common FROM v a JOIN v b ON a.x = b.x AND a.t < b.t GROUP BY ALL)"
+
+
+def _columns(spark, d) -> dict[str, DataFrame]:
+    out: dict[str, list[str]] = {}
+    for t, c in VALUE_COLUMNS:
+        out.setdefault(t, []).append(c)
+    return {t: read(spark, d, t).select(*cs) for t, cs in out.items()}
+
+
+@query(f"WITH {OVERLAP} SELECT o.*, p.n AS left_n, q.n AS right_n, round(common / (p.n + q.n - common), 6) AS jaccard FROM o JOIN z p ON p.t = left_table AND p.c = left_column JOIN z q ON q.t = right_table AND q.c = right_column")
+def column_jaccard(spark, d):
+    return rounded(discovery.value_jaccard(discovery.all_values(_columns(spark, d))), "jaccard")
+
+
+def _infer(spark, d):
+    tables = {t: df.withColumnsRenamed({c: c.split("_", 1)[1] for c in df.columns}) for t, df in _columns(spark, d).items()}
+    profiles = None
+    for t, df in tables.items():
+        one = discovery.column_profiles(df, t, {"nationkey": "key of a nation", "custkey": "key of a customer"})
+        profiles = one if profiles is None else profiles.unionByName(one)
+    return discovery.infer_relationships(profiles, discovery.value_jaccard(discovery.all_values(tables)))
+
+
+_BARE = ", ".join(f"('{t}', '{c}', '{c.split('_', 1)[1]}', '{ {'nationkey': 'key of a nation', 'custkey': 'key of a customer'}.get(c.split('_', 1)[1], '') }')" for t, c in VALUE_COLUMNS)
+HYBRID = f"""{OVERLAP}, k(t, c, name, descr) AS (VALUES {_BARE}), rows_of(t, n) AS (SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'supplier', count(*) FROM supplier),
+u AS (SELECT k.*, z.n AS distinct_n, z.n / rows_of.n AS unique_ratio, list_distinct(regexp_extract_all(descr, '[a-z0-9]+')) AS words FROM k JOIN z ON z.t = k.t AND z.c = k.c JOIN rows_of ON rows_of.t = k.t),
+pr AS (SELECT a.t AS left_table, a.name AS left_column, b.t AS right_table, b.name AS right_column, a.name = b.name AS same, contains(a.name, b.name) OR contains(b.name, a.name) AS part, (a.unique_ratio + b.unique_ratio) / 2 AS uniq,
+  CASE WHEN len(list_distinct(a.words || b.words)) > 0 THEN len(list_intersect(a.words, b.words)) / len(list_distinct(a.words || b.words)) ELSE 0 END AS descr, coalesce(o.common / (a.distinct_n + b.distinct_n - o.common), 0) AS content
+  FROM u a JOIN u b ON a.t < b.t LEFT JOIN o ON o.left_table = a.t AND o.left_column = a.c AND o.right_table = b.t AND o.right_column = b.c),
+rel AS (SELECT left_table, left_column, right_table, right_column, CASE WHEN same AND content >= 0.8 AND uniq >= 0.05 THEN 'exact_key' ELSE 'semantic_match' END AS join_role, round(0.45 * greatest(same::INT, 0.7 * part::INT) + 0.2 * descr + 0.35 * content, 6) AS confidence, round(content, 6) AS content_similarity FROM pr)"""
+
+
+@query(f"WITH {HYBRID} SELECT * FROM rel")
+def hybrid_confidence(spark, d):
+    return _infer(spark, d).select("left_table", "left_column", "right_table", "right_column", "join_role", "confidence", "content_similarity")
+
+
+@query(f"WITH {HYBRID} SELECT left_table AS pk_table, left_column AS pk_column, right_table AS fk_table, right_column AS fk_column, join_role, confidence FROM rel WHERE confidence >= 0.5 AND join_role = 'exact_key' QUALIFY row_number() OVER (PARTITION BY left_table, right_table, join_role ORDER BY confidence DESC, left_column, right_column) = 1")
+def recommend_connections(spark, d):
+    return discovery.recommend(_infer(spark, d), 0.5).select("pk_table", "pk_column", "fk_table", "fk_column", "join_role", "confidence")
+
+
+@query(f"""WITH l AS (SELECT DISTINCT ts FROM events WHERE event_type = 'purchase'), r AS (SELECT DISTINCT ts FROM events WHERE event_type = 'click'),
+n AS (SELECT (SELECT count(*) FROM r) < (SELECT count(*) FROM l) AS swap), a AS (SELECT ts FROM l WHERE NOT (SELECT swap FROM n) UNION ALL SELECT ts FROM r WHERE (SELECT swap FROM n)), b AS (SELECT ts AS u FROM r WHERE NOT (SELECT swap FROM n) UNION ALL SELECT ts FROM l WHERE (SELECT swap FROM n)),
+x AS (SELECT a.ts, u AS back FROM a ASOF LEFT JOIN b ON a.ts >= u), y AS (SELECT a.ts, u AS ahead FROM a ASOF LEFT JOIN b ON a.ts <= u), dd AS (SELECT least(coalesce(epoch_us(ts) - epoch_us(back), 9e18), coalesce(epoch_us(ahead) - epoch_us(ts), 9e18)) / 1e6 AS d FROM x JOIN y USING (ts))
+SELECT {", ".join(f"round(avg((d <= {g})::INT), 6) AS ratio_{g}" for g in discovery.TOLERANCES)}, round(median(d), 4) AS median_delta FROM dd""")
+def time_alignment(spark, d):
+    e = read(spark, d, "events")
+    out = discovery.time_alignment(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), "ts", "ts")
+    return rounded(rounded(out, *[f"ratio_{g}" for g in discovery.TOLERANCES]), "median_delta", places=4).drop("recommended", "match_ratio")
+
+
+@query()
+def minhash_edges(spark, d):
+    return discovery.minhash_edges(discovery.all_values(_columns(spark, d)), 0.5)
+
+
+@query()
+def schema_matches(spark, d):
+    tables = _columns(spark, d)
+    return discovery.schema_matches(spark, {t: dict(df.dtypes) for t, df in tables.items()}, discovery.value_jaccard(discovery.all_values(tables)), schema_least=0.3)
+
+
+# ---- time series ----
+
+SEC = "epoch_us(ts) / 1e6"
+DELTAS = f"g AS (SELECT *, {SEC} - lag({SEC}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events)"
+
+
+@query(f"WITH {DELTAS} SELECT user_id, event_id, (1 + sum((coalesce(delta, 0) > 86400)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS segment FROM g")
+def gap_segments(spark, d):
+    return timeseries.gap_segments(read(spark, d, "events"), "ts", ["user_id"], 86400, "event_id").select("user_id", "event_id", "segment")
+
+
+@query(f"WITH {DELTAS} SELECT user_id, round(median(delta), 4) AS step FROM g WHERE delta > 0 GROUP BY 1")
+def infer_frequency(spark, d):
+    return rounded(timeseries.frequency(read(spark, d, "events"), "ts", ["user_id"]), "step", places=4)
+
+
+@query(f"WITH {DELTAS}, f AS (SELECT user_id, median(delta) AS step FROM g WHERE delta > 0 GROUP BY 1), x AS (SELECT g.user_id, ts, delta, step, floor(delta / step)::BIGINT - 1 AS missing FROM g JOIN f USING (user_id) WHERE delta > step * 1.5) SELECT user_id, epoch_us(ts) AS at, round(delta, 4) AS delta, missing FROM x WHERE missing > 0")
+def gap_report(spark, d):
+    out = timeseries.gap_report(read(spark, d, "events"), "ts", ["user_id"])
+    return rounded(out.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "delta", "missing"), "delta", places=4)
+
+
+SERIES = "s AS (SELECT user_id, epoch_us(ts) // 3600000000 AS hour, value FROM events WHERE event_type = 'click'), a AS (SELECT user_id, hour, avg(value) AS value FROM s GROUP BY ALL), e AS (SELECT user_id, unnest(generate_series(min(hour), max(hour), 6)) AS hour FROM a GROUP BY user_id), grid AS (SELECT u.user_id, u.hour, a.value FROM (SELECT * FROM e UNION SELECT user_id, hour FROM a) u LEFT JOIN a ON a.user_id = u.user_id AND a.hour = u.hour)"
+
+
+def grid(spark, d):
+    e = read(spark, d, "events").where("event_type = 'click'").select("user_id", F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("hour"), "value")
+    return timeseries.regular_grid(e, "hour", ["user_id"], 6, ["value"])
+
+
+@query(f"WITH {SERIES} SELECT user_id, hour, round(value, 6) AS value FROM grid")
+def regular_grid(spark, d):
+    return rounded(grid(spark, d), "value")
+
+
+BACK = "last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+AHEAD = "first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@query(f"WITH {SERIES} SELECT user_id, hour, round(coalesce(value, {BACK}, {AHEAD}), 6) AS value FROM grid")
+def impute_ffill_bfill(spark, d):
+    return rounded(timeseries.impute(grid(spark, d), ["value"], "hour", ["user_id"], "fill"), "value")
+
+
+BACK_T, AHEAD_T = BACK.replace("value IGNORE", "t IGNORE"), AHEAD.replace("value IGNORE", "t IGNORE")
+
+
+@query(f"WITH {SERIES}, w AS (SELECT *, CASE WHEN value IS NOT NULL THEN hour END AS t FROM grid), x AS (SELECT *, {BACK} AS bv, {AHEAD} AS av, {BACK_T} AS bt, {AHEAD_T} AS aft FROM w) SELECT user_id, hour, round(coalesce(value, bv + (av - bv) * (hour - bt) / nullif(aft - bt, 0), bv, av), 6) AS value FROM x")
+def impute_linear_time(spark, d):
+    return rounded(timeseries.impute(grid(spark, d), ["value"], "hour", ["user_id"], "linear"), "value")
+
+
+@query(f"WITH {SERIES} SELECT user_id, hour, round(coalesce(value, avg(value) OVER (PARTITION BY user_id)), 6) AS value FROM grid")
+def impute_mean(spark, d):
+    return rounded(timeseries.impute(grid(spark, d), ["value"], "hour", ["user_id"], "mean"), "value")
+
+
+WINDOWS = "r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS start FROM events), w AS (SELECT user_id, start, list(value) OVER (PARTITION BY user_id ORDER BY start ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS win, lead(value, 16) OVER (PARTITION BY user_id ORDER BY start) AS y FROM r QUALIFY y IS NOT NULL)"
+
+
+def windows(spark, d):
+    return timeseries.sliding_windows(read(spark, d, "events"), "value", "ts", ["user_id"], 16, 4, 1, "event_id")
+
+
+@query(f"WITH {WINDOWS} SELECT user_id, start, round(list_sum(win), 4) AS total, win[1] AS first, win[16] AS last, y FROM w WHERE start % 4 = 0")
+def sliding_windows(spark, d):
+    total = F.aggregate("window", F.lit(0.0), lambda s, x: s + x)
+    return windows(spark, d).select("user_id", F.col("start").cast("long").alias("start"), F.round(total, 4).alias("total"), F.get("window", F.lit(0)).alias("first"), F.get("window", F.lit(15)).alias("last"), "y")
+
+
+@query(f"WITH {WINDOWS} SELECT user_id, start, round(list_avg(win), 6) AS naive_mean, round(win[16] + (win[16] - win[1]) / 15, 6) AS naive_drift, win[16] AS naive_seasonal, round(list_avg(win[9:16]), 6) AS naive_moving_average FROM w WHERE start % 4 = 0")
+def naive_forecasts(spark, d):
+    out = timeseries.naive_forecasts(windows(spark, d))
+    return rounded(out.select("user_id", F.col("start").cast("long").alias("start"), "naive_mean", "naive_drift", "naive_seasonal", "naive_moving_average"), "naive_mean", "naive_drift", "naive_moving_average")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= floor(count(*) OVER () * 0.8) AS is_train FROM orders")
+def temporal_split(spark, d):
+    return timeseries.chronological_split(read(spark, d, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", "is_train")
+
+
+@query("SELECT c_custkey, c_mktsegment <> (SELECT max(c_mktsegment) FROM customer) AS is_train FROM customer")
+def group_holdout(spark, d):
+    return timeseries.group_holdout(read(spark, d, "customer"), "c_mktsegment").select("c_custkey", "is_train")
+
+
+@query("WITH t AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= floor(count(*) OVER () * 0.8) AS is_train FROM orders), m AS (SELECT median(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM t WHERE is_train) SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS o_totalprice FROM t, m")
+def scale_train_stats(spark, d):
+    rows = timeseries.chronological_split(read(spark, d, "orders"), "o_orderdate", "o_orderkey")
+    return rounded(timeseries.scale_by_train(rows, ["o_totalprice"]).select("o_orderkey", "o_totalprice"), "o_totalprice")
+
+
+@query()
+def masked_imputation_error(spark, d):
+    e = timeseries.mask_cells(read(spark, d, "events"), "value", "event_id", 0.1)
+    return timeseries.imputation_error(timeseries.impute(e, ["value"], "ts", ["user_id"], "linear"), "value")
+
+
+# ---- scalars ----
+
+
+@query("SELECT event_id, TRY_CAST(nullif(regexp_replace(props, '[^0-9eE+\\-.]', '', 'g'), '') AS DOUBLE) AS x FROM events")
+def numeric_clean(spark, d):
+    return read(spark, d, "events").select("event_id", scalars.numeric_clean(F.col("props")).alias("x"))
+
+
+@query("SELECT p_partkey, (p_size * CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1e6 ELSE 1e9 END)::DOUBLE AS x FROM part")
+def unit_suffix_clean(spark, d):
+    text = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).when(F.col("p_partkey") % 3 == 1, F.lit(" MB")).otherwise(F.lit("g")))
+    return read(spark, d, "part").select("p_partkey", scalars.unit_suffix_clean(text).alias("x"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 's' WHEN 1 THEN 'ms' WHEN 2 THEN 'us' ELSE 'ns' END AS unit, (epoch_us(ts) // 1000000 * 1000000)::BIGINT AS micros FROM events")
+def timestamp_unit(spark, d):
+    s = F.expr("unix_micros(cast(ts as timestamp)) div 1000000")
+    x = s * F.pow(F.lit(1000.0), (F.col("event_id") % 4).cast("double"))
+    return read(spark, d, "events").select("event_id", scalars.epoch_unit(x).alias("unit"), scalars.epoch_micros(x).alias("micros"))
+
+
+@query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
+def json_props(spark, d):
+    return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(replace(lower(trim(p_name)), '_ms', ''), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS name FROM part")
+def normalized_names(spark, d):
+    return read(spark, d, "part").select("p_partkey", scalars.name_column(F.col("p_name")).alias("name"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'nation' ELSE 'base' END AS source_table FROM nation")
+def feature_source(spark, d):
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("lake/nation."), "n_name")).otherwise(F.col("n_name"))
+    return read(spark, d, "nation").select("n_nationkey", scalars.source_table(name).alias("source_table"))
+
+
+@query("SELECT n_nationkey, len(string_split(n_name, '_')) AS n FROM nation")
+def list_literals(spark, d):
+    text = F.concat(F.lit("['"), F.replace("n_name", F.lit("_"), F.lit("', '")), F.lit("']"))
+    return read(spark, d, "nation").select("n_nationkey", F.size(scalars.list_literal(text)).cast("long").alias("n"))
+
+
+@query("SELECT n_nationkey, n_regionkey AS x, 2 * n_regionkey AS y, -n_nationkey AS z FROM nation")
+def position_parse(spark, d):
+    text = F.format_string("pos_x%d_y%d_z%d", F.col("n_regionkey"), 2 * F.col("n_regionkey"), -F.col("n_nationkey"))
+    return read(spark, d, "nation").select("n_nationkey", scalars.position(text).alias("p")).select("n_nationkey", "p.x", "p.y", "p.z")
+
+
+# ---- roll-ups, metrics ----
+
+
+@query("SELECT l_quantity, median(l_extendedprice) AS median_l_extendedprice, median(l_discount) AS median_l_discount FROM lineitem GROUP BY 1")
+def group_median(spark, d):
+    return rollups.group_median(read(spark, d, "lineitem"), "l_quantity", ["l_extendedprice", "l_discount"])
+
+
+@query("SELECT event_type, user_id, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def mean_scores(spark, d):
+    return rounded(rollups.mean_by(read(spark, d, "events"), ["event_type", "user_id"], "value"), "mean_value")
+
+
+@query("SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'view'), 6) AS view FROM events GROUP BY 1")
+def pivot_scores(spark, d):
+    return rounded(rollups.pivot_scores(read(spark, d, "events"), "user_id", "event_type", ["click", "view"], "value"), "click", "view")
+
+
+RESULTS = "res AS (SELECT o_orderpriority AS scenario, o_orderstatus AS approach, round(avg(o_totalprice) / 1e6, 9) AS r2, round(stddev_samp(o_totalprice) / 1e5, 9) AS rmse, count(*) AS n_features, count(DISTINCT o_custkey)::DOUBLE AS total_time FROM orders GROUP BY ALL)"
+
+
+def results(spark, d):
+    return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("scenario"), F.col("o_orderstatus").alias("approach")).agg(
+        F.round(F.avg("o_totalprice") / 1e6, 9).alias("r2"), F.round(F.stddev("o_totalprice") / 1e5, 9).alias("rmse"), F.count(F.lit(1)).alias("n_features"), F.count_distinct("o_custkey").cast("double").alias("total_time")
+    )
+
+
+@query(f"WITH {RESULTS}, b AS (SELECT scenario, max(r2) AS base FROM res WHERE approach = 'F' GROUP BY 1) SELECT scenario, approach, round(r2 - base, 6) AS lift FROM res LEFT JOIN b USING (scenario)")
+def lift_vs_base(spark, d):
+    return rounded(rollups.lift(results(spark, d), ["scenario"], "approach", "F", "r2").select("scenario", "approach", "lift"), "lift")
+
+
+@query(f"WITH {RESULTS} SELECT scenario, approach, r2 FROM res QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY r2 DESC, approach) = 1")
+def best_per_group(spark, d):
+    return rollups.best_per_group(results(spark, d), ["scenario"], "r2", "approach").select("scenario", "approach", "r2")
+
+
+@query(f"""WITH {RESULTS}, w AS (SELECT *, max(r2) FILTER (approach = 'F') OVER (PARTITION BY scenario) AS br, max(rmse) FILTER (approach = 'F') OVER (PARTITION BY scenario) AS bm, max(r2) FILTER (approach = 'O') OVER (PARTITION BY scenario) AS fr, max(rmse) FILTER (approach = 'O') OVER (PARTITION BY scenario) AS fm,
+max(n_features) FILTER (approach = 'O') OVER (PARTITION BY scenario) AS fn, max(total_time) FILTER (approach = 'O') OVER (PARTITION BY scenario) AS ft FROM res)
+SELECT scenario, approach, round(r2 - br, 6) AS delta_base, round(r2 - fr, 6) AS delta_full, round(((1 - br) - (1 - r2)) / nullif(1 - br, 0), 6) AS error_reduction_base, round(((1 - fr) - (1 - r2)) / nullif(1 - fr, 0), 6) AS error_reduction_full, round((bm - rmse) / nullif(bm, 0), 6) AS rmse_reduction_base, round((fm - rmse) / nullif(fm, 0), 6) AS rmse_reduction_full,
+round(1 - n_features / nullif(fn, 0), 6) AS feature_reduction_full, round(ft / nullif(total_time, 0), 6) AS speedup_full FROM w""")
+def comparison_columns(spark, d):
+    out = rollups.compare(results(spark, d), ["scenario"], "approach", "F", "O")
+    new = ["delta_base", "delta_full", "error_reduction_base", "error_reduction_full", "rmse_reduction_base", "rmse_reduction_full", "feature_reduction_full", "speedup_full"]
+    return rounded(out.select("scenario", "approach", *new), *new)
+
+
+@query("WITH t AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'items' ELSE 'base' END AS source_table FROM lineitem ORDER BY abs(l_extendedprice) DESC, l_orderkey, l_linenumber, l_partkey LIMIT 100) SELECT source_table, count(*) AS n FROM t GROUP BY 1")
+def source_tally(spark, d):
+    rows = read(spark, d, "lineitem")
+    key = F.format_string("%010d_%d_%010d", "l_orderkey", "l_linenumber", "l_partkey")
+    name = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("items."), key)).otherwise(key)
+    return rollups.source_tally(rows.select(name.alias("feature"), F.col("l_extendedprice").alias("importance")), "feature", "importance", 100)
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS n_features FROM events GROUP BY 1")
+def feature_counts(spark, d):
+    return rollups.feature_counts(read(spark, d, "events"), ["event_type"], "user_id")
+
+
+@query("SELECT s_suppkey, round((s_acctbal - min(s_acctbal) OVER w) / nullif(max(s_acctbal) OVER w - min(s_acctbal) OVER w, 0), 6) AS min_max, round((s_acctbal - avg(s_acctbal) OVER w) / nullif(max(s_acctbal) OVER w - min(s_acctbal) OVER w, 0), 6) AS centred FROM supplier WINDOW w AS ()")
+def normalised_values(spark, d):
+    rows = read(spark, d, "supplier").withColumn("one", F.lit(1))
+    return rounded(rollups.normalised(rows, "s_acctbal", ["one"]).select("s_suppkey", "min_max", "centred"), "min_max", "centred")
+
+
+@query("WITH u AS (SELECT user_id, event_id, value, 0 AS new FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, event_id, value, 1 FROM events WHERE event_type <> 'click') SELECT user_id, event_id, value FROM u QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC, new DESC) = 1")
+def append_keep_last(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", "value", "event_type")
+    return rollups.keep_last(e.where("event_type = 'click'").drop("event_type"), e.where("event_type <> 'click'").drop("event_type"), "user_id", "event_id")
+
+
+@query("SELECT event_type, max(value) AS best, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1")
+def sensitivity(spark, d):
+    return rounded(rollups.sensitivity(read(spark, d, "events"), ["event_type"], "value"), "mean")
+
+
+@query("""SELECT count(*) AS n, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e / nullif(y, 0))), 6) AS mape, round(1 - sum(e * e) / (var_pop(y) * count(y)), 6) AS r2 FROM (SELECT l_extendedprice AS y, l_quantity * 3000 - l_extendedprice AS e FROM lineitem)""")
+def metrics_regression(spark, d):
+    rows = read(spark, d, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 3000).alias("prediction"))
+    return rounded(rounded(models.regression_metrics(rows), "mae", "rmse", places=4), "mape", "r2")
+
+
+@query("""WITH c AS (SELECT l_returnflag AS y, CASE WHEN l_quantity < 25 THEN 'A' WHEN l_quantity < 40 THEN 'N' ELSE 'R' END AS p FROM lineitem), k AS (SELECT DISTINCT y AS k FROM c UNION SELECT DISTINCT p FROM c),
+s AS (SELECT k, (SELECT count(*) FROM c WHERE y = k) AS a, (SELECT count(*) FROM c WHERE p = k) AS g, (SELECT count(*) FROM c WHERE y = k AND p = k) AS h FROM k) SELECT round(sum(h) / sum(a), 6) AS accuracy, round(avg(2 * h / (a + g)), 6) AS macro_f1 FROM s""")
+def macro_f1(spark, d):
+    guess = F.when(F.col("l_quantity") < 25, "A").when(F.col("l_quantity") < 40, "N").otherwise("R")
+    return rounded(models.classification_metrics(read(spark, d, "lineitem").select(F.col("l_returnflag").alias("y"), guess.alias("prediction"))), "accuracy", "macro_f1")
+
+
+@query("""WITH p AS (SELECT l_quantity AS x, (l_returnflag = 'R')::INT AS a, (l_returnflag <> 'R')::INT AS b FROM lineitem), c AS (SELECT x, sum(a) AS a, sum(b) AS b FROM p GROUP BY 1), g AS (SELECT abs(sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(b) OVER (ORDER BY x) / sum(b) OVER ()) AS gap, lead(x) OVER (ORDER BY x) - x AS width FROM c)
+SELECT 'l_quantity' AS "column", round(max(gap), 6) AS ks, round(sum(gap * width), 6) AS wasserstein FROM g""")
+def distribution_distance(spark, d):
+    rows = read(spark, d, "lineitem")
+    return rounded(augment.distribution_distance(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag <> 'R'"), ["l_quantity"]), "ks", "wasserstein")
+
+
+@query("SELECT 'l_quantity' AS \"left\", 'l_extendedprice' AS \"right\", round(abs(corr(l_quantity, l_extendedprice) FILTER (l_returnflag = 'R') - corr(l_quantity, l_extendedprice) FILTER (l_returnflag <> 'R')), 6) AS delta FROM lineitem")
+def correlation_delta(spark, d):
+    rows = read(spark, d, "lineitem")
+    return rounded(augment.correlation_delta(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag <> 'R'"), ["l_quantity", "l_extendedprice"]), "delta")
+
+
+@query("SELECT part, count(*) AS n FROM (SELECT 'a' AS part FROM events WHERE event_type = 'click' UNION ALL SELECT 'b' FROM events WHERE event_type <> 'click') GROUP BY 1")
+def union_frames(spark, d):
+    e = read(spark, d, "events")
+    both = e.where("event_type = 'click'").select(F.lit("a").alias("part"), "value").unionByName(e.where("event_type <> 'click'").select(F.lit("b").alias("part")), allowMissingColumns=True)
+    return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- learners and random draws: rows only ----
+
+
+@query()
+def augmented_rows(spark, d):
+    return augment.augment_rows(read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount"), ["l_quantity", "l_discount"], "l_orderkey", "jitter")
+
+
+@query()
+def random_injection(spark, d):
+    rows = items(spark, d)
+    kept = selection.random_injection(rows, ITEMS, "y", regression=False, rounds=1)
+    return spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
+@query()
+def forest_importance(spark, d):
+    return spark.createDataFrame(list(models.forest_importances(chain(spark, d), CHAIN, "y").items()), "feature string, importance double")
+
+
+@query()
+def learned_forecast(spark, d):
+    rows = windows(spark, d)
+    model = models.lag_forecast(rows, 16)
+    lags = [f"lag{i}" for i in range(16)]
+    out = models.predict(model, rows.select(*[F.get("window", F.lit(i)).alias(c) for i, c in enumerate(lags)], "y"), lags, "y")
+    return models.regression_metrics(out)
