@@ -207,9 +207,9 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
             out.close()
             size = sink.tell()
             sink.close()
-            return {"path": [path], "size": [size], "first_key": [first], "docs": [out.docs], "ids": [out.ids]}
+            row = {"path": [path], "size": [size], "first_key": [first], "docs": [out.docs], "ids": [out.ids]}
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("path", pa.string()), ("size", pa.int64()), ("first_key", pa.binary()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-        import pandas as pd
         import pyarrow as pa
 
         for batch in batches:
@@ -217,7 +217,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
             for at in range(0, len(keys), 2000):
                 for key, ids in zip(keys[at : at + 2000], enc.encode(batch.column("text").slice(at, 2000).to_pylist()), strict=True):
                     if out is not None and out.at + out.size >= SHARD_BYTES:
-                        yield pa.RecordBatch.from_pandas(pd.DataFrame(close()), preserve_index=False)
+                        yield close()
                         out = None
                     if out is None:
                         path = f"{folder}/{uuid.uuid4().hex}.sst"
@@ -225,7 +225,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
                         out, first = ShardWriter(sink), key
                     out.add(key, ids + end)
         if out is not None:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(close()), preserve_index=False)
+            yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")

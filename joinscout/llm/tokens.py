@@ -1,9 +1,8 @@
 """Token ids by the tokenizers library, with a bounded cache of words.
 
-The vocabularies drop white space and split before and after every run of letters, so a text's ids are
-those of its pieces between blanks, one after the other. Pieces seen before come from a cache; a piece of
-plain letters and ASCII punctuation is looked up by its lower-cased letters and by its punctuation. Every
-other piece goes to the library as it is.
+The vocabularies lower-case, drop white space and split before and after every run of letters and every digit, so the
+ids of a text of plain letters, digits and ASCII punctuation are those of its runs, one after the other; runs seen
+before come from a cache. Other texts are cut at blanks, and their pieces that aren't plain go to the library as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +14,10 @@ import numpy as np
 
 #: Letters whose lower case and normal form are one letter each, then ASCII punctuation without apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]*)([!-&(-/:-@\[-`{-~]*)\Z")
-PIECES, WORDS, LONGEST = 200_000, 300_000, 64
+#: Anything but these, digits and ASCII white space; and the start of a special token, which stands for itself.
+_ODD = re.compile(r"[^A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž0-9!-&(-/:-@\[-`{-~ \t\n\r]|<\|")
+_RUNS = re.compile(r"[a-zß-öø-ž]+|[0-9]|[!-/:-@\[-`{-~]+").findall
+PIECES, WORDS, LONGEST, AT_ONCE = 50_000, 300_000, 64, 1_000_000
 
 
 class Encoder:
@@ -40,12 +42,11 @@ class Encoder:
             self.older, self.words = self.words, {}
         words, older = self.words, self.older
         missing = []
-        for w in wanted:
-            if w not in words:
-                if w in older:
-                    words[w] = older[w]
-                else:
-                    missing.append(w)
+        for w in wanted.difference(words):
+            if w in older:
+                words[w] = older[w]
+            else:
+                missing.append(w)
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             words.update(zip(part, self._encode(part), strict=True))
@@ -75,21 +76,28 @@ class Encoder:
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= 2_000_000):
+            while end < len(texts) and (end == at or size + len(texts[end]) <= AT_ONCE):
                 size += len(texts[end])
                 end += 1
-            lists = [t.replace("\n", " ").split(" ") for t in texts[at:end]]
-            wanted = set().union(*lists)
-            missing = [w for w in wanted if w not in self.pieces]
-            if len(self.pieces) + len(missing) > PIECES:
-                keep = {w: self.pieces[w] for w in wanted if w in self.pieces}
-                self.pieces = keep
-            self._add(missing, self.pieces)
-            of = self.pieces
-            out += [b"".join([of[w] for w in ws]) for ws in lists]
+            part = texts[at:end]
+            plain = [not _ODD.search(t) for t in part]
+            runs = [_RUNS(t.lower()) if p else None for t, p in zip(part, plain, strict=True)]
+            words = self._of_words(set().union(*(r for r in runs if r)))
+            odd = iter(self._odd([t for t, p in zip(part, plain, strict=True) if not p]))
+            out += [next(odd) if r is None else b"".join([words[w] for w in r]) for r in runs]
             at = end
         return out
 
+    def _odd(self, texts: list[str]) -> list[bytes]:
+        lists = [t.replace("\n", " ").split(" ") for t in texts]
+        wanted = set().union(*lists)
+        missing = [w for w in wanted if w not in self.pieces]
+        if len(self.pieces) + len(missing) > PIECES:
+            self.pieces = {w: self.pieces[w] for w in wanted if w in self.pieces}
+        self._add(missing, self.pieces)
+        of = self.pieces
+        return [b"".join([of[w] for w in ws]) for ws in lists]
+
 
 _encoders: dict[str, Encoder] = {}
 
