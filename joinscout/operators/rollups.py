@@ -27,8 +27,8 @@ def best_per_group(df: DataFrame, keys: list[str], value: str, tie: str) -> Data
     """The row of the largest value of each group, ties to the smaller `tie`; the group is reduced where it lies."""
     rest = [c for c in df.columns if c not in (*keys, value, tie)]
     entry = F.struct((-F.col(value)).alias("__v"), F.col(tie), F.col(value), *rest)
-    best = df.groupBy(*keys).agg(F.min(entry).alias("e"))
-    return best.select(*keys, *[F.col(f"e.{c}").alias(c) for c in df.columns if c not in keys])
+    best = df.groupBy(*keys).agg(F.min(entry).alias("__e"))
+    return best.select(*keys, *[F.col(f"__e.{c}").alias(c) for c in df.columns if c not in keys])
 
 
 def compare(df: DataFrame, keys: list[str], name: str, base: str, full: str) -> DataFrame:
@@ -78,8 +78,8 @@ def keep_last(existing: DataFrame, new: DataFrame, key: str, order: str) -> Data
     """Union where of rows with the same key the one of the largest `order` stays, a new one before an old one."""
     both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
     columns = [c for c in both.columns if c != "__new"]
-    best = both.groupBy(key).agg(F.max(F.struct(order, "__new", *[c for c in columns if c not in (key, order)])).alias("e"))
-    return best.select(*[F.col(key) if c == key else F.col(f"e.{c}").alias(c) for c in columns])
+    best = both.groupBy(key).agg(F.max(F.struct(order, "__new", *[c for c in columns if c not in (key, order)])).alias("__e"))
+    return best.select(*[F.col(key) if c == key else F.col(f"__e.{c}").alias(c) for c in columns])
 
 
 def ordered(df: DataFrame, column: str, names: list[str]) -> DataFrame:

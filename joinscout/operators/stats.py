@@ -54,7 +54,8 @@ def _weighted_corr(x: Column, y: Column, n: Column) -> Column:
 def pearson(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, correlation, n) over the rows that have both; 0 where the denominator isn't above 0."""
     long = long_pairs(df, features, target)
-    return long.groupBy("feature").agg(F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0)).alias("correlation"), F.count(F.lit(1)).alias("n"))
+    corr = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return long.groupBy("feature").agg(F.coalesce(F.nanvl(corr, F.lit(0.0)), F.lit(0.0)).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
 def spearman(df: DataFrame, features: list[str], target: str) -> DataFrame:

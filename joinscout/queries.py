@@ -518,9 +518,9 @@ def impute_ffill_bfill(spark, d):
 BACK_T, AHEAD_T = BACK.replace("value IGNORE", "t IGNORE"), AHEAD.replace("value IGNORE", "t IGNORE")
 
 
-@query(f"WITH {SERIES}, w AS (SELECT *, CASE WHEN value IS NOT NULL THEN hour END AS t FROM grid), x AS (SELECT *, {BACK} AS bv, {AHEAD} AS av, {BACK_T} AS bt, {AHEAD_T} AS aft FROM w) SELECT user_id, hour, round(coalesce(value, bv + (av - bv) * (hour - bt) / nullif(aft - bt, 0), bv, av), 6) AS value FROM x")
+@query(f"WITH {SERIES}, w AS (SELECT *, CASE WHEN value IS NOT NULL THEN hour END AS t FROM grid), x AS (SELECT *, {BACK} AS bv, {AHEAD} AS av, {BACK_T} AS bt, {AHEAD_T} AS aft FROM w) SELECT user_id, hour, round(coalesce(value, bv + (av - bv) * (hour - bt) / nullif(aft - bt, 0), bv, av), 9) AS value FROM x")
 def impute_linear_time(spark, d):
-    return rounded(timeseries.impute(grid(spark, d), ["value"], "hour", ["user_id"], "linear"), "value")
+    return rounded(timeseries.impute(grid(spark, d), ["value"], "hour", ["user_id"], "linear"), "value", places=9)
 
 
 @query(f"WITH {SERIES} SELECT user_id, hour, round(coalesce(value, avg(value) OVER (PARTITION BY user_id)), 6) AS value FROM grid")
