@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,26 +16,49 @@ MIX = {"fraction": 0.8, "max_epochs": 1, "seed": 11}
 CAPACITY = 2048
 
 
+_finished: list[Scratch] = []
+
+
+def staged(f):
+    """A stage is called when the one before it has been written, so the working tables of that one are deleted first."""
+
+    @functools.wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _finished:
+            _finished.pop().drop()
+        before = len(Scratch.made)
+        out = f(spark, docs, sf_dir)
+        _finished.extend(Scratch.made[before:])
+        return out
+
+    return stage
+
+
+@staged
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return quality.keep_good(spark, docs, read(spark, sf_dir, "labels"))
 
 
+@staged
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the largest id of each text."""
     return exact_dedup.deduplicate(spark, docs)
 
 
+@staged
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of similar texts."""
     return ngram_join.keep_one(spark, docs)
 
 
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the target weights of domains, languages and sources take."""
     return mixing.mix(spark, docs, queries.tree(), queries.weights(), queries.words(), **MIX).drop("epoch")
 
 
+@staged
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
     packed = packing.pack_documents(spark, docs, default_tokenizer(), CAPACITY, 0)

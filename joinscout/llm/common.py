@@ -6,6 +6,7 @@ import atexit
 import itertools
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written under the shared folder, which cut lineage and survive lost executors."""
 
+    #: Those made so far, for callers that know when a result is written and its tables can go.
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        Scratch.made.append(self)
         self.path = f"{shared_dir(spark).rstrip('/')}/joinscout/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
 
@@ -50,6 +55,10 @@ class Scratch:
         back.scratch_path = path
         return back
 
+    def sweep(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished steps, which it does when the driver collects garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame | None = None) -> None:
         """Delete one table of this scratch, or all of them."""
         path = self.path if df is None else df.scratch_path
