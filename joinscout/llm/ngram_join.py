@@ -25,7 +25,11 @@ from .shingles import mix, shingle_sets
 
 _U = np.uint64
 #: Documents a chunk of a map task holds, names it holds, and documents a tile is compared over at a time.
-CHUNK, NAMES, TILE = 50_000, 4_000_000, 512
+CHUNK, NAMES, TILE = 30_000, 4_000_000, 512
+#: Marks an entry that stands for several documents of its chunk; their numbers are below it.
+SEVERAL = np.uint16(1 << 15)
+#: Bits of the filter that keeps most texts without candidates from being shingled again; a full one lets all through.
+FILTER_BITS = 1 << 23
 
 
 class Bands:
@@ -49,7 +53,7 @@ class Bands:
 
     def slices(self, band: int) -> int:
         d = self.differ(self.top(band), self.top(band))
-        return math.ceil(1.5 * (d + 1)) + 2
+        return math.ceil(1.1 * (d + 1)) + 1
 
     def names(self, hashes: np.ndarray) -> np.ndarray:
         """Tile names of one sorted shingle set."""
@@ -91,12 +95,12 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def bound_allows(a: np.ndarray, bits_a: np.ndarray, b: np.ndarray, bits_b: np.ndarray, num: int, den: int) -> bool:
-    """False if bit counts show that the sets can't be similar."""
+def bound_allows(a: int, bits_a: np.ndarray, b: int, bits_b: np.ndarray, num: int, den: int) -> bool:
+    """False if bit counts show that sets of these sizes can't be similar."""
     words = min(len(bits_a), len(bits_b))
     x, y = fold(bits_a, words), fold(bits_b, words)
-    most = min(len(a) - int(np.bitwise_count(x & ~y).sum()), len(b) - int(np.bitwise_count(y & ~x).sum()))
-    return den * most >= num * (len(a) + len(b) - most)
+    most = min(a - int(np.bitwise_count(x & ~y).sum()), b - int(np.bitwise_count(y & ~x).sum()))
+    return den * most >= num * (a + b - most)
 
 
 def _profile(bands: Bands, n: int, parts: int):
@@ -119,7 +123,7 @@ def _profile(bands: Bands, n: int, parts: int):
         def flush():
             chunk = (task << 12 | seq) << 16
             for at in range(0, len(docs), 2000):
-                yield table([(0, 0, chunk | at + i, d, h, size, None, None) for i, (d, h, size) in enumerate(docs[at : at + 2000])])
+                yield table([(0, 0, chunk | at + i, d, h, size, bits, None) for i, (d, h, size, bits) in enumerate(docs[at : at + 2000])])
             if not names:
                 return
             sig = np.concatenate(names)
@@ -140,7 +144,8 @@ def _profile(bands: Bands, n: int, parts: int):
                     continue
                 f = first[a:b]
                 s, i = short[a:b], idx[a:b]
-                rows.append((1, p, chunk, None, None, int(f.sum()), _pack(s[f]), i[f].tobytes()))
+                entry = np.where(many[a:b][f], i[f] | SEVERAL, i[f])
+                rows.append((1, p, chunk, None, None, int(f.sum()), _pack(s[f]), entry.astype(np.uint16).tobytes()))
                 if many[a:b].any():
                     k = many[a:b]
                     rows.append((2, p, chunk, None, None, int(k.sum()), _pack(s[k]), i[k].tobytes()))
@@ -155,7 +160,7 @@ def _profile(bands: Bands, n: int, parts: int):
             for at in range(0, batch.num_rows, 2000):
                 ids, texts, hashes = (batch.column(i).slice(at, 2000).to_pylist() for i in range(3))
                 for doc_id, h, s in zip(ids, hashes, shingle_sets(texts, n), strict=True):
-                    docs.append((doc_id, h, len(s)))
+                    docs.append((doc_id, h, len(s), bitmap(s).tobytes() if len(s) else None))
                     names.append(bands.names(s) if len(s) else np.empty(0, np.uint64))
                     held += len(names[-1])
                     if len(docs) >= CHUNK or held >= NAMES:
@@ -178,22 +183,24 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _meet(table):
-    """Reduce tasks: (tile, uid, pivot) of every tile of one part that has entries of more than one chunk."""
+    """Reduce tasks: (tile, uid, pivot, several) of every tile of one part that has entries of more than one chunk."""
     import pyarrow as pa
 
-    sig, uid = [], []
+    sig, uid, several = [], [], []
     for raw, chunk, idx in zip(table.column("a").to_pylist(), table.column("uid").to_pylist(), table.column("b").to_pylist(), strict=True):
+        entry = np.frombuffer(idx, np.uint16)
         sig.append(_unpack(raw))
-        uid.append(np.frombuffer(idx, np.uint16).astype(np.int64) | chunk)
-    s, u = np.concatenate(sig), np.concatenate(uid)
+        uid.append((entry & ~SEVERAL).astype(np.int64) | chunk)
+        several.append(entry >= SEVERAL)
+    s, u, t = np.concatenate(sig), np.concatenate(uid), np.concatenate(several)
     order = np.lexsort((u, s))
-    s, u = s[order], u[order]
+    s, u, t = s[order], u[order], t[order]
     first = np.concatenate([[True], s[1:] != s[:-1]])
     run_of = np.cumsum(first) - 1
     many = np.bincount(run_of)[run_of] > 1
     part = table.column("part")[0].as_py()
     tile = s[many].astype(np.int64) << 14 ^ part
-    return pa.table({"tile": tile, "uid": u[many], "pivot": u[first][run_of][many]})
+    return pa.table({"tile": tile, "uid": u[many], "pivot": u[first][run_of][many], "several": t[many]})
 
 
 def _explode_groups(batches):
@@ -214,84 +221,190 @@ def _explode_pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(p >> 16 | chunk), pa.array(p & 0xFFFF | chunk)], names=["a", "b"])
 
 
-def _sets(n: int):
+def _prefilter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits of the keys' hashes; the driver gets at most FILTER_BITS / 64 numbers, whatever the input."""
+    place = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(FILTER_BITS))
+    words = keys.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key, 5), {FILTER_BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    found = words.toArrow()
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def _sets(n: int, wanted: np.ndarray):
+    """Shingle sets of the rows whose place is in the bitmap."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                sets = shingle_sets(batch.column("text").slice(at, 500).to_pylist(), n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("uid").slice(at, 500), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())],
-                    names=["uid", "hashes", "bits"],
-                )
+            place = batch.column("place").to_numpy()
+            hit = np.flatnonzero(wanted[place >> 6] >> (place & 63).astype(np.uint64) & _U(1))
+            for at in range(0, len(hit), 500):
+                part = batch.take(pa.array(hit[at : at + 500]))
+                sets = shingle_sets(part.column("text").to_pylist(), n)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), part.column("text_hash"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "doc_id", "text_hash", "hashes"])
 
     return run
 
 
-def _verify(num: int, den: int):
+def _bounded(num: int, den: int):
+    """Pairs that bit counts leave."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("hashes", "bits", "hashes_b", "bits_b")), strict=True)
-            for i, (ha, ba, hb, bb) in enumerate(rows):
-                if ha == hb:
-                    keep.append(i)
-                    continue
-                x, y = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
-                if bound_allows(x, np.frombuffer(ba, np.uint64), y, np.frombuffer(bb, np.uint64), num, den) and linked(x, y, num, den):
-                    keep.append(i)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "bits", "n_b", "bits_b")), strict=True)
+            keep = [
+                i for i, (m, x, k, y) in enumerate(rows)
+                if min(m, k) * den >= num * max(m, k) and (x == y or bound_allows(m, np.frombuffer(x, np.uint64), k, np.frombuffer(y, np.uint64), num, den))
+            ]
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
     return run
 
 
-def _tile_links(num: int, den: int):
-    """Links between components within one tile, as few as join them."""
+def _verify(num: int, den: int):
+    """Pairs whose sorted arrays are similar."""
 
-    def run(table):
+    def run(batches):
         import pyarrow as pa
 
-        uid, root, side = (table.column(c).to_numpy() for c in ("uid", "root", "side"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        raw = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        order = np.lexsort((uid, size))
-        words = min(len(b) for b in raw)
-        bits = np.stack([fold(raw[i], words) for i in order])
-        size, side, root, uid = size[order], side[order], root[order], uid[order]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        parent = {int(r): int(r) for r in root}
-
-        def find(r):
-            while parent[r] != r:
-                parent[r] = r = parent[parent[r]]
-            return r
-
-        out = []
-        for k in range(len(uid)):
-            end = np.searchsorted(size, size[k] * den // num, side="right")
-            lo, hi = k + 1, int(end)
-            if lo >= hi:
-                continue
-            others = np.arange(lo, hi)
-            differ = root[lo:hi] != root[k]
-            if i != j:
-                differ &= side[lo:hi] != side[k]
-            others = others[differ]
-            if not len(others):
-                continue
+        for batch in batches:
+            rows = zip(batch.column("hashes").to_pylist(), batch.column("hashes_b").to_pylist(), strict=True)
+            keep = [i for i, (x, y) in enumerate(rows) if x == y or linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)]
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
+
+    return run
+
+
+def _tiles(batches, columns: tuple[str, ...]):
+    """Each tile's columns as lists, from rows in order of tile, i and j."""
+    held: dict[str, list] = {c: [] for c in columns}
+    key = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("tile", "i", "j")), strict=True))
+        lists = {c: batch.column(c).to_pylist() for c in columns}
+        at = 0
+        while at < len(keys):
+            if keys[at] != key:
+                if held["uid"]:
+                    yield key, held
+                key, held = keys[at], {c: [] for c in columns}
+            end = at
+            while end < len(keys) and keys[end] == key:
+                end += 1
+            for c in columns:
+                held[c] += lists[c][at:end]
+            at = end
+    if held["uid"]:
+        yield key, held
+
+
+def _partners(key: tuple, tile: dict[str, list], num: int, den: int):
+    """(row, later rows by size) of other components that bit counts leave as partners."""
+    across = key[1] != key[2]
+    order = sorted(range(len(tile["uid"])), key=lambda r: (tile["n"][r], tile["uid"][r]))
+    raw, n, root, side = tile["bits"], tile["n"], tile["root"], tile["side"]
+    words = min(len(b) for b in raw) // 8
+    if len(order) <= 24:
+        bits = [int.from_bytes(b if len(b) == 8 * words else fold(np.frombuffer(b, np.uint64), words).tobytes(), "little") for b in raw]
+        for k, r in enumerate(order):
+            hit = []
+            for o in order[k + 1 :]:
+                if n[o] * num > n[r] * den:
+                    break
+                if root[r] == root[o] or across and side[r] == side[o]:
+                    continue
+                most = min(n[r] - (bits[r] & ~bits[o]).bit_count(), n[o] - (bits[o] & ~bits[r]).bit_count())
+                if den * most >= num * (n[r] + n[o] - most):
+                    hit.append(o)
+            if hit:
+                yield r, hit
+        return
+    place = np.array(order)
+    size, roots, sides = np.array(n)[place], np.array(root)[place], np.array(side)[place]
+    bits = np.stack([fold(np.frombuffer(raw[r], np.uint64), words) for r in order])
+    for k in range(len(order)):
+        end = int(np.searchsorted(size, size[k] * den // num, side="right"))
+        differ = roots[k + 1 : end] != roots[k]
+        if across:
+            differ &= sides[k + 1 : end] != sides[k]
+        others = np.flatnonzero(differ) + k + 1
+        if len(others):
             b = bits[others]
             most = np.minimum(size[k] - np.bitwise_count(bits[k] & ~b).sum(1).astype(np.int64), size[others] - np.bitwise_count(b & ~bits[k]).sum(1).astype(np.int64))
-            for o in others[den * most >= num * (size[k] + size[others] - most)].tolist():
-                x, y = find(int(root[k])), find(int(root[o]))
-                if x != y and linked(sets[order[k]], sets[order[o]], num, den):
-                    parent[max(x, y)] = min(x, y)
-                    out.append((int(uid[k]), int(uid[o])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            others = others[den * most >= num * (size[k] + size[others] - most)]
+            if len(others):
+                yield order[k], place[others].tolist()
+
+
+TILE_COLUMNS = ("tile", "uid", "root", "side", "i", "j", "n", "bits")
+
+
+def _tile_hits(num: int, den: int):
+    """(a, b): pairs of other components that bit counts leave, as few of each tile as join all of its documents that have any."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        out: list[tuple[int, int]] = []
+        for key, tile in _tiles(batches, TILE_COLUMNS):
+            parent: dict[int, int] = {}
+
+            def find(r, parent=parent):
+                parent.setdefault(r, r)
+                while parent[r] != r:
+                    parent[r] = r = parent[parent[r]]
+                return r
+
+            for r, others in _partners(key, tile, num, den):
+                for o in others:
+                    x, y = find(r), find(o)
+                    if x != y:
+                        parent[x] = y
+                        out.append((tile["uid"][r], tile["uid"][o]))
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _tile_links(num: int, den: int):
+    """Links between components within each tile, as few as join them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        out: list[tuple[int, int]] = []
+        for key, tile in _tiles(batches, (*TILE_COLUMNS, "hashes")):
+            parent = {r: r for r in tile["root"]}
+            sets: dict[int, np.ndarray] = {}
+
+            def find(r, parent=parent):
+                while parent[r] != r:
+                    parent[r] = r = parent[parent[r]]
+                return r
+
+            def hashes(r, sets=sets, tile=tile):
+                if r not in sets:
+                    sets[r] = np.frombuffer(tile["hashes"][r], np.uint64)
+                return sets[r]
+
+            for r, others in _partners(key, tile, num, den):
+                for o in others:
+                    x, y = find(tile["root"][r]), find(tile["root"][o])
+                    if x != y and linked(hashes(r), hashes(o), num, den):
+                        parent[max(x, y)] = min(x, y)
+                        out.append((tile["uid"][r], tile["uid"][o]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
@@ -309,37 +422,68 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     schema = "kind byte, part int, uid long, doc_id long, text_hash long, n long, a binary, b binary"
     profile = scratch.save(own.mapInArrow(_profile(bands, words, parts), schema), "profile")
     rows = profile.where("kind = 0").select("uid", "doc_id", "text_hash", "n")
+    bits = profile.where("kind = 0 and n > 0").select("uid", "n", F.col("a").alias("bits"))
 
-    met = profile.where("kind = 1").select("part", "uid", "a", "b").groupBy("part").applyInArrow(_meet, "tile long, uid long, pivot long")
+    met = profile.where("kind = 1").select("part", "uid", "a", "b").groupBy("part").applyInArrow(_meet, "tile long, uid long, pivot long, several boolean")
     met = scratch.save(met, "met")
+    scratch.sweep()
     in_chunk = profile.where("kind = 3").select("uid", "a").mapInArrow(_explode_pairs, "a long, b long")
-    pairs = scratch.save(met.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).unionByName(in_chunk).distinct(), "pairs")
-
-    # shingles again, of candidates only, by their id and text
-    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    named = rows.join(wanted, "uid").select("uid", F.xxhash64("doc_id", "text_hash").alias("key"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    texts = own.withColumn("key", F.xxhash64("doc_id", "text_hash")).join(named.select("key"), "key", "left_semi")
-    texts = texts.dropDuplicates(["key", "doc_id", "text_hash"])  # rows that repeat have one text
-    same = (texts["key"] == named["key"]) & texts["doc_id"].eqNullSafe(named["d"]) & (texts["text_hash"] == named["h"])
-    found = texts.join(named, same).select("uid", "text")
-    sets = scratch.save(found.mapInArrow(_sets(words), "uid long, hashes binary, bits binary"), "sets")
-    second = sets.select(F.col("uid").alias("b"), F.col("hashes").alias("hashes_b"), F.col("bits").alias("bits_b"))
-    checked = pairs.join(second, "b").join(sets.withColumnRenamed("uid", "a"), "a").select("a", "b", "hashes", "bits", "hashes_b", "bits_b")
-    links = scratch.save(checked.mapInArrow(_verify(num, den), "a long, b long"), "links")
-    roots = components(scratch, links)
-    roots = scratch.save(roots, "roots")
+    pairs = met.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).unionByName(in_chunk).distinct()
+    left, right = bits.select(F.col("uid").alias("a"), "n", "bits"), bits.select(F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    pairs = scratch.save(pairs.join(right, "b").join(left, "a").mapInArrow(_bounded(num, den), "a long, b long"), "pairs")
+    scratch.sweep()
+
+    place = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(FILTER_BITS)).alias("place")
+    keyed = own.select(F.xxhash64("doc_id", "text_hash").alias("key"), "doc_id", "text_hash", "text").select("key", "doc_id", "text_hash", place, "text")
+
+    def sets_of(uids: DataFrame, name: str) -> DataFrame:
+        """(uid, hashes): shingles again, of some rows only, by their id and text."""
+        named = rows.join(uids.distinct(), "uid").select("uid", F.xxhash64("doc_id", "text_hash").alias("key"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+        named = scratch.save(named, f"{name}-names")
+        found = keyed.mapInArrow(_sets(words, _prefilter(named)), "key long, doc_id long, text_hash long, hashes binary")
+        found = found.join(named.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "doc_id", "text_hash"])  # rows that repeat have one text
+        # beside the key, which it is dealt by, a row must have the id and the text
+        same_id = F.coalesce(found["doc_id"].bitwiseXOR(named["d"]), F.when(found["doc_id"].isNull() & named["d"].isNull(), 0).otherwise(1)) == 0
+        same = (found["text_hash"].bitwiseXOR(named["h"]) == 0) & same_id
+        return scratch.save(found.join(named, (found["key"] == named["key"]) & same).select("uid", "hashes"), name)
+
+    sets = sets_of(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))), "sets")
+    checked = pairs.join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("hashes_b")), "b").join(sets.withColumnRenamed("uid", "a"), "a")
+    links = scratch.save(checked.select("a", "b", "hashes", "hashes_b").mapInArrow(_verify(num, den), "a long, b long"), "links")
+    scratch.drop(sets)
+    scratch.sweep()
+    roots = scratch.save(components(scratch, links), "roots")
 
     # tiles in more than one component yet
-    member = met.select("tile", "uid").unionByName(profile.where("kind = 2").select("part", "uid", "a", "b").mapInArrow(_explode_groups, "tile long, uid long"))
-    member = member.distinct().join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("tile", "uid", F.coalesce("root", "uid").alias("root"))
+    member = met.where("not several").select("tile", "uid").unionByName(profile.where("kind = 2").select("part", "uid", "a", "b").mapInArrow(_explode_groups, "tile long, uid long"))
+    member = member.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("tile", "uid", F.coalesce("root", "uid").alias("root"))
     member = scratch.save(member, "members")
-    open_tiles = member.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(uid))").alias("x"), F.expr("bit_xor(xxhash64(uid, 1))").alias("y"))
+    alike = [F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(uid))").alias("x"), F.expr("bit_xor(xxhash64(uid, 1))").alias("y")]
+    open_tiles = member.groupBy("tile").agg(F.min("root").alias("r"), F.max("root").alias("s"), *alike)
+    # tiles of the same documents are one
     open_tiles = open_tiles.where("r <> s").groupBy("size", "x", "y").agg(F.min("tile").alias("tile")).select("tile", "size")
-    split = member.join(open_tiles, "tile").withColumn("k", F.expr(f"cast(ceil(size / {TILE}) as int)"))
-    split = split.withColumn("side", F.expr("cast(pmod(xxhash64(uid, 3), k) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    split = split.select("tile", "uid", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    more = split.join(sets, "uid").groupBy("tile", "i", "j").applyInArrow(_tile_links(num, den), "a long, b long")
-    more = scratch.save(more.distinct(), "more")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """Rows of (tile, size, uid, root) by blocks of TILE: each block meets itself and every other."""
+        df = df.withColumn("k", F.expr(f"cast(ceil(size / {TILE}) as int)"))
+        df = df.withColumn("side", F.expr("cast(pmod(xxhash64(uid, 3), k) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        return df.select("tile", "uid", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+
+    def in_tiles(df: DataFrame) -> DataFrame:
+        return df.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+
+    split = dealt(member.join(open_tiles, "tile")).join(bits, "uid").select(*TILE_COLUMNS)
+    hits = scratch.save(in_tiles(split).mapInArrow(_tile_hits(num, den), "a long, b long").distinct(), "hits")
+    scratch.drop(member)
+    scratch.sweep()
+    more = hits.limit(0)
+    if not hits.isEmpty():
+        # documents that may still link, each with its shingles once: what bit counts join is a tile
+        near = scratch.save(components(scratch, hits).select(F.col("node").alias("uid"), F.col("root").alias("tile")), "near")
+        near = near.join(near.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "tile").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+        near = scratch.save(near.select("tile", "size", "uid", F.coalesce("root", "uid").alias("root")), "near")
+        some = dealt(near).join(bits, "uid").join(sets_of(near.select("uid"), "tile-sets"), "uid").select(*TILE_COLUMNS, "hashes")
+        more = scratch.save(in_tiles(some).mapInArrow(_tile_links(num, den), "a long, b long").distinct(), "more")
     if not more.isEmpty():
         joined = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         upper = components(scratch, joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
