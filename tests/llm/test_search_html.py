@@ -54,6 +54,11 @@ def test_main_text():
     assert text_of(None) == "" == text_of("") and text_of("plain text") == "plain text"
 
 
+def test_names_of_elements():
+    page = '<main class="content-with-sidebar"><div class="article-header"><h1>A</h1></div><p class="ad-slot">x</p><div id="post_comments"><p>y</p></div><p class="loaded">B</p></main><div class="site-header">z</div>'
+    assert text_of(page) == "A\nB"
+
+
 def test_cut_pages():
     assert text_of("<article><p>One &am") == "One &am" and text_of("<article><p>One &amp") == "One &" and text_of("<article><p>One</p><p cla") == "One"
     assert text_of("<article><p>One<!-- two") == "One" and text_of("<article><p>a<script>var x") == "a"
