@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words whose presence goes with the label among labelled examples (chi-square, strict enough for the number of words
-tried; near copies among the examples count once). Document frequencies are those of all documents. Examples are
-dealt into blocks; for each term a block keeps the largest weight of its postings, so the products of a query's weights
-with these bound every example of the block from above. Blocks are visited by falling bound until the bound is below the current
-k-th similarity. The neighbours vote by nearness; a logistic fitted to leave-one-out votes makes it a probability.
+Terms are all words of the labelled examples. Their TF-IDF weights are multiplied by their chi-square with the label, so words that
+go with neither class hardly count, but none is left out (near copies among the examples count once). Document frequencies are those of
+all documents. Examples are dealt into blocks; for each term a block keeps the largest weight of its postings, so the products of a
+query's weights with these bound every example of the block from above. A query's best blocks are scored first, then those whose
+bound reaches its k-th similarity. The neighbours vote by nearness; an isotonic fit to leave-one-out votes makes it a probability.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from .common import Scratch, held_out
 from .shingles import mix, shingle_sets
 from .training import labelled_sample
 
-#: Labelled rows of each class, terms at most, neighbours, examples a block, and the chi-square a term needs
-#: (one degree of freedom; a chance of about 1e-7 a word).
-PER_CLASS, TERMS, K, BLOCK, CHI2, LEAST = 2000, 512, 15, 64, 28.0, 5
+#: Labelled rows of each class, neighbours, examples a block, blocks a query scores first, and queries scored together.
+PER_CLASS, K, BLOCK, FIRST, TOGETHER = 2000, 15, 64, 4, 50
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -47,8 +46,8 @@ def _example_words(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([sorted(set(words_of(t))) for t in texts], pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64()))], names=["id", "label", "words", "marks"])
 
 
-def choose_terms(scratch: Scratch, docs: DataFrame, sample: DataFrame, terms: int = TERMS) -> tuple[DataFrame, list[str]]:
-    """(examples kept, terms). Of examples that share three of four min-hashes the smallest id is kept."""
+def choose_terms(scratch: Scratch, docs: DataFrame, sample: DataFrame) -> tuple[DataFrame, list[str], np.ndarray]:
+    """(examples kept, terms, the chi-square of each). Of examples that share three of four min-hashes the smallest id is kept."""
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id")  # at most 2 * PER_CLASS rows
     rows = scratch.save(rows.select("id", "label", "text").mapInArrow(_example_words, "id long, label int, words array<string>, marks array<long>"), "examples")
     marks = rows.select("id", "label", F.posexplode("marks").alias("j", "mark"))
@@ -58,13 +57,14 @@ def choose_terms(scratch: Scratch, docs: DataFrame, sample: DataFrame, terms: in
     n = {r.label: r["count"] for r in kept.groupBy("label").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
-        return kept.select("id", "label"), []
+        return kept.select("id", "label"), [], np.zeros(0)
     seen = kept.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum("label").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("m"))
     total = pos + neg
     a, m = F.col("a"), F.col("m")
     chi2 = total * (a * (neg - (m - a)) - (m - a) * (pos - a)) ** 2 / (F.lit(float(pos * neg)) * m * F.greatest(total - m, F.lit(0.5)))
-    best = seen.where(m >= LEAST).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(terms)
-    return kept.select("id", "label"), [r.word for r in best.select("word").collect()]
+    best = seen.select("word", chi2.alias("chi2")).where("chi2 > 0").collect()  # words of at most 2 * PER_CLASS rows
+    best = sorted((r.word, r.chi2) for r in best)
+    return kept.select("id", "label"), [w for w, _ in best], np.array([c for _, c in best])
 
 
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -81,67 +81,134 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
 
 
-def vectors(terms: list, counts: list, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors, (1 + ln tf) * idf; zero where a text has no term."""
-    out = np.zeros((len(terms), len(idf)))
-    for i, (t, c) in enumerate(zip(terms, counts, strict=True)):
-        if len(t):
-            out[i, t] = (1 + np.log(c)) * idf[t]
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+@dataclass
+class Rows:
+    """Sparse rows: the terms and values of row i are those from ends[i] to ends[i + 1]."""
+
+    ends: np.ndarray
+    terms: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    @staticmethod
+    def of(x: np.ndarray | Rows) -> Rows:
+        if isinstance(x, Rows):
+            return x
+        at, terms = np.nonzero(x)
+        return Rows(np.searchsorted(at, np.arange(len(x) + 1)), terms, x[at, terms])
+
+    def row_numbers(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.ends))
+
+    def any(self) -> np.ndarray:
+        return np.diff(self.ends) > 0
+
+    def take(self, rows: np.ndarray) -> Rows:
+        at, n = _spread(self.ends[rows], self.ends[rows + 1] - self.ends[rows])
+        return Rows(np.concatenate([[0], np.cumsum(n)]), self.terms[at], self.values[at])
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the places start[i] to start[i] + n[i] for each i, n)."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n), n
+
+
+def vectors(terms: list, counts: list, weight: np.ndarray) -> Rows:
+    """Unit vectors of (1 + ln tf) * weight; no terms where a text has none."""
+    n = np.array([len(t) for t in terms], int)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    t = np.concatenate([np.asarray(t, int) for t in terms]) if len(terms) else np.empty(0, int)
+    c = np.concatenate([np.asarray(c, float) for c in counts]) if len(counts) else np.empty(0)
+    v = (1 + np.log(c)) * weight[t]
+    norm = np.sqrt(np.bincount(np.repeat(np.arange(len(n)), n), v * v, len(n)))
+    return Rows(ends, t, v / np.repeat(norm, n))
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by block: the terms a block has, its weights by term and example, and each term's largest weight in it."""
+    """Postings by term and block. A term's entries (one a block that has it) hold its largest weight in the block and where its postings there are."""
 
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    size: int
+    entry_ends: np.ndarray
+    blocks: np.ndarray
     top: np.ndarray
+    posting_ends: np.ndarray
+    rows: np.ndarray
+    values: np.ndarray
 
     @staticmethod
-    def build(ids, labels, weights, x: np.ndarray, size: int = BLOCK) -> BlockMaxIndex:
-        order = np.lexsort((ids, np.argmax(x, axis=1))) if len(ids) else np.empty(0, int)  # alike examples together
-        ids, labels, weights, x = ids[order], labels[order], weights[order], x[order]
-        blocks, top = [], []
-        for at in range(0, len(ids), size):
-            part = x[at : at + size]
-            terms = np.flatnonzero(part.any(0))
-            blocks.append((terms, part[:, terms].T.copy(), np.arange(at, at + len(part))))
-            top.append(part.max(0))
-        return BlockMaxIndex(ids, labels, weights, blocks, np.array(top).T if top else np.zeros((x.shape[1], 0)))
-
-    def search(self, q: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def build(ids, labels, weights, x: np.ndarray | Rows, size: int = BLOCK) -> BlockMaxIndex:
+        x = Rows.of(x)
+        at = x.row_numbers()
+        heavy = np.full(len(x), -1)
+        by_value = np.lexsort((-x.terms, x.values, at))  # the last of each row is its heaviest term
+        heavy[at[by_value]] = x.terms[by_value]
+        order = np.lexsort((ids, heavy)) if len(ids) else np.empty(0, int)  # alike examples together
+        ids, labels, weights, x = ids[order], labels[order], weights[order], x.take(order)
+        at = x.row_numbers()
+        by_term = np.lexsort((at, x.terms))
+        terms, rows, values = x.terms[by_term], at[by_term], x.values[by_term]
+        block = rows // size
+        first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])) if len(terms) else np.empty(0, int)
+        top = np.maximum.reduceat(values, first) if len(first) else np.empty(0)
+        n_terms = int(terms[-1]) + 1 if len(terms) else 0
+        entry_ends = np.searchsorted(terms[first], np.arange(n_terms + 1))
+        return BlockMaxIndex(ids, labels, weights, size, entry_ends, block[first], top, np.append(first, len(rows)), rows, values)
+
+    def search(self, q: np.ndarray | Rows, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, similarities) of the k nearest examples of each query, exactly; ties to the earlier row; -1 and 0 where there are fewer.
 
         without: for each query an example row that doesn't count.
         """
-        n = len(q)
+        q = Rows.of(q)
+        best, sim = np.full((len(q), k), -1), np.zeros((len(q), k))
+        for at in range(0, len(q) if len(self.rows) else 0, TOGETHER):
+            part = np.arange(at, min(at + TOGETHER, len(q)))
+            best[part], sim[part] = self._search(q.take(part), k, None if without is None else without[part])
+        return best, sim
+
+    def _search(self, q: Rows, k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        n, m, n_blocks = len(q), len(self.ids), -(-len(self.ids) // self.size)
+        known = np.flatnonzero(q.terms < len(self.entry_ends) - 1)
+        t = q.terms[known]
+        entry, count = _spread(self.entry_ends[t], self.entry_ends[t + 1] - self.entry_ends[t])
+        who, value = np.repeat(q.row_numbers()[known], count), np.repeat(q.values[known], count)
+        cell = who * n_blocks + self.blocks[entry]
+        # a little above, as sums in another order may differ in their last bits
+        bound = np.bincount(cell, value * self.top[entry], n * n_blocks).reshape(n, n_blocks) * (1 + 1e-9)
+        s = np.zeros(n * m)
+
+        def score(live: np.ndarray):
+            some = np.flatnonzero(live.ravel()[cell])
+            e = entry[some]
+            at, c = _spread(self.posting_ends[e], self.posting_ends[e + 1] - self.posting_ends[e])
+            s[:] += np.bincount(np.repeat(who[some] * m, c) + self.rows[at], np.repeat(value[some], c) * self.values[at], n * m)
+            if without is not None:
+                s.reshape(n, m)[np.arange(n), without] = 0
+
+        def kth() -> np.ndarray:
+            return np.partition(s.reshape(n, m), m - k, axis=1)[:, m - k] if k <= m else np.zeros(n)
+
+        done = bound > 0
+        if n_blocks > FIRST:
+            done &= bound >= np.partition(bound, n_blocks - FIRST, axis=1)[:, n_blocks - FIRST, None]
+        score(done)
+        left = ~done & (bound > 0) & (bound >= kth()[:, None])
+        if left.any():
+            score(left)
+        r, c = np.nonzero((s.reshape(n, m) > 0) & (s.reshape(n, m) >= kth()[:, None]))
+        near = s[r * m + c]
+        order = np.lexsort((c, -near, r))
+        r, c, near = r[order], c[order], near[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c, near, place = (x[place < k] for x in (r, c, near, place))
         best, sim = np.full((n, k), -1), np.zeros((n, k))
-        if not self.blocks or not n:
-            return best, sim
-        bound = q @ self.top
-        order = np.argsort(-bound, axis=1, kind="stable")
-        active = np.arange(n)
-        for step in range(len(self.blocks)):
-            b = order[active, step]
-            live = (bound[active, b] >= sim[active, -1]) & (bound[active, b] > 0)
-            active, b = active[live], b[live]
-            if not len(active):
-                break
-            for block in np.unique(b):
-                who = active[b == block]
-                terms, weights, rows = self.blocks[block]
-                s = q[who][:, terms] @ weights
-                if without is not None:
-                    s[rows[None, :] == without[who][:, None]] = 0
-                all_s = np.concatenate([sim[who], s], axis=1)
-                all_r = np.concatenate([best[who], np.broadcast_to(rows, s.shape)], axis=1)
-                all_r = np.where(all_s > 0, all_r, -1)
-                take = np.lexsort((np.where(all_r < 0, 1 << 40, all_r), -all_s), axis=1)[:, :k]
-                sim[who], best[who] = np.take_along_axis(all_s, take, 1), np.take_along_axis(all_r, take, 1)
+        best[r, place], sim[r, place] = c, near
         return best, sim
 
     def vote(self, best: np.ndarray, sim: np.ndarray, prior: float) -> np.ndarray:
@@ -154,73 +221,66 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    terms: list[str]
-    idf: np.ndarray
+    weight: np.ndarray
     index: BlockMaxIndex
     prior: float
-    a: float
-    b: float
+    votes: np.ndarray
+    shares: np.ndarray
 
     def score(self, terms: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q = vectors(terms, counts, self.idf)
-        best, sim = np.full((len(q), K), -1), np.zeros((len(q), K))
-        some = np.flatnonzero(q.any(1))
-        if len(some):
-            best[some], sim[some] = self.index.search(q[some], K)
+        best, sim = self.index.search(vectors(terms, counts, self.weight), K)
         return self.calibrated(self.index.vote(best, sim, self.prior)), best, sim
 
     def calibrated(self, vote: np.ndarray) -> np.ndarray:
-        v = np.clip(vote, 1e-4, 1 - 1e-4)
-        return 1 / (1 + np.exp(-(self.a * np.log(v / (1 - v)) + self.b)))
+        return np.interp(vote, self.votes, self.shares) if len(self.votes) else vote
 
 
-def calibrate(vote: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic on the vote's log odds, with a weak pull to 1 and 0."""
-    v = np.clip(vote, 1e-4, 1 - 1e-4)
-    x = np.stack([np.log(v / (1 - v)), np.ones(len(v))], 1)
-    w, goal = np.array([1.0, 0.0]), np.array([1.0, 0.0])
-    weight = weight / weight.sum() * len(weight) if len(weight) else weight
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + 1.0 * (w - goal)
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(2)
-        w = w - np.linalg.solve(h, g)
-    return float(max(w[0], 0.1)), float(w[1])
+def calibrate(vote: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(votes, shares of label 1) of an isotonic fit: the ends of each of its steps, with a line from one step to the next."""
+    at, place = np.unique(vote, return_inverse=True)
+    ones, total = np.bincount(place, weight * y, len(at)), np.bincount(place, weight, len(at))
+    steps: list[list[float]] = []  # lowest and highest vote, weight of label 1, weight
+    for step in zip(at, at, ones, total, strict=True):
+        steps.append(list(step))
+        while len(steps) > 1 and steps[-2][2] * steps[-1][3] >= steps[-1][2] * steps[-2][3]:
+            _, high, ones, total = steps.pop()
+            steps[-1][1:] = [high, steps[-1][2] + ones, steps[-1][3] + total]
+    return np.array([v for low, high, _, _ in steps for v in (low, high)]), np.array([ones / total for _, _, ones, total in steps for _ in "lh"])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.5) and evidence (up to three nearest examples: doc_id, label, cosine).
 
-    Null, empty and other texts without a chosen term have the calibrated share of label 1 among labelled examples without one.
+    Null, empty and other texts without a word of the examples have the calibrated share of label 1 among labelled examples without one.
     Without labels of both classes the score is the share of label 1 for all (0 if there are no labels). Repeated rows are scored each.
     """
     scratch = Scratch(spark, "toxicity")
     sample, counts = labelled_sample(labels, label, per_class)
     sample = scratch.save(sample, "sample")
-    examples, terms = choose_terms(scratch, docs, sample)
+    examples, terms, chi2 = choose_terms(scratch, docs, sample)
     compact = scratch.save(term_counts(docs, terms), "terms")
     n = compact.count()
     df = np.ones(len(terms))
-    for r in compact.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
+    for r in compact.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # words of at most 2 * per_class rows
         df[r.t] = r["count"]
-    idf = np.log((1 + n) / (1 + df)) + 1
+    by_term = (np.log((1 + n) / (1 + df)) + 1) * chi2
     found = compact.withColumnRenamed("doc_id", "id").join(F.broadcast(examples), "id").dropDuplicates(["id"]).orderBy("id").collect()  # at most 2 * per_class rows
     y = np.array([r.label for r in found], float)
-    x = vectors([np.array(r.terms, int) for r in found], [np.array(r.counts) for r in found], idf)
+    x = vectors([np.array(r.terms, int) for r in found], [np.array(r.counts) for r in found], by_term)
     # a class's examples stand for all of its labelled rows
     share = {c: counts.get(c, 0) / max(1.0, (y == c).sum()) for c in (0, 1)}
     weight = np.where(y == 1, share[1], share[0]) if len(y) else y
-    none = ~x.any(1) if len(y) else np.empty(0, bool)
+    none = ~x.any() if len(y) else np.empty(0, bool)
     total = sum(counts.values())
     prior = float((weight * y)[none].sum() / weight[none].sum()) if none.any() else (counts.get(1, 0) / total if total else 0.0)
-    index = BlockMaxIndex.build(np.array([r.id for r in found], np.int64)[~none], y[~none], weight[~none], x[~none])
+    index = BlockMaxIndex.build(np.array([r.id for r in found], np.int64)[~none], y[~none], weight[~none], x.take(np.flatnonzero(~none)))
     back = {int(i): k for k, i in enumerate(index.ids)}
     vote = np.full(len(y), prior)
     if (~none).any():
         own = np.array([back[r.id] for r, z in zip(found, none, strict=True) if not z])
-        vote[~none] = index.vote(*index.search(x[~none], K, own), prior)
-    a, b = calibrate(vote, y, weight) if terms else (1.0, 0.0)
-    model = Model(terms, idf, index, prior, a, b)
+        vote[~none] = index.vote(*index.search(x.take(np.flatnonzero(~none)), K, own), prior)
+    votes, shares = calibrate(vote, y, weight) if terms else (np.empty(0), np.empty(0))
+    model = Model(by_term, index, prior, votes, shares)
 
     def run(batches):
         import pyarrow as pa
