@@ -409,13 +409,8 @@ def _tile_links(num: int, den: int):
     return run
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest id reachable by links) of every row.
-
-    Two rows link when den * |intersection| >= num * |union| of their distinct word shingles (A-Z lower-cased; fewer words than a shingle are one).
-    Null and empty texts, and those without words, have no shingle and link with nothing. Repeated rows link like any
-    others. A null id is a row like any other; a component's smallest id is a real one if it has any. Empty tables give an empty result.
-    """
+def _roots(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: uid, doc_id, text_hash and n of every row; roots: uid and root of the rows that link)."""
     scratch = Scratch(spark, "ngram")
     bands, parts = Bands(num, den), shuffle_partitions(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -489,7 +484,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         upper = components(scratch, joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
         low = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         roots = scratch.save(low.unionByName(upper).groupBy("node").agg(F.min("root").alias("root")), "roots")
-    members = rows.join(roots.withColumnRenamed("node", "uid"), "uid").select("uid", "root", "doc_id")
+    return rows, roots.withColumnRenamed("node", "uid")
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest id reachable by links) of every row.
+
+    Two rows link when den * |intersection| >= num * |union| of their distinct word shingles (A-Z lower-cased; fewer words than a shingle are one).
+    Null and empty texts, and those without words, have no shingle and link with nothing. Repeated rows link like any
+    others. A null id is a row like any other; a component's smallest id is a real one if it has any. Empty tables give an empty result.
+    """
+    rows, roots = _roots(spark, docs, id_col, text_col, words, num, den)
+    members = rows.join(roots, "uid").select("uid", "root", "doc_id")
     smallest = members.groupBy("root").agg(F.min("doc_id").alias("smallest"))
     classes = members.join(smallest, "root").select("uid", "smallest")
     out = rows.join(classes, "uid", "left")
@@ -497,10 +503,26 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Rows without an id stay."""
-    found = jaccard_components(spark, docs, id_col, text_col, words, num, den)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """docs with one row of each component: that of the smallest id, then text hash, null ids last.
+
+    Rows are told apart by id and text, so other rows of an id stay. Of rows of a component equal in both one stays.
+    """
+    rows, roots = _roots(spark, docs, id_col, text_col, words, num, den)
+    each = rows.join(roots, "uid").groupBy("root", F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("m"))
+    each = Scratch(spark, "near").save(each, "each")
+    best = each.groupBy("root").agg(F.min(F.struct("none", "id", "hash")).alias("best"))
+    marked = each.join(best, "root").withColumn("gone", ~F.struct("none", "id", "hash").eqNullSafe(F.col("best")))
+
+    def meets(names: DataFrame, how: str) -> DataFrame:
+        names = names.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+        return own.join(names, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), how)
+
+    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    if each.where("m > 1").isEmpty():
+        return meets(marked.where("gone"), "left_anti").drop("__own")
+    several = marked.where("not gone and m > 1")
+    first = meets(several, "left_semi").drop_duplicates([id_col, "__own"])
+    return meets(marked.where("gone").unionByName(several), "left_anti").unionByName(first).drop("__own")
 
 
 def oracle(words: int = 5, num: int = 80, den: int = 100) -> str:

@@ -106,3 +106,15 @@ def test_edges_of_input(spark):
     got = sorted(map(tuple, nj.jaccard_components(spark, df).collect()), key=repr)
     assert got == sorted([(1, 6, 1), (1, 6, 1), (None, 6, 1), (2, 1, 2), (2, 1, 2)], key=repr)
     assert nj.keep_one(spark, df).columns == ["doc_id", "text", "uid"]
+
+
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    a, near = " ".join(f"a{i}" for i in range(60)), " ".join(f"a{i}" for i in range(59))
+    b, c, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "bce")
+    rows = [(3, a), (5, near), (5, b), (7, c), (7, c + " more"), (None, e), (None, e + " more"), (8, e + " less"), (9, b + " x"), (None, c + " z")]
+    rows += [(10, " ".join(f"f{i}" for i in range(60)))] * 3 + [(None, " ".join(f"g{i}" for i in range(60)) + x) for x in ("", "", " y")] + [(11, ""), (11, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = nj.keep_one(spark, docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, (r.text or "")[:1]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(3, "a"), (5, "b"), (7, "c"), (8, "e"), (10, "f"), (None, "g"), (11, ""), (11, ""), (None, "")], key=str)
