@@ -91,3 +91,34 @@ def test_extract(spark):
     out = html_text.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string, text int")).orderBy("page_id").collect()
     assert [(r.page_id, r.n_chars) for r in out] == [(1, len(text_of(PAGE)))] * 2 + [(2, len(text_of(PAGE))), (3, 0), (4, 0)]
     assert out[0].url == "http://H.example/a/1" and all(r.n_chars == len(r.text) for r in out)
+
+
+def test_copies_without_an_article_keep_their_text(spark):
+    def page(*lines):
+        return "<body>" + "".join(f"<p>{x}</p>" for x in ("Top of the site", *lines, "All rights of the site")) + "</body>"
+
+    def story(x, n=12):
+        return [f"Sentence {i} of story {x} has words of its own {x * (i + 1)}" for i in range(n)]
+
+    a, b = page(*story("a")), page(*story("b"))
+    near = page(*story("a"), "Seen 3 times")
+    rows = [(1, "http://h/x/a", a), (1, "http://h/x/a", a), (2, "http://h/x/a?utm_source=m", a), (3, "http://h/x/a?s=2", near), (4, "http://h/x/b", b)]
+    rows += [(5, "http://alone/a", a), (6, "http://alone/a?u=1", a), (7, "http://plain/a", "plain text of a page"), (7, "http://plain/a", "plain text of a page"), (8, None, a), (9, None, b)]
+    out = html_text.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.page_id, set()).add(r.text)
+    whole = lambda x: "\n".join(["Top of the site", *story(x), "All rights of the site"])
+    assert len(out) == len(rows) and by[7] == {"plain text of a page"} and by[5] == by[6] == by[8] == {whole("a")} and by[9] == {whole("b")}
+    # pages at the edge of a range partition may have no neighbour, but never lose their own lines
+    for i, x in ((1, "a"), (2, "a"), (3, "a"), (4, "b")):
+        assert all("\n".join(story(x)) in text for text in by[i])
+
+
+def test_copies_are_differenced_with_the_next_page():
+    def lines(x):
+        return html_text.lines_of("<p>Top of the site</p>" + "".join(f"<p>Sentence {i} of story {x}, which is long enough</p>" for i in range(9)))
+
+    assert html_text.copies(lines("a"), lines("a")) and not html_text.copies(lines("a"), lines("b"))
+    text, n = html_text.main_text(lines("a"), [lines("a"), lines("b")])
+    assert n == 1 and text.startswith("Sentence 0 of story a") and html_text.main_text(lines("a"), [lines("a")])[1] == 0
