@@ -233,7 +233,7 @@ def replay_path(spark, d):
 
 @query()
 def search_paths(spark, d):
-    found = search.search(lake(spark, d), "orders", search.Settings("o_totalprice", parity=False))
+    found = search.search(lake(spark, d), "orders", search.Settings("o_totalprice", parity=False, sample=None))
     return spark.createDataFrame([(p, float(r), paths.length(p), len(found.features.get(p, []))) for p, r in found.ranking.items()], "path string, rank double, length int, n_features int")
 
 

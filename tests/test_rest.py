@@ -1,3 +1,6 @@
+import collections
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,49 @@ def test_streaming_sessions(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.table("w").agg(F.sum("n")).first()[0] == rows.count()
+
+
+def test_chronological_split_keeps_rows_without_a_time(spark):
+    rows = [(i, i % 7 * 50_000) for i in range(50)] + [(100 + i, None) for i in range(30)]
+    out = timeseries.chronological_split(spark.createDataFrame(rows, "id long, t long"), "t", "id").collect()
+    want = {i for _, i in sorted((t, i) for i, t in rows if t is not None)[:40]}
+    assert len(out) == 80 and {r.id for r in out if r.is_train} == want
+
+
+
+def test_search_paths_ranks_on_all_rows(spark, tmp_path):
+    n = 9000
+    prices = [float(i * 7919 % n) + (500 if i % 10 > 6 else 0) for i in range(n)]
+    frames = {
+        "orders": ([(i, i % 10, prices[i]) for i in range(n)], "o_orderkey long, o_custkey long, o_totalprice double"),
+        "customer": ([(k, f"c{k}", k * k + 0.5) for k in range(10)], "c_custkey long, c_name string, c_acctbal double"),
+        "nation": ([(1, "n")], "n_nationkey int, n_name string"),
+        "region": ([(1, "r")], "r_regionkey int, r_name string"),
+    }
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.path: r.rank for r in q.QUERIES["search_paths"](spark, str(tmp_path)).collect()}
+
+    def rho(x):
+        place = []
+        for v in (x, prices):
+            low, high = {}, {}
+            for k, a in enumerate(sorted(v)):
+                low.setdefault(a, k)
+                high[a] = k
+            place.append([(low[a] + high[a] - n + 1) / 2 for a in v])
+        a, b = place
+        return abs(sum(s * t for s, t in zip(a, b, strict=True)) / (sum(s * s for s in a) * sum(t * t for t in b)) ** 0.5)
+
+    def bins(x):
+        lo, hi = min(x), max(x)
+        return [min(int((v - lo) * 5 / (hi - lo)), 4) for v in x]
+
+    def mutual(x, y):
+        h = lambda v: -sum(c / n * math.log(c / n) for c in collections.Counter(v).values())
+        return h(x) + h(y) - h(list(zip(x, y, strict=True)))
+
+    balance = [(i % 10) ** 2 + 0.5 for i in range(n)]
+    new, *own = (bins(x) for x in (balance, [float(i % 10) for i in range(n)], [float(i) for i in range(n)]))
+    want = rho(balance) + mutual(new, prices) - sum(mutual(new, x) for x in own) / 2
+    assert abs(next(r for p, r in got.items() if p.endswith("|customer")) - want) < 1e-6
