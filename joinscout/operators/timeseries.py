@@ -123,13 +123,13 @@ def naive_forecasts(windows: DataFrame, horizon: int = 1, moving: int = 8, seaso
 
 
 def chronological_split(df: DataFrame, time: str, tie: str, part: float = 0.8) -> DataFrame:
-    """`is_train`: the first int(n * part) rows by time and tie.
+    """`is_train`: the first int(n * part) rows by time and tie; rows without a time don't count in n and are false.
 
     The boundary is found from counts by second-wide slices of time, so only the slice it falls in is put in order.
     """
     t = F.floor(_seconds(df, time)).alias("__s")
     rows = df.withColumn("__s", t)
-    counts = rows.groupBy("__s").count()
+    counts = rows.where("__s is not null").groupBy("__s").count()
     total = counts.agg(F.floor(F.sum("count") * F.lit(part)).alias("n")).first().n or 0
     # one number a coarse slice reaches the window; slices are joined back by value
     upto = counts.withColumn("__c", F.floor(F.col("__s") / 86_400))
@@ -138,11 +138,11 @@ def chronological_split(df: DataFrame, time: str, tie: str, part: float = 0.8) -
     days = days.withColumn("__b", before).drop("m")
     inside = F.coalesce(F.sum("count").over(Window.partitionBy("__c").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = upto.withColumn("__i", inside).join(days, "__c").select("__s", (F.col("__b") + F.col("__i")).alias("__before"), F.col("count").alias("__m"))
-    near = rows.join(starts, "__s")
+    near = rows.join(starts, "__s", "left")
     edge = near.where((F.col("__before") < total) & (F.col("__before") + F.col("__m") > total))
     cut = edge.withColumn("__r", F.row_number().over(Window.partitionBy("__s").orderBy(time, tie)) + F.col("__before")).where(F.col("__r") == total).select(F.struct(time, tie).alias("__cut")).limit(1)
     out = near.join(F.broadcast(cut), how="left")
-    train = F.when(F.col("__before") + F.col("__m") <= total, True).when(F.col("__before") >= total, False).otherwise(F.struct(time, tie) <= F.col("__cut"))
+    train = F.when(F.col("__s").isNull(), False).when(F.col("__before") + F.col("__m") <= total, True).when(F.col("__before") >= total, False).otherwise(F.struct(time, tie) <= F.col("__cut"))
     return out.withColumn("is_train", F.coalesce(train, F.lit(False))).drop("__s", "__before", "__m", "__cut")
 
 
