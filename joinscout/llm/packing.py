@@ -84,7 +84,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Da
         enc, uid = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                ids_of = enc.encode(batch.column("text").slice(at, 1000).to_pylist())
+                ids_of = enc.encode(batch.column("text").slice(at, 1000))
                 rows = []
                 for doc_id, ids in zip(batch.column("doc_id").slice(at, 1000).to_pylist(), ids_of, strict=True):
                     ids += end

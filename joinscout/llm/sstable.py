@@ -215,7 +215,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
         for batch in batches:
             keys = [key_of(x) for x in batch.column("doc_id").to_pylist()]
             for at in range(0, len(keys), 2000):
-                for key, ids in zip(keys[at : at + 2000], enc.encode(batch.column("text").slice(at, 2000).to_pylist()), strict=True):
+                for key, ids in zip(keys[at : at + 2000], enc.encode(batch.column("text").slice(at, 2000)), strict=True):
                     if out is not None and out.at + out.size >= SHARD_BYTES:
                         yield close()
                         out = None
