@@ -75,6 +75,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, each: int) -> int:
+    """Partitions of about `each` bytes of df's files, but as many as the session's shuffles have at least. Asks no executor."""
+    fewest = shuffle_partitions(df.sparkSession)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return fewest if size >= 1 << 60 else max(fewest, -(-size // each))  # the optimizer's word for unknown is the largest number
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

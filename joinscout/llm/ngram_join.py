@@ -2,7 +2,8 @@
 
 Tiles. A pair's band is set by the larger of its two set sizes; in a band, the hash range of shingles is cut into m slices, and
 similar sets differ in at most d shingles, so at least m - d slices are the same in both. Each document names its slices by their content
-and goes to the tiles of the d + 1 smallest names (empty slices come last); any two similar sets then meet in a tile.
+and goes to the tiles of its first d + 1 names, fuller slices before others and then by hash; as the order is the same for all, any two
+similar sets then meet in a tile.
 
 Links. In a tile every document is first held against the tile's first one. Only tiles that afterwards lie in more than one component are
 gone through pair by pair, and only between components. Hashed bitmaps bound the overlap from above by bit counts; what remains is decided by
@@ -19,17 +20,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, partitions_for
 from .components import components
 from .shingles import mix, shingle_sets
 
 _U = np.uint64
 #: Documents a chunk of a map task holds, names it holds, and documents a tile is compared over at a time.
 CHUNK, NAMES, TILE = 30_000, 4_000_000, 512
+#: Input for each part of the names.
+PART_BYTES = 16 << 20
 #: Marks an entry that stands for several documents of its chunk; their numbers are below it.
 SEVERAL = np.uint16(1 << 15)
-#: Bits of the filter that keeps most texts without candidates from being shingled again; a full one lets all through.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that keeps most texts without candidates from being shingled again, and candidates up to which it is used; beyond, texts are joined with them first.
+FILTER_BITS, FILTERED = 1 << 23, 1 << 22
 
 
 class Bands:
@@ -67,7 +70,9 @@ class Bands:
             content = np.add.reduceat(mix(hashes), first)
             name = mix(content + mix(slot[first] + _U(band << 32)))
             if len(name) > wanted:
-                name = np.partition(name, wanted - 1)[:wanted]
+                # fuller slices first: few shingles in a row are common to many documents that share a passage
+                fullness = np.minimum(np.diff(np.append(first, size)), 255).astype(np.uint64)
+                name = name[np.argpartition((_U(255) - fullness) << _U(56) | name >> _U(8), wanted - 1)[:wanted]]
             elif len(name) < wanted:
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), slot[first])[: wanted - len(name)]
                 name = np.concatenate([name, mix(mix(empty + _U(band << 32)) + _U(1))])
@@ -129,7 +134,7 @@ def _profile(bands: Bands, n: int, parts: int):
             sig = np.concatenate(names)
             idx = np.repeat(np.arange(len(names), dtype=np.uint16), [len(x) for x in names])
             part = (sig % _U(parts)).astype(np.int64)
-            short = (sig >> _U(16)).astype(np.uint64)  # 48 bits; a chance meeting costs a comparison
+            short = sig >> _U(32)  # 32 bits, as parts grow with the input; a chance meeting costs a comparison
             order = np.lexsort((idx, short, part))
             part, short, idx = part[order], short[order], idx[order]
             first = np.concatenate([[True], (short[1:] != short[:-1]) | (part[1:] != part[:-1])])
@@ -173,13 +178,14 @@ def _profile(bands: Bands, n: int, parts: int):
 
 
 def _pack(sig: np.ndarray) -> bytes:
-    """48-bit numbers as two planes, 32 and 16 bits."""
-    return (sig >> _U(16)).astype("<u4").tobytes() + sig.astype("<u2").tobytes()
+    """Ascending 32-bit numbers as differences, in two planes of 16 bits of which the upper one is mostly zeros."""
+    gap = np.diff(sig, prepend=_U(0))
+    return gap.astype("<u2").tobytes() + (gap >> _U(16)).astype("<u2").tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    k = len(raw) // 6
-    return np.frombuffer(raw, "<u4", k).astype(np.uint64) << _U(16) | np.frombuffer(raw, "<u2", k, 4 * k).astype(np.uint64)
+    k = len(raw) // 4
+    return np.cumsum(np.frombuffer(raw, "<u2", k).astype(np.uint64) | np.frombuffer(raw, "<u2", k, 2 * k).astype(np.uint64) << _U(16), dtype=np.uint64)
 
 
 def _meet(table):
@@ -199,7 +205,7 @@ def _meet(table):
     run_of = np.cumsum(first) - 1
     many = np.bincount(run_of)[run_of] > 1
     part = table.column("part")[0].as_py()
-    tile = s[many].astype(np.int64) << 14 ^ part
+    tile = s[many].astype(np.int64) | part << 32
     return pa.table({"tile": tile, "uid": u[many], "pivot": u[first][run_of][many], "several": t[many]})
 
 
@@ -209,7 +215,7 @@ def _explode_groups(batches):
 
     for batch in batches:
         for part, chunk, raw, idx in zip(*(batch.column(c).to_pylist() for c in ("part", "uid", "a", "b")), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(_unpack(raw).astype(np.int64) << 14 ^ part), pa.array(np.frombuffer(idx, np.uint16).astype(np.int64) | chunk)], names=["tile", "uid"])
+            yield pa.RecordBatch.from_arrays([pa.array(_unpack(raw).astype(np.int64) | part << 32), pa.array(np.frombuffer(idx, np.uint16).astype(np.int64) | chunk)], names=["tile", "uid"])
 
 
 def _explode_pairs(batches):
@@ -231,15 +237,15 @@ def _prefilter(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _sets(n: int, wanted: np.ndarray):
-    """Shingle sets of the rows whose place is in the bitmap."""
+def _sets(n: int, wanted: np.ndarray | None):
+    """Shingle sets of the rows whose place is in the bitmap, or of all."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             place = batch.column("place").to_numpy()
-            hit = np.flatnonzero(wanted[place >> 6] >> (place & 63).astype(np.uint64) & _U(1))
+            hit = np.arange(len(place)) if wanted is None else np.flatnonzero(wanted[place >> 6] >> (place & 63).astype(np.uint64) & _U(1))
             for at in range(0, len(hit), 500):
                 part = batch.take(pa.array(hit[at : at + 500]))
                 sets = shingle_sets(part.column("text").to_pylist(), n)
@@ -412,7 +418,7 @@ def _tile_links(num: int, den: int):
 def _roots(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rows: uid, doc_id, text_hash and n of every row; roots: uid and root of the rows that link)."""
     scratch = Scratch(spark, "ngram")
-    bands, parts = Bands(num, den), shuffle_partitions(spark)
+    bands, parts = Bands(num, den), partitions_for(docs, PART_BYTES)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     schema = "kind byte, part int, uid long, doc_id long, text_hash long, n long, a binary, b binary"
     profile = scratch.save(own.mapInArrow(_profile(bands, words, parts), schema), "profile")
@@ -435,8 +441,12 @@ def _roots(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, wor
         """(uid, hashes): shingles again, of some rows only, by their id and text."""
         named = rows.join(uids.distinct(), "uid").select("uid", F.xxhash64("doc_id", "text_hash").alias("key"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
         named = scratch.save(named, f"{name}-names")
-        found = keyed.mapInArrow(_sets(words, _prefilter(named)), "key long, doc_id long, text_hash long, hashes binary")
-        found = found.join(named.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "doc_id", "text_hash"])  # rows that repeat have one text
+        keys, schema = named.select("key").distinct(), "key long, doc_id long, text_hash long, hashes binary"
+        if named.count() <= FILTERED:
+            found = keyed.mapInArrow(_sets(words, _prefilter(named)), schema).join(keys, "key", "left_semi")
+        else:
+            found = keyed.join(keys, "key", "left_semi").select(*keyed.columns).mapInArrow(_sets(words, None), schema)
+        found = found.dropDuplicates(["key", "doc_id", "text_hash"])  # rows that repeat have one text
         # beside the key, which it is dealt by, a row must have the id and the text
         same_id = F.coalesce(found["doc_id"].bitwiseXOR(named["d"]), F.when(found["doc_id"].isNull() & named["d"].isNull(), 0).otherwise(1)) == 0
         same = (found["text_hash"].bitwiseXOR(named["h"]) == 0) & same_id
