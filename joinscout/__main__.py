@@ -6,10 +6,13 @@ import argparse
 import json
 
 from . import session
-from .api import AugmentationConfig, augment_features
+from .api import AugmentationConfig, ablation, augment_features
+from .functions import columns
 from .operators import discovery, profile, timeseries
+from .plans import ingest
 from .sources import lake as lakes
 from .sources import sinks
+from .sources.registry import read_registry
 
 
 def _lake(spark, args):
@@ -21,18 +24,26 @@ def diagnose(spark, args):
 
 
 def infer(spark, args):
-    lake = _lake(spark, args)
-    profiles = None
-    for name, df in lake.tables.items():
-        one = discovery.column_profiles(df, name)
-        profiles = one if profiles is None else profiles.unionByName(one)
-    found = discovery.infer_relationships(profiles, discovery.value_jaccard(discovery.all_values(lake.tables)))
+    found = ingest.relationships(_lake(spark, args))
     best = discovery.recommend(found, args.confidence)
-    best.show(50, truncate=False)
+    print(discovery.report(found, best))
     if args.out:
         discovery.connections(best).coalesce(1).write.mode("overwrite").option("header", True).csv(args.out)
 
 
+def plan(spark, args):
+    best = discovery.recommend(ingest.relationships(_lake(spark, args)), args.confidence)
+    print(json.dumps(discovery.join_plan(best, args.base), indent=1))
+
+
+def ablate(spark, args):
+    print(json.dumps(ablation(args.base, _lake(spark, args), AugmentationConfig(args.target, temporal_key=args.temporal_key)), indent=1))
+
+
+def registry(spark, args):
+    columns.datasets(read_registry(spark, args.file), args.label, args.problem).show(100, truncate=False)
+
+
 def augment(spark, args):
     result = augment_features(args.base, _lake(spark, args), AugmentationConfig(args.target, temporal_key=args.temporal_key, value_ratio=args.value_ratio, policies=tuple(args.policy)))
     print(json.dumps(result.to_dict(), indent=1))
@@ -58,6 +69,9 @@ def main(argv: list[str] | None = None) -> None:
 
     command(diagnose, "table", "target")
     command(infer, "folder", ending=".csv", connections=None, confidence=0.7, out=None)
+    command(plan, "folder", "base", ending=".csv", connections=None, confidence=0.7)
+    command(ablate, "folder", "base", "target", ending=".csv", connections=None, temporal_key=None)
+    command(registry, "file", label={"action": "append", "default": []}, problem=None)
     command(augment, "folder", "base", "target", ending=".csv", connections=None, temporal_key=None, value_ratio=0.65, policy={"action": "append", "default": []}, out=None)
     command(segment, "table", "out", time="time", gap=60.0)
     args = p.parse_args(argv)

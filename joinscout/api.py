@@ -6,18 +6,21 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .functions.columns import time_column
 from .functions.policy import SENSITIVE, policy_patterns
 from .operators import models, profile, selection, stats
 from .operators.timeseries import chronological_split, seeded_split
 from .plans import paths
-from .plans.search import SEP, Lake, Settings, join_all, materialise, numeric, search
+from .plans.ingest import discover
+from .plans.search import SEP, Lake, Settings, budget_join, join_all, join_some, materialise, numeric, plus_ranking, search
 
 
 @dataclass
 class AugmentationConfig:
     target: str
-    approaches: tuple[str, ...] = ("BASE", "Join_All", "Filter", "Plus", "Search")
+    approaches: tuple[str, ...] = ("BASE", "Join_All", "Filter", "Plus", "Search")  # and "ARDA"
     algorithm: str = "RandomForest"
     value_ratio: float = 0.65
     top_k: int = 15
@@ -47,33 +50,56 @@ class AugmentationResult:
         return {"path": self.path, "features": self.features, "results": self.results, "lift": self.lift()}
 
 
-def split(df: DataFrame, c: AugmentationConfig, base: str) -> tuple[DataFrame, DataFrame]:
-    """By time where there is a temporal key (its name bare or prefixed), else seeded."""
-    columns = df.columns
-    key = next((k for k in columns if k == c.temporal_key), None) or next((k for k in columns if c.temporal_key and k.endswith(f"{SEP}{c.temporal_key}")), None)
+def split(df: DataFrame, c: AugmentationConfig) -> DataFrame:
+    """`is_train`: by time where there is a temporal key (its name bare or prefixed), else seeded."""
+    key = time_column(df.columns, c.temporal_key)
     if key:
-        rows = chronological_split(df, key, columns[0])
-        return rows.where("is_train").drop("is_train"), rows.where("not is_train").drop("is_train")
-    rows = seeded_split(df, c.split_key or columns[0], {"train": 0.8, "test": 0.2}, c.seed)
-    return rows.where("part = 'train'").drop("part"), rows.where("part = 'test'").drop("part")
+        return chronological_split(df, key, df.columns[0])
+    return seeded_split(df, c.split_key or df.columns[0], {"train": 0.8, "test": 0.2}, c.seed).withColumn("is_train", F.col("part") == "train").drop("part")
 
 
-def evaluate(df: DataFrame, features: list[str], c: AugmentationConfig, approach: str, base: str, regression: bool) -> dict:
-    """Fit on the training part and score on the rest; without features the score is 0."""
+def evaluate_split(rows: DataFrame, c: AugmentationConfig, approach: str, regression: bool) -> dict:
+    """Fit on the rows of `is_train` and score on the others; text and times become numbers. Without features the score is 0."""
     began = time.time()
-    names = [f for f in numeric(df, features) if f in df.columns]
+    ready, names = models.prepare(rows, c.target, ("is_train",))
+    if not regression:
+        from pyspark.ml.feature import StringIndexer
+
+        ready = StringIndexer(inputCol=c.target, outputCol="__y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(ready).transform(ready).drop(c.target).withColumnRenamed("__y", c.target)
     if not names:
         return {"approach": approach, "algorithm": c.algorithm, "score": 0.0, "n_features": 0, "total_time": 0.0, "features": []}
-    train, test = split(df, c, base)
-    model = models.fit(train, names, c.target, c.algorithm, regression, c.seed)
-    out = models.predict(model, test, names, c.target)
+    model = models.fit(ready.where("is_train"), names, c.target, c.algorithm, regression, c.seed)
+    out = models.predict(model, ready.where("not is_train"), names, c.target)
     row = (models.regression_metrics(out).first().r2 if regression else models.classification_metrics(out).first().accuracy) or 0.0
     return {"approach": approach, "algorithm": c.algorithm, "score": float(row), "n_features": len(names), "total_time": time.time() - began, "features": names}
 
 
+def evaluate(df: DataFrame, features: list[str], c: AugmentationConfig, approach: str, base: str, regression: bool) -> dict:
+    """evaluate_split of the features, on the split of the whole frame."""
+    rows = split(df, c)
+    return evaluate_split(rows.select(*[f for f in features if f in df.columns], c.target, "is_train"), c, approach, regression)
+
+
+def ablation(base: str, lake: Lake, config: AugmentationConfig, variants: dict[str, dict] | None = None) -> list[dict]:
+    """Results of the search with some of its settings changed: other correlation, joint information, no relevance, no redundancy, match ratios."""
+    variants = variants or {"pearson": {"relevance": "pearson"}, "joint": {"joint": True}, "no_relevance": {"use_relevance": False}, "no_redundancy": {"use_redundancy": False}}
+    c, out = config, []
+    regression = profile.problem_type(lake.tables[base], c.target) == "regression"
+    for name, change in variants.items():
+        s = Settings(**({"target": c.target, "value_ratio": c.value_ratio, "classification": not regression, "temporal_key": c.temporal_key, "tolerance": c.tolerance, "direction": c.direction} | change))
+        found = search(lake, base, s)
+        path = (paths.best_paths(found.ranking, c.top_k) or [base])[0]
+        features = found.features.get(path, [])
+        table = materialise(lake, path, features, s)
+        out.append(evaluate(table, features, c, name, base, regression) | {"path": path})
+    return out
+
+
 def augment_features(base: str, lake: Lake, config: AugmentationConfig) -> AugmentationResult:
     """Search the lake from the base table and materialise the best path on all rows; other approaches are scored beside it."""
     c = config
+    if lake.graph.isEmpty():
+        lake = discover(lake)
     kind = profile.problem_type(lake.tables[base], c.target)
     regression = kind == "regression"
     s = Settings(target=c.target, value_ratio=c.value_ratio, classification=not regression, top_k=c.top_k, temporal_key=c.temporal_key, tolerance=c.tolerance, direction=c.direction)
@@ -94,8 +120,13 @@ def augment_features(base: str, lake: Lake, config: AugmentationConfig) -> Augme
         if "Plus" in c.approaches:
             chosen = selection.select_features(whole.select(*names, c.target), c.target, c.top_k, [*SENSITIVE, *policy_patterns(c.policies)])
             results.append(evaluate(whole, chosen.features, c, "Plus", base, regression))
+    if "ARDA" in c.approaches:
+        names = budget_join(lake, base, s, regression)
+        owners = sorted({n.split(SEP, 1)[0] for n in names} - {base})
+        results.append(evaluate(join_some(lake, base, owners, s), names, c, "ARDA", base, regression))
     found = search(lake, base, s)
-    best = paths.best_paths(found.ranking, c.top_k)
+    ranking = found.ranking if set(c.policies) == {"none"} else plus_ranking(found, [*SENSITIVE, *policy_patterns(c.policies)])
+    best = paths.best_paths(ranking, c.top_k)
     path = best[0] if best else base
     features = found.features.get(path, own)
     table = materialise(lake, path, features, s)

@@ -2,40 +2,54 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _unit(seed: int, *parts: Column) -> Column:
-    """A uniform number in (0, 1) that depends on its parts alone, so repeated tasks give the same."""
-    return (F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+def unit(seed: int, *parts: Column) -> Column:
+    """A uniform number in (0, 1): 48 bits of an MD5 of its parts alone, so repeated tasks (and other engines) give the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def _normal(seed: int, *parts: Column) -> Column:
-    return F.sqrt(-2 * F.log(_unit(seed, *parts))) * F.cos(2 * 3.141592653589793 * _unit(seed + 1, *parts))
+    return F.sqrt(-2 * F.log(unit(seed, *parts))) * F.cos(2 * 3.141592653589793 * unit(seed + 1, *parts))
+
+
+def _times(unit: Column, ratio: float, most: int = 12) -> Column:
+    """How often a row is drawn when n * ratio draws with replacement fall on n rows: a Poisson number, from a uniform one."""
+    term, below, out = math.exp(-ratio), 0.0, F.lit(0)
+    for k in range(most):
+        below += term
+        out = out + (unit >= below).cast("int")
+        term *= ratio / (k + 1)
+    return out
 
 
 def augment_rows(df: DataFrame, columns: list[str], key: str, kind: str, ratio: float = 0.5, strength: float = 0.05, seed: int = 42) -> DataFrame:
-    """Training rows and synthetic ones after them (`is_synthetic`): each row is drawn with chance `ratio`.
+    """Training rows and synthetic ones after them (`is_synthetic`), drawn with replacement, `ratio` times the rows in the mean.
 
     jitter adds noise of `strength` times a column's spread, scaling multiplies by about 1, time_mask blanks a run of neighbouring columns
-    and magnitude_mask single cells by 0; other columns, the target too, are copied. none adds nothing.
+    and magnitude_mask single cells (to null); other columns, the target too, are copied. none adds nothing.
     """
     if kind == "none":
         return df.withColumn("is_synthetic", F.lit(False))
-    drawn = df.where(_unit(seed, F.col(key)) < ratio)
+    k = F.concat_ws("#", F.col(key).cast("string"), F.col("__copy").cast("string"))
+    drawn = df.withColumn("__n", _times(unit(seed, F.col(key)), ratio)).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     if kind == "jitter":
         spread = df.agg(*[F.coalesce(F.stddev(c), F.lit(0.0)).alias(f"s_{i}") for i, c in enumerate(columns)])
         drawn = drawn.crossJoin(F.broadcast(spread))  # one row
-        new = {c: F.col(c) + _normal(seed + 2 + 7 * i, F.col(key)) * strength * F.col(f"s_{i}") for i, c in enumerate(columns)}
+        new = {c: F.col(c) + _normal(seed + 2 + 7 * i, k) * strength * F.col(f"s_{i}") for i, c in enumerate(columns)}
     elif kind == "scaling":
-        new = {c: F.col(c) * (1 + strength * _normal(seed + 2 + 7 * i, F.col(key))) for i, c in enumerate(columns)}
+        new = {c: F.col(c) * (1 + strength * _normal(seed + 2 + 7 * i, k)) for i, c in enumerate(columns)}
     elif kind == "time_mask":
         width = max(1, int(len(columns) * strength))
-        first = F.floor(_unit(seed + 3, F.col(key)) * (len(columns) - width + 1))
-        new = {c: F.when((F.lit(i) >= first) & (F.lit(i) < first + width), F.lit(0.0)).otherwise(F.col(c)) for i, c in enumerate(columns)}
+        first = F.floor(unit(seed + 3, k) * (len(columns) - width + 1))
+        new = {c: F.when((F.lit(i) < first) | (F.lit(i) >= first + width), F.col(c)) for i, c in enumerate(columns)}
     elif kind == "magnitude_mask":
-        new = {c: F.when(_unit(seed + 4 + i, F.col(key)) < strength, F.lit(0.0)).otherwise(F.col(c)) for i, c in enumerate(columns)}
+        new = {c: F.when(unit(seed + 4 + i, k) >= strength, F.col(c)) for i, c in enumerate(columns)}
     else:
         raise ValueError(f"kind {kind!r}")
     made = drawn.withColumns(new).select(*df.columns, F.lit(True).alias("is_synthetic"))
@@ -43,7 +57,7 @@ def augment_rows(df: DataFrame, columns: list[str], key: str, kind: str, ratio:
 
 
 def augment_windows(df: DataFrame, window: str, key: str, kind: str, strength: float = 0.05, seed: int = 42) -> DataFrame:
-    """The same on arrays: scaling by one factor a window, time_mask over a run of its time axis."""
+    """The same on arrays, one for each: scaling by one factor a window, time_mask over a run of its time axis; what is masked is null."""
     k, w = F.col(key), F.col(window)
     n = F.size(w)
     if kind == "jitter":
@@ -54,10 +68,10 @@ def augment_windows(df: DataFrame, window: str, key: str, kind: str, strength: f
         new = F.transform(w, lambda x: x * (1 + strength * _normal(seed, k)))
     elif kind == "time_mask":
         width = F.greatest(F.lit(1), F.floor(n * strength))
-        first = F.floor(_unit(seed, k) * (n - width + 1))
-        new = F.transform(w, lambda x, i: F.when((i >= first) & (i < first + width), F.lit(0.0)).otherwise(x))
+        first = F.floor(unit(seed, k) * (n - width + 1))
+        new = F.transform(w, lambda x, i: F.when((i < first) | (i >= first + width), x))
     elif kind == "magnitude_mask":
-        new = F.transform(w, lambda x, i: F.when(_unit(seed, k, i) < strength, F.lit(0.0)).otherwise(x))
+        new = F.transform(w, lambda x, i: F.when(unit(seed, k, i) >= strength, x))
     else:
         raise ValueError(f"kind {kind!r}")
     return df.withColumn(window, new)

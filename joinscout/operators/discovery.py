@@ -21,16 +21,22 @@ CONFIG_KEYS = ("n", "c", "cpu_limit", "ram_limit", "ram_limit_mb", "cpu_limit_mb
 ROLES = ("temporal_key", "exact_key", "config_key")
 
 
-def column_profiles(df: DataFrame, table: str, descriptions: dict[str, str] | None = None) -> DataFrame:
-    """table, column, name, dtype, non_null_ratio, unique_ratio, samples (up to five values), description; one pass."""
+def _least(c: Column, n: int) -> Column:
+    """The n smallest of several minima by a value's hash: as many distinct values, or fewer where hashes meet."""
+    return F.array_sort(F.array_distinct(F.filter(F.array(*[F.min(F.when(F.pmod(F.xxhash64(c), F.lit(n)) == i, c)) for i in range(n)]), lambda x: x.isNotNull())))
+
+
+def column_profiles(df: DataFrame, table: str, descriptions: dict[str, str] | None = None, approximate: bool = True) -> DataFrame:
+    """table, column, name, dtype, non_null_ratio, unique_ratio (of approximate counts unless said), samples (up to five values), description; one pass."""
     descriptions = descriptions or {}
     n = F.count(F.lit(1))
-    per = {c: (F.coalesce(F.try_divide(F.count(F.col(c)), n), F.lit(0.0)), F.coalesce(F.try_divide(F.count_distinct(F.col(c)), n), F.lit(0.0)), F.min(F.col(c).cast("string"))) for c in df.columns}
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    per = {c: (F.coalesce(F.try_divide(F.count(F.col(c)), n), F.lit(0.0)), F.least(F.lit(1.0), F.coalesce(F.try_divide(distinct(F.col(c)), n), F.lit(0.0))), _least(F.col(c).cast("string"), 5)) for c in df.columns}
     flat = df.agg(*[m.alias(f"m{j}_{i}") for i, ms in enumerate(per.values()) for j, m in enumerate(ms)])
     rows = [
         F.struct(
             F.lit(table).alias("table"), F.lit(c).alias("column"), F.lit(normalize_name(c)).alias("name"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-            F.col(f"m0_{i}").alias("non_null_ratio"), F.col(f"m1_{i}").alias("unique_ratio"), F.col(f"m2_{i}").alias("sample"), F.lit(descriptions.get(c, "")).alias("description"),
+            F.col(f"m0_{i}").alias("non_null_ratio"), F.col(f"m1_{i}").alias("unique_ratio"), F.col(f"m2_{i}").alias("samples"), F.lit(descriptions.get(c, "")).alias("description"),
         )
         for i, c in enumerate(df.columns)
     ]
@@ -38,10 +44,19 @@ def column_profiles(df: DataFrame, table: str, descriptions: dict[str, str] | No
 
 
 def column_values(df: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:
-    """(table, column, value): each column's distinct values as text, numbers rounded to six places."""
+    """(table, column, value): each column's distinct values as text, numbers rounded to six places.
+
+    A text column of which more than four fifths read as numbers is one of numbers (told by one aggregate), and its other values don't count.
+    """
+    texts = [c for c in columns or df.columns if df.schema[c].dataType.typeName() == "string"]
+    shares = df.agg(*[F.try_divide(F.count(numeric_clean(F.col(c))), F.count(c)).alias(f"s{i}") for i, c in enumerate(texts)]).first() if texts else ()
+    numbers = {c for c, share in zip(texts, shares, strict=True) if (share or 0) > 0.8}
+
     def text(c: str) -> Column:
         kind = df.schema[c].dataType.typeName()
         x = F.col(c)
+        if c in numbers:
+            return F.round(numeric_clean(x), 6).cast("string")
         return F.round(x.cast("double"), 6).cast("string") if kind in ("byte", "short", "integer", "long", "float", "double", "decimal") else x.cast("string")
 
     cells = F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns or df.columns])
@@ -198,10 +213,11 @@ def all_values(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [column_values(df, name) for name, df in tables.items()])
 
 
-def numeric_share(df: DataFrame, column: str) -> DataFrame:
-    """The part of non-null values that read as numbers."""
-    c = F.col(column)
-    return df.agg(F.try_divide(F.count(numeric_clean(c)), F.count(c)).alias("share"))
+def report(relationships: DataFrame, recommended: DataFrame) -> str:
+    """A short text: how many pairs there are of each role, and the recommended ones; a row a pair of tables and role reaches the driver."""
+    counts = relationships.groupBy("join_role").count().orderBy("join_role").collect()
+    lines = ["# Relationships", "", *[f"- {r.join_role}: {r['count']}" for r in counts], "", "# Recommended", ""]
+    return "\n".join(lines + [f"- {r.pk_table}.{r.pk_column} = {r.fk_table}.{r.fk_column} ({r.join_role}, {r.confidence:.2f})" for r in recommended.collect()])
 
 
 def normalized_names(names: DataFrame, column: str) -> DataFrame:

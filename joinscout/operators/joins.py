@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A column that gives base rows their order.
 ROW = "__row_id"
+#: Slabs of time that an as-of join is cut into, a multiple of 16.
+SLABS = 256
 
 
 def first_per_key(right: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -105,37 +108,42 @@ def asof_join(
     tolerance: float | None = None,
     direction: str = "nearest",
     order: str | None = None,
-    slabs: int = 256,
 ) -> DataFrame:
     """Every left row with the right row that is nearest in time, at or before it, or at or after it.
 
-    Keys are numbers or timestamps (tolerance in key units, for timestamps in seconds); None is no limit and 0 is exact. Left
-    rows with a null key stay, unmatched; right rows with one are left out. Of right rows with the same key the last by `order`
-    counts backwards and the first forwards; nearest takes the backward one of two that are equally far. The right key comes as
-    `__right_<name>`.
+    Keys are numbers or timestamps (tolerance in key units, for timestamps in seconds); None is no limit and 0 is exact. Whole
+    numbers are compared as such, so nanoseconds keep their last digits. Left rows with a null key stay, unmatched; right rows with one are left
+    out. Of right rows with the same key the last by `order` counts backwards and the first forwards (without `order` by a hash of their other columns,
+    which is the same on every run); nearest takes the backward one of two that are equally far. The right key comes as `__right_<name>`.
+    A left column `__row_id` puts the result in its order.
 
-    Time is cut into slabs, so no task holds a whole entity or the whole table: each slab is also given the last right row
-    before it and the first one after it, from one summary row a slab. Within a slab two running windows find both neighbours.
+    Time is cut into slabs of about equal numbers of rows, so no task holds a whole entity or the whole table and outliers don't matter: each slab is also
+    given the last right row before it and the first one after it, from one summary row a slab. Within a slab two running windows find
+    both neighbours. Nothing runs before the result is asked for.
     """
     by = by or []
-    is_time = left.schema[left_on].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
+    times, whole = ("timestamp", "timestamp_ntz", "date"), ("byte", "short", "integer", "long")
+    kinds = [left.schema[left_on].dataType.typeName(), right.schema[right_on].dataType.typeName()]
+    is_time, kind = kinds[0] in times, "long" if all(k in whole for k in kinds) else "double"
 
     def key(c: str) -> Column:
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double") if is_time else F.col(c).cast("double")
+        return F.unix_micros(F.col(c).cast("timestamp")) if is_time else F.col(c).cast(kind)
 
     limit = None if tolerance is None or tolerance < 0 else float(tolerance) * (1e6 if is_time else 1.0)
     payload = [c for c in right.columns if c not in by and c != right_on]
     kept = [F.col(right_on).alias(f"__right_{right_on}"), *[F.col(c) for c in payload]]
-    seq = F.col(order) if order else F.monotonically_increasing_id()
+    seq = F.col(order) if order else F.xxhash64(*payload) if payload else F.lit(0)
     keys = [F.col(b).alias(f"__by{i}") for i, b in enumerate(by)]
     names = [f"__by{i}" for i in range(len(by))]
     own = F.struct(*[F.col(c) for c in left.columns])
     ls = left.select(*keys, key(left_on).alias("__t"), F.lit(1).alias("__side"), own.alias("__left"))
     rs = right.select(*keys, key(right_on).alias("__t"), F.lit(0).alias("__side"), seq.alias("__seq"), F.struct(*kept).alias("__right")).where("__t is not null")
-    span = rs.select("__t").unionByName(ls.select("__t")).agg(F.min("__t").alias("lo"), F.max("__t").alias("hi")).first()
-    width = max((span.hi - span.lo) / slabs, 1e-9) if span.lo is not None else 1.0
-    slab = F.floor((F.col("__t") - F.lit(span.lo or 0.0)) / F.lit(width)).cast("int")
-    ls, rs = ls.withColumn("__slab", slab), rs.withColumn("__slab", slab)
+    # SLABS - 1 cuts in one row; the slab is the number of cuts up to a time, counted by steps of 16 and then one by one
+    cuts = rs.select("__t").unionByName(ls.select("__t")).agg(F.percentile_approx("__t", [i / SLABS for i in range(1, SLABS)], 2000).alias("__q"))
+    coarse = F.filter(F.transform(F.sequence(F.lit(16), F.lit(SLABS - 16), F.lit(16)), lambda i: F.get("__q", i - 1)), lambda c: c <= F.col("__t"))
+    steps = 16 * F.size(coarse)
+    slab = F.coalesce(steps + F.size(F.filter(F.slice("__q", steps + 1, F.lit(15)), lambda c: c <= F.col("__t"))), F.lit(0))
+    ls, rs = (x.crossJoin(F.broadcast(cuts)).withColumn("__slab", F.when(F.col("__q").isNull(), 0).otherwise(slab)).drop("__q") for x in (ls, rs))  # one row
     known = ls.where("__t is not null")
     entry = F.struct("__t", "__seq", "__right")
     ends = rs.groupBy(*names, "__slab").agg(F.max(entry).alias("last"), F.min(entry).alias("first"))
@@ -157,16 +165,17 @@ def asof_join(
         rows = rows.withColumn("__f", F.last(hit, True).over(ahead))
     rows = rows.where("__side = 1")
     if direction == "nearest":
-        db, df = F.col("__t") - F.col("__b.t"), F.col("__f.t") - F.col("__t")
-        best = F.when(F.col("__b").isNull(), F.col("__f")).when(F.col("__f").isNull() | (db <= df), F.col("__b")).otherwise(F.col("__f"))
+        db, df = F.try_subtract("__t", "__b.t"), F.try_subtract("__f.t", "__t")  # null if too far apart for a number
+        best = F.when(F.col("__b").isNull(), F.col("__f")).when(F.col("__f").isNull() | df.isNull() | (db <= df), F.col("__b")).otherwise(F.col("__f"))
     elif direction in ("backward", "forward"):
         best = F.col("__b" if direction == "backward" else "__f")
     else:
         raise ValueError(f"direction {direction!r}")
     rows = rows.withColumn("__m", best)
     if limit is not None:
-        rows = rows.withColumn("__m", F.when(F.abs(F.col("__m.t") - F.col("__t")) <= limit, F.col("__m")))
+        rows = rows.withColumn("__m", F.when(F.abs(F.try_subtract("__m.t", "__t")) <= limit, F.col("__m")))
     found = [F.col("__m.r")[f"__right_{right_on}"].alias(f"__right_{right_on}"), *[F.col("__m.r")[c].alias(c) for c in payload]]
     out = rows.select("__left.*", *found)
     lost = left.where(F.col(left_on).isNull())
-    return out.unionByName(lost, allowMissingColumns=True)
+    out = out.unionByName(lost, allowMissingColumns=True)
+    return out.orderBy(ROW) if ROW in left.columns else out

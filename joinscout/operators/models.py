@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def prepare(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
-    """Numeric features: times as seconds, booleans as 0 and 1, text as indexes; constant columns and text unique on every row go."""
-    names = [c for c in df.columns if c != target]
-    stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(names)]).first()
+#: Levels that a text column may have to be a feature; the driver holds them.
+LEVELS = 10_000
+
+
+def prepare(df: DataFrame, target: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Numeric features: times as seconds, booleans as 0 and 1, text as indexes (the most frequent first); constant columns go, and text that is
+    another on nearly every row or has more than LEVELS values (by approximate counts). `keep` goes through as it is."""
+    names = [c for c in df.columns if c != target and c not in keep]
+    flat = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(names)], *[F.min(c).eqNullSafe(F.max(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
     out, features, text = df, [], []
     for i, c in enumerate(names):
-        kind, unique = df.schema[c].dataType, stats[f"u{i}"]
-        if unique <= 1 or isinstance(kind, T.StringType) and unique == stats.n:
+        kind, unique = df.schema[c].dataType, flat[f"u{i}"]
+        if flat[f"c{i}"] or isinstance(kind, T.StringType) and (unique > 0.9 * flat.n or unique > LEVELS):
             continue
         if isinstance(kind, T.StringType):
             text.append(c)
@@ -34,7 +39,7 @@ def prepare(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
         coded = [f"{c}__code" for c in text]
         out = StringIndexer(inputCols=text, outputCols=coded, handleInvalid="keep").fit(out).transform(out)
         out = out.drop(*text).withColumnsRenamed(dict(zip(coded, text, strict=True)))
-    return out.select(*features, target), features
+    return out.select(*features, target, *keep), features
 
 
 LEARNERS = ("RandomForest", "ExtraTrees", "LightGBM", "XGBoost", "LinearModel", "Ridge")
@@ -125,3 +130,8 @@ def lag_forecast(windows: DataFrame, size: int, name: str = "LinearModel", seed:
 def probabilities(model: PipelineModel, df: DataFrame, features: list[str], target: str) -> DataFrame:
     rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("y"))
     return model.transform(rows).select("y", vector_to_array("probability").alias("probability"))
+
+
+def tensor(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """keys, tensor: each group's values as one array in the given order; a group is as long as one sample of a measurement."""
+    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(value).alias("v")))), lambda x: x["v"]).alias("tensor"))

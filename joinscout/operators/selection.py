@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import random
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -76,13 +77,21 @@ def rerank(rank: float, risk: float, n_features: int, path_length: int, penalty:
 
 
 def inject_noise(df: DataFrame, features: list[str], part: float = 0.2, seed: int = 7) -> tuple[DataFrame, list[str]]:
-    """Random columns, ceil(part * features), with each row's mean and spread over its features."""
+    """Random columns, ceil(part * features), normal with the rows' means and the rows' covariance over the features.
+
+    Such a column is the row's mean plus the sum of its features' differences to it, each times one normal number for all rows, over
+    the root of features - 1; so no matrix of rows by rows is needed. Null counts as 0.
+    """
     count = max(0, -int(-part * len(features) // 1))
-    values = F.array(*[F.col(c).cast("double") for c in features])
-    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) / len(features)
-    spread = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (F.coalesce(x, F.lit(0.0)) - mean) ** 2) / len(features))
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / len(features)
     names = [f"__noise_{i}" for i in range(count)]
-    return df.withColumns({n: mean + spread * F.randn(seed + i) for i, n in enumerate(names)}), names
+    out = df.withColumn("__mean", mean)
+    draw = random.Random(seed).gauss
+    for n in names:
+        z = [draw(0, 1) / max(len(features) - 1, 1) ** 0.5 for _ in features]
+        out = out.withColumn(n, F.col("__mean") + sum(((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col("__mean")) * w for c, w in zip(features, z, strict=True)), F.lit(0.0)))
+    return out.drop("__mean"), names
 
 
 def before_noise(importances: list[float], is_noise: list[bool], size: int) -> list[int]:
@@ -104,6 +113,20 @@ def stable_features(rounds: list[list[int]], threshold: float) -> list[int]:
     return [i for i in range(len(rounds[0])) if sum(r[i] for r in rounds) / len(rounds) > threshold]
 
 
+def by_threshold(rounds: list[list[int]], features: list[str], thresholds: Iterable[float], score: Callable[[list[str]], float]) -> list[str]:
+    """The features of the last threshold, going up, before the score falls; none if the first has none."""
+    best, chosen = None, []
+    for t in sorted(thresholds):
+        some = [features[i] for i in stable_features(rounds, t)]
+        if not some:
+            break
+        now = score(some)
+        if best is not None and now < best:
+            break
+        best, chosen = now, some
+    return chosen
+
+
 def random_injection(df: DataFrame, features: list[str], target: str, regression: bool = True, rounds: int = 3, part: float = 0.2, threshold: float = 0.1, seed: int = 7) -> list[str]:
     """Features that forests put before random columns in more than a part of the rounds."""
     from .models import forest_importances

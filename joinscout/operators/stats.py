@@ -52,10 +52,18 @@ def _weighted_corr(x: Column, y: Column, n: Column) -> Column:
 
 
 def pearson(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, correlation, n) over the rows that have both; 0 where the denominator isn't above 0."""
-    long = long_pairs(df, features, target)
-    corr = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    return long.groupBy("feature").agg(F.coalesce(F.nanvl(corr, F.lit(0.0)), F.lit(0.0)).alias("correlation"), F.count(F.lit(1)).alias("n"))
+    """(feature, correlation, n) over the rows that have both; 0 where the denominator isn't above 0. One aggregate, no row is multiplied."""
+    number = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+
+    def measure(f: str) -> tuple[Column, Column]:
+        both = number(f).isNotNull() & number(target).isNotNull()
+        x, y = F.when(both, number(f)), F.when(both, number(target))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.count(x)
+
+    measures = [measure(f) for f in features]
+    flat = df.agg(*[m.alias(f"{k}{i}") for i, ms in enumerate(measures) for k, m in zip("cn", ms, strict=True)])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.nanvl(F.col(f"c{i}"), F.lit(0.0)), F.lit(0.0)).alias("correlation"), F.col(f"n{i}").alias("n")) for i, f in enumerate(features)])
+    return flat.select(F.explode(rows).alias("r")).select("r.*").where("n > 0")
 
 
 def spearman(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -101,37 +109,89 @@ def mutual_information(df: DataFrame, features: list[str], target: str) -> DataF
     return joint.select("feature", F.col("hy").alias("h_target"), (F.col("hxy") - F.col("hx")).alias("h_conditional"), (F.col("hx") + F.col("hy") - F.col("hxy")).alias("mi"))
 
 
+def _stacked(df: DataFrame, groups: list[tuple[str, ...]], names: str) -> DataFrame:
+    """(feature, names..., n): counts of the columns of each group, which is (feature, column, ...), in one pass; rows where one is null are left out."""
+    parts = []
+    for at in range(0, len(groups), WIDE):
+        cells = F.array(*[F.struct(F.lit(g[0]).alias("feature"), *[F.col(c).cast("double").alias(k) for k, c in zip(names, g[1:], strict=True)]) for g in groups[at : at + WIDE]])
+        parts.append(df.select(F.explode(cells).alias("p")).select("p.*"))
+    rows = reduce(DataFrame.unionByName, parts)
+    good = " and ".join(f"{k} is not null and not isnan({k})" for k in names)
+    return rows.where(good).groupBy("feature", *names).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _information(counts: DataFrame) -> DataFrame:
+    """(feature, value): I(x; y) of rows with x and y, or I(x; y | z) of rows with z too."""
+    if "z" not in counts.columns:
+        joint = entropy_of(counts, ["x", "y"], "a").join(entropy_of(counts, ["x"], "b"), "feature").join(entropy_of(counts, ["y"], "c"), "feature")
+        return joint.select("feature", (F.col("b") + F.col("c") - F.col("a")).alias("value"))
+    out = entropy_of(counts, ["x", "z"], "a").join(entropy_of(counts, ["y", "z"], "b"), "feature").join(entropy_of(counts, ["x", "y", "z"], "c"), "feature").join(entropy_of(counts, ["z"], "d"), "feature")
+    return out.select("feature", (F.col("a") + F.col("b") - F.col("c") - F.col("d")).alias("value"))
+
+
 def conditional_mutual_information(df: DataFrame, features: list[str], other: str, given: str) -> DataFrame:
     """(feature, cmi): I(feature; other | given) = H(x,z) + H(y,z) - H(x,y,z) - H(z)."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
-    rows = df.select(F.col(other).cast("double").alias("y"), F.col(given).cast("double").alias("z"), F.explode(pairs).alias("p")).select("p.feature", "p.x", "y", "z")
-    counts = rows.where("x is not null and y is not null and z is not null").groupBy("feature", "x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
-    out = entropy_of(counts, ["x", "z"], "a").join(entropy_of(counts, ["y", "z"], "b"), "feature").join(entropy_of(counts, ["x", "y", "z"], "c"), "feature").join(entropy_of(counts, ["z"], "d"), "feature")
-    return out.select("feature", (F.col("a") + F.col("b") - F.col("c") - F.col("d")).alias("cmi"))
+    return _information(_stacked(df, [(f, f, other, given) for f in features], "xyz")).withColumnRenamed("value", "cmi")
+
+
+def _numbered(parts: list[DataFrame]) -> DataFrame:
+    """(i, j, value) of rows whose feature is written i|j."""
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select(F.split_part("feature", F.lit("|"), F.lit(1)).cast("int").alias("i"), F.split_part("feature", F.lit("|"), F.lit(2)).alias("j"), "value")
+
+
+def _named(scores: DataFrame, names: list[str]) -> DataFrame:
+    return scores.withColumn("feature", F.get(F.array(*map(F.lit, names)), F.col("i"))).drop("i")
+
+
+def between_bounds(score: DataFrame, column: str = "raw") -> DataFrame:
+    """`score`: the column put between 0 and 1, of those above 0; none if all are 0."""
+    ends = score.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.max(F.abs(F.col(column))).alias("top"))
+    scaled = score.crossJoin(F.broadcast(ends)).where("top > 0")  # one row
+    scaled = scaled.withColumn("score", F.coalesce(F.try_divide(F.col(column) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)))
+    return scaled.where("score > 0").drop("lo", "hi", "top").orderBy(F.desc("score"), "feature")
 
 
 def redundancy(df: DataFrame, selected: list[str], new: list[str], target: str, bins: int = 5, joint: bool = False, parity: bool = True) -> DataFrame:
     """(feature, raw, score): MI(f; target) less the mean MI with the selected features, plus the mean conditional MI if `joint`.
 
     Features are binned, the target isn't. With `parity` scores are put between 0 and 1 and only those above 0 stay, so the
-    lowest (and a single candidate) is refused; without it raw scores are returned.
+    lowest (and a single candidate) is refused; without it raw scores are returned. All pairs of columns go through one pass, and all triples through one.
     """
     columns = list(dict.fromkeys([*selected, *new]))
     binned = bin_uniform(df.select(*columns, target), columns, bins)
-    score = mutual_information(binned, new, target).select("feature", F.col("mi").alias("raw"))
-    for s in selected:
-        with_s = mutual_information(binned.withColumn("__s", F.col(s)), new, "__s").select("feature", (F.col("mi") / len(selected)).alias("less"))
-        score = score.join(with_s, "feature").select("feature", (F.col("raw") - F.col("less")).alias("raw"))
-        if joint:
-            more = conditional_mutual_information(df.withColumn("__s", F.col(s)), new, "__s", target).select("feature", (F.col("cmi") / len(selected)).alias("more"))
-            score = score.join(more, "feature").select("feature", (F.col("raw") + F.col("more")).alias("raw"))
-    score = score.withColumn("raw", F.round("raw", 9))
+    pairs = [(f"{i}|t", f, target) for i, f in enumerate(new)] + [(f"{i}|s{j}", f, s) for i, f in enumerate(new) for j, s in enumerate(selected)]
+    found = [_information(_stacked(binned, pairs, "xy")).withColumn("value", F.when(F.endswith("feature", F.lit("|t")), F.col("value")).otherwise(-F.col("value") / max(len(selected), 1)))]
+    if joint and selected:
+        triples = [(f"{i}|c{j}", f, s, target) for i, f in enumerate(new) for j, s in enumerate(selected)]
+        found.append(_information(_stacked(df, triples, "xyz")).withColumn("value", F.col("value") / len(selected)))
+    score = _numbered(found).groupBy("i").agg(F.round(F.sum("value"), 9).alias("raw"), F.count(F.lit(1)).alias("m"))
+    score = _named(score.where(F.col("m") == 1 + len(selected) * len(found)).drop("m"), new).select("feature", "raw")
     if not parity:
         return score.withColumn("score", F.col("raw")).orderBy(F.desc("score"), "feature")
-    ends = score.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.max(F.abs("raw")).alias("top"))
-    scaled = score.crossJoin(F.broadcast(ends)).where("top > 0")  # one row
-    scaled = scaled.withColumn("score", F.coalesce(F.try_divide(F.col("raw") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)))
-    return scaled.where("score > 0").select("feature", "raw", "score").orderBy(F.desc("score"), "feature")
+    return between_bounds(score).select("feature", "raw", "score")
+
+
+def conditional_redundancy(df: DataFrame, selected: list[str], new: list[str], target: str, parity: bool = True) -> DataFrame:
+    """(feature, raw, score) by conditional mutual information maximisation: I(f; target) less the largest I(f; s) - I(f; s | target), on values as they are."""
+    pairs = [(f"{i}|t", f, target) for i, f in enumerate(new)] + [(f"{i}|{j}", f, s) for i, f in enumerate(new) for j, s in enumerate(selected)]
+    own = _numbered([_information(_stacked(df, pairs, "xy"))])
+    score = own.where("j = 't'").select("i", F.col("value").alias("mi"))
+    if selected:
+        given = _numbered([_information(_stacked(df, [(f"{i}|{j}", f, s, target) for i, f in enumerate(new) for j, s in enumerate(selected)], "xyz"))]).withColumnRenamed("value", "given")
+        less = own.join(given, ["i", "j"]).groupBy("i").agg(F.max(F.col("value") - F.col("given")).alias("less"))
+        score = score.join(less, "i").select("i", (F.col("mi") - F.col("less")).alias("mi"))
+    score = _named(score.select("i", F.round("mi", 9).alias("raw")), new).select("feature", "raw")
+    return between_bounds(score).select("feature", "raw", "score") if parity else score.withColumn("score", F.col("raw"))
+
+
+def group_redundancy(df: DataFrame, group: list[str], target: str) -> DataFrame:
+    """(feature, score): the mean of I(feature; target | other) over the others of its group, of those above 0; a group of one has none."""
+    triples = [(f"{i}|{j}", f, target, o) for i, f in enumerate(group) for j, o in enumerate(group) if i != j]
+    if not triples:
+        return df.sparkSession.createDataFrame([], "feature string, score double")
+    score = _numbered([_information(_stacked(df, triples, "xyz"))]).groupBy("i").agg(F.round(F.avg("value"), 9).alias("score"))
+    return _named(score.where("score > 0"), group).select("feature", "score")
 
 
 def path_score(relevant: list[float], redundant: list[float] | None) -> float | None:

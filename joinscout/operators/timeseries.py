@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .augment import unit
+
+#: Of approximate percentiles: the error in rank is at most one of so many.
+ACCURACY = 10_000
+
+
+def _median(c: Column, exact: bool) -> Column:
+    return F.median(c) if exact else F.percentile_approx(c, 0.5, ACCURACY)
+
 
 def _seconds(df: DataFrame, time: str) -> Column:
     if df.schema[time].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
@@ -18,11 +29,23 @@ def with_delta(df: DataFrame, time: str, by: list[str], tie: str | None = None)
     return df.withColumn("delta", t - F.lag(t).over(Window.partitionBy(*by).orderBy(time, *([tie] if tie else []))))
 
 
-def gap_segments(df: DataFrame, time: str, by: list[str], gap: float, tie: str | None = None) -> DataFrame:
-    """`segment`, from 1: a new one after every gap of more than `gap` seconds."""
-    rows = with_delta(df, time, by, tie)
-    w = Window.partitionBy(*by).orderBy(time, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("segment", F.sum(F.when(F.col("delta") > gap, 1).otherwise(0)).over(w) + 1).drop("delta")
+def gap_segments(df: DataFrame, time: str, by: list[str], gap: float, tie: str | None = None, slab: float = 86_400) -> DataFrame:
+    """`segment`, from 1: a new one after every gap of more than `gap` seconds; rows without a time are in the first.
+
+    A series is numbered slab by slab of time, from one summary row a slab, so a long one isn't sorted in one task.
+    """
+    keys = [*by, "__slab"]
+    rows = df.withColumns({"__t": _seconds(df, time), "__slab": F.floor(_seconds(df, time) / slab)})
+    w = Window.partitionBy(*keys).orderBy(time, *([tie] if tie else []))
+    rows = rows.withColumn("__new", (F.coalesce(F.col("__t") - F.lag("__t").over(w), F.lit(0.0)) > gap).cast("long"))
+    sums = rows.groupBy(*keys).agg(F.min("__t").alias("lo"), F.max("__t").alias("hi"), F.sum("__new").alias("n"))
+    over = Window.partitionBy(*by or [F.lit(0)]).orderBy("__slab")  # one row a slab
+    sums = sums.withColumn("first", (F.coalesce(F.col("lo") - F.lag("hi").over(over), F.lit(0.0)) > gap).cast("long"))
+    before = F.coalesce(F.sum(F.col("n") + F.col("first")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("first")
+    starts = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], before.alias("__before"))
+    on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(starts[f"__k{i}"]) for i, k in enumerate(keys)])
+    inside = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__in", inside).join(starts, on).withColumn("segment", 1 + F.col("__before") + F.col("__in")).select(*df.columns, "segment")
 
 
 def write_segments(segmented: DataFrame, path: str, by: list[str]) -> None:
@@ -81,7 +104,7 @@ def impute(df: DataFrame, columns: list[str], time: str, by: list[str], method:
 
 def mask_cells(df: DataFrame, column: str, key: str, part: float, seed: int = 7) -> DataFrame:
     """Hide a seeded part of the observed cells; the truth goes to `truth`."""
-    hide = F.col(column).isNotNull() & (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(part * 10_000))
+    hide = F.col(column).isNotNull() & (unit(seed, F.col(key)) < part)
     return df.withColumn("truth", F.when(hide, F.col(column))).withColumn(column, F.when(~hide, F.col(column)))
 
 
@@ -92,6 +115,15 @@ def imputation_error(imputed: DataFrame, column: str) -> DataFrame:
     return hidden.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(F.try_divide(e, F.col("truth")))).alias("mape"))
 
 
+def time_profile(df: DataFrame, time: str, by: list[str], exact: bool = False) -> DataFrame:
+    """by, time_start, time_end (seconds), delta_median, delta_p95 and large_gaps (deltas above the 95th percentile)."""
+    rows = with_delta(df.where(F.col(time).isNotNull()), time, by).withColumn("__t", _seconds(df, time))
+    p95 = F.percentile("delta", 0.95) if exact else F.percentile_approx("delta", 0.95, ACCURACY)
+    ends = rows.groupBy(*by).agg(F.min("__t").alias("time_start"), F.max("__t").alias("time_end"), _median(F.col("delta"), exact).alias("delta_median"), p95.alias("delta_p95"))
+    far = rows.join(ends.select(*by, "delta_p95"), by).where("delta > delta_p95").groupBy(*by).agg(F.count(F.lit(1)).alias("large_gaps"))
+    return ends.join(far, by, "left").na.fill(0, ["large_gaps"])
+
+
 def sliding_windows(df: DataFrame, value: str, time: str, by: list[str], size: int = 32, stride: int = 8, horizon: int = 1, tie: str | None = None) -> DataFrame:
     """by, start (from 0), window (array), y (the value `horizon` rows after the window's end); complete ones only."""
     order = Window.partitionBy(*by).orderBy(time, *([tie] if tie else []))
@@ -154,7 +186,7 @@ def group_holdout(df: DataFrame, group: str, held: object = None) -> DataFrame:
 
 def seeded_split(df: DataFrame, key: str, parts: dict[str, float], seed: int = 42) -> DataFrame:
     """`part`: train, validation, test or the like, by a hash of the key; sizes hold in the mean."""
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1e6
+    place = unit(seed, F.col(key))
     out, upto = F, 0.0
     for name, size in parts.items():
         upto += size
@@ -162,16 +194,16 @@ def seeded_split(df: DataFrame, key: str, parts: dict[str, float], seed: int = 4
     return df.withColumn("part", out.otherwise(F.lit(list(parts)[-1])))
 
 
-def scale_by_train(df: DataFrame, columns: list[str], is_train: str = "is_train") -> DataFrame:
-    """(x - median) / std with the training rows' statistics; a std of 0 counts as 1."""
-    stats = df.where(F.col(is_train)).agg(*[f.alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in (("m", F.median(c)), ("s", F.stddev(c)))])
+def scale_by_train(df: DataFrame, columns: list[str], is_train: str = "is_train", exact: bool = False) -> DataFrame:
+    """(x - median) / std with the training rows' statistics; a std of 0 counts as 1. The median is approximate unless `exact`, which gathers all distinct values."""
+    stats = df.where(F.col(is_train)).agg(*[f.alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in (("m", _median(F.col(c), exact)), ("s", F.stddev(c)))])
     wide = df.crossJoin(F.broadcast(stats))  # one row
     scaled = {c: (F.col(c) - F.col(f"m_{i}")) / F.coalesce(F.nullif(F.col(f"s_{i}"), F.lit(0.0)), F.lit(1.0)) for i, c in enumerate(columns)}
     return wide.withColumns(scaled).select(*df.columns)
 
 
-def fill_train_median(df: DataFrame, columns: list[str], is_train: str = "is_train") -> DataFrame:
-    """Nulls and NaN become the training rows' median."""
-    stats = df.where(F.col(is_train)).agg(*[F.median(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"m_{i}") for i, c in enumerate(columns)])
+def fill_train_median(df: DataFrame, columns: list[str], is_train: str = "is_train", exact: bool = False) -> DataFrame:
+    """Nulls and NaN become the training rows' median, approximate unless `exact`."""
+    stats = df.where(F.col(is_train)).agg(*[_median(F.nanvl(F.col(c).cast("double"), F.lit(None)), exact).alias(f"m_{i}") for i, c in enumerate(columns)])
     wide = df.crossJoin(F.broadcast(stats))  # one row
     return wide.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.col(f"m_{i}")) for i, c in enumerate(columns)}).select(*df.columns)

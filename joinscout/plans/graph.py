@@ -22,6 +22,23 @@ def upsert(graph: DataFrame, new: DataFrame) -> DataFrame:
     return graph.unionByName(new).groupBy(*KEY).agg(F.max("weight").alias("weight"))
 
 
+def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, label) of both, each id once: its new label if it has one."""
+    both = nodes.select("id", "label", F.lit(0).alias("new")).unionByName(new.select("id", "label", F.lit(1).alias("new")))
+    return both.groupBy("id").agg(F.max(F.struct("new", "label"))["label"].alias("label"))
+
+
+def node(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.where(F.col("id") == name)
+
+
+def overlaid(graph: DataFrame, made: DataFrame, method: str) -> DataFrame:
+    """Edges with the way each came by: those a method has made, and those given."""
+    mine = made.select(*KEY, F.lit(method).alias("method"))
+    both = graph.unionByName(made).groupBy(*KEY).agg(F.max("weight").alias("weight"))
+    return both.join(mine.distinct(), KEY, "left").withColumn("method", F.coalesce("method", F.lit("given")))
+
+
 def undirected(graph: DataFrame) -> DataFrame:
     back = graph.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.col("to_column").alias("from_column"), F.col("from_column").alias("to_column"), "weight")
     return graph.unionByName(back)

@@ -5,6 +5,7 @@ The walk is planned on the driver over the small graph; each step adds a lazy jo
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import stats
+from ..functions.policy import SENSITIVE, is_sensitive
+from ..operators import selection, stats
+from ..operators.augment import unit
 from ..operators.joins import asof_join, first_per_key, passes_quality
 from .graph import undirected
 from .paths import Step, best_paths, extend, length, needed, parse
@@ -65,14 +68,14 @@ class Found:
 
 def base_sample(df: DataFrame, n: int, key: list[str], target: str | None = None) -> DataFrame:
     """At most n rows by hash of their key; with a target each of its levels in proportion. The sampling is the feature: the search ranks on it, results are made on all rows."""
-    place = F.xxhash64(*[F.col(c).cast("string") for c in key])
+    place = unit(0, *[F.col(c) for c in key])
     if target is None:
         return df.orderBy(place, *key).limit(n)
     total = df.count()
     counts = df.groupBy(target).count().withColumnRenamed("count", "__n")
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("__n") / max(total, 1)))
-    near = df.join(counts, target).where(F.pmod(place, F.lit(1 << 30)) <= F.lit(float(1 << 30)) * F.least(F.lit(1.0), 4 * F.lit(n) / max(total, 1) + 50 / F.col("__n")))
-    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy(target).orderBy(F.pmod(place, F.lit(1 << 30)), *key)))
+    near = df.join(counts, target).where(place <= F.least(F.lit(1.0), 4 * F.lit(n) / max(total, 1) + 50 / F.col("__n")))
+    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy(target).orderBy(place, *key)))
     return ranked.where(F.col("__r") <= quota).drop("__n", "__r")
 
 
@@ -121,6 +124,7 @@ def search(lake: Lake, base: str, s: Settings) -> Found:
     if s.sample:
         start = base_sample(start, s.sample, keys, s.target if s.classification else None)
     start = start.cache()
+    held = [start]
     edges = lake.edges()
     own = numeric(start, keys)
     ranking, features, refused = {base: 0.0}, {base: own}, []
@@ -142,11 +146,13 @@ def search(lake: Lake, base: str, s: Settings) -> Found:
                     joined = step_join(lake, df, step, s)
                     if joined is None:
                         continue
+                    if s.sample:  # at most `sample` rows, read three times
+                        held.append(joined := joined.persist())
                     name, key = extend(path, step), f"{neighbour}{SEP}{e[4]}"
                     if not passes_quality(joined, key, s.value_ratio):
                         refused.append(name)
                         continue
-                    if length(name) % CHECKPOINT_EVERY == 0 and joined.sparkSession.sparkContext.getCheckpointDir():
+                    if not s.sample and length(name) % CHECKPOINT_EVERY == 0 and joined.sparkSession.sparkContext.getCheckpointDir():
                         joined = joined.checkpoint()
                     grown = True
                     new = numeric(joined, [c for c in joined.columns if c not in df.columns and c != key])
@@ -161,7 +167,8 @@ def search(lake: Lake, base: str, s: Settings) -> Found:
                 if not grown:
                     after.append((path, df, selected))
             live = after
-    start.unpersist()
+    for df in held:
+        df.unpersist()
     return Found(ranking, features, refused)
 
 
@@ -207,26 +214,68 @@ def join_all(lake: Lake, base: str, s: Settings, depth_first: bool = False) -> t
     return out, steps
 
 
-def join_orders(lake: Lake, base: str) -> list[tuple[str, ...]]:
-    """Each set of tables next to the base that a join can take, once: left joins in any order give the same columns."""
-    import itertools
+def first_step(lake: Lake, edges: list[tuple], base: str, name: str, target: str) -> list[Step]:
+    """Steps from the base to a table next to it, the heaviest edge first; never by the target."""
+    return [Step(base, e[3], e[4], name) for e in sorted((e for e in edges if e[0] == base and e[1] == name and e[3] != target), key=lambda e: e[2:])]
 
+
+def join_some(lake: Lake, base: str, names: list[str], s: Settings) -> DataFrame:
+    """The base table with the tables next to it that are named, each by the first key that works."""
+    out, edges = lake.prefixed(base, s.target), lake.edges()
+    for name in names:
+        for step in first_step(lake, edges, base, name, s.target):
+            joined = step_join(lake, out, step, s)
+            if joined is not None:
+                out = joined
+                break
+    return out
+
+
+def join_sets(lake: Lake, base: str, s: Settings) -> dict[tuple[str, ...], DataFrame]:
+    """The base joined with every set of tables next to it, lazily. Left joins in any order give the same columns, so a set stands for all its orders."""
     near = sorted({e[1] for e in lake.edges() if e[0] == base})
-    return [c for n in range(1, len(near) + 1) for c in itertools.combinations(near, n)]
+    return {c: join_some(lake, base, list(c), s) for n in range(1, len(near) + 1) for c in itertools.combinations(near, n)}
 
 
-def budget_batches(lake: Lake, base: str) -> list[list[str]]:
-    """Neighbours in order of name, in batches whose new columns don't exceed the base's rows."""
-    rows, batches, width = lake.tables[base].count(), [[]], 0
+def budget_batches(lake: Lake, base: str, rows: int | None = None) -> list[list[str]]:
+    """Tables next to the base in order of name, in batches: a batch is full when its new columns outnumber the base's rows."""
+    rows = lake.tables[base].count() if rows is None else rows
+    batches, width = [[]], 0
     for name in sorted({e[1] for e in lake.edges() if e[0] == base}):
-        n = len(lake.tables[name].columns)
-        if batches[-1] and width + n > rows:
+        if width > rows:
             batches.append([])
             width = 0
         batches[-1].append(name)
-        width += n
+        width += len(lake.tables[name].columns)
     return [b for b in batches if b]
 
 
+def budget_join(lake: Lake, base: str, s: Settings, regression: bool = True, rounds: int = 2, threshold: float = 0.1, seed: int = 7) -> list[str]:
+    """Features that stand before random columns, batch by batch of the tables next to the base; those of earlier batches go on with the next.
+
+    Selection sees at most `Settings.sample` base rows; what it chooses is materialised on all.
+    """
+    start = lake.prefixed(base, s.target)
+    keys = [c for c in start.columns if c != s.target]
+    if s.sample:
+        start = base_sample(start, s.sample, keys, s.target if s.classification else None)
+    small = Lake(lake.tables | {base: start.withColumnsRenamed({c: c.removeprefix(f"{base}{SEP}") for c in keys})}, lake.graph, lake.order)
+    chosen, rows = numeric(start, keys), start.count()
+    for batch in budget_batches(lake, base, rows):
+        before = sorted({c.split(SEP, 1)[0] for c in chosen} - {base})
+        joined = join_some(small, base, [*before, *batch], s).persist()
+        new = numeric(joined, [c for c in joined.columns if c.split(SEP, 1)[0] in batch])
+        chosen = selection.random_injection(joined, [*chosen, *new], s.target, regression, rounds, threshold=threshold, seed=seed)
+        joined.unpersist()
+    return chosen
+
+
+def plus_ranking(found: Found, patterns: list[str] | None = None, penalty: float = 0.25) -> dict[str, float]:
+    """Ranks of paths less their share of sensitive features and their length."""
+    patterns = list(SENSITIVE) if patterns is None else patterns
+    risk = {p: sum(is_sensitive(f, patterns) for f in fs) for p, fs in found.features.items()}
+    return {p: selection.rerank(r, risk.get(p, 0), len(found.features.get(p, [])), length(p), penalty) for p, r in found.ranking.items()}
+
+
 def top(found: Found, k: int = 15) -> list[str]:
     return best_paths(found.ranking, k)

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import policy, scalars
+from . import session
+from .functions import columns, policy, scalars
 from .operators import augment, discovery, joins, models, profile, rollups, selection, stats, timeseries
-from .plans import graph, paths, search
+from .plans import graph, ingest, paths, search
+from .sources import lake as lakes
+from .sources import registry, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -362,12 +365,12 @@ ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_
 
 @query(_describe("orders", ORDER_COLUMNS))
 def describe_columns(spark, d):
-    return rounded(profile.describe(read(spark, d, "orders")), "cardinality_ratio")
+    return rounded(profile.describe(read(spark, d, "orders"), approximate=False), "cardinality_ratio")
 
 
 @query(f"SELECT \"column\", cardinality_ratio FROM ({_describe('orders', ORDER_COLUMNS)}) WHERE NOT is_constant ORDER BY 2, 1 LIMIT 3")
 def candidate_join_keys(spark, d):
-    return rounded(profile.candidate_join_keys(read(spark, d, "orders"), 3), "cardinality_ratio")
+    return rounded(profile.candidate_join_keys(read(spark, d, "orders"), 3, approximate=False), "cardinality_ratio")
 
 
 def _profile(table: str, columns: list[str]) -> str:
@@ -376,7 +379,7 @@ def _profile(table: str, columns: list[str]) -> str:
 
 @query(_profile("lineitem", ["l_quantity", "l_extendedprice", "l_discount"]))
 def profile_stats(spark, d):
-    out = profile.numeric_profile(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    out = profile.numeric_profile(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], exact=True)
     return rounded(rounded(out, "mean", "std", "p50", "p95", "p99", places=4), "missing_ratio")
 
 
@@ -426,7 +429,7 @@ def _infer(spark, d):
     tables = {t: df.withColumnsRenamed({c: c.split("_", 1)[1] for c in df.columns}) for t, df in _columns(spark, d).items()}
     profiles = None
     for t, df in tables.items():
-        one = discovery.column_profiles(df, t, {"nationkey": "key of a nation", "custkey": "key of a customer"})
+        one = discovery.column_profiles(df, t, {"nationkey": "key of a nation", "custkey": "key of a customer"}, approximate=False)
         profiles = one if profiles is None else profiles.unionByName(one)
     return discovery.infer_relationships(profiles, discovery.value_jaccard(discovery.all_values(tables)))
 
@@ -452,12 +455,14 @@ def recommend_connections(spark, d):
 
 @query(f"""WITH l AS (SELECT DISTINCT ts FROM events WHERE event_type = 'purchase'), r AS (SELECT DISTINCT ts FROM events WHERE event_type = 'click'),
 n AS (SELECT (SELECT count(*) FROM r) < (SELECT count(*) FROM l) AS swap), a AS (SELECT ts FROM l WHERE NOT (SELECT swap FROM n) UNION ALL SELECT ts FROM r WHERE (SELECT swap FROM n)), b AS (SELECT ts AS u FROM r WHERE NOT (SELECT swap FROM n) UNION ALL SELECT ts FROM l WHERE (SELECT swap FROM n)),
-x AS (SELECT a.ts, u AS back FROM a ASOF LEFT JOIN b ON a.ts >= u), y AS (SELECT a.ts, u AS ahead FROM a ASOF LEFT JOIN b ON a.ts <= u), dd AS (SELECT least(coalesce(epoch_us(ts) - epoch_us(back), 9e18), coalesce(epoch_us(ahead) - epoch_us(ts), 9e18)) / 1e6 AS d FROM x JOIN y USING (ts))
-SELECT {", ".join(f"round(avg((d <= {g})::INT), 6) AS ratio_{g}" for g in discovery.TOLERANCES)}, round(median(d), 4) AS median_delta FROM dd""")
+x AS (SELECT a.ts, u AS back FROM a ASOF LEFT JOIN b ON a.ts >= u), y AS (SELECT a.ts, u AS ahead FROM a ASOF LEFT JOIN b ON a.ts <= u), dd AS (SELECT least(coalesce(epoch_us(ts) - epoch_us(back), 9e18), coalesce(epoch_us(ahead) - epoch_us(ts), 9e18)) / 1e6 AS d FROM x JOIN y USING (ts)),
+rr AS (SELECT {", ".join(f"avg((d <= {g})::INT) AS ratio_{g}" for g in discovery.TOLERANCES)}, round(median(d), 4) AS median_delta FROM dd),
+best AS (SELECT g, ratio FROM ({" UNION ALL ".join(f"SELECT {g} AS g, ratio_{g} AS ratio FROM rr" for g in discovery.TOLERANCES)}) ORDER BY round(abs(ratio - 0.9), 9), g LIMIT 1)
+SELECT {", ".join(f"round(ratio_{g}, 6) AS ratio_{g}" for g in discovery.TOLERANCES)}, median_delta, g AS recommended, round(ratio, 6) AS match_ratio FROM rr, best""")
 def time_alignment(spark, d):
     e = read(spark, d, "events")
     out = discovery.time_alignment(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), "ts", "ts")
-    return rounded(rounded(out, *[f"ratio_{g}" for g in discovery.TOLERANCES]), "median_delta", places=4).drop("recommended", "match_ratio")
+    return rounded(rounded(out, *[f"ratio_{g}" for g in discovery.TOLERANCES], "match_ratio"), "median_delta", places=4)
 
 
 @query()
@@ -465,12 +470,83 @@ def minhash_edges(spark, d):
     return discovery.minhash_edges(discovery.all_values(_columns(spark, d)), 0.5)
 
 
-@query()
+def _cosines() -> str:
+    """Pairs of VALUE_COLUMNS of two tables with the cosine of their encoded names."""
+    rows = []
+    for i, (t, c) in enumerate(VALUE_COLUMNS):
+        for u, e in VALUE_COLUMNS[i + 1 :]:
+            cosine = sum(x * y for x, y in zip(discovery.hashed_ngrams(f"{c} "), discovery.hashed_ngrams(f"{e} "), strict=True))
+            if t != u and cosine >= 0.3:
+                a, z = sorted([(t, c), (u, e)])
+                rows.append(f"('{a[0]}', '{a[1]}', '{z[0]}', '{z[1]}', {cosine!r}::DOUBLE)")
+    return f"(VALUES {', '.join(rows)}) AS k(left_table, left_column, right_table, right_column, cosine)"
+
+
+TYPED = "(VALUES " + ", ".join(f"('{t}', '{c}', (SELECT any_value(typeof({c})) FROM {t}))" for t, c in VALUE_COLUMNS) + ") AS ty(t, c, kind)"
+
+
+@query(f"""WITH {OVERLAP}, j AS (SELECT o.*, common / (p.n + q.n - common) AS jaccard FROM o JOIN z p ON p.t = left_table AND p.c = left_column JOIN z q ON q.t = right_table AND q.c = right_column),
+m AS (SELECT k.*, coalesce(jaccard, 0) AS v, a.kind = b.kind AS same FROM {_cosines()} LEFT JOIN j USING (left_table, left_column, right_table, right_column) JOIN (SELECT * FROM {TYPED}) a ON a.t = left_table AND a.c = left_column JOIN (SELECT * FROM {TYPED}) b ON b.t = right_table AND b.c = right_column)
+SELECT left_table, left_column, right_table, right_column, round(CASE WHEN NOT same OR v <= 0 THEN 0.5 * cosine ELSE 0.5 * cosine + 0.5 * v END, 6) AS score FROM m WHERE NOT same OR v >= 0.2 OR cosine >= 0.92""")
 def schema_matches(spark, d):
     tables = _columns(spark, d)
     return discovery.schema_matches(spark, {t: dict(df.dtypes) for t, df in tables.items()}, discovery.value_jaccard(discovery.all_values(tables)), schema_least=0.3)
 
 
+def timed_lake(spark, d) -> search.Lake:
+    e = read(spark, d, "events").where("ts is not null")
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time")
+    part = lambda kind, name: e.where(f"event_type = '{kind}'").groupBy(seconds).agg(F.max("value").alias(name), F.count(F.lit(1)).alias("n"))
+    return search.Lake({"clicks": part("click", "high"), "purchases": part("purchase", "paid")}, graph.empty(spark), {"clicks": ["high"], "purchases": ["paid"]})
+
+
+TIMED = """cl AS (SELECT epoch_us(ts) // 1000000 AS time, max(value) AS high, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), pu AS (SELECT epoch_us(ts) // 1000000 AS time, max(value) AS paid, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1),
+sw AS (SELECT (SELECT count(*) FROM pu) < (SELECT count(*) FROM cl) AS swap), l AS (SELECT time FROM cl WHERE NOT (SELECT swap FROM sw) UNION ALL SELECT time FROM pu WHERE (SELECT swap FROM sw)), r AS (SELECT time AS u FROM pu WHERE NOT (SELECT swap FROM sw) UNION ALL SELECT time FROM cl WHERE (SELECT swap FROM sw)),
+x AS (SELECT l.time, u AS back FROM l ASOF LEFT JOIN r ON l.time >= u), y AS (SELECT l.time, u AS ahead FROM l ASOF LEFT JOIN r ON l.time <= u), dd AS (SELECT least(coalesce(time - back, 1e18), coalesce(ahead - time, 1e18)) AS d FROM x JOIN y USING (time)),
+al AS (SELECT g, avg((d <= g)::INT) AS ratio FROM dd, (SELECT unnest([1, 5, 10, 30, 60, 120, 300, 600, 1800, 3600]) AS g) GROUP BY g), ch AS (SELECT g, ratio FROM al ORDER BY round(abs(ratio - 0.9), 9), g LIMIT 1), md AS (SELECT median(d) AS m FROM dd)"""
+
+
+@query(f"""WITH {TIMED} SELECT 'temporal_asof' AS relation_type, 'temporal_key' AS join_role, round(0.45 + 0.35 * ratio, 6) AS confidence, round(ratio, 6) AS content_similarity, g::INT AS recommended_tolerance_seconds, round(m, 4) AS median_nearest_delta FROM ch, md
+UNION ALL SELECT 'exact', 'config_key', NULL, NULL, NULL, NULL""")
+def temporal_roles(spark, d):
+    """The time pair with its tolerance, and the role of the pair of columns n."""
+    found = ingest.relationships(timed_lake(spark, d)).where("left_column = right_column")
+    timed = F.col("left_column") == "time"
+    out = found.select("relation_type", "join_role", F.when(timed, F.col("confidence")).alias("confidence"), F.when(timed, F.col("content_similarity")).alias("content_similarity"), F.col("recommended_tolerance_seconds"), F.round("median_nearest_delta", 4).alias("median_nearest_delta"))
+    return out
+
+
+@query(f"WITH {TIMED} SELECT 'asof' AS mode, 'time' AS join_key, g::INT AS tolerance_seconds, 'purchases' AS tables FROM ch")
+def join_plan(spark, d):
+    found = discovery.recommend(ingest.relationships(timed_lake(spark, d)), 0.3)
+    p = discovery.join_plan(found, "clicks", temporal_least=0.3)
+    return spark.createDataFrame([(p["mode"], p["join_key"], p["tolerance_seconds"], ",".join(p["tables"]))], "mode string, join_key string, tolerance_seconds int, tables string")
+
+
+@query(f"WITH {HYBRID} SELECT right_table AS from_id, left_table AS to_id, right_column AS from_column, left_column AS to_column, confidence AS weight FROM rel WHERE confidence >= 0.55 AND join_role = 'exact_key' QUALIFY row_number() OVER (PARTITION BY left_table, right_table, join_role ORDER BY confidence DESC, left_column, right_column) = 1")
+def discovered_edges(spark, d):
+    """What discovery finds goes into the graph."""
+    return graph.upsert(graph.empty(spark), ingest.edges_of(discovery.recommend(_infer(spark, d), 0.55)))
+
+
+@query(f"WITH {HYBRID} SELECT left_table, left_column, right_table, right_column, join_role FROM rel WHERE left_table = 'nation' OR right_table = 'nation'")
+def relationships_of_base(spark, d):
+    return columns.touching(_infer(spark, d), "nation").select("left_table", "left_column", "right_table", "right_column", "join_role")
+
+
+@query(f"SELECT 'orders' AS \"table\", count(*) AS n, min(o_orderkey) AS least FROM (SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 500)")
+def sampled_scan(spark, d):
+    return profile.sampled(read(spark, d, "orders"), 500, ["o_orderdate", "o_orderkey"]).agg(F.lit("orders").alias("table"), F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"))
+
+
+@query("SELECT 'nation' AS \"table\", 'n_name' AS \"column\", len(list_sort(list(DISTINCT n_name))[1:5]) AS n_samples, (SELECT count(*) FROM nation) > 0 AS are_values FROM nation")
+def profile_samples(spark, d):
+    rows = discovery.column_profiles(read(spark, d, "nation"), "nation").where("column = 'n_name'")
+    names = read(spark, d, "nation").agg(F.collect_set("n_name").alias("names"))
+    met = rows.crossJoin(F.broadcast(names))  # one row
+    return met.select("table", "column", F.size("samples").cast("long").alias("n_samples"), (F.size(F.array_except("samples", "names")) == 0).alias("are_values"))
+
+
 # ---- time series ----
 
 SEC = "epoch_us(ts) / 1e6"
@@ -560,13 +636,7 @@ def group_holdout(spark, d):
 @query("WITH t AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= floor(count(*) OVER () * 0.8) AS is_train FROM orders), m AS (SELECT median(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM t WHERE is_train) SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS o_totalprice FROM t, m")
 def scale_train_stats(spark, d):
     rows = timeseries.chronological_split(read(spark, d, "orders"), "o_orderdate", "o_orderkey")
-    return rounded(timeseries.scale_by_train(rows, ["o_totalprice"]).select("o_orderkey", "o_totalprice"), "o_totalprice")
-
-
-@query()
-def masked_imputation_error(spark, d):
-    e = timeseries.mask_cells(read(spark, d, "events"), "value", "event_id", 0.1)
-    return timeseries.imputation_error(timeseries.impute(e, ["value"], "ts", ["user_id"], "linear"), "value")
+    return rounded(timeseries.scale_by_train(rows, ["o_totalprice"], exact=True).select("o_orderkey", "o_totalprice"), "o_totalprice")
 
 
 # ---- scalars ----
@@ -728,12 +798,458 @@ def union_frames(spark, d):
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-# ---- learners and random draws: rows only ----
+# ---- filters by name, sources and sinks ----
+
+
+def staged(spark, d) -> tuple[str, search.Lake]:
+    """nation and region written as CSV files with a connections file, and the lake read from them."""
+    place = session.work_dir(spark, "lake")
+    for name in ("nation", "region"):
+        df = read(spark, d, name)
+        df.coalesce(1).write.option("header", True).csv(f"{place}/{name}.csv")  # a table of tens of rows
+    rows = spark.createDataFrame([("nation", "n_regionkey", "region", "r_regionkey")], "fk_table string, fk_column string, pk_table string, pk_column string")
+    rows.coalesce(1).write.option("header", True).csv(f"{place}/connections")
+    tables = {n: lakes.read_table(spark, f"{place}/{n}.csv") for n in ("nation", "region")}
+    return place, search.Lake(tables, lakes.read_connections(spark, f"{place}/connections"), {"region": ["r_name"]})
+
+
+@query("SELECT n_nationkey, n_name AS nation__n_name, r_name AS region__r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def lake_from_files(spark, d):
+    """Tables and connections from files, prefixed and joined."""
+    _, lk = staged(spark, d)
+    out, _ = search.join_all(lk, "nation", search.Settings("n_nationkey"))
+    return out.select(F.col("n_nationkey").cast("int"), "nation__n_name", "region__r_name")
+
+
+@query("SELECT 'nation' AS from_id, 'region' AS to_id, 'n_regionkey' AS from_column, 'r_regionkey' AS to_column, 1.0::DOUBLE AS weight")
+def connections_file(spark, d):
+    return staged(spark, d)[1].graph
+
+
+@query(f"SELECT from_id, to_id, from_column, to_column, weight::DOUBLE AS weight FROM {_values(LINKS)} WHERE from_id LIKE '%o%' AND to_id LIKE '%o%'")
+def exported_edges(spark, d):
+    return graph.export(graph.edges(spark, LINKS), "o")
+
+
+@query("SELECT * FROM (VALUES ('customer', 'Customer'), ('nation', 'N'), ('orders', 'Orders')) AS t(id, label)")
+def node_upsert(spark, d):
+    old = spark.createDataFrame([("orders", "Orders"), ("nation", "old")], "id string, label string")
+    return graph.upsert_nodes(old, spark.createDataFrame([("nation", "N"), ("customer", "Customer")], "id string, label string"))
+
+
+@query(f"SELECT from_id, to_id, max(weight)::DOUBLE AS weight, CASE WHEN max(made) = 1 THEN 'hybrid' ELSE 'given' END AS method FROM (SELECT *, 0 AS made FROM {_values(LINKS)} UNION ALL SELECT *, 1 FROM {_values(MORE)}) GROUP BY from_id, to_id, from_column, to_column")
+def graph_overlay(spark, d):
+    return graph.overlaid(graph.edges(spark, LINKS), graph.edges(spark, MORE), "hybrid").select("from_id", "to_id", "weight", "method")
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000000 AS time FROM events WHERE event_id % 3 <> 0")
+def timed_table(spark, d):
+    """A time series from a file whose time is text; rows without a time go."""
+    place = session.work_dir(spark, "timed")
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("string")
+    read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit("none")).otherwise(seconds).alias("time")).write.parquet(f"{place}.parquet")
+    return lakes.read_timed(spark, f"{place}.parquet", "time", order=True).select("event_id", "time")
+
+
+@query("SELECT * FROM (VALUES ('b', 'regression', 60::BIGINT)) AS t(label, dataset_type, temporal_tolerance)")
+def dataset_registry(spark, d):
+    place = session.work_dir(spark, "registry")
+    rows = spark.createDataFrame([("a", "x.csv", "x", "y", "binary", 5), ("b", "z.csv", "z", "y", "regression", None)], "base_table_label string, base_table_path string, base_table_name string, target_column string, dataset_type string, temporal_tolerance int")
+    rows.coalesce(1).write.option("header", True).csv(place)
+    return columns.datasets(registry.read_registry(spark, place), problem="regression").select("label", "dataset_type", "temporal_tolerance")
+
+
+@query("WITH r AS (SELECT o_orderpriority AS scenario, o_orderstatus AS approach, count(*) AS n FROM orders GROUP BY ALL) SELECT scenario, approach, n FROM r WHERE scenario IN ('1-URGENT', '2-HIGH') OR scenario = '3-MEDIUM' AND approach = 'F'")
+def results_by_manifest(spark, d):
+    """Summaries of two scenarios, a raw file for a third, and one that the manifest hasn't."""
+    r = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("scenario"), F.col("o_orderstatus").alias("approach")).agg(F.count(F.lit(1)).alias("n_features")).withColumns({"algorithm": F.lit("RF"), "total_time": F.lit(1.0)})
+    raw = r.where("scenario in ('2-HIGH', '3-MEDIUM') and approach = 'F'").withColumnRenamed("scenario", "data_label")
+    summaries = [r.where(f"scenario = '{x}'").drop("algorithm") for x in ("1-URGENT", "2-HIGH", "5-LOW")]
+    out = registry.union_results(summaries, [raw], ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+    return out.select("scenario", "approach", F.col("n_features").alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def augmented_sink(spark, d):
+    """Written under the name that its label and path always have, and read again."""
+    place = session.work_dir(spark, "out")
+    written = sinks.write_augmented(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), place, "orders", PATH)
+    return lakes.read_table(spark, written)
+
+
+@query("SELECT * FROM (VALUES ('BASE', 'a', 0.5::DOUBLE), ('BASE', 'b', 0.25::DOUBLE)) AS t(approach, feature, importance)")
+def result_sinks(spark, d):
+    rows = [{"approach": "BASE", "algorithm": "RF", "score": 0.1, "n_features": 2, "total_time": 1.0, "features": ["a", "b"], "importance": {"a": 0.5, "b": 0.25}}]
+    place = sinks.write_results(spark, rows, session.work_dir(spark, "results"), "x")
+    return spark.read.parquet(place["features"]).select("approach", "feature", "importance")
+
+
+@query(f"WITH {WINDOWS} SELECT user_id, start, len(win) AS n, y FROM w WHERE start % 4 = 0")
+def window_sink(spark, d):
+    place = sinks.write_windows(windows(spark, d), session.work_dir(spark, "windows"), "events")
+    return spark.read.parquet(place).select("user_id", F.col("start").cast("long").alias("start"), F.size("window").cast("long").alias("n"), "y")
+
+
+def _names(kept: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\"" for c in kept.split())
+
+
+def telemetry(spark, d) -> DataFrame:
+    """lineitem under names as telemetry has them."""
+    new = {"l_quantity": "lat95", "l_discount": "lat99", "l_tax": "mean", "l_orderkey": "user_id", "l_linenumber": "n", "l_returnflag": "datetime", "l_partkey": "time"}
+    return read(spark, d, "lineitem").select(*[F.col(c).alias(x) for c, x in new.items()])
+
+
+def listed(spark, df: DataFrame) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in df.columns], "column string")
+
+
+@query(_names("lat99 user_id n datetime time"))
+def strip_target_proxies(spark, d):
+    return listed(spark, columns.strip_target_proxies(telemetry(spark, d), "lat99"))
+
+
+@query(_names("lat95 lat99 mean user_id n time"))
+def strip_time_text(spark, d):
+    return listed(spark, columns.strip_time_text(telemetry(spark, d)))
+
+
+@query(_names("lat95 lat99 mean n datetime time"))
+def drop_identity(spark, d):
+    return listed(spark, columns.drop_identity(telemetry(spark, d), "lat99"))
+
+
+@query(_names("lat95 lat99 mean user_id datetime time"))
+def drop_join_keys(spark, d):
+    return listed(spark, columns.drop_join_keys(telemetry(spark, d), ["time", "n"], "time"))
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_quantity > 10")
+def latency_filter(spark, d):
+    return columns.above(telemetry(spark, d), "lat95", 10).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('time', 'time'), ('ts', 'kpi__ts'), ('nope', NULL)) AS t(key, found)")
+def time_columns(spark, d):
+    names = ["a", "kpi__ts", "other__ts", "time"]
+    return spark.createDataFrame([(k, columns.time_column(names, k)) for k in ("time", "ts", "nope")], "key string, found string")
+
+
+@query("SELECT * FROM (VALUES ('/a/b/c.csv', 'b/c.csv'), ('/a', '.'), ('/z/u/x.csv', 'x.csv')) AS t(path, shown)")
+def shown_paths(spark, d):
+    return spark.createDataFrame([(p, columns.shown_path(p, "/a")) for p in ("/a/b/c.csv", "/a", "/z/u/x.csv")], "path string, shown string")
+
+
+@query("SELECT * FROM (VALUES ('time-private,workload-private', 'y'), ('target-proxy-private', 'lat99'), ('none', 'y')) AS t(policies, target)")
+def inferred_policies(spark, d):
+    cases = [(["time", "N"], "y"), (["a"], "lat99"), (["a"], "y")]
+    return spark.createDataFrame([(",".join(policy.infer_policies(c, t)), t) for c, t in cases], "policies string, target string")
+
+
+@query("SELECT * FROM (VALUES ('kpi__lat95', 1), ('kpi__LAT99', 1), ('kpi__mean', 1), ('kpi__latency', 0), ('kpi__n', 0)) AS t(feature, pattern_risk)")
+def policy_on_joined_names(spark, d):
+    """Columns of a joined table are told by their own name, whatever the prefix and case."""
+    new = {"l_quantity": "kpi__lat95", "l_discount": "kpi__LAT99", "l_tax": "kpi__mean", "l_partkey": "kpi__latency", "l_linenumber": "kpi__n"}
+    rows = read(spark, d, "lineitem").select(*[F.col(c).alias(x) for c, x in new.items()], F.col("l_extendedprice").alias("y"))
+    return selection.score_features(rows, "y", policy.policy_patterns(["target-proxy-private"])).select("feature", "pattern_risk")
+
+
+@query("SELECT * FROM (VALUES ('event_id'), ('value'), ('user_id'), ('props')) AS t(feature)")
+def feature_columns(spark, d):
+    return spark.createDataFrame([(c,) for c in profile.feature_columns(read(spark, d, "events"), "ts", None)], "feature string")
+
+
+# ---- more joins and search ----
+
+
+@query("""WITH l AS (SELECT event_id, epoch_us(ts) * 1000 + event_id % 1000 AS t FROM events WHERE event_type = 'purchase'), r AS (SELECT event_id AS click_id, epoch_us(ts) * 1000 + event_id % 7 AS t FROM events WHERE event_type = 'click')
+SELECT event_id, click_id, l.t - r.t AS d FROM l ASOF LEFT JOIN r ON l.t >= r.t""")
+def asof_nanoseconds(spark, d):
+    """Whole nanoseconds, which doubles can't hold."""
+    e = read(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    left = e.where("event_type = 'purchase'").select("event_id", (F.col("us") * 1000 + F.col("event_id") % 1000).alias("t"))
+    right = e.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), (F.col("us") * 1000 + F.col("event_id") % 7).alias("u"))
+    return joins.asof_join(left, right, "t", "u", direction="backward", order="click_id").select("event_id", "click_id", (F.col("t") - F.col("__right_u")).alias("d"))
+
+
+@query("""WITH l AS (SELECT event_id, epoch_us(ts) // 1000000 AS t FROM events WHERE event_type = 'purchase' UNION ALL SELECT -1, 900000000000000), r AS (SELECT max(event_id) AS click_id, epoch_us(ts) // 1000000 AS t FROM events WHERE event_type = 'click' GROUP BY 2)
+SELECT event_id, click_id FROM l ASOF LEFT JOIN r ON l.t >= r.t""")
+def asof_outlier(spark, d):
+    """One time far from all others."""
+    e = read(spark, d, "events").withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6))
+    left = e.where("event_type = 'purchase'").select("event_id", "t").unionByName(spark.createDataFrame([(-1, 900_000_000_000_000)], "event_id long, t long"))
+    right = e.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("t").alias("u"))
+    return joins.asof_join(left, right, "t", "u", direction="backward", order="click_id").select("event_id", "click_id")
+
+
+REPLAY = """c AS (SELECT epoch_us(ts) // 1000000 AS time, max(value) AS high FROM events WHERE event_type = 'click' GROUP BY 1), p AS (SELECT epoch_us(ts) // 1000000 AS time, max(value) AS paid FROM events WHERE event_type = 'purchase' GROUP BY 1),
+b AS (SELECT p.time, paid, c.time AS bt, high AS bh FROM p ASOF LEFT JOIN c ON p.time >= c.time), a AS (SELECT p.time, c.time AS ft, high AS fh FROM p ASOF LEFT JOIN c ON p.time <= c.time)"""
+
+
+@query(f"WITH {REPLAY} SELECT paid, time AS purchases__time, CASE WHEN coalesce(time - bt, 1e18) <= coalesce(ft - time, 1e18) THEN CASE WHEN time - bt <= 3600 THEN bh END ELSE CASE WHEN ft - time <= 3600 THEN fh END END AS clicks__high FROM b JOIN a USING (time)")
+def temporal_replay(spark, d):
+    """A path whose step is an as-of join on the temporal key."""
+    s = search.Settings("paid", temporal_key="time", tolerance=3600)
+    return search.replay(timed_lake(spark, d), "purchases--purchases|time|time|clicks", s).select("paid", "purchases__time", "clicks__high")
+
+
+@query("""WITH p AS (SELECT epoch_us(ts) // 1000000 AS time, max(value) AS paid FROM events WHERE event_type = 'purchase' GROUP BY 1), c AS (SELECT epoch_us(ts) // 1000000 AS time, max(value) AS high FROM events WHERE event_type = 'click' GROUP BY 1), v AS (SELECT epoch_us(ts) // 1000000 AS time, max(value) AS seen FROM events WHERE event_type = 'view' GROUP BY 1),
+cb AS (SELECT p.time, c.time AS t, high FROM p ASOF LEFT JOIN c ON p.time >= c.time), cf AS (SELECT p.time, c.time AS t, high FROM p ASOF LEFT JOIN c ON p.time <= c.time), vb AS (SELECT p.time, v.time AS t, seen FROM p ASOF LEFT JOIN v ON p.time >= v.time), vf AS (SELECT p.time, v.time AS t, seen FROM p ASOF LEFT JOIN v ON p.time <= v.time)
+SELECT p.time, CASE WHEN coalesce(p.time - cb.t, 1e18) <= coalesce(cf.t - p.time, 1e18) THEN CASE WHEN p.time - cb.t <= 1800 THEN cb.high END ELSE CASE WHEN cf.t - p.time <= 1800 THEN cf.high END END AS clicks__high,
+CASE WHEN coalesce(p.time - vb.t, 1e18) <= coalesce(vf.t - p.time, 1e18) THEN CASE WHEN p.time - vb.t <= 1800 THEN vb.seen END ELSE CASE WHEN vf.t - p.time <= 1800 THEN vf.seen END END AS views__seen
+FROM p JOIN cb USING (time) JOIN cf USING (time) JOIN vb USING (time) JOIN vf USING (time)""")
+def fold_asof_joins(spark, d):
+    e = read(spark, d, "events")
+    part = lambda kind, name: e.where(f"event_type = '{kind}'").groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time")).agg(F.max("value").alias(name))
+    clicks, views = part("click", "high"), part("view", "seen").withColumn("high", F.col("seen"))
+    out = joins.fold_joins(part("purchase", "paid"), {"clicks": clicks, "views": views}, "time", tolerance=1800, order="high")
+    return out.select("time", "clicks__high", "views__seen")
+
+
+def star(spark, d) -> search.Lake:
+    """lineitem between orders and part."""
+    names = ("lineitem", "orders", "part")
+    return search.Lake({n: read(spark, d, n) for n in names}, graph.edges(spark, [e for e in LINKS if e[0] in names and e[1] in names]), {"orders": ["o_orderkey"], "part": ["p_partkey"]})
+
+
+@query("""SELECT 'orders' AS tables, count(o_orderkey) AS orders_met, 0 AS parts_met, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'part', 0, count(p_partkey), count(*) FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT 'orders,part', count(o_orderkey), count(p_partkey), count(*) FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey""")
+def join_sets(spark, d):
+    """Every set of neighbours joined."""
+    out = None
+    for names, df in search.join_sets(star(spark, d), "lineitem", search.Settings("l_extendedprice")).items():
+        met = lambda c, df=df: F.count(c) if c in df.columns else F.lit(0).cast("long")
+        one = df.agg(F.lit(",".join(names)).alias("tables"), met("orders__o_orderkey").alias("orders_met"), met("part__p_partkey").alias("parts_met"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT * FROM (VALUES (0, 'orders'), (1, 'part')) AS t(batch, name)")
+def budget_batches(spark, d):
+    return spark.createDataFrame([(i, n) for i, b in enumerate(search.budget_batches(star(spark, d), "lineitem", 5)) for n in b], "batch int, name string")
 
 
 @query()
+def budget_join(spark, d):
+    return spark.createDataFrame([(f,) for f in search.budget_join(star(spark, d), "lineitem", search.Settings("l_extendedprice", sample=500), rounds=1)], "feature string")
+
+
+@query("SELECT * FROM (VALUES ('a--a|k|k|b', 1, 0.74::DOUBLE), ('a--a|k|k|c', 2, 0.615::DOUBLE)) AS t(path, place, rank)")
+def reranked_paths(spark, d):
+    found = search.Found({"a": 0.0, "a--a|k|k|b": 0.75, "a--a|k|k|c": 0.75}, {"a--a|k|k|b": ["b__x"], "a--a|k|k|c": ["c__x", "c__user_id"]}, [])
+    ranking = search.plus_ranking(found)
+    return spark.createDataFrame([(p, i + 1, ranking[p]) for i, p in enumerate(paths.best_paths(ranking))], "path string, place int, rank double")
+
+
+@query("SELECT * FROM (VALUES ('a--a|k|k|b', 0), ('a--a|k|k|b--b|j|j|c', 1), ('a--a|k|k|d', 2)) AS t(path, place)")
+def top_paths(spark, d):
+    ranking = {"a": 0.95, "a--a|k|k|d": 0.5, "a--a|k|k|b--b|j|j|c": 0.9, "a--a|k|k|b": 0.9, "a--a|k|k|e": 0.1}
+    return spark.createDataFrame([(p, i) for i, p in enumerate(paths.best_paths(ranking, 4))], "path string, place int")
+
+
+@query("SELECT * FROM (VALUES ('a', 'k', 'l', 'b', 1), ('b', 'm', 'n', 'c', 2)) AS t(source, source_column, target_column, target, step)")
+def path_steps(spark, d):
+    name = paths.extend(paths.extend("a", paths.Step("a", "k", "l", "b")), paths.Step("b", "m", "n", "c"))
+    return spark.createDataFrame([(x.source, x.source_column, x.target_column, x.target, i + 1) for i, x in enumerate(paths.parse(name)[1])], "source string, source_column string, target_column string, target string, step int")
+
+
+# ---- more statistics ----
+
+
+def _triples(name: str, columns: list[str], other: str, source: str = "i") -> str:
+    return f"{name} AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS x, {other}::DOUBLE AS y, y::DOUBLE AS z FROM {source}" for c in columns) + ")"
+
+
+_CMI = lambda s: f"{_entropy(f'{s}xz', 'x, z', s)}, {_entropy(f'{s}yz', 'y, z', s)}, {_entropy(f'{s}xyz', 'x, y, z', s)}, {_entropy(f'{s}z', 'z', s)}, {s}cmi AS (SELECT feature, {s}xz.h + {s}yz.h - {s}xyz.h - {s}z.h AS cmi FROM {s}xz JOIN {s}yz USING (feature) JOIN {s}xyz USING (feature) JOIN {s}z USING (feature))"
+
+
+@query(f"WITH {ITEM}, {BINNED}, {_pairs(ITEMS[1:], 'y', 'b', 't')}, {_pairs(ITEMS[1:], 'l_quantity', 'b', 's')}, {_MI('t')}, {_MI('s')}, {_triples('g', ITEMS[1:], 'l_quantity')}, {_CMI('g')} SELECT feature, round(tmi.mi - smi.mi + gcmi.cmi, 6) AS score FROM tmi JOIN smi USING (feature) JOIN gcmi USING (feature)")
+def jmi_scores(spark, d):
+    return rounded(stats.redundancy(items(spark, d), ["l_quantity"], ITEMS[1:], "y", joint=True, parity=False).select("feature", "score"), "score")
+
+
+@query(f"WITH {ITEM}, {_pairs(ITEMS[1:], 'y', 'i', 't')}, {_pairs(ITEMS[1:], 'l_quantity', 'i', 's')}, {_MI('t')}, {_MI('s')}, {_triples('g', ITEMS[1:], 'l_quantity')}, {_CMI('g')} SELECT feature, round(tmi.mi - (smi.mi - gcmi.cmi), 6) AS score FROM tmi JOIN smi USING (feature) JOIN gcmi USING (feature)")
+def cmim_scores(spark, d):
+    return rounded(stats.conditional_redundancy(items(spark, d), ["l_quantity"], ITEMS[1:], "y", parity=False).select("feature", "score"), "score")
+
+
+def _given(columns: list[str], other: str) -> str:
+    return f"g{other} AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS x, y::DOUBLE AS y, {other}::DOUBLE AS z FROM i" for c in columns if c != other) + ")"
+
+
+@query(f"WITH {ITEM}, {', '.join(_given(ITEMS[1:], o) for o in ITEMS[1:])}, {', '.join(_CMI(f'g{o}') for o in ITEMS[1:])}, u AS ({' UNION ALL '.join(f'SELECT * FROM g{o}cmi' for o in ITEMS[1:])}) SELECT feature, round(avg(cmi), 6) AS score FROM u GROUP BY 1 HAVING round(avg(cmi), 9) > 0")
+def group_redundancy(spark, d):
+    return rounded(stats.group_redundancy(items(spark, d), ITEMS[1:], "y"), "score")
+
+
+@query(f"WITH {ORDER_CHAIN}, {UNPIVOT}, {RANKS}, {SCORED} SELECT round(avg(score), 4) AS score FROM s WHERE score > 0 AND score < 1")
+def path_score(spark, d):
+    found = [r.score for r in stats.relevance(chain(spark, d), CHAIN, "y").collect()]  # a row a feature
+    return rounded(spark.createDataFrame([(stats.path_score(found, None),)], "score double"), "score", places=4)
+
+
+@query(f"WITH {ITEM}, {BINNED}, {_pairs(ITEMS[1:], 'y', 'b', 't')}, {_pairs(ITEMS[1:], 'l_quantity', 'b', 's')}, {_MI('t')}, {_MI('s')}, m AS (SELECT feature, round(tmi.mi - smi.mi, 9) AS raw FROM tmi JOIN smi USING (feature)), n AS (SELECT feature, (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) AS score FROM m) SELECT feature, round(score, 4) AS score FROM n WHERE score > 0")
+def mrmr_normalised(spark, d):
+    return rounded(stats.redundancy(items(spark, d), ["l_quantity"], ITEMS[1:], "y").select("feature", "score"), "score", places=4)
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer ORDER BY md5('0:' || c_custkey::VARCHAR), c_custkey LIMIT 100")
+def base_sample(spark, d):
+    """A seeded sample of the base table; the sampling is the operator."""
+    return search.base_sample(read(spark, d, "customer").select("c_custkey", "c_nationkey"), 100, ["c_custkey"])
+
+
+def _noise(part: float, seed: int) -> str:
+    import random
+
+    r = random.Random(seed)
+    z = [r.gauss(0, 1) / (len(ITEMS) - 1) ** 0.5 for _ in ITEMS]
+    mean = f"(({' + '.join(ITEMS)}) / {len(ITEMS)})"
+    return f"{mean} + " + " + ".join(f"({c} - {mean}) * {w!r}::DOUBLE" for c, w in zip(ITEMS, z, strict=True))
+
+
+@query(f"WITH {ITEM} SELECT round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(corr(x, l_quantity), 4) AS corr FROM (SELECT {_noise(0.2, 7)} AS x, l_quantity FROM i)")
+def noise_columns(spark, d):
+    """Random columns with the rows' mean and covariance."""
+    out, names = selection.inject_noise(items(spark, d), ITEMS, 0.2, 7)
+    return rounded(out.agg(F.avg(names[0]).alias("mean"), F.stddev(names[0]).alias("std"), F.corr(names[0], "l_quantity").alias("corr")), "mean", "std", "corr", places=4)
+
+
+# ---- more time series and augmentation ----
+
+UNIT = lambda seed, *parts: f"((('0x' || substr(md5('{seed}' || {' || '.join(chr(39) + ':' + chr(39) + ' || ' + p for p in parts)}), 1, 12))::BIGINT + 0.5) / {float(1 << 48)!r}::DOUBLE)"
+
+
+@query(f"WITH t AS (SELECT *, value IS NOT NULL AND {UNIT(7, 'event_id::VARCHAR')} < 0.1 AS hide FROM events), w AS (SELECT *, CASE WHEN hide THEN NULL ELSE value END AS v, epoch_us(ts) / 1e6 AS s FROM t), p AS (SELECT *, CASE WHEN v IS NOT NULL THEN s END AS k FROM w), x AS (SELECT hide, value, s, v, last_value(v IGNORE NULLS) OVER b AS bv, last_value(k IGNORE NULLS) OVER b AS bt, first_value(v IGNORE NULLS) OVER f AS av, first_value(k IGNORE NULLS) OVER f AS aft FROM p WINDOW b AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), e AS (SELECT value, coalesce(bv + (av - bv) * (s - bt) / nullif(aft - bt, 0), bv, av) - value AS e FROM x WHERE hide) SELECT count(e) AS n, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e / nullif(value, 0))), 4) AS mape FROM e WHERE e IS NOT NULL")
+def masked_imputation_error(spark, d):
+    e = timeseries.mask_cells(read(spark, d, "events"), "value", "event_id", 0.1)
+    return rounded(timeseries.imputation_error(timeseries.impute(e, ["value"], "ts", ["user_id"], "linear"), "value"), "mae", "rmse", "mape", places=4)
+
+
+@query(f"WITH r AS (SELECT c_custkey, {UNIT(42, 'c_custkey::VARCHAR')} AS u FROM customer) SELECT c_custkey, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS part FROM r")
+def seeded_split(spark, d):
+    return timeseries.seeded_split(read(spark, d, "customer"), "c_custkey", {"train": 0.7, "validation": 0.15, "test": 0.15}).select("c_custkey", "part")
+
+
+def _poisson(ratio: float, u: str) -> str:
+    import math
+
+    term, below, out = math.exp(-ratio), 0.0, []
+    for k in range(12):
+        below += term
+        out.append(f"({u} >= {below!r}::DOUBLE)::INT")
+        term *= ratio / (k + 1)
+    return " + ".join(out)
+
+
+AUGMENTED = f"o AS (SELECT o_orderkey, o_totalprice, o_custkey::DOUBLE AS o_custkey, {_poisson(0.5, UNIT(42, 'o_orderkey::VARCHAR'))} AS n FROM orders), g AS (SELECT *, unnest(range(1, n + 1)) AS copy FROM o), k AS (SELECT *, o_orderkey::VARCHAR || '#' || copy::VARCHAR AS key FROM g)"
+
+
+def _augmented(spark, d, kind):
+    rows = read(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
+    return rounded(augment.augment_rows(rows, ["o_totalprice", "o_custkey"], "o_orderkey", kind, strength=0.3).where("is_synthetic").drop("is_synthetic"), "o_totalprice", "o_custkey", places=3)
+
+
+@query(f"WITH {AUGMENTED}, s AS (SELECT stddev_samp(o_totalprice) AS a, stddev_samp(o_custkey) AS b FROM orders) SELECT o_orderkey, round(o_totalprice + sqrt(-2 * ln({UNIT(44, 'key')})) * cos(2 * 3.141592653589793 * {UNIT(45, 'key')}) * 0.3 * a, 3) AS o_totalprice, round(o_custkey + sqrt(-2 * ln({UNIT(51, 'key')})) * cos(2 * 3.141592653589793 * {UNIT(52, 'key')}) * 0.3 * b, 3) AS o_custkey FROM k, s")
 def augmented_rows(spark, d):
-    return augment.augment_rows(read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount"), ["l_quantity", "l_discount"], "l_orderkey", "jitter")
+    return _augmented(spark, d, "jitter")
+
+
+@query(f"WITH {AUGMENTED} SELECT o_orderkey, round(o_totalprice * (1 + 0.3 * sqrt(-2 * ln({UNIT(44, 'key')})) * cos(2 * 3.141592653589793 * {UNIT(45, 'key')})), 3) AS o_totalprice, round(o_custkey * (1 + 0.3 * sqrt(-2 * ln({UNIT(51, 'key')})) * cos(2 * 3.141592653589793 * {UNIT(52, 'key')})), 3) AS o_custkey FROM k")
+def augmented_scaling(spark, d):
+    return _augmented(spark, d, "scaling")
+
+
+@query(f"WITH {AUGMENTED}, f AS (SELECT *, floor({UNIT(45, 'key')} * 2) AS first FROM k) SELECT o_orderkey, CASE WHEN first <> 0 THEN round(o_totalprice, 3) END AS o_totalprice, CASE WHEN first <> 1 THEN o_custkey END AS o_custkey FROM f")
+def augmented_time_mask(spark, d):
+    return _augmented(spark, d, "time_mask")
+
+
+@query(f"WITH {AUGMENTED} SELECT o_orderkey, CASE WHEN {UNIT(46, 'key')} >= 0.3 THEN round(o_totalprice, 3) END AS o_totalprice, CASE WHEN {UNIT(47, 'key')} >= 0.3 THEN o_custkey END AS o_custkey FROM k")
+def augmented_magnitude_mask(spark, d):
+    return _augmented(spark, d, "magnitude_mask")
+
+
+@query(f"WITH {WINDOWS}, k AS (SELECT user_id, start, win, user_id::VARCHAR || '_' || start::VARCHAR AS key FROM w WHERE start % 4 = 0), f AS (SELECT *, floor({UNIT(42, 'key')} * 13) AS first FROM k) SELECT user_id, start, round(list_sum([CASE WHEN i - 1 < first OR i - 1 >= first + 4 THEN win[i] END FOR i IN range(1, 17)]), 4) AS total FROM f")
+def augmented_windows(spark, d):
+    """A run of a quarter of each window blanked."""
+    rows = windows(spark, d).withColumn("key", F.concat_ws("_", F.col("user_id").cast("string"), F.col("start").cast("string")))
+    total = F.aggregate("window", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return augment.augment_windows(rows, "window", "key", "time_mask", 0.25).select("user_id", F.col("start").cast("long").alias("start"), F.round(total, 4).alias("total"))
+
+
+@query(f"WITH {WINDOWS}, k AS (SELECT user_id, start, win, user_id::VARCHAR || '_' || start::VARCHAR AS key FROM w WHERE start % 4 = 0) SELECT user_id, start, round(list_sum(win) * (1 + 0.05 * sqrt(-2 * ln({UNIT(42, 'key')})) * cos(2 * 3.141592653589793 * {UNIT(43, 'key')})), 3) AS total FROM k")
+def scaled_windows(spark, d):
+    rows = windows(spark, d).withColumn("key", F.concat_ws("_", F.col("user_id").cast("string"), F.col("start").cast("string")))
+    total = F.aggregate("window", F.lit(0.0), lambda s, x: s + x)
+    return augment.augment_windows(rows, "window", "key", "scaling").select("user_id", F.col("start").cast("long").alias("start"), F.round(total, 3).alias("total"))
+
+
+@query("WITH t AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= floor(count(*) OVER () * 0.8) AS is_train, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS x FROM orders), m AS (SELECT median(x) AS m FROM t WHERE is_train) SELECT o_orderkey, round(coalesce(x, m), 6) AS x FROM t, m")
+def fill_train_median(spark, d):
+    rows = timeseries.chronological_split(read(spark, d, "orders"), "o_orderdate", "o_orderkey").withColumn("x", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")))
+    return rounded(timeseries.fill_train_median(rows, ["x"], exact=True).select("o_orderkey", "x"), "x")
+
+
+@query(f"WITH {DELTAS}, q AS (SELECT user_id, min({SEC}) AS time_start, max({SEC}) AS time_end, round(median(delta), 4) AS delta_median, quantile_cont(delta, 0.95) AS p FROM g GROUP BY 1) SELECT q.user_id, round(time_start, 4) AS time_start, round(time_end, 4) AS time_end, delta_median, round(p, 4) AS delta_p95, (SELECT count(*) FROM g WHERE g.user_id = q.user_id AND delta > p) AS large_gaps FROM q")
+def time_profile(spark, d):
+    out = timeseries.time_profile(read(spark, d, "events"), "ts", ["user_id"], exact=True)
+    return rounded(out, "time_start", "time_end", "delta_median", "delta_p95", places=4)
+
+
+@query("WITH g AS (SELECT event_id, ts, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (ORDER BY ts, event_id) AS delta FROM events) SELECT event_id, (1 + sum((coalesce(delta, 0) > 600)::INT) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS segment FROM g")
+def gap_segments_of_table(spark, d):
+    """One series of the whole table."""
+    return timeseries.gap_segments(read(spark, d, "events"), "ts", [], 600, "event_id").select("event_id", "segment")
+
+
+@query("SELECT p_brand, CASE p_brand WHEN 'Brand#2' THEN 1 WHEN 'Brand#1' THEN 2 ELSE 3 END AS place FROM (SELECT DISTINCT p_brand FROM part)")
+def ordered_names(spark, d):
+    return rollups.ordered(read(spark, d, "part").select("p_brand").distinct(), "p_brand", ["Brand#2", "Brand#1"]).select("p_brand", F.col("place").cast("int").alias("place"))
+
+
+@query("SELECT user_id, list_sort(list(value)) [1] AS least, count(*) AS n FROM events GROUP BY 1")
+def tensor_rows(spark, d):
+    """Rows of a group as one array, in order."""
+    return models.tensor(read(spark, d, "events"), ["user_id"], "value", ["value"]).select("user_id", F.get("tensor", F.lit(0)).alias("least"), F.size("tensor").cast("long").alias("n"))
+
+
+# ---- more scalars ----
+
+
+@query("SELECT * FROM (VALUES ('60', 60.0::DOUBLE), ('5min', 300.0::DOUBLE), ('200ms', 0.2::DOUBLE), ('1h', 3600.0::DOUBLE), ('1d', 86400.0::DOUBLE), ('-3', NULL), ('x', NULL)) AS t(text, seconds)")
+def tolerances(spark, d):
+    return spark.createDataFrame([(t, scalars.tolerance_seconds(t)) for t in ("60", "5min", "200ms", "1h", "1d", "-3", "x")], "text string, seconds double")
+
+
+@query("SELECT * FROM (VALUES ('l_extendedprice', 'regression'), ('l_returnflag', 'multiclass'), ('l_linenumber', 'multiclass')) AS t(target, problem)")
+def problem_types(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("l_returnflag", F.col("l_returnflag"))
+    return spark.createDataFrame([(c, profile.problem_type(rows, c)) for c in ("l_extendedprice", "l_returnflag", "l_linenumber")], "target string, problem string")
+
+
+@query("SELECT * FROM (VALUES ('events', 'ts'), ('nation', NULL)) AS t(name, key)")
+def temporal_keys(spark, d):
+    return spark.createDataFrame([(n, profile.temporal_key(read(spark, d, n))) for n in ("events", "nation")], "name string, key string")
+
+
+@query("SELECT 0 AS errors, 0 AS warnings, 'regression' AS problem_type")
+def diagnosis(spark, d):
+    found = profile.diagnose(read(spark, d, "orders"), "o_totalprice")
+    return spark.createDataFrame([(len(found["errors"]), len(found["warnings"]), found["problem_type"])], "errors int, warnings int, problem_type string")
+
+
+@query("SELECT * FROM (VALUES ('XGB', 'XGBoost'), ('RF', 'RandomForest'), ('Other', 'Other')) AS t(short, name)")
+def algorithm_names(spark, d):
+    return spark.createDataFrame([("XGB",), ("RF",), ("Other",)], "short string").select("short", scalars.algorithm_name(F.col("short")).alias("name"))
+
+
+@query("""SELECT substr(sha1('{"a": 1, "b": "x"}'), 1, 12) AS id""")
+def run_ids(spark, d):
+    return spark.createDataFrame([(scalars.run_id(b="x", a=1),)], "id string")
+
+
+# ---- learners and random draws: rows only ----
 
 
 @query()

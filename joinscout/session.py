@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +16,15 @@ def build(app: str = "joinscout", master: str | None = None, **conf: str) -> Spa
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new place under the folder that driver and executors share (spark.checkpoint.dir); on a local master without one a temporary folder."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="joinscout-")
+        sc.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/joinscout/{name}-{uuid.uuid4().hex[:12]}"

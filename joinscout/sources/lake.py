@@ -62,12 +62,13 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     """The rows of an ARFF file, columns as text named by its attributes."""
     lines = spark.read.text(path).where("trim(value) <> '' and not value like '%\\%%' escape '\\\\' or value like '@%'")
     names = [r.value.split(None, 2)[1].strip("'\"") for r in lines.where("lower(value) like '@attribute%'").collect()]
-    rows = lines.where("not value like '@%'").select(F.split("value", ",").alias("v"))
-    return rows.select(*[F.trim(F.regexp_replace(F.get("v", F.lit(i)), r"^b?['\"]|['\"]$", "")).alias(n) for i, n in enumerate(names)])
+    text = ", ".join(f"`{n}` string" for n in names)
+    quote = F.regexp_replace("value", r"(?<![\\w])b?'((?:[^'\\\\]|\\\\.)*)'", '"$1"')  # values in single quotes may hold commas
+    rows = lines.where("not value like '@%'").select(F.from_csv(quote, text, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("v"))
+    return rows.select("v.*")
 
 
-def wide_from_files(spark: SparkSession, folder: str, pattern: str, keys: list[str], label: str = "subcarrier") -> DataFrame:
-    """Files of one number a line to one row a file: keys from the file name, a column a line."""
+def wide_from_files(spark: SparkSession, folder: str, pattern: str, keys: list[str], label: str = "subcarrier", width: int = 200) -> DataFrame:
+    """Files of one number a line to one row a file: keys from the file name, and a column for each of the first `width` lines (null where a file has fewer)."""
     rows = spark.read.text(folder, recursiveFileLookup=True, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("v"))
-    named = rows.select(*[F.regexp_extract("path", pattern, i + 1).alias(k) for i, k in enumerate(keys)], F.posexplode("v").alias("pos", "x"))
-    return named.groupBy(*keys).pivot("pos").agg(F.first(F.col("x").try_cast("double"))).withColumnsRenamed({}).transform(lambda d: d.select(*keys, *[F.col(c).alias(f"{label}_{c}") for c in d.columns if c not in keys]))
+    return rows.select(*[F.regexp_extract("path", pattern, i + 1).alias(k) for i, k in enumerate(keys)], *[F.get("v", F.lit(i)).try_cast("double").alias(f"{label}_{i}") for i in range(width)])

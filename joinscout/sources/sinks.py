@@ -53,3 +53,10 @@ def append_upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "r
 
 def write_json(spark: SparkSession, data: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(data, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_windows(windows: DataFrame, folder: str, label: str) -> str:
+    """Windows and predictions with their arrays, as Parquet."""
+    place = f"{folder.rstrip('/')}/{label}_windows.parquet"
+    windows.write.mode("overwrite").parquet(place)
+    return place
