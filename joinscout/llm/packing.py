@@ -9,6 +9,7 @@ of the whole, or a round gains nothing. A result is kept only if it has fewer se
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .tokens import encoder
 
-#: Pieces a partition packs at a time, and rounds of exchange at most.
-PART, ROUNDS = 20_000, 6
+#: Pieces a partition packs at a time.
+PART = 20_000
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -63,11 +64,13 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 @dataclass
 class Packed:
-    """pieces: uid and the document's columns; placements: uid, sequence_id, offset; certificate: one row a round."""
+    """pieces: uid and the document's columns; placements: uid, sequence_id, offset; certificate: one row a round; sequences used, and the bound that no packing is below."""
 
     pieces: DataFrame
     placements: DataFrame
     certificate: list[dict]
+    sequences: int
+    bound: int
 
     def frame(self) -> DataFrame:
         return self.pieces.join(self.placements, "uid")
@@ -145,7 +148,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacit
     certificate: list[dict] = []
     best = None  # the round kept for the pool, and its sequences
     kept_bins = 0
-    for step in range(ROUNDS):
+    for step in itertools.count():  # each round but the last saves a sequence, so it ends
         if not n:
             break
         parts = max(1, -(-n // PART))
@@ -174,10 +177,11 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacit
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
-    return Packed(pieces, out, certificate)
+    full = whole.count()
+    return Packed(pieces, out, certificate, full + kept_bins + (best[1] if best is not None and n else 0), full + total_bound)
 
 
 def _sequences(packed: DataFrame, step: int) -> DataFrame:
     """Sequences of packed parts are even numbers made of round, part and bin."""
-    number = F.shiftleft(F.lit(step).cast("long"), 56) + F.shiftleft(F.col("part"), 28) + F.col("bin")
+    number = F.shiftleft(F.lit(step).cast("long"), 44) + F.shiftleft(F.col("part"), 18) + F.col("bin")
     return packed.select("uid", (number * 2).alias("sequence_id"), "offset")

@@ -41,7 +41,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(spark, read(spark, sf_dir, "documents"), default_tokenizer(), 2048, 0)
     digests = packed.pieces.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return digests.join(packed.placements, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return digests.join(packed.placements, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.lit(packed.sequences).alias("sequences"), F.lit(packed.bound).alias("lower_bound"))
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
