@@ -3,7 +3,8 @@
 Shards are files of bounded size in the shared folder, each with its vectors in the order of a ball tree's leaves and the
 nodes' centres and radii. A search task holds a block of queries and goes over the shards; a node can hold no
 score above q.c + |q| r, so children are visited in falling order of that bound and left out where it is below the query's current k-th
-score, which goes along from leaf to leaf and from shard to shard.
+score, which goes along from leaf to leaf and from shard to shard. Shards hold neighbouring vectors and are opened in falling order of the bound of
+their root, which stands in the manifest; those that can't have a better score for any query of the block aren't opened.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .sstable import _filesystem
 
 #: Vectors a shard and a leaf, queries a block, and depth down to which each query has its own order of children.
 SHARD, LEAF, BLOCK, OWN_ORDER = 16_384, 128, 256, 3
+#: Centres that vectors are dealt to shards by, and sampled vectors for each.
+CELLS, SAMPLED = 1024, 16
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
@@ -29,13 +32,13 @@ def quantised(vector: Column, scale: float = 64.0) -> Column:
     return F.when(good, F.transform(wide, lambda x: F.floor(F.lit(scale) * x).cast("long")))
 
 
-def matrix(column) -> np.ndarray:
+def matrix(column, kind: type = np.int64) -> np.ndarray:
     """An Arrow column of lists as a matrix; shorter vectors are filled up with zeros."""
     lengths = np.diff(column.offsets.to_numpy())
     values = column.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(column), int(lengths.max()) if len(lengths) else 0), np.int64)
+    out = np.zeros((len(column), int(lengths.max()) if len(lengths) else 0), kind)
     if len(lengths) and (lengths == out.shape[1]).all():
-        return values.reshape(out.shape).astype(np.int64)
+        return values.reshape(out.shape).astype(kind)
     out[np.arange(out.shape[1]) < lengths[:, None]] = values
     return out
 
@@ -143,11 +146,56 @@ class Search:
         self.score[who], self.found[who] = np.take_along_axis(s, take, 1), np.take_along_axis(i, take, 1)
 
 
-def write_trees(spark: SparkSession, vectors: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Ball trees of vectors(id, v) as files in the shared folder; returns the manifest (path, n)."""
+def centres_of(sample: np.ndarray, cells: int) -> np.ndarray:
+    """At most `cells` centres of a sample, by halving it along its widest axis again and again."""
+    todo, out = [sample.astype(np.float64)], []
+    while todo:
+        part = todo.pop(0)
+        if len(part) < 2 or len(todo) + len(out) + 1 >= cells:
+            out.append(part.mean(0))
+            continue
+        axis = int(np.argmax(part.var(0))) if part.shape[1] else 0
+        order = np.argsort(part[:, axis], kind="stable") if part.shape[1] else np.arange(len(part))
+        todo += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+    return np.array(out)
+
+
+def nearest_cell(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """vectors(id, v) and the number of the centre that each is nearest to."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                x = matrix(part.column("v")).astype(np.float64)
+                width = max(x.shape[1], centres.shape[1])
+                c = np.pad(centres, ((0, 0), (0, width - centres.shape[1])))
+                x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+                cell = np.argmin((c * c).sum(1) - 2 * (x @ c.T), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(cell.astype(np.int32))], names=["id", "v", "cell"])
+
+    return vectors.mapInArrow(run, "id long, v array<long>, cell int")
+
+
+def write_trees(spark: SparkSession, vectors: DataFrame, shard: int = SHARD) -> tuple[DataFrame, np.ndarray]:
+    """Ball trees of vectors(id, v) as files in the shared folder: the manifest (path, n, centre, radius), a row a tree, and the centres the trees were dealt by.
+
+    Vectors are dealt by the nearest of at most CELLS centres of a bounded sample, so a tree lies together in space; a cell of more vectors than a shard has
+    is cut by hash. The centres only decide what lies where: bounds make every answer exact whatever they are.
+    """
     scratch = Scratch(spark, "balltree")
     folder = scratch.folder("trees")
-    parts = max(1, -(-vectors.count() // shard))
+    cells = max(1, min(CELLS, -(-vectors.count() // shard)))
+    found = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLED * cells).select("v").collect() if cells > 1 else []  # at most SAMPLED * CELLS vectors
+    width = max((len(r.v) for r in found), default=0)
+    centres = centres_of(np.array([[*r.v, *[0] * (width - len(r.v))] for r in found], np.float64).reshape(len(found), width), cells) if found else np.zeros((1, 0))
+    dealt = scratch.save(nearest_cell(vectors, centres), "cells")
+    sizes = dealt.groupBy("cell").count().collect()  # at most CELLS rows
+    cuts = F.create_map(*[F.lit(x) for r in sizes for x in (r.cell, -(-r["count"] // shard))]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    dealt = dealt.withColumn("cut", F.pmod(F.xxhash64("id", F.lit(2)), F.element_at(cuts, F.col("cell"))).cast("int"))
+    parts = max(1, sum(-(-r["count"] // shard) for r in sizes))
 
     def run(batches):
         import pyarrow as pa
@@ -156,6 +204,7 @@ def write_trees(spark: SparkSession, vectors: DataFrame, shard: int = SHARD) ->
         files.create_dir(root, recursive=True)
         ids: list[np.ndarray] = []
         rows: list[np.ndarray] = []
+        at_cell = None
 
         def flush():
             width = max(r.shape[1] for r in rows)
@@ -163,33 +212,40 @@ def write_trees(spark: SparkSession, vectors: DataFrame, shard: int = SHARD) ->
             name = f"{uuid.uuid4().hex}.npz"
             with files.open_output_stream(f"{root}/{name}") as f:
                 f.write(tree.to_bytes())
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(tree.ids)])], names=["path", "n"])
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.float64())
+            values = (f"{folder}/{name}", len(tree.ids), tree.centres[0].tolist(), float(tree.radii[0]))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["path", "n", "centre", "radius"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, shard):
-                part = batch.slice(at, shard)
-                if ids and sum(map(len, ids)) + part.num_rows > 2 * shard:
+            place = np.stack([batch.column(c).to_numpy() for c in ("cell", "cut")], 1)
+            edges = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for first, end in zip(edges[:-1], edges[1:], strict=True):
+                if first == end:
+                    continue
+                if ids and (tuple(place[first]) != at_cell or sum(map(len, ids)) + end - first > 2 * shard):
                     yield flush()
                     ids, rows = [], []
-                ids.append(part.column("id").to_numpy())
-                rows.append(matrix(part.column("v")))
+                at_cell = tuple(place[first])
+                ids.append(batch.column("id").slice(first, end - first).to_numpy())
+                rows.append(matrix(batch.column("v").slice(first, end - first)))
         if ids:
             yield flush()
 
-    return scratch.save(vectors.repartition(parts, F.xxhash64("id")).mapInArrow(run, "path string, n long"), "manifest")
+    trees = dealt.repartition(parts, "cell", "cut").sortWithinPartitions("cell", "cut", "id").mapInArrow(run, "path string, n long, centre array<double>, radius double")
+    return scratch.save(trees, "manifest"), centres
 
 
-def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, block: int = BLOCK, report: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query over all vectors but those of its own id.
 
     vectors and queries have id and v (whole numbers); rows with a null in either take no part. Ties go to the smaller id; with fewer than
     k others all are returned. Vectors of different length are compared as if filled up with zeros. Of rows that repeat an id each is a
-    candidate, and each such query has its own answer. Empty tables give an empty result.
+    candidate, and each such query has its own answer. Empty tables give an empty result. With `report` a last column `shards` says how many trees the query's block opened.
     """
     good = F.col("id").isNotNull() & F.col("v").isNotNull()
-    manifest = write_trees(spark, vectors.where(good).select(F.col("id").cast("long").alias("id"), "v"), shard)
+    manifest, centres = write_trees(spark, vectors.where(good).select(F.col("id").cast("long").alias("id"), "v"), shard)
     place = manifest.scratch_path
-    asked = queries.where(good).select(F.col("id").cast("long").alias("id"), "v")
+    asked = nearest_cell(queries.where(good).select(F.col("id").cast("long").alias("id"), "v"), centres)
     parts = max(1, -(-asked.count() // block))
 
     def run(batches):
@@ -198,18 +254,30 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
         files, root = _filesystem(place)
         shards = pq.read_table(root, filesystem=files)
-        paths = sorted(shards.column("path").to_pylist()) if shards.num_rows else []
+        paths, radii = shards.column("path").to_pylist(), shards.column("radius").to_numpy()
+        roots = matrix(shards.column("centre").combine_chunks(), np.float64) if len(paths) else np.zeros((0, 0))
         for batch in batches:
             for at in range(0, batch.num_rows, 2 * block):
                 part = batch.slice(at, 2 * block)
                 search = Search(part.column("id").to_numpy(), matrix(part.column("v")), k)
-                for path in paths:
-                    with files.open_input_file(_filesystem(path)[1]) as f:
+                width = max(search.q.shape[1], roots.shape[1])
+                q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (search.q.astype(np.float64), roots))
+                bound = q @ c.T + search.norm[:, None] * radii
+                bound = np.floor(bound + 1e-6 * (1 + np.abs(bound)))  # as Search.bound, with room for rounding
+                opened = 0
+                for i in np.argsort(-bound.max(0), kind="stable").tolist():
+                    if (bound[:, i] < search.score[:, -1]).all():
+                        continue
+                    opened += 1
+                    with files.open_input_file(_filesystem(paths[i])[1]) as f:
                         search.over(BallTree.from_bytes(f.read()))
                 hit = search.found < np.iinfo(np.int64).max
                 who, rank = np.nonzero(hit)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(search.ids[who]), pa.array((rank + 1).astype(np.int32)), pa.array(search.found[hit]), pa.array(search.score[hit])], names=["query_id", "rank", "vec_id", "score"]
+                    [pa.array(search.ids[who]), pa.array((rank + 1).astype(np.int32)), pa.array(search.found[hit]), pa.array(search.score[hit]), pa.array(np.full(len(who), opened, np.int32))],
+                    names=["query_id", "rank", "vec_id", "score", "shards"],
                 )
 
-    return asked.repartition(parts, F.xxhash64("id", F.lit(1))).mapInArrow(run, "query_id long, rank int, vec_id long, score long")
+    near = asked.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id")  # queries that lie together are searched together
+    out = near.mapInArrow(run, "query_id long, rank int, vec_id long, score long, shards int")
+    return out if report else out.drop("shards")

@@ -30,6 +30,33 @@ def test_fewer_than_k_and_none(spark):
     assert balltree.top_k(spark, df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_shards_that_can_hold_no_better_score_are_not_opened(spark):
+    rng = np.random.default_rng(3)
+    heart = rng.normal(size=(16, 4)) * 3000
+    v = (heart[rng.integers(0, 16, 2000)] + rng.normal(size=(2000, 4)) * 20).astype(np.int64)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<long>")
+    out = balltree.top_k(spark, df, df.where("id % 20 = 0"), 3, shard=100, block=8, report=True).collect()
+    want = {q: sorted((-int(v[q] @ v[c]), c) for c in range(2000) if c != q)[:3] for q in range(0, 2000, 20)}
+    got: dict = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got == want and np.mean([r.shards for r in out]) < 10  # of more than 20
+
+
+def test_vectors_of_other_lengths_and_ids_that_repeat(spark):
+    rows = [(0, [1, 2]), (0, [5]), (20, [1, 1, 9]), (7, []), (8, [3, 3, 3])]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in balltree.top_k(spark, df, df.where("id % 20 = 0"), 3, shard=2).collect())
+    wide = [(i, v + [0] * (3 - len(v))) for i, v in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = []
+    for i, v in wide:
+        if i % 20 == 0:
+            best = sorted((-dot(v, w), j) for j, w in wide if j != i)[:3]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_pruning_skips_leaves():
     rng = np.random.default_rng(0)
     v = (rng.normal(size=(2000, 4)) * 40).astype(np.int64)
