@@ -1,31 +1,43 @@
 """Exact deduplication by an extendible-hash index on shared files, in DataFrame operations only.
 
-A text's key is its 64-bit hash; the slot of a key is its first SLOT_BITS bits. The directory begins with one
-bucket and doubles: a bucket with more distinct texts than `capacity` is split by its next bit, until it fits or
-the slot bits are used up. Tasks own the key ranges of the buckets. Equal copies are counted where they lie
-before anything moves, so a text with very many copies is one index entry for each task. Entries of one
-key whose bytes differ are chained: grouping compares whole texts, and each chain link has its number.
+A text's key is its 64-bit hash; the slot of a key is its first bits. The directory begins with one bucket and doubles: a bucket
+with more distinct texts than `capacity` is split by its next bit, until it fits or the slot bits are used up (there are more of
+them the more rows there are). Every row's text goes to the task that owns its bucket, which compares bytes, counts equal texts and writes an entry for
+each. A key of very many rows, as a common text makes, has several owners, and their entries of one text are put together by key
+and digest. Entries of one key whose texts differ are chained, and each link has its number.
+
+Rows are then looked up: the directory tells their bucket, and the bucket's entries in the index files the row that stays. Entries of more than a thousandth of the
+rows are at most a thousand and go to all tasks.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower
+from .common import Scratch, ascii_lower, partitions_for
 
-SLOT_BITS = 12
+#: Slot bits at least and at most, bytes of input for each owner, the part of the rows above which a key or entry is common, and rows of one at least.
+SLOT_BITS, MOST_BITS, OWNER_BYTES, COMMON, FEW = 12, 20, 16 << 20, 1000, 100
 
 
 @dataclass
 class Index:
-    """entries: bucket, key, chain, sha256, keep_id, group_size; directory: slot, bucket, depth."""
+    """entries: bucket, key, chain, sha256, keep_id, group_size; directory: slot, bucket, depth; rows: id, key, sha256 of every row; bits of a slot; rows above which a text is common."""
 
     entries: DataFrame
     directory: DataFrame
     rows: DataFrame
+    bits: int
+    common: int
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """df (with key) and the bucket that the directory has for it."""
+        slot = F.shiftrightunsigned(F.col("key"), 64 - self.bits).cast("int")
+        return df.withColumn("slot", slot).join(F.broadcast(self.directory.select("slot", "bucket")), "slot").drop("slot")  # 2**MOST_BITS rows at most
 
 
 def split_directory(counts: dict[int, int], capacity: int, bits: int = SLOT_BITS) -> list[tuple[int, int, int]]:
@@ -52,32 +64,43 @@ def build_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """
     scratch = Scratch(spark, "exact")
     norm = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm"))
-    keyed = norm.select("id", F.xxhash64("norm").alias("key"), "norm")
-    # one row a distinct text; the bytes are compared by the grouping itself
-    groups = keyed.groupBy("key", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    slot = F.shiftrightunsigned(F.col("key"), 64 - SLOT_BITS).cast("int")
-    distinct = scratch.save(groups.select("key", slot.alias("slot"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha256"), "keep_id", "group_size"), "groups")
-    # at most 2**SLOT_BITS counts reach the driver
-    counts = {r.slot: r["count"] for r in distinct.groupBy("slot").count().collect()}
-    directory = spark.createDataFrame(split_directory(counts, capacity), "slot int, bucket int, depth int")
-    owners = max(1, len({b for _, b, _ in split_directory(counts, capacity)}))
-    chained = distinct.withColumn("chain", F.expr("cast(row_number() over (partition by key order by sha256) - 1 as int)"))
-    owned = chained.join(F.broadcast(directory), "slot")  # 2**SLOT_BITS rows whatever the input
-    entries = owned.select("bucket", "key", "chain", "sha256", "keep_id", "group_size")
-    entries = scratch.save(entries.repartitionByRange(max(owners, 1), "bucket", "key").sortWithinPartitions("bucket", "key", "chain"), "index")
-    scratch.drop(distinct)
-    rows = norm.select("id", F.xxhash64("norm").alias("key"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha256"))
-    return Index(entries, directory, rows)
+    rows = scratch.save(norm.select("id", F.xxhash64("norm").alias("key"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha256")), "rows")
+    n, owners = rows.count(), partitions_for(docs, OWNER_BYTES)
+    capacity = max(1, min(capacity, n // (4 * owners)), n >> (MOST_BITS - 2))  # buckets enough for all owners, and slots enough for all buckets
+    bits = min(MOST_BITS, max(SLOT_BITS, math.ceil(math.log2(n / capacity + 1)) + 2))
+    index = Index(rows, rows, rows, bits, max(FEW, n // COMMON))
+    slot = F.shiftrightunsigned(F.col("key"), 64 - bits).cast("int")
+    # at most 2**bits counts reach the driver
+    counts = {r.slot: r.texts for r in rows.groupBy(slot.alias("slot")).agg(F.approx_count_distinct("key").alias("texts")).collect()}
+    index.directory = scratch.save(spark.createDataFrame(split_directory(counts, capacity, bits), "slot int, bucket int, depth int").coalesce(1), "directory")
+    # at most COMMON keys
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > index.common).select("key", F.ceil(F.col("m") / index.common).alias("owners"))
+    hot = F.broadcast(scratch.save(hot, "hot"))
+    # whole texts go to the owners of their buckets, where they are compared; grouping needs no other exchange
+    texts = index.placed(norm.select("id", F.xxhash64("norm").alias("key"), "norm")).join(hot, "key", "left")
+    texts = texts.withColumn("owner", F.coalesce(F.pmod(F.xxhash64("id", F.lit(1)), F.col("owners")), F.lit(0)))
+    found = texts.repartition(owners, "bucket", "owner").groupBy("bucket", "owner", "key", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    found = scratch.save(found.select("bucket", "key", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha256"), "keep_id", "group_size"), "found")
+    merged = found.groupBy("bucket", "key", "sha256").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    chained = merged.withColumn("chain", F.expr("cast(row_number() over (partition by bucket, key order by sha256) - 1 as int)"))
+    entries = chained.select("bucket", "key", "chain", "sha256", "keep_id", "group_size").repartition(owners, "bucket", "key").sortWithinPartitions("bucket", "key", "chain")
+    index.entries = scratch.save(entries, "index")
+    scratch.drop(found)
+    return index
 
 
 def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Where the kept id stands on several equal rows, each of them says kept; `keep_first` below takes one.
+    Where the kept id stands on several equal rows, each of them says kept; `deduplicate` below takes one.
     """
     index = build_index(spark, docs, id_col, text_col, capacity)
-    found = index.rows.join(index.entries.select("key", "sha256", "keep_id", "group_size"), ["key", "sha256"])
-    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"))
+    at, entry = ["bucket", "key", "sha256"], index.entries.select("bucket", "key", "sha256", "keep_id", "group_size")
+    rows, big = index.placed(index.rows), F.col("group_size") > index.common
+    common = rows.join(F.broadcast(entry.where(big)), at)  # at most COMMON entries
+    rest = rows.join(F.broadcast(entry.where(big).select(*at)), at, "left_anti").join(entry.where(~big), at)
+    found = common.unionByName(rest)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000) -> DataFrame:
