@@ -83,11 +83,19 @@ def plan_mixture(
     placed = units.join(partly, names).withColumn("place", _place(seed, F.col("whole"), F.col("id")))
     placed = placed.withColumn("bucket", F.shiftright("place", PLACE_BITS - BUCKET_BITS).cast("int")).select(*names, "id", "n", "rest", "place", "bucket")
     placed = scratch.save(placed, "placed")
-    sums = placed.groupBy(*names, "bucket").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"))
-    sums = sums.withColumn("after", F.sum("n").over(Window.partitionBy(*names).orderBy("bucket")))
-    # a bucket wholly within the rest is taken whole; the first that isn't is where the prefix ends
-    edge = sums.where("after > rest").groupBy(*names).agg(F.min("bucket").alias("edge"), F.min(F.col("after") - F.col("n")).alias("base"))
-    split = placed.join(edge, [*names]).where("bucket = edge")
+    sums = placed.groupBy(*names, "bucket").agg(F.sum("n").alias("n"), F.max("rest").alias("rest")).withColumn("group", F.shiftright("bucket", BUCKET_BITS // 2))
+    upto = Window.partitionBy(*names)
+
+    def first_beyond(rows: DataFrame, place: str) -> DataFrame:
+        """Of each leaf the first place after which the sum is above the rest, and the sum before it."""
+        return rows.where("after > rest").groupBy(*names).agg(F.min(place).alias(place), F.min(F.col("after") - F.col("n")).alias("base"))
+
+    # a bucket wholly within the rest is taken whole; the first that isn't is where the prefix ends. A leaf's sums are gone through by groups of
+    # buckets and then within one group, so no task gets all buckets of a leaf
+    groups = sums.groupBy(*names, "group").agg(F.sum("n").alias("n"), F.max("rest").alias("rest")).withColumn("after", F.sum("n").over(upto.orderBy("group")))
+    inside = sums.join(first_beyond(groups, "group"), [*names, "group"]).withColumn("after", F.col("base") + F.sum("n").over(upto.orderBy("bucket"))).drop("base")
+    edge = first_beyond(inside, "bucket").withColumnRenamed("bucket", "edge")
+    split = placed.join(edge.withColumnRenamed("edge", "bucket"), [*names, "bucket"])
     run = F.sum("n").over(Window.partitionBy(*names).orderBy("place", "id", "n").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     cut = split.withColumn("after", run + F.col("base")).where("after <= rest").groupBy(*names).agg(F.max(F.struct("place", "id", "n")).alias("cut"))
     return scratch.save(plan.join(edge.drop("base"), names, "left").join(cut, names, "left"), "ends")
