@@ -9,8 +9,6 @@ bound reaches its k-th similarity. The neighbours vote by nearness; an isotonic
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +19,40 @@ from .common import Scratch, held_out
 from .shingles import mix, shingle_sets
 from .training import labelled_sample
 
-#: Labelled rows of each class, neighbours, examples a block, blocks a query scores first, and queries scored together.
-PER_CLASS, K, BLOCK, FIRST, TOGETHER = 2000, 15, 64, 4, 50
-_WORD = re.compile(r"[^\W\d_]+")
+#: Labelled rows of each class, neighbours, examples a block, blocks a query scores first, and queries and their terms scored together.
+PER_CLASS, K, BLOCK, FIRST, TOGETHER, TERMS = 2000, 15, 64, 4, 100, 30_000
+#: Terms that more than this part of the examples have are kept as columns of a matrix, others as postings.
+COMMON = 1 / 16
+#: Characters of texts that are cut into words together.
+AT_ONCE = 4_000_000
+_BETWEEN = r"[^\p{L}\p{Nl}\p{No}]+"
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def cut_words(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(ends, numbers, words): the lower-case words of each text of an Arrow array as numbers into the distinct ones. Null is empty; "" is no word."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    low = pc.utf8_lower(pc.fill_null(pc.cast(texts, pa.large_string()), ""))
+    parts = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _BETWEEN, " "))
+    coded = parts.flatten().dictionary_encode()
+    return parts.offsets.to_numpy() - parts.offsets[0].as_py(), coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def batches_of(column, most: int = AT_ONCE):
+    """Slices of an Arrow column of texts that have about so many bytes, one text at least."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(pc.cast(column, pa.large_string())), 0).to_numpy(zero_copy_only=False).tolist()
+    at = 0
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] <= most):
+            size += sizes[end]
+            end += 1
+        yield at, end - at
+        at = end
 
 
 def _marks(s: np.ndarray) -> list[int]:
@@ -41,15 +66,20 @@ def _example_words(batches):
     import pyarrow as pa
 
     for b in batches:
-        texts = b.column("text").to_pylist()
-        marks = [_marks(s) for s in shingle_sets(texts)]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([sorted(set(words_of(t))) for t in texts], pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64()))], names=["id", "label", "words", "marks"])
+        for at, k in batches_of(b.column("text")):
+            part = b.slice(at, k)
+            marks = [_marks(s) for s in shingle_sets(part.column("text").to_pylist())]
+            ends, numbers, words = cut_words(part.column("text"))
+            own = [sorted({words[i] for i in set(numbers[x:y].tolist())} - {""}) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(own, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64()))], names=["id", "label", "words", "marks"])
 
 
 def choose_terms(scratch: Scratch, docs: DataFrame, sample: DataFrame) -> tuple[DataFrame, list[str], np.ndarray]:
     """(examples kept, terms, the chi-square of each). Of examples that share three of four min-hashes the smallest id is kept."""
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id")  # at most 2 * PER_CLASS rows
-    rows = scratch.save(rows.select("id", "label", "text").mapInArrow(_example_words, "id long, label int, words array<string>, marks array<long>"), "examples")
+    rows = rows.select("id", "label", "text").mapInArrow(_example_words, "id long, label int, words array<string>, marks array<long>")
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct("words", "marks")).alias("e"))  # of an id that repeats one text
+    rows = scratch.save(rows.select("id", "label", "e.words", "e.marks"), "examples")
     marks = rows.select("id", "label", F.posexplode("marks").alias("j", "mark"))
     first = marks.groupBy("label", "j", "mark").agg(F.min("id").alias("first"))
     copies = marks.join(first, ["label", "j", "mark"]).where("id <> first").select("id").distinct()
@@ -62,9 +92,10 @@ def choose_terms(scratch: Scratch, docs: DataFrame, sample: DataFrame) -> tuple[
     total = pos + neg
     a, m = F.col("a"), F.col("m")
     chi2 = total * (a * (neg - (m - a)) - (m - a) * (pos - a)) ** 2 / (F.lit(float(pos * neg)) * m * F.greatest(total - m, F.lit(0.5)))
-    best = seen.select("word", chi2.alias("chi2")).where("chi2 > 0").collect()  # words of at most 2 * PER_CLASS rows
-    best = sorted((r.word, r.chi2) for r in best)
-    return kept.select("id", "label"), [w for w, _ in best], np.array([c for _, c in best])
+    best = seen.select("word", chi2.alias("chi2")).where("chi2 > 0").toArrow()  # words of at most 2 * PER_CLASS rows
+    words, weights = np.array(best.column("word").to_pylist(), object), best.column("chi2").to_numpy()
+    order = np.argsort(words, kind="stable")
+    return kept.select("id", "label"), words[order].tolist(), weights[order]
 
 
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -75,8 +106,14 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            found = [Counter(index[w] for w in words_of(t) if w in index) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
+            for at, k in batches_of(b.column("text")):
+                ends, numbers, words = cut_words(b.column("text").slice(at, k))
+                term = np.array([index.get(w, -1) for w in words], np.int64)[numbers]
+                row = np.repeat(np.arange(k), np.diff(ends))[term >= 0]
+                cell, n = np.unique(row * max(len(terms), 1) + term[term >= 0], return_counts=True)
+                lists = pa.array(np.searchsorted(cell, np.arange(k + 1) * max(len(terms), 1)).astype(np.int32))
+                each = [pa.ListArray.from_arrays(lists, pa.array(x.astype(np.int32))) for x in (cell % max(len(terms), 1), n)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, k), *each], names=["doc_id", "terms", "counts"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
 
@@ -117,18 +154,30 @@ def _spread(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def vectors(terms: list, counts: list, weight: np.ndarray) -> Rows:
     """Unit vectors of (1 + ln tf) * weight; no terms where a text has none."""
-    n = np.array([len(t) for t in terms], int)
-    ends = np.concatenate([[0], np.cumsum(n)])
-    t = np.concatenate([np.asarray(t, int) for t in terms]) if len(terms) else np.empty(0, int)
-    c = np.concatenate([np.asarray(c, float) for c in counts]) if len(counts) else np.empty(0)
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(int)
+    flat = lambda x, kind: np.concatenate([np.asarray(v, kind) for v in x]) if len(x) else np.empty(0, kind)
+    return weighted(ends, flat(terms, int), flat(counts, float), weight)
+
+
+def weighted(ends: np.ndarray, t: np.ndarray, c: np.ndarray, weight: np.ndarray) -> Rows:
+    n = np.diff(ends)
     v = (1 + np.log(c)) * weight[t]
     norm = np.sqrt(np.bincount(np.repeat(np.arange(len(n)), n), v * v, len(n)))
     return Rows(ends, t, v / np.repeat(norm, n))
 
 
+def flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, values) of an Arrow column of lists."""
+    ends = column.offsets.to_numpy()
+    return (ends - ends[0]).astype(int), column.flatten().to_numpy(zero_copy_only=False)
+
+
 @dataclass
 class BlockMaxIndex:
-    """Postings by term and block. A term's entries (one a block that has it) hold its largest weight in the block and where its postings there are."""
+    """Postings by term and block. A term's entries (one a block that has it) hold its largest weight in the block and where its postings there are.
+
+    Terms that many examples have are columns of a matrix instead, with their largest weight in each block beside it.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
@@ -140,6 +189,9 @@ class BlockMaxIndex:
     posting_ends: np.ndarray
     rows: np.ndarray
     values: np.ndarray
+    column: np.ndarray
+    matrix: np.ndarray
+    matrix_top: np.ndarray
 
     @staticmethod
     def build(ids, labels, weights, x: np.ndarray | Rows, size: int = BLOCK) -> BlockMaxIndex:
@@ -151,36 +203,52 @@ class BlockMaxIndex:
         order = np.lexsort((ids, heavy)) if len(ids) else np.empty(0, int)  # alike examples together
         ids, labels, weights, x = ids[order], labels[order], weights[order], x.take(order)
         at = x.row_numbers()
+        n_terms = int(x.terms.max()) + 1 if len(x.terms) else 0
+        many = np.bincount(x.terms, minlength=n_terms) > COMMON * len(ids)
+        column = np.where(many, np.cumsum(many) - 1, -1)
+        n_blocks = -(-len(ids) // size)
+        matrix = np.zeros((n_blocks * size, int(many.sum())))
+        if n_terms:
+            own = many[x.terms]
+            matrix[at[own], column[x.terms[own]]] = x.values[own]
+        matrix_top = matrix.reshape(n_blocks, size, -1).max(1) if matrix.size else np.zeros((n_blocks, matrix.shape[1]))
         by_term = np.lexsort((at, x.terms))
+        by_term = by_term[~many[x.terms[by_term]]] if n_terms else by_term
         terms, rows, values = x.terms[by_term], at[by_term], x.values[by_term]
         block = rows // size
         first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])) if len(terms) else np.empty(0, int)
         top = np.maximum.reduceat(values, first) if len(first) else np.empty(0)
-        n_terms = int(terms[-1]) + 1 if len(terms) else 0
         entry_ends = np.searchsorted(terms[first], np.arange(n_terms + 1))
-        return BlockMaxIndex(ids, labels, weights, size, entry_ends, block[first], top, np.append(first, len(rows)), rows, values)
+        return BlockMaxIndex(ids, labels, weights, size, entry_ends, block[first], top, np.append(first, len(rows)), rows, values, column, matrix[: len(ids)], matrix_top)
 
     def search(self, q: np.ndarray | Rows, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, similarities) of the k nearest examples of each query, exactly; ties to the earlier row; -1 and 0 where there are fewer.
 
-        without: for each query an example row that doesn't count.
+        without: for each query an example row that doesn't count, or -1.
         """
         q = Rows.of(q)
         best, sim = np.full((len(q), k), -1), np.zeros((len(q), k))
-        for at in range(0, len(q) if len(self.rows) else 0, TOGETHER):
-            part = np.arange(at, min(at + TOGETHER, len(q)))
+        at = 0 if len(self.ids) else len(q)
+        while at < len(q):  # long texts have more terms, so fewer of them go together
+            end = min(len(q), at + TOGETHER, max(at + 1, int(np.searchsorted(q.ends, q.ends[at] + TERMS, "right")) - 1))
+            part = np.arange(at, end)
             best[part], sim[part] = self._search(q.take(part), k, None if without is None else without[part])
+            at = end
         return best, sim
 
     def _search(self, q: Rows, k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         n, m, n_blocks = len(q), len(self.ids), -(-len(self.ids) // self.size)
-        known = np.flatnonzero(q.terms < len(self.entry_ends) - 1)
+        known = np.flatnonzero(q.terms < len(self.column))
+        dense = np.zeros((n, self.matrix.shape[1]))
+        shared = known[self.column[q.terms[known]] >= 0]
+        dense[q.row_numbers()[shared], self.column[q.terms[shared]]] = q.values[shared]
         t = q.terms[known]
         entry, count = _spread(self.entry_ends[t], self.entry_ends[t + 1] - self.entry_ends[t])
         who, value = np.repeat(q.row_numbers()[known], count), np.repeat(q.values[known], count)
         cell = who * n_blocks + self.blocks[entry]
         # a little above, as sums in another order may differ in their last bits
-        bound = np.bincount(cell, value * self.top[entry], n * n_blocks).reshape(n, n_blocks) * (1 + 1e-9)
+        bound = np.bincount(cell, value * self.top[entry], n * n_blocks).reshape(n, n_blocks)
+        bound = (bound + dense @ self.matrix_top.T) * (1 + 1e-9)
         s = np.zeros(n * m)
 
         def score(live: np.ndarray):
@@ -188,8 +256,14 @@ class BlockMaxIndex:
             e = entry[some]
             at, c = _spread(self.posting_ends[e], self.posting_ends[e + 1] - self.posting_ends[e])
             s[:] += np.bincount(np.repeat(who[some] * m, c) + self.rows[at], np.repeat(value[some], c) * self.values[at], n * m)
+            for j in np.flatnonzero(live.any(0)):
+                rows = slice(j * self.size, min(m, (j + 1) * self.size))
+                some = np.flatnonzero(live[:, j])
+                s.reshape(n, m)[some, rows] += dense[some] @ self.matrix[rows].T
+            s[:] = np.round(s, 12)  # sums in another order are the same
             if without is not None:
-                s.reshape(n, m)[np.arange(n), without] = 0
+                own = np.flatnonzero(without >= 0)
+                s.reshape(n, m)[own, without[own]] = 0
 
         def kth() -> np.ndarray:
             return np.partition(s.reshape(n, m), m - k, axis=1)[:, m - k] if k <= m else np.zeros(n)
@@ -227,8 +301,9 @@ class Model:
     votes: np.ndarray
     shares: np.ndarray
 
-    def score(self, terms: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        best, sim = self.index.search(vectors(terms, counts, self.weight), K)
+    def score(self, terms: Rows, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of texts, their nearest examples and similarities; a text that is an example itself (own: its row, or -1) isn't its own neighbour."""
+        best, sim = self.index.search(terms, K, own)
         return self.calibrated(self.index.vote(best, sim, self.prior)), best, sim
 
     def calibrated(self, vote: np.ndarray) -> np.ndarray:
@@ -261,10 +336,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     compact = scratch.save(term_counts(docs, terms), "terms")
     n = compact.count()
     df = np.ones(len(terms))
-    for r in compact.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # words of at most 2 * per_class rows
-        df[r.t] = r["count"]
+    seen = compact.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # words of at most 2 * per_class rows
+    df[seen.column("t").to_numpy()] = seen.column("count").to_numpy()
     by_term = (np.log((1 + n) / (1 + df)) + 1) * chi2
-    found = compact.withColumnRenamed("doc_id", "id").join(F.broadcast(examples), "id").dropDuplicates(["id"]).orderBy("id").collect()  # at most 2 * per_class rows
+    found = compact.withColumnRenamed("doc_id", "id").join(F.broadcast(examples), "id").groupBy("id", "label").agg(F.min(F.struct("terms", "counts")).alias("e"))
+    found = found.select("id", "label", "e.terms", "e.counts").orderBy("id").collect()  # at most 2 * per_class rows
     y = np.array([r.label for r in found], float)
     x = vectors([np.array(r.terms, int) for r in found], [np.array(r.counts) for r in found], by_term)
     # a class's examples stand for all of its labelled rows
@@ -289,7 +365,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                score, best, sim = model.score([np.array(t, int) for t in part.column("terms").to_pylist()], [np.array(c) for c in part.column("counts").to_pylist()])
+                own = np.array([back.get(i, -1) for i in part.column("doc_id").to_pylist()], int)
+                score, best, sim = model.score(weighted(*flat_lists(part.column("terms")), flat_lists(part.column("counts"))[1], model.weight), own)
                 near = [[{"doc_id": int(index.ids[r]), "label": int(index.labels[r]), "cosine": float(s)} for r, s in zip(rs[:3], ss[:3], strict=True) if r >= 0] for rs, ss in zip(best, sim, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64()), pa.array(near, kind)], names=["doc_id", "score", "evidence"])
 
