@@ -26,7 +26,7 @@ from .shingles import mix, shingle_sets
 
 _U = np.uint64
 #: Documents a chunk of a map task holds, names it holds, and documents a tile is compared over at a time.
-CHUNK, NAMES, TILE = 30_000, 4_000_000, 512
+CHUNK, NAMES, TILE = 30_000, 2_000_000, 512
 #: Input for each part of the names.
 PART_BYTES = 16 << 20
 #: Marks an entry that stands for several documents of its chunk; their numbers are below it.
@@ -173,6 +173,7 @@ def _profile(bands: Bands, n: int, parts: int):
                         docs, names, held, seq = [], [], 0, seq + 1
         if docs:
             yield from flush()
+        pa.default_memory_pool().release_unused()
 
     return run
 

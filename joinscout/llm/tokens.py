@@ -18,7 +18,7 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]*)([!-&(-/:-@\[-`{-~]*)\
 _ODD = r"[^A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž0-9!-&(-/:-@\[-`{-~ \t\n\r]|<\|"
 #: Runs that split words: each ASCII digit, and runs of ASCII punctuation.
 _SPLIT = r"([!-/:-@\[-`{-~]+|[0-9])"
-PIECES, WORDS, LONGEST, AT_ONCE = 50_000, 400_000, 64, 4_000_000
+PIECES, WORDS, LONGEST, AT_ONCE = 50_000, 200_000, 64, 2_000_000
 
 
 class Encoder:
@@ -107,6 +107,8 @@ class Encoder:
                 rest, plain = iter(self._odd(part.filter(odd).to_pylist())), iter(self._plain(part.filter(pc.invert(odd))))
                 out += [next(rest if x else plain) for x in some]
             at = end
+        del rows
+        pa.default_memory_pool().release_unused()
         return out
 
     def _plain(self, texts) -> list[bytes]:
