@@ -76,7 +76,7 @@ class Packed:
         return self.pieces.join(self.placements, "uid")
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, words: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids (binary) of every row; null text counts as empty, which has the end id only."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -84,7 +84,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Da
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, uid = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        enc, uid = encoder(tokenizer, words), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 ids_of = enc.encode(batch.column("text").slice(at, 1000))
@@ -127,14 +127,15 @@ def _pack_parts(pool: DataFrame, parts: int, seed: int, capacity: int) -> DataFr
     return dealt.groupBy("part").applyInArrow(pack, "uid long, length long, part long, bin long, offset long, fill long, bins long, bound long")
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> Packed:
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, words: int | None = None) -> Packed:
     """Pack docs(doc_id, text) into as few sequences of at most `capacity` ids as bounds and exchange reach.
 
     Each document is its ids and then end_id; only longer ones are cut. Null or empty text is the end id alone;
     rows that repeat are packed each for itself (uid tells them apart); an empty table gives no piece; other columns aren't read.
+    `words` bounds the encoder's cache, for workers whose memory other stages have used before.
     """
     scratch = Scratch(spark, "packing")
-    pieces = scratch.save(pieces_of(docs, tokenizer, capacity, end_id), "pieces")
+    pieces = scratch.save(pieces_of(docs, tokenizer, capacity, end_id, words), "pieces")
     narrow = pieces.select("uid", "length")
     whole = narrow.where(F.col("length") == capacity).select("uid", (F.col("uid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     placed = [whole]

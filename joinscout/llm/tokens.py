@@ -18,18 +18,19 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]*)([!-&(-/:-@\[-`{-~]*)\
 _ODD = r"[^A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž0-9!-&(-/:-@\[-`{-~ \t\n\r]|<\|"
 #: Runs that split words: each ASCII digit, and runs of ASCII punctuation.
 _SPLIT = r"([!-/:-@\[-`{-~]+|[0-9])"
-PIECES, WORDS, LONGEST, AT_ONCE = 50_000, 200_000, 64, 2_000_000
+PIECES, WORDS, LONGEST, AT_ONCE = 50_000, 400_000, 64, 4_000_000
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes. `split` says that pieces may be cached."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes. `split` says that pieces may be cached, `words` how many at most (twice that for a while)."""
 
-    def __init__(self, path: str, split: bool = True):
+    def __init__(self, path: str, split: bool = True, words: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.split = split
+        self.most = words or WORDS
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -53,7 +54,7 @@ class Encoder:
 
     def _of_words(self, wanted: set[str]) -> dict[str, bytes]:
         """A dictionary that has all wanted words; words not used for long go when it is full."""
-        if len(self.words) > WORDS:
+        if len(self.words) > self.most:
             self.older, self.words = self.words, {}
         words, older = self.words, self.older
         missing = []
@@ -95,7 +96,7 @@ class Encoder:
         at = 0
         while at < len(sizes):
             end, size = at, 0
-            while end < len(sizes) and (end == at or size + sizes[end] <= AT_ONCE):
+            while end < len(sizes) and (end == at or size + sizes[end] <= min(AT_ONCE, 10 * self.most)):
                 size += sizes[end]
                 end += 1
             part = rows.slice(at, end - at)
@@ -139,18 +140,18 @@ class Encoder:
         return [b"".join([of[w] for w in ws]) for ws in lists]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int | None = None) -> Encoder:
     """The encoder of this worker process, kept between its tasks."""
-    if path not in _encoders:
+    if (path, words) not in _encoders:
         import json
 
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
-        _encoders[path] = Encoder(path, split=_splits_at_blanks(kind))
-    return _encoders[path]
+        _encoders[path, words] = Encoder(path, _splits_at_blanks(kind), words)
+    return _encoders[path, words]
 
 
 def _splits_at_blanks(kind: dict) -> bool:
