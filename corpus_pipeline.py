@@ -14,6 +14,8 @@ from joinscout.llm.tokens import default_tokenizer
 #: The mixture takes four fifths of the tokens that are left, no document twice.
 MIX = {"fraction": 0.8, "max_epochs": 1, "seed": 11}
 CAPACITY = 2048
+#: Words that the encoder caches, half of its default: its workers have gone through the other stages before.
+WORDS = 200_000
 
 
 _finished: list[Scratch] = []
@@ -61,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @staged
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
-    packed = packing.pack_documents(spark, docs, default_tokenizer(), CAPACITY, 0)
+    packed = packing.pack_documents(spark, docs, default_tokenizer(), CAPACITY, 0, WORDS)
     digests = packed.pieces.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return digests.join(packed.placements, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
