@@ -66,6 +66,37 @@ def test_lines_against_every_run(spark, seed):
     assert got == brute_lines(docs, 7)
 
 
+@pytest.mark.parametrize("hot", [1, 8, 1000])
+def test_lines_however_names_are_joined(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng = random.Random(hot)
+    common, pool = "a b", ["c", "d e f", "g h", "i", "", "j k l m"]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else common for _ in range(rng.randint(0, 40)))) for i in range(30)]
+    docs += [(100, "\n".join(["c"] * 60)), (101, "\n".join(["c"] * 33))]  # overlaps itself; 33 lines lie in 60
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for n in (2, 5):
+        got = {r.doc_id: r.text for r in line_dedup.deduplicate_lines(spark, df.repartition(n), min_words=20).collect()}
+        assert got == brute_lines(docs, 20)
+
+
+def test_ranks_are_the_order_of_suffixes(spark):
+    rng = random.Random(5)
+    docs = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(4, 12)))) for i in range(12)]
+    scratch = line_dedup.Scratch(spark, "lines")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows, levels = line_dedup.suffix_ranks(scratch, df, "doc_id", "text", 4)
+    name = {r.own_id: r.a for r in line_dedup.line_ids(df, "doc_id", "text", 4).select(F.concat_ws(":", "doc", "i").alias("own_id"), "a").collect()}
+    suffix = lambda r, n: tuple(name[f"{r.doc}:{i}"] for i in range(r["at"], r["at"] + n) if f"{r.doc}:{i}" in name)
+    assert levels == 2
+    found = rows.collect()
+    for k in range(levels + 1):
+        whole = [(suffix(r, 1 << k), r[f"r{k}"]) for r in found if len(suffix(r, 1 << k)) == 1 << k]
+        ranked = sorted(x for x in whole if x[1] is not None)
+        assert [x[1] for x in ranked] == sorted(x[1] for x in ranked) and len({x[0] for x in ranked}) == len({x[1] for x in ranked})
+        alone = [x[0] for x in whole if x[1] is None]
+        assert len(alone) == len(set(alone)) and not set(alone) & {x[0] for x in ranked}
+
+
 def test_line_edges(spark):
     run = "one two three\nfour five"
     df = spark.createDataFrame([(1, run, 0), (2, f"x\n{run}\ny", 0), (3, None, 0), (4, "", 0), (5, run, 0), (5, run, 0)], "doc_id long, text string, n_lines int")
