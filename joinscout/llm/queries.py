@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, exact_dedup, html_text, line_dedup, mixing, ngram_join, packing, quality, sstable, toxicity
+from . import balltree, exact_dedup, html_text, lexical, license_scan, line_dedup, merkle, mixing, ngram_join, packing, quality, sstable, toxicity
 from .common import read
 from .tokens import default_tokenizer
 
@@ -79,6 +79,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, docs, tree(), weights(), words(), **MIX).select("doc_id", "lang", "source", "epoch")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10).withColumnRenamed("id", "doc_id")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(spark, read(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(spark, read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 OP6_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -147,8 +160,15 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_license_scan": op13_license_scan,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_ngram_join": ngram_join.oracle(), "op9_line_dedup": line_dedup.oracle(), "op10_source_mixing": _op10_sql()}
+    return {"op3_top_k": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_ngram_join": ngram_join.oracle(), "op9_line_dedup": line_dedup.oracle(), "op10_source_mixing": _op10_sql()} | {
+        "op11_ranked_search": lexical.oracle(),
+        "op12_merkle_manifest": merkle.oracle(),
+        "op13_license_scan": license_scan.oracle(),
+    }
