@@ -67,11 +67,11 @@ def evaluate_split(rows: DataFrame, c: AugmentationConfig, approach: str, regres
 
         ready = StringIndexer(inputCol=c.target, outputCol="__y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(ready).transform(ready).drop(c.target).withColumnRenamed("__y", c.target)
     if not names:
-        return {"approach": approach, "algorithm": c.algorithm, "score": 0.0, "n_features": 0, "total_time": 0.0, "features": []}
+        return {"approach": approach, "algorithm": models.learner_name(c.algorithm), "score": 0.0, "n_features": 0, "total_time": 0.0, "features": []}
     model = models.fit(ready.where("is_train"), names, c.target, c.algorithm, regression, c.seed)
     out = models.predict(model, ready.where("not is_train"), names, c.target)
     row = (models.regression_metrics(out).first().r2 if regression else models.classification_metrics(out).first().accuracy) or 0.0
-    return {"approach": approach, "algorithm": c.algorithm, "score": float(row), "n_features": len(names), "total_time": time.time() - began, "features": names}
+    return {"approach": approach, "algorithm": models.learner_name(c.algorithm), "score": float(row), "n_features": len(names), "total_time": time.time() - began, "features": names}
 
 
 def evaluate(df: DataFrame, features: list[str], c: AugmentationConfig, approach: str, base: str, regression: bool) -> dict:

@@ -18,16 +18,36 @@ def _normal(seed: int, *parts: Column) -> Column:
     return F.sqrt(-2 * F.log(unit(seed, *parts))) * F.cos(2 * 3.141592653589793 * unit(seed + 1, *parts))
 
 
-def _times(unit: Column, ratio: float, most: int = 12) -> Column:
-    """How often a row is drawn when n * ratio draws with replacement fall on n rows: a Poisson number, from a uniform one."""
-    term, below, out = math.exp(-ratio), 0.0, F.lit(0)
-    for k in range(most):
+def poisson_steps(ratio: float) -> list[float]:
+    """The distribution function of a Poisson number at 0, 1, 2, ..., until it is 1 to the last bit of a 48-bit number."""
+    term, below, out = math.exp(-ratio), 0.0, []
+    while True:
         below += term
-        out = out + (unit >= below).cast("int")
-        term *= ratio / (k + 1)
+        out.append(below)
+        term *= ratio / len(out)
+        if len(out) > ratio and term < 2.0**-56:
+            return out
+
+
+#: A Poisson number of a mean above this is the sum of several, as the steps of one would start below the smallest double.
+PART = 16.0
+
+
+def _times(seed: int, key: Column, ratio: float) -> Column:
+    """How often a row is drawn when n * ratio draws with replacement fall on n rows: a Poisson number, from uniform ones."""
+    parts = max(1, math.ceil(ratio / PART))
+    steps = F.array(*[F.lit(x) for x in poisson_steps(ratio / parts)])
+    out = F.lit(0)
+    for p in range(parts):
+        u = unit(seed, key) if p == 0 else unit(seed, key, F.lit(f"part{p}"))
+        out = out + _reached(steps, u)
     return out
 
 
+def _reached(steps: Column, u: Column) -> Column:
+    return F.size(F.filter(steps, lambda x: x <= u))
+
+
 def augment_rows(df: DataFrame, columns: list[str], key: str, kind: str, ratio: float = 0.5, strength: float = 0.05, seed: int = 42) -> DataFrame:
     """Training rows and synthetic ones after them (`is_synthetic`), drawn with replacement, `ratio` times the rows in the mean.
 
@@ -37,7 +57,7 @@ def augment_rows(df: DataFrame, columns: list[str], key: str, kind: str, ratio:
     if kind == "none":
         return df.withColumn("is_synthetic", F.lit(False))
     k = F.concat_ws("#", F.col(key).cast("string"), F.col("__copy").cast("string"))
-    drawn = df.withColumn("__n", _times(unit(seed, F.col(key)), ratio)).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    drawn = df.withColumn("__n", _times(seed, F.col(key), ratio)).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     if kind == "jitter":
         spread = df.agg(*[F.coalesce(F.stddev(c), F.lit(0.0)).alias(f"s_{i}") for i, c in enumerate(columns)])
         drawn = drawn.crossJoin(F.broadcast(spread))  # one row

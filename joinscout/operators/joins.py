@@ -99,6 +99,16 @@ def semi_ratio(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -
     return hit.agg(F.count(F.lit(1)).alias("n_rows"), F.count("__k").alias("n_found"), F.try_divide(F.count("__k"), F.count(F.lit(1))).alias("ratio"))
 
 
+def with_slab(df: DataFrame, key: Column, name: str = "__slab") -> DataFrame:
+    """`name`: one of SLABS slabs of about equal numbers of rows by `key` (0 for a null key), cut at approximate quantiles inside the plan."""
+    keyed = df.withColumn("__cutkey", key)
+    cuts = keyed.agg(F.percentile_approx("__cutkey", [i / SLABS for i in range(1, SLABS)], 2000).alias("__q"))
+    coarse = F.filter(F.transform(F.sequence(F.lit(16), F.lit(SLABS - 16), F.lit(16)), lambda i: F.get("__q", i - 1)), lambda c: c <= F.col("__cutkey"))
+    steps = 16 * F.size(coarse)
+    slab = F.coalesce(steps + F.size(F.filter(F.slice("__q", steps + 1, F.lit(15)), lambda c: c <= F.col("__cutkey"))), F.lit(0))
+    return keyed.crossJoin(F.broadcast(cuts)).withColumn(name, F.when(F.col("__q").isNull(), 0).otherwise(slab)).drop("__q", "__cutkey")  # one row
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,

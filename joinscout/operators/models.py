@@ -5,26 +5,40 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import work_dir
+from .neighbours import KNeighbors
+from .trees import ExtraTrees
 
-#: Levels that a text column may have to be a feature; the driver holds them.
-LEVELS = 10_000
+#: Levels of a text column that have a code of their own, the most frequent ones; the others share so many codes by hash. Both are broadcast or computed in place.
+LEVELS, SHARED = 10_000, 64
+
+
+def text_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each text column as a number: its place among the LEVELS most frequent values (ties by value), then SHARED codes by hash, then one for null."""
+    out = df
+    for c in columns:
+        most = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).count().orderBy(F.desc("count"), "__v").limit(LEVELS)
+        ranked = most.select("__v", (F.row_number().over(Window.orderBy(F.desc("count"), "__v")) - 1).cast("double").alias("__code"))  # at most LEVELS rows
+        rest = F.when(F.col(c).isNull(), F.lit(float(LEVELS + SHARED))).otherwise(LEVELS + F.pmod(F.xxhash64(c), F.lit(SHARED)))
+        out = out.join(F.broadcast(ranked), F.col(c) == F.col("__v"), "left").withColumn(c, F.coalesce("__code", rest.cast("double"))).drop("__v", "__code")
+    return out
 
 
 def prepare(df: DataFrame, target: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """Numeric features: times as seconds, booleans as 0 and 1, text as indexes (the most frequent first); constant columns go, and text that is
-    another on nearly every row or has more than LEVELS values (by approximate counts). `keep` goes through as it is."""
+    """Numeric features: times as seconds, booleans as 0 and 1, text as codes; constant columns go, and text that is another on more than nine rows
+    in ten (by an approximate count), which names rows. However many levels a text has, it stays. `keep` goes through as it is."""
     names = [c for c in df.columns if c != target and c not in keep]
     flat = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(names)], *[F.min(c).eqNullSafe(F.max(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
     out, features, text = df, [], []
     for i, c in enumerate(names):
         kind, unique = df.schema[c].dataType, flat[f"u{i}"]
-        if flat[f"c{i}"] or isinstance(kind, T.StringType) and (unique > 0.9 * flat.n or unique > LEVELS):
+        if flat[f"c{i}"] or isinstance(kind, T.StringType) and unique > 0.9 * flat.n:
             continue
         if isinstance(kind, T.StringType):
             text.append(c)
@@ -35,49 +49,63 @@ def prepare(df: DataFrame, target: str, keep: tuple[str, ...] = ()) -> tuple[Dat
         else:
             continue
         features.append(c)
-    if text:
-        coded = [f"{c}__code" for c in text]
-        out = StringIndexer(inputCols=text, outputCols=coded, handleInvalid="keep").fit(out).transform(out)
-        out = out.drop(*text).withColumnsRenamed(dict(zip(coded, text, strict=True)))
-    return out.select(*features, target, *keep), features
+    return text_codes(out, text).select(*features, target, *keep), features
+
 
+LEARNERS = ("RandomForest", "ExtraTrees", "BoostedTrees", "LinearModel", "Ridge", "KNeighbors")
+# Names of boosting libraries that boosted trees stand in for.
+BOOSTED = ("LightGBM", "XGBoost")
+#: Columns of the pipeline; features and targets may have any other name.
+VECTOR, SCALED, TARGET = "__vector", "__scaled", "__target"
 
-LEARNERS = ("RandomForest", "ExtraTrees", "LightGBM", "XGBoost", "LinearModel", "Ridge")
+
+def learner_name(name: str) -> str:
+    """The learner that is fitted under a name."""
+    return "BoostedTrees" if name in BOOSTED else name
 
 
 def learner(name: str, regression: bool, seed: int = 42):
-    """A forest stands for extra trees as well, gradient-boosted trees for both boosting libraries."""
-    if name in ("RandomForest", "ExtraTrees"):
-        return (R.RandomForestRegressor if regression else C.RandomForestClassifier)(featuresCol="x", labelCol="y", seed=seed, numTrees=20)
-    if name in ("LightGBM", "XGBoost"):
-        return (R.GBTRegressor if regression else C.GBTClassifier)(featuresCol="x", labelCol="y", seed=seed, maxIter=20)
+    """A learner of LEARNERS; boosted trees also under the names of both boosting libraries."""
+    at = {"featuresCol": SCALED, "labelCol": TARGET}
+    name = learner_name(name)
+    if name == "RandomForest":
+        return (R.RandomForestRegressor if regression else C.RandomForestClassifier)(**at, seed=seed, numTrees=20)
+    if name == "ExtraTrees":
+        return ExtraTrees(SCALED, TARGET, regression, seed)
+    if name == "KNeighbors":
+        return KNeighbors(SCALED, TARGET, 5, regression)
+    if name == "BoostedTrees":
+        return (R.GBTRegressor if regression else C.GBTClassifier)(**at, seed=seed, maxIter=20)
     if name == "LinearModel":
-        return R.LinearRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=0.01) if regression else C.LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=0.01)
+        return R.LinearRegression(**at, elasticNetParam=1.0, regParam=0.01) if regression else C.LogisticRegression(**at, elasticNetParam=1.0, regParam=0.01)
     if name == "Ridge":
-        return R.LinearRegression(featuresCol="x", labelCol="y", elasticNetParam=0.0, regParam=10.0)
+        return R.LinearRegression(**at, elasticNetParam=0.0, regParam=10.0)
     raise ValueError(f"learner {name!r}")
 
 
+def _numbered(df: DataFrame, features: list[str], target: str, *more: Column) -> DataFrame:
+    """Features under reserved names, so a feature or target may be called like any column of the pipeline."""
+    return df.select(*[F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)], F.col(target).cast("double").alias(TARGET), *more)
+
+
 def fit(train: DataFrame, features: list[str], target: str, name: str = "RandomForest", regression: bool = True, seed: int = 42) -> PipelineModel:
     """Median imputation, scaling and the learner."""
-    filled = [f"__f{i}" for i in range(len(features))]
-    steps = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__v", handleInvalid="keep"), StandardScaler(inputCol="__v", outputCol="x"), learner(name, regression, seed)]
-    rows = train.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("y")).where("y is not null")
-    return Pipeline(stages=steps).fit(rows)
+    raw, filled = [f"__f{i}" for i in range(len(features))], [f"__g{i}" for i in range(len(features))]
+    steps = [Imputer(strategy="median", inputCols=raw, outputCols=filled), VectorAssembler(inputCols=filled, outputCol=VECTOR, handleInvalid="keep"), StandardScaler(inputCol=VECTOR, outputCol=SCALED), learner(name, regression, seed)]
+    return Pipeline(stages=steps).fit(_numbered(train, features, target).where(F.col(TARGET).isNotNull()))
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], target: str) -> DataFrame:
     """y and prediction."""
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("y"))
-    return model.transform(rows).select("y", "prediction")
+    return model.transform(_numbered(df, features, target)).select(F.col(TARGET).alias("y"), "prediction")
 
 
-def regression_metrics(df: DataFrame, y: str = "y", prediction: str = "prediction") -> DataFrame:
-    """n, mae, rmse, mape and r2 over the rows where both are finite."""
+def regression_metrics(df: DataFrame, y: str = "y", prediction: str = "prediction", by: tuple[str, ...] = ()) -> DataFrame:
+    """n, mae, rmse, mape and r2 over the rows where both are finite, for each of `by`."""
     a, p = F.col(y), F.col(prediction)
     good = df.where(a.isNotNull() & p.isNotNull() & ~F.isnan(a) & ~F.isnan(p) & (F.abs(a) < float("inf")) & (F.abs(p) < float("inf")))
     e = p - a
-    return good.agg(
+    return good.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(F.try_divide(e, F.nullif(a, F.lit(0.0))))).alias("mape"),
         (1 - F.try_divide(F.sum(e * e), F.nullif(F.var_pop(a) * F.count(a), F.lit(0.0)))).alias("r2"),
     )
@@ -96,22 +124,41 @@ def forest_importances(df: DataFrame, features: list[str], target: str, regressi
     return dict(zip(features, model.featureImportances.toArray().tolist(), strict=True))
 
 
+#: Rows of a bucket within which a feature is permuted, about.
+PERMUTED = 50_000
+
+
+def permuted(df: DataFrame, features: list[str], target: str, seed: int = 42) -> DataFrame:
+    """`feature` and the rows once for each feature, with that one taken from another row; and once as they are, of null `feature`.
+
+    Rows are dealt to buckets and there numbered twice by hashes of the row's own number and a seed, never of a value. A feature's value goes from a row's
+    number in one order to the row of that number in the other, so it is a permutation of the bucket, and all features take one join.
+    """
+    path = work_dir(df.sparkSession, "permuted")
+    df.select(*features, target).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    buckets = max(1, rows.count() // PERMUTED)
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(buckets)))
+    place = lambda i: F.row_number().over(Window.partitionBy("__bucket").orderBy(F.xxhash64("__id", F.lit(seed + i)), "__id"))
+    n = len(features)
+    given = rows.withColumns({f"__from{i}": place(1 + i) for i in range(n)})
+    given = given.select("__bucket", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__from{i}").alias("at"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)])).alias("g"))
+    given = given.select(F.col("__bucket").alias("__b"), "g.*")
+    taken = rows.withColumn("__at", place(1 + n)).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    mixed = taken.join(given, (F.col("__bucket") == F.col("__b")) & (F.col("__i") == F.col("i")) & (F.col("__at") == F.col("at")))
+    mixed = mixed.select(F.element_at(F.array(*[F.lit(f) for f in features]), F.col("__i") + 1).alias("feature"), *[F.when(F.col("__i") == i, F.col("v")).otherwise(F.col(f).cast("double")).alias(f"__f{i}") for i, f in enumerate(features)], F.col(target).cast("double").alias(TARGET))
+    return mixed.unionByName(_numbered(rows, features, target, F.lit(None).cast("string").alias("feature")))
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], target: str, regression: bool = True, seed: int = 42) -> dict[str, float]:
-    """How much the score falls when a feature is taken from another row: rows are shifted within seeded buckets."""
-    from pyspark.sql import Window
-
-    def score(rows: DataFrame) -> float:
-        out = predict(model, rows, features, target)
-        return (regression_metrics(out).first().r2 if regression else classification_metrics(out).first().accuracy) or 0.0
-
-    whole = score(df)
-    bucket = F.pmod(F.xxhash64(*[F.col(f).cast("string") for f in features], F.lit(seed)), F.lit(512))
-    rows = df.withColumn("__b", bucket)
-    out = {}
-    for f in features:
-        w = Window.partitionBy("__b").orderBy(F.xxhash64(F.col(f).cast("string"), F.lit(seed)))
-        out[f] = whole - score(rows.withColumn(f, F.coalesce(F.lag(f).over(w), F.col(f))).drop("__b"))
-    return out
+    """How much the score (r2 or accuracy) falls when a feature is taken from another row. All features are scored in one job."""
+    out = model.transform(permuted(df, features, target, seed)).select("feature", F.col(TARGET).alias("y"), "prediction")
+    if regression:
+        scores = regression_metrics(out, by=("feature",)).select("feature", F.coalesce("r2", F.lit(0.0)).alias("score"))
+    else:
+        scores = out.where("y is not null and prediction is not null").groupBy("feature").agg(F.avg((F.col("y") == F.col("prediction")).cast("double")).alias("score"))
+    by = {r.feature: r.score for r in scores.collect()}
+    return {f: by.get(None, 0.0) - by.get(f, 0.0) for f in features}
 
 
 def discriminative_accuracy(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> float:
@@ -128,8 +175,7 @@ def lag_forecast(windows: DataFrame, size: int, name: str = "LinearModel", seed:
 
 
 def probabilities(model: PipelineModel, df: DataFrame, features: list[str], target: str) -> DataFrame:
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("y"))
-    return model.transform(rows).select("y", vector_to_array("probability").alias("probability"))
+    return model.transform(_numbered(df, features, target)).select(F.col(TARGET).alias("y"), vector_to_array("probability").alias("probability"))
 
 
 def tensor(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:

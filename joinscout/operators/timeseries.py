@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .augment import unit
+from .joins import with_slab
+from .lowrank import centroid_impute
+from .neighbours import neighbour_impute
 
 #: Of approximate percentiles: the error in rank is at most one of so many.
 ACCURACY = 10_000
@@ -72,34 +75,57 @@ def regular_grid(df: DataFrame, time: str, by: list[str], step: int, values: lis
     return grid.unionByName(at.select(*by, time)).distinct().join(at, [*by, time], "left")
 
 
-def _around(c: str, by: list[str], time: str) -> tuple[Column, Column]:
-    w = Window.partitionBy(*by)
-    back = F.last(c, True).over(w.orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.last(c, True).over(w.orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0))
-    return back, ahead
+def _around(df: DataFrame, columns: list[str], by: list[str], time: str) -> DataFrame:
+    """`__b<i>` and `__a<i>`: (t, v) of the last value of a column at or before a row and the first at or after it, in its series.
+
+    Time is cut into slabs; a slab gets the last value before it and the first after it from one summary row a slab and series, so a long series isn't
+    sorted in one task. Of equal times the larger value counts backwards and the smaller one forwards. Rows without a time get what is first.
+    """
+    t = _seconds(df, time)
+    rows = with_slab(df.withColumn("__t", t), t)
+    rows = rows.withColumns({f"__p{i}": F.when(F.col(c).isNotNull() & F.col("__t").isNotNull(), F.struct(F.col("__t").alias("t"), F.col(c).alias("v"))) for i, c in enumerate(columns)})
+    slab = F.when(F.col("__t").isNotNull(), F.col("__slab")).otherwise(-1)
+    rows = rows.withColumn("__slab", slab)
+    keys = [F.col(b).alias(f"__k{i}") for i, b in enumerate(by)]
+    names = [f"__k{i}" for i in range(len(by))]
+    n = range(len(columns))
+    sums = rows.groupBy(*keys, F.col("__slab").alias("__s")).agg(*[f(f"__p{i}").alias(f"{k}{i}") for i in n for k, f in (("__hi", F.max), ("__lo", F.min))])
+    over = Window.partitionBy(*names or [F.lit(0)])  # a row a slab
+    back = {f"__before{i}": F.last(f"__hi{i}", True).over(over.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)) for i in n}
+    ahead = {f"__after{i}": F.last(f"__lo{i}", True).over(over.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)) for i in n}
+    sums = sums.withColumns(back | ahead).drop(*[f"{k}{i}" for i in n for k in ("__hi", "__lo")])
+    on = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, names, strict=True)], F.col("__slab") == F.col("__s"))
+    inside = Window.partitionBy(*by, "__slab")
+    own = {f"__b{i}": F.max(f"__p{i}").over(inside.orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)) for i in n}
+    own |= {f"__a{i}": F.min(f"__p{i}").over(inside.orderBy("__t").rangeBetween(0, Window.unboundedFollowing)) for i in n}
+    out = rows.withColumns(own).join(sums, on)
+    return out.withColumns({f"__b{i}": F.coalesce(f"__b{i}", f"__before{i}") for i in n} | {f"__a{i}": F.coalesce(f"__a{i}", f"__after{i}") for i in n})
 
 
 def impute(df: DataFrame, columns: list[str], time: str, by: list[str], method: str) -> DataFrame:
-    """Fill nulls: `fill` by the last value and then the next, `linear` on the line between them in time, `mean` by the series' mean."""
-    out = df
-    for c in columns:
-        x = F.col(c)
-        if method == "mean":
-            out = out.withColumn(c, F.coalesce(x, F.avg(c).over(Window.partitionBy(*by))))
-            continue
-        back, ahead = _around(c, by, time)
-        if method == "fill":
-            out = out.withColumn(c, F.coalesce(x, back, ahead))
-            continue
-        if method != "linear":
-            raise ValueError(f"method {method!r}")
-        t = _seconds(df, time)
-        out = out.withColumn("__p", F.when(x.isNotNull(), F.struct(t.alias("t"), x.alias("v"))))
-        b, a = _around("__p", by, time)
-        out = out.withColumns({"__b": b, "__a": a})
-        line = F.col("__b.v") + (F.col("__a.v") - F.col("__b.v")) * F.try_divide(t - F.col("__b.t"), F.col("__a.t") - F.col("__b.t"))
-        out = out.withColumn(c, F.coalesce(x, line, F.col("__b.v"), F.col("__a.v"))).drop("__p", "__b", "__a")
-    return out
+    """Fill nulls: `fill` by the last value and then the next, `linear` on the line between them in time, `mean` by the series' mean.
+
+    `centroid` completes correlated columns together and `neighbours` takes the mean of the five nearest rows that have the column; these two
+    don't look at `by`, and the first of them starts from `linear`.
+    """
+    if method == "centroid":
+        return centroid_impute(df, columns, time)
+    if method == "neighbours":
+        return neighbour_impute(df, columns)
+    if method == "mean":
+        means = df.groupBy(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(by)]).agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)])
+        on = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"__k{i}")) for i, b in enumerate(by)], F.lit(True))
+        wide = df.join(means, on, "left") if by else df.crossJoin(F.broadcast(means))  # one row
+        return wide.withColumns({c: F.coalesce(c, f"__m{i}") for i, c in enumerate(columns)}).select(*df.columns)
+    if method not in ("fill", "linear"):
+        raise ValueError(f"method {method!r}")
+    out = _around(df, columns, by, time)
+    t, new = F.col("__t"), {}
+    for i, c in enumerate(columns):
+        b, a = F.col(f"__b{i}"), F.col(f"__a{i}")
+        line = b["v"] + (a["v"] - b["v"]) * F.try_divide(t - b["t"], a["t"] - b["t"])
+        new[c] = F.coalesce(F.col(c), b["v"], a["v"]) if method == "fill" else F.coalesce(F.col(c), line, b["v"], a["v"])
+    return out.withColumns(new).select(*df.columns)
 
 
 def mask_cells(df: DataFrame, column: str, key: str, part: float, seed: int = 7) -> DataFrame:

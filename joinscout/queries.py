@@ -1132,13 +1132,15 @@ def seeded_split(spark, d):
 
 
 def _poisson(ratio: float, u: str) -> str:
+    """By the inverse of the distribution function, with factorials instead of a running term."""
     import math
 
-    term, below, out = math.exp(-ratio), 0.0, []
-    for k in range(12):
-        below += term
+    below, out = 0.0, []
+    for k in range(60):
+        below += math.exp(-ratio) * ratio**k / math.factorial(k)
         out.append(f"({u} >= {below!r}::DOUBLE)::INT")
-        term *= ratio / (k + 1)
+        if below >= 1.0 - 2.0**-52:
+            break
     return " + ".join(out)
 
 
