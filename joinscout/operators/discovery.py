@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 from functools import reduce
 from zlib import crc32
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import name_column, normalize_name, numeric_clean, set_jaccard, tokens
 from .joins import asof_join
+from .matching import embedded, embedding_pairs
 
 # Tolerances tried for a time alignment, seconds.
 TOLERANCES = (1, 5, 10, 30, 60, 120, 300, 600, 1800, 3600)
@@ -169,44 +169,62 @@ def hashed_ngrams(text: str, width: int = 256, n: int = 3) -> list[float]:
 
 
 def schema_matches(
-    spark: SparkSession, schemas: dict[str, dict[str, str]], overlap: DataFrame, descriptions: dict | None = None, encoder: Callable[[str], list[float]] = hashed_ngrams, schema_least: float = 0.6, value_least: float = 0.2
-) -> DataFrame:
+    spark: SparkSession, schemas: dict[str, dict[str, str]], overlap: DataFrame, descriptions: dict | None = None, encoder: Callable[[str], list[float]] = hashed_ngrams, schema_least: float = 0.6, value_least: float = 0.2,
+    cells: int | None = None, both: bool = False,
+) -> DataFrame:
     """Edges between columns by the cosine of their encoded names and descriptions and the overlap of their values.
 
     A pair needs the cosine. Columns of different type keep half of it. A pair of little overlap needs a cosine of 0.92; others have the
-    mean of cosine and overlap, or half the cosine if nothing overlaps.
+    mean of cosine and overlap, or half the cosine if nothing overlaps. Columns are encoded and compared in tasks; with `cells` only those that share one
+    (see embedding_pairs). `both`: each pair in both directions.
     """
     descriptions = descriptions or {}
-    columns = [(t, c, k, encoder(f"{c} {descriptions.get(t, {}).get(c, '')}")) for t, cs in schemas.items() for c, k in cs.items()]
-    rows = []
-    for (t, c, k, v), (u, d, m, w) in itertools.combinations(columns, 2):  # columns, not rows
-        cosine = sum(x * y for x, y in zip(v, w, strict=True))
-        if t != u and cosine >= schema_least:
-            rows.append((*((t, c, u, d) if t < u else (u, d, t, c)), cosine, k == m))
+    rows = [(t, c, k, f"{c} {descriptions.get(t, {}).get(c, '')}") for t, cs in schemas.items() for c, k in cs.items()]
+    columns = spark.createDataFrame(rows, "table string, column string, kind string, text string")
+    pairs = embedding_pairs(embedded(columns, encoder), schema_least, cells)
     key = ["left_table", "left_column", "right_table", "right_column"]
-    pairs = spark.createDataFrame(rows, ", ".join(f"{k} string" for k in key) + ", cosine double, same boolean").join(overlap.select(*key, "jaccard"), key, "left")
+    for side in ("left", "right"):
+        pairs = pairs.join(columns.select(F.col("table").alias(f"{side}_table"), F.col("column").alias(f"{side}_column"), F.col("kind").alias(f"{side}_kind")), [f"{side}_table", f"{side}_column"])
+    pairs = pairs.join(overlap.select(*key, "jaccard"), key, "left").withColumn("same", F.col("left_kind") == F.col("right_kind"))
     v = F.coalesce("jaccard", F.lit(0.0))
     score = F.when(~F.col("same") | (v <= 0), 0.5 * F.col("cosine")).otherwise(0.5 * F.col("cosine") + 0.5 * v)
     kept = pairs.where(~F.col("same") | (v >= value_least) | (F.col("cosine") >= 0.92))
-    return kept.select(*key, F.round(score, 6).alias("score"))
+    out = kept.select(*key, F.round(score, 6).alias("score"))
+    return out.unionByName(out.select(F.col(key[2]).alias(key[0]), F.col(key[3]).alias(key[1]), F.col(key[0]).alias(key[2]), F.col(key[1]).alias(key[3]), "score")) if both else out
 
 
-def minhash_edges(values: DataFrame, threshold: float = 0.5, permutations: int = 128, bands: int = 32) -> DataFrame:
-    """Pairs of columns whose estimated Jaccard is `threshold` or more: min-hashes by aggregation, met by band.
+def bands_for(threshold: float, permutations: int, lost: float = 1e-3) -> int:
+    """How many bands of equal length the min-hashes are cut into: the fewest that lose a pair at the threshold with a chance of at most `lost`."""
+    for rows in range(permutations, 0, -1):
+        if (1 - threshold**rows) ** (permutations // rows) <= lost:
+            return permutations // rows
+    return permutations
 
-    One hash of a value is mixed with each seed; a column is `permutations` minima, whatever its length.
+
+def minhash_edges(values: DataFrame, threshold: float = 0.5, permutations: int = 128, bands: int | None = None) -> DataFrame:
+    """KEY and jaccard: pairs of columns of two tables whose exact Jaccard is `threshold` or more, candidates by min-hashes.
+
+    One hash of a value is mixed with each seed; a column is `permutations` minima, whatever its length. Columns that agree in a band are candidates; of these
+    the common values are counted, so an estimate decides nothing. A pair at the threshold is lost with a chance of at most 0.001 (see bands_for),
+    pairs above it with a smaller one.
     """
+    bands = bands or bands_for(threshold, permutations)
     rows = permutations // bands
     h = F.xxhash64("value")
-    minima = values.groupBy("table", "column").agg(*[F.min(F.xxhash64(h, F.lit(i))).alias(f"h{i}") for i in range(permutations)])
-    signed = minima.select("table", "column", F.array(*[F.col(f"h{i}") for i in range(permutations)]).alias("s"))
+    minima = values.groupBy("table", "column").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.xxhash64(h, F.lit(i))).alias(f"h{i}") for i in range(permutations)])
+    signed = minima.select("table", "column", "n", F.array(*[F.col(f"h{i}") for i in range(permutations)]).alias("s"))
     keys = F.array(*[F.struct(F.lit(b).alias("b"), F.xxhash64(F.slice("s", b * rows + 1, rows)).alias("k")) for b in range(bands)])
-    banded = signed.select("table", "column", "s", F.explode(keys).alias("band")).select("table", "column", "s", "band.b", "band.k")
-    left = banded.select(F.col("table").alias("left_table"), F.col("column").alias("left_column"), F.col("s").alias("x"), "b", "k")
-    right = banded.select(F.col("table").alias("right_table"), F.col("column").alias("right_column"), F.col("s").alias("y"), "b", "k")
-    met = left.join(right, ["b", "k"]).where("left_table < right_table").dropDuplicates(["left_table", "left_column", "right_table", "right_column"])
-    same = F.aggregate(F.zip_with("x", "y", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
-    return met.select("left_table", "left_column", "right_table", "right_column", (same / permutations).alias("estimate")).where(F.col("estimate") >= threshold)
+    banded = signed.select("table", "column", "n", F.explode(keys).alias("band")).select("table", "column", "n", "band.b", "band.k")
+    left = banded.select(F.col("table").alias("left_table"), F.col("column").alias("left_column"), F.col("n").alias("left_n"), "b", "k")
+    right = banded.select(F.col("table").alias("right_table"), F.col("column").alias("right_column"), F.col("n").alias("right_n"), "b", "k")
+    key = ["left_table", "left_column", "right_table", "right_column"]
+    met = left.join(right, ["b", "k"]).where("left_table < right_table").select(*key, "left_n", "right_n").distinct()
+    # sizes alone rule some out
+    met = met.where(F.least("left_n", "right_n") >= threshold * F.greatest("left_n", "right_n") - 1e-9)
+    mine = met.join(values.select(F.col("table").alias("left_table"), F.col("column").alias("left_column"), "value"), ["left_table", "left_column"])
+    common = mine.join(values.select(F.col("table").alias("right_table"), F.col("column").alias("right_column"), "value"), ["right_table", "right_column", "value"])
+    out = common.groupBy(*key, "left_n", "right_n").agg(F.count(F.lit(1)).alias("common"))
+    return out.select(*key, (F.col("common") / (F.col("left_n") + F.col("right_n") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def all_values(tables: dict[str, DataFrame]) -> DataFrame:

@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -349,28 +349,25 @@ class KNeighborsModel(Model):
 # ---- the imputer ----
 
 
-def neighbour_impute(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
+def neighbour_impute(df: DataFrame, columns: list[str], k: int = 5, key: str | None = None) -> DataFrame:
     """Fill nulls and NaN of `columns` by the mean of the k nearest rows that have the column, the column's mean if none can be compared.
 
-    Distances are over all `columns` that both rows have. Rows without a null stay as they are. Equal rows are one donor as often as they occur.
+    Distances are over all `columns` that both rows have. Of equally far rows those with the smallest `key` (unique) count; without a key a hash of the row
+    decides. Equal rows are one donor as often as they occur. What isn't null stays as it is.
     """
     spark = df.sparkSession
     path = work_dir(spark, "impute")
     clean = df.withColumns({c: F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns})
-    clean.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    own = F.col(key) if key else F.concat_ws(":", F.lpad(F.hex(F.xxhash64(*clean.columns)), 16, "0"), F.lpad(F.col("__row").cast("string"), 20, "0"))
+    clean.withColumn("__row", F.monotonically_increasing_id()).withColumn("__key", own).write.parquet(path)
     rows = spark.read.parquet(path)
     means = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     x = F.array(*[F.col(c) for c in columns])
     gaps = rows.select("__row", F.posexplode(x).alias("need", "v"), x.alias("x")).where("v is null")
-    keyed = gaps.select((F.col("__row") * len(columns) + F.col("need")).alias("q"), "x", "need")
-    near = nearest(spark, keyed, rows.select(F.col("__row").alias("p"), x.alias("x")), k)
-    donors = rows.select(F.col("__row").alias("p"), x.alias("v"))
-    filled = near.join(donors, "p").withColumn("i", F.pmod("q", F.lit(len(columns))).cast("int"))
-    filled = filled.groupBy(F.expr(f"q div {len(columns)}").alias("__r"), "i").agg(F.avg(F.get("v", F.col("i"))).alias("m"))
-    wide = filled.groupBy("__r").agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"__m{i}") for i in range(len(columns))])
+    asked = gaps.select((F.col("__row") * len(columns) + F.col("need")).alias("q"), "x", "need")
+    near = nearest(spark, asked, rows.select(F.col("__key").alias("p"), x.alias("x")), k)
+    found = near.join(rows.select(F.col("__key").alias("p"), x.alias("v")), "p").withColumn("i", F.pmod("q", F.lit(len(columns))).cast("int"))
+    found = found.groupBy(F.expr(f"q div {len(columns)}").alias("__r"), "i").agg(F.avg(F.get("v", F.col("i"))).alias("m"))
+    wide = found.groupBy("__r").agg(*[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"__m{i}") for i in range(len(columns))])
     out = rows.join(wide, F.col("__row") == F.col("__r"), "left")
-
-    def fill(i: int, c: str) -> Column:
-        return F.coalesce(F.col(c), F.col(f"__m{i}"), F.lit(means[f"m{i}"]).cast("double"))
-
-    return out.withColumns({c: fill(i, c) for i, c in enumerate(columns)}).select(*df.columns)
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__m{i}"), F.lit(means[f"m{i}"]).cast("double")) for i, c in enumerate(columns)}).select(*df.columns)

@@ -220,6 +220,49 @@ def seeded_split(df: DataFrame, key: str, parts: dict[str, float], seed: int = 4
     return df.withColumn("part", out.otherwise(F.lit(list(parts)[-1])))
 
 
+#: Bits of a split's hash, and those that one pass over the rows tells apart.
+HASH_BITS, RADIX_BITS = 48, 12
+
+
+def exact_split(df: DataFrame, key: str, parts: dict[str, float], seed: int = 42) -> DataFrame:
+    """`part`, of exact sizes: round(n * size) rows, one at least, of each part but the first, which has the rest; at random by a hash of the key.
+
+    The places at which the order of hashes is cut are found by radix passes: each counts rows by the next bits of the hash, as many numbers as these bits have
+    values, and goes on in the one where the cut falls. Nothing is sorted. Keys are unique; rows of one key are in one part, so copies
+    move a size by their number.
+    """
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+    rows = df.select(number.alias("h"))
+    n = df.count()
+    names = list(parts)
+    sizes = [max(1, round(n * parts[p])) for p in names[1:]]
+    cuts, upto = [], 0
+    for size in sizes:
+        upto = min(n, upto + size)
+        cuts.append(_order_statistic(rows, upto))
+    place = F.lit(names[0])
+    for name, cut in reversed(list(zip(names[1:], cuts, strict=True))):
+        if cut is not None:
+            place = F.when(number <= cut, F.lit(name)).otherwise(place)
+    return df.withColumn("part", place)
+
+
+def _order_statistic(rows: DataFrame, place: int) -> int | None:
+    """The place-th smallest h (from 1) of rows(h), by counts of RADIX_BITS bits at a time."""
+    if place <= 0:
+        return None
+    prefix = 0
+    for shift in range(HASH_BITS - RADIX_BITS, -1, -RADIX_BITS):
+        inside = rows.where(F.shiftright("h", shift + RADIX_BITS) == prefix)
+        counts = {r.b: r["count"] for r in inside.groupBy(F.shiftright("h", shift).alias("b")).count().collect()}  # at most 2^RADIX_BITS rows
+        for b in sorted(counts):
+            if place <= counts[b]:
+                prefix = b
+                break
+            place -= counts[b]
+    return prefix
+
+
 def scale_by_train(df: DataFrame, columns: list[str], is_train: str = "is_train", exact: bool = False) -> DataFrame:
     """(x - median) / std with the training rows' statistics; a std of 0 counts as 1. The median is approximate unless `exact`, which gathers all distinct values."""
     stats = df.where(F.col(is_train)).agg(*[f.alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in (("m", _median(F.col(c), exact)), ("s", F.stddev(c)))])

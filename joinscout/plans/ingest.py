@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import discovery
+from ..operators import discovery, matching
 from . import graph
 from .search import Lake
 
@@ -32,15 +32,17 @@ def edges_of(recommended: DataFrame) -> DataFrame:
 
 
 def discover(lake: Lake, least: float = 0.55, method: str = "hybrid") -> Lake:
-    """The lake with its graph and the edges found: by names and values (hybrid), by schema and values, or by min-hashes."""
+    """The lake with its graph and the edges found: by names and values (hybrid), by schema and values, by min-hashes, or by several measures (composite)."""
     if method == "hybrid":
         found = edges_of(discovery.recommend(relationships(lake), least))
     else:
         values = discovery.all_values(lake.tables)
         if method == "minhash":
-            pairs = discovery.minhash_edges(values, least).withColumnRenamed("estimate", "score")
+            pairs = discovery.minhash_edges(values, least).withColumnRenamed("jaccard", "score")
         elif method == "schema":
             pairs = discovery.schema_matches(lake.graph.sparkSession, {t: dict(df.dtypes) for t, df in lake.tables.items()}, discovery.value_jaccard(values), schema_least=least)
+        elif method == "composite":
+            pairs = matching.composite_matches(lake.tables, discovery.value_jaccard(values), least).where("chosen").select(*matching.KEY, "score")
         else:
             raise ValueError(f"method {method!r}")
         found = pairs.select(F.col("left_table").alias("from_id"), F.col("right_table").alias("to_id"), F.col("left_column").alias("from_column"), F.col("right_column").alias("to_column"), F.col("score").alias("weight"))

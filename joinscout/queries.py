@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import session
 from .functions import columns, policy, scalars
-from .operators import augment, discovery, joins, models, profile, rollups, selection, stats, timeseries
+from .operators import augment, discovery, joins, lowrank, matching, models, neighbours, profile, rollups, selection, stats, timeseries
 from .plans import graph, ingest, paths, search
 from .sources import lake as lakes
 from .sources import registry, sinks
@@ -465,9 +465,9 @@ def time_alignment(spark, d):
     return rounded(rounded(out, *[f"ratio_{g}" for g in discovery.TOLERANCES], "match_ratio"), "median_delta", places=4)
 
 
-@query()
+@query(f"WITH {OVERLAP}, j AS (SELECT left_table, left_column, right_table, right_column, common / (p.n + q.n - common) AS x FROM o JOIN z p ON p.t = left_table AND p.c = left_column JOIN z q ON q.t = right_table AND q.c = right_column) SELECT left_table, left_column, right_table, right_column, round(x, 6) AS jaccard FROM j WHERE x >= 0.5")
 def minhash_edges(spark, d):
-    return discovery.minhash_edges(discovery.all_values(_columns(spark, d)), 0.5)
+    return rounded(discovery.minhash_edges(discovery.all_values(_columns(spark, d)), 0.5), "jaccard")
 
 
 def _cosines() -> str:
@@ -1273,3 +1273,106 @@ def learned_forecast(spark, d):
     lags = [f"lag{i}" for i in range(16)]
     out = models.predict(model, rows.select(*[F.get("window", F.lit(i)).alias(c) for i, c in enumerate(lags)], "y"), lags, "y")
     return models.regression_metrics(out)
+
+
+# ---- nearest rows, completion, composite matching, exact splits ----
+
+
+@query("""WITH d AS (SELECT a.p_partkey AS q, b.p_partkey AS p, (a.p_size::DOUBLE - b.p_size::DOUBLE) * (a.p_size::DOUBLE - b.p_size::DOUBLE) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice) AS d2 FROM part a JOIN part b ON a.p_partkey <> b.p_partkey)
+SELECT q, row_number() OVER (PARTITION BY q ORDER BY d2, p)::INT AS rank, p, round(d2, 6) AS d2 FROM d QUALIFY rank <= 5""")
+def nearest_parts(spark, d):
+    """The five parts nearest to each part by size and price."""
+    part = read(spark, d, "part")
+    x = F.array(F.col("p_size").cast("double"), "p_retailprice")
+    return rounded(neighbours.nearest(spark, part.select(F.col("p_partkey").alias("q"), x.alias("x")), part.select(F.col("p_partkey").alias("p"), x.alias("x")), 5, exclude_same=True), "d2")
+
+
+SPLIT_CUSTOMERS = "(SELECT *, '0x' || substr(md5('42:' || c_custkey::VARCHAR), 1, 12) AS h, count(*) OVER () AS n FROM customer)"
+HELD = f"x AS (SELECT *, row_number() OVER (ORDER BY h::BIGINT, c_custkey) AS r FROM {SPLIT_CUSTOMERS}), t AS (SELECT *, CASE WHEN r <= greatest(1, round_even(n * 0.2, 0)) THEN 'test' WHEN r <= greatest(1, round_even(n * 0.2, 0)) + greatest(1, round_even(n * 0.1, 0)) THEN 'validation' ELSE 'train' END AS part FROM x)"
+
+
+@query(f"WITH {HELD} SELECT c_custkey, part FROM t")
+def exact_size_split(spark, d):
+    return timeseries.exact_split(read(spark, d, "customer"), "c_custkey", {"train": 0.7, "test": 0.2, "validation": 0.1}).select("c_custkey", "part")
+
+
+@query(f"""WITH {HELD}, d AS (SELECT a.c_custkey AS q, b.c_custkey AS p, b.c_acctbal AS y, (a.c_nationkey::DOUBLE - b.c_nationkey::DOUBLE) * (a.c_nationkey::DOUBLE - b.c_nationkey::DOUBLE) + (a.c_custkey::DOUBLE - b.c_custkey::DOUBLE) * (a.c_custkey::DOUBLE - b.c_custkey::DOUBLE) AS d2 FROM t a JOIN t b ON a.part = 'test' AND b.part = 'train'),
+k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY d2, p) <= 5) SELECT q AS c_custkey, round(avg(y), 6) AS prediction FROM k GROUP BY q""")
+def neighbour_predictions(spark, d):
+    """The learner on customers: balances of held-out ones from those of the five nearest by nation and key."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=["c_nationkey", "c_custkey"], outputCol="features").transform(timeseries.exact_split(read(spark, d, "customer"), "c_custkey", {"train": 0.7, "test": 0.2, "validation": 0.1}))
+    model = neighbours.KNeighbors("features", "c_acctbal", 5, key="c_custkey").fit(rows.where("part = 'train'"))
+    return rounded(model.transform(rows.where("part = 'test'")).select("c_custkey", "prediction"), "prediction")
+
+
+_HOLES = ("c_acctbal", "c_nationkey", "size")
+
+
+def _near(c: str) -> str:
+    """Rows without column c filled from the five nearest that have it, over the columns that both have."""
+    both = [f"(a.{x} IS NOT NULL AND b.{x} IS NOT NULL)::INT" for x in _HOLES]
+    total = " + ".join(f"coalesce((a.{x} - b.{x}) * (a.{x} - b.{x}), 0)" for x in _HOLES)
+    n = " + ".join(both)
+    return f"""{c}_d AS (SELECT a.c_custkey AS q, b.c_custkey AS p, b.{c} AS v, CASE WHEN {n} = 3 THEN {total} ELSE ({total}) * (3 / ({n})) END AS d2 FROM h a JOIN h b ON a.{c} IS NULL AND b.{c} IS NOT NULL AND {n} > 0),
+    {c}_f AS (SELECT q, avg(v) AS v FROM (SELECT * FROM {c}_d QUALIFY row_number() OVER (PARTITION BY q ORDER BY d2, p) <= 5) GROUP BY q)"""
+
+
+@query(f"""WITH h AS (SELECT c_custkey, {", ".join(f"CASE WHEN {UNIT(20 + i, 'c_custkey::VARCHAR')} >= 0.1 THEN {x} END AS {c}" for i, (c, x) in enumerate(zip(_HOLES, ("c_acctbal", "c_nationkey::DOUBLE", "length(c_name)::DOUBLE + c_custkey"), strict=True)))} FROM customer),
+{", ".join(_near(c) for c in _HOLES)}, m AS (SELECT {", ".join(f"avg({c}) AS {c}" for c in _HOLES)} FROM h)
+SELECT h.c_custkey, {", ".join(f"round(coalesce(h.{c}, {c}_f.v, m.{c}), 6) AS {c}" for c in _HOLES)} FROM h CROSS JOIN m {" ".join(f"LEFT JOIN {c}_f ON {c}_f.q = h.c_custkey" for c in _HOLES)}""")
+def neighbour_imputation(spark, d):
+    """Holes in three columns of the customers, filled from the nearest rows over what both have."""
+    whole = (F.col("c_acctbal"), F.col("c_nationkey").cast("double"), (F.length("c_name") + F.col("c_custkey")).cast("double"))
+    rows = read(spark, d, "customer").select("c_custkey", *[F.when(augment.unit(20 + i, F.col("c_custkey")) >= 0.1, x).alias(c) for i, (c, x) in enumerate(zip(_HOLES, whole, strict=True))])
+    return rounded(neighbours.neighbour_impute(rows, list(_HOLES), 5, "c_custkey"), *_HOLES)
+
+
+@query()
+def centroid_imputation_error(spark, d):
+    """Hourly means of the event types with a tenth of the cells hidden: error of the line between neighbours, the mean, and the centroid decomposition."""
+    e = read(spark, d, "events").select(F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("hour"), "event_type", "value")
+    kinds = [r[0] for r in e.select("event_type").where("event_type is not null").distinct().orderBy("event_type").collect()]  # the table's few types
+    wide = e.groupBy("hour").pivot("event_type", kinds).agg(F.avg("value")).where("hour is not null")
+    hide = {k: F.col(k).isNotNull() & (augment.unit(30 + i, F.col("hour")) < 0.1) for i, k in enumerate(kinds)}
+    holes = wide.select("hour", *[F.when(~hide[k], F.col(k)).alias(k) for k in kinds], *[F.when(hide[k], F.col(k)).alias(f"truth_{k}") for k in kinds])
+    out = None
+    for method in ("linear", "mean", "centroid"):
+        filled = timeseries.impute(holes, kinds, "hour", [], method)
+        cells = filled.select(F.explode(F.array(*[F.struct(F.col(k).alias("v"), F.col(f"truth_{k}").alias("truth")) for k in kinds])).alias("c")).select("c.*")
+        one = timeseries.imputation_error(cells, "v").select(F.lit(method).alias("method"), "n", "mae", "rmse")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _traits() -> str:
+    """What column_traits measures of VALUE_COLUMNS."""
+    parts = []
+    for t, c in VALUE_COLUMNS:
+        number, text = c not in TEXTS, c in TEXTS
+        v = f"{c}::VARCHAR"
+        parts.append(f"""SELECT '{t}' AS t, '{c}' AS c, any_value(typeof({c})) AS kind, '{'number' if number else 'text'}' AS family, count({c}) / count(*) AS filled, count(DISTINCT {c}) / count({c}) AS dist,
+        {f"avg({c}::DOUBLE)" if number else "NULL"} AS mean, {f"stddev_pop({c}::DOUBLE)" if number else "NULL"} AS spread, {f"avg(length({v}))" if text else "NULL"} AS len,
+        {f"sum(length(regexp_replace({v}, '[^0-9]', '', 'g'))) / sum(length({v}))" if text else "NULL"} AS digits, {f"sum(length(regexp_replace({v}, '[^[:alpha:]]', '', 'g'))) / sum(length({v}))" if text else "NULL"} AS letters FROM {t}""")
+    return " UNION ALL ".join(parts)
+
+
+TEXTS = [c for _, c in VALUE_COLUMNS if c.endswith(("name", "segment", "status", "priority"))]
+_LIKE = ", ".join(f"CASE WHEN abs(a.{m}) + abs(b.{m}) = 0 THEN 1 ELSE 1 - abs(a.{m} - b.{m}) / (abs(a.{m}) + abs(b.{m})) END" for m in ("filled", "dist", "mean", "spread", "len", "digits", "letters"))
+
+
+@query(f"""WITH {OVERLAP}, tr AS ({_traits()}), g AS (SELECT *, list_distinct(list_transform(range(1, length(c) + 2), lambda i: substr('  ' || c || ' ', i::INT, 3))) AS gs, string_split(c, '_') AS ws FROM tr),
+pr AS (SELECT a.t AS left_table, a.c AS left_column, b.t AS right_table, b.c AS right_column, 2 * len(list_intersect(a.gs, b.gs)) / (len(a.gs) + len(b.gs)) AS name, len(list_intersect(a.ws, b.ws)) / len(list_distinct(a.ws || b.ws)) AS words,
+  CASE WHEN a.kind = b.kind THEN 1.0 WHEN a.family = b.family THEN 0.7 ELSE 0.0 END AS kind, CASE WHEN a.family = b.family THEN list_avg(list_filter([{_LIKE}], lambda x: x IS NOT NULL)) END AS stat,
+  coalesce(greatest(o.common / p.n, o.common / q.n), 0) AS vals
+  FROM g a JOIN g b ON a.t < b.t LEFT JOIN o ON o.left_table = a.t AND o.left_column = a.c AND o.right_table = b.t AND o.right_column = b.c LEFT JOIN z p ON p.t = a.t AND p.c = a.c LEFT JOIN z q ON q.t = b.t AND q.c = b.c),
+s AS (SELECT *, round((0.35 * name + 0.15 * words + 0.1 * kind + coalesce(0.15 * stat, 0) + 0.25 * vals) / (0.85 + CASE WHEN stat IS NULL THEN 0 ELSE 0.15 END), 6) AS score FROM pr),
+c AS (SELECT * FROM s WHERE score >= 0.5),
+w AS (SELECT *, score >= max(score) OVER (PARTITION BY left_table, left_column, right_table) - 0.05 AND score >= max(score) OVER (PARTITION BY right_table, right_column, left_table) - 0.05 AS within,
+  row_number() OVER (PARTITION BY left_table, left_column, right_table ORDER BY score DESC, right_column) = 1 AND row_number() OVER (PARTITION BY right_table, right_column, left_table ORDER BY score DESC, left_column) = 1 AS chosen FROM c)
+SELECT left_table, left_column, right_table, right_column, round(score, 5) AS score, chosen FROM w WHERE within""")
+def composite_matches(spark, d):
+    tables = _columns(spark, d)
+    out = matching.composite_matches(tables, discovery.value_jaccard(discovery.all_values(tables)), 0.5, approximate=False)
+    return rounded(out.select(*matching.KEY, "score", "chosen"), "score", places=5)
