@@ -14,7 +14,7 @@ from .operators import models, profile, selection, stats
 from .operators.timeseries import chronological_split, seeded_split
 from .plans import paths
 from .plans.ingest import discover
-from .plans.search import SEP, Lake, Settings, budget_join, join_all, join_some, materialise, numeric, plus_ranking, search
+from .plans.search import SEP, Lake, Settings, budget_join, join_all, join_some, materialise, numeric, plus_ranking, prefixes, search
 
 
 @dataclass
@@ -30,6 +30,8 @@ class AugmentationConfig:
     policies: tuple[str, ...] = ("none",)
     split_key: str | None = None
     seed: int = 42
+    #: Base rows that the search ranks on; all, if None.
+    sample: int | None = None
 
 
 @dataclass
@@ -80,21 +82,40 @@ def evaluate(df: DataFrame, features: list[str], c: AugmentationConfig, approach
     return evaluate_split(rows.select(*[f for f in features if f in df.columns], c.target, "is_train"), c, approach, regression)
 
 
+def _settings(c: AugmentationConfig, regression: bool, **change) -> Settings:
+    return Settings(**({"target": c.target, "value_ratio": c.value_ratio, "classification": not regression, "top_k": c.top_k, "temporal_key": c.temporal_key, "tolerance": c.tolerance, "direction": c.direction, "sample": c.sample} | change))
+
+
 def ablation(base: str, lake: Lake, config: AugmentationConfig, variants: dict[str, dict] | None = None) -> list[dict]:
-    """Results of the search with some of its settings changed: other correlation, joint information, no relevance, no redundancy, match ratios."""
+    """Results of the search with some of its settings changed: other correlation, joint information, no relevance, no redundancy, match ratios.
+
+    All variants share their joins, as long as they don't change what a join is.
+    """
     variants = variants or {"pearson": {"relevance": "pearson"}, "joint": {"joint": True}, "no_relevance": {"use_relevance": False}, "no_redundancy": {"use_redundancy": False}}
-    c, out = config, []
+    c, out, done = config, [], {}
     regression = profile.problem_type(lake.tables[base], c.target) == "regression"
+    shared: dict[str, tuple] = {}
     for name, change in variants.items():
-        s = Settings(**({"target": c.target, "value_ratio": c.value_ratio, "classification": not regression, "temporal_key": c.temporal_key, "tolerance": c.tolerance, "direction": c.direction} | change))
-        found = search(lake, base, s)
-        path = (paths.best_paths(found.ranking, c.top_k) or [base])[0]
-        features = found.features.get(path, [])
-        table = materialise(lake, path, features, s)
-        out.append(evaluate(table, features, c, name, base, regression) | {"path": path})
+        k = change.get("top_k", c.top_k)
+        s = _settings(c, regression, **change)
+        made = prefixes(lake, base, s)
+        ranked, whole = shared.setdefault(made.name, (made, prefixes(lake, base, s, whole=True) if s.sample else made))
+        found = search(lake, base, s, ranked)
+        path = (paths.best_paths(found.ranking, k) or [base])[0]
+        features = found.features.get(path, [])[:k] if "top_k" in change else found.features.get(path, [])
+        key = (path, tuple(features))
+        if key not in done:  # the same features of the same path score the same
+            done[key] = evaluate(materialise(lake, path, features, s, whole), features, c, name, base, regression)
+        out.append(done[key] | {"approach": name, "path": path, "joins_made": ranked.made})
     return out
 
 
+def sweep(base: str, lake: Lake, config: AugmentationConfig, ks: tuple[int, ...] = tuple(range(1, 21)), value_ratios: tuple[float, ...] = ()) -> list[dict]:
+    """Results for each number of features of the best path, the first k in the order they were selected, and for each match ratio. Each prefix is joined once for all of them."""
+    variants = {f"k={k}": {"top_k": k} for k in ks} | {f"value_ratio={r:g}": {"value_ratio": r} for r in value_ratios}
+    return ablation(base, lake, config, variants)
+
+
 def augment_features(base: str, lake: Lake, config: AugmentationConfig) -> AugmentationResult:
     """Search the lake from the base table and materialise the best path on all rows; other approaches are scored beside it."""
     c = config
@@ -102,7 +123,8 @@ def augment_features(base: str, lake: Lake, config: AugmentationConfig) -> Augme
         lake = discover(lake)
     kind = profile.problem_type(lake.tables[base], c.target)
     regression = kind == "regression"
-    s = Settings(target=c.target, value_ratio=c.value_ratio, classification=not regression, top_k=c.top_k, temporal_key=c.temporal_key, tolerance=c.tolerance, direction=c.direction)
+    s = _settings(c, regression)
+    trie = prefixes(lake, base, s)
     results = []
     start = lake.prefixed(base, c.target)
     own = [f for f in start.columns if f != c.target]
@@ -124,12 +146,12 @@ def augment_features(base: str, lake: Lake, config: AugmentationConfig) -> Augme
         names = budget_join(lake, base, s, regression)
         owners = sorted({n.split(SEP, 1)[0] for n in names} - {base})
         results.append(evaluate(join_some(lake, base, owners, s), names, c, "ARDA", base, regression))
-    found = search(lake, base, s)
+    found = search(lake, base, s, trie)
     ranking = found.ranking if set(c.policies) == {"none"} else plus_ranking(found, [*SENSITIVE, *policy_patterns(c.policies)])
     best = paths.best_paths(ranking, c.top_k)
     path = best[0] if best else base
     features = found.features.get(path, own)
-    table = materialise(lake, path, features, s)
+    table = materialise(lake, path, features, s, None if s.sample else trie)
     if "Search" in c.approaches:
         results.append(evaluate(table, features, c, "Search", base, regression))
     return AugmentationResult(table, path, features, results)

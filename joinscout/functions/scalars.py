@@ -82,6 +82,17 @@ def tolerance_seconds(value: str | float) -> float | None:
     return amount * UNIT_SECONDS[unit] if amount >= 0 else None
 
 
+def tolerance(c: Column) -> Column:
+    """tolerance_seconds as an expression over a column of texts; a number without a unit is of seconds."""
+    low = F.trim(F.lower(c))
+    unit = F.regexp_extract(low, r"(min|ms|us|ns|s|h|d)?$", 1)
+    amount = F.trim(F.regexp_replace(low, r"(min|ms|us|ns|s|h|d)$", "")).try_cast("double")
+    seconds = F.when(unit == "", F.lit(1.0))
+    for name, size in UNIT_SECONDS.items():
+        seconds = seconds.when(unit == name, F.lit(size))
+    return F.when(amount >= 0, amount * seconds)
+
+
 def normalize_name(name: str) -> str:
     """Lower case, without _ms, other characters than letters and digits as one underscore."""
     return re.sub(r"[^a-z0-9]+", "_", name.strip().lower().replace("_ms", "")).strip("_")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import work_dir
 
 #: Rounds of filling, and steps of a direction, at most; both end sooner as a rule.
-ROUNDS, STEPS = 60, 50
+ROUNDS, STEPS = 30, 50
 
 
 def completed(x, missing, rounds: list):
@@ -75,7 +75,11 @@ class Centroids:
         return out[:-2], out[-2], out[-1]
 
     def directions(self, before: list | None) -> tuple[list, float]:
-        """k directions of the rows as filled so far, started from those of the round before; and how much that round changed, as a part of what it filled."""
+        """k directions of the rows as filled so far; and how much the round before changed, as a part of what it filled.
+
+        The first ones go on until the sign vector stays. Later ones take a single step from those of the round before, as rows change little
+        from round to round and the next round goes on.
+        """
         import numpy as np
 
         found, change = [], 0.0
@@ -83,7 +87,7 @@ class Centroids:
             c, changed, size = self._sum(found, before[j] if before is not None and j < len(before) else None)
             if j == 0:
                 change = (changed / size) ** 0.5 if size > 0 else 0.0
-            for _ in range(STEPS):
+            for _ in range(STEPS if before is None else 0):
                 longer = self._sum(found, c)[0]
                 if np.linalg.norm(longer) <= np.linalg.norm(c) * (1 + 1e-12):
                     break

@@ -1,6 +1,7 @@
 """Search for columns that help: a breadth-first walk over the join graph from a base table.
 
-The walk is planned on the driver over the small graph; each step adds a lazy join, one aggregate for its match ratio, and the statistics of the new columns.
+The walk is planned on the driver over the small graph; each step is a join that is written once (see prefixes), one aggregate for its match ratio, and the
+statistics of the new columns.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.sql import types as T
 from ..functions.policy import SENSITIVE, is_sensitive
 from ..operators import selection, stats
 from ..operators.augment import unit
-from ..operators.joins import asof_join, first_per_key, passes_quality
+from ..operators.joins import asof_join, first_per_key
 from .graph import undirected
 from .paths import Step, best_paths, extend, length, needed, parse
+from .prefixes import Prefixes
 
 SEP = "__"
-CHECKPOINT_EVERY = 5
 
 
 @dataclass
@@ -46,7 +47,8 @@ class Lake:
 class Settings:
     target: str
     value_ratio: float = 0.65
-    sample: int | None = 3000
+    #: Base rows that the search ranks on; all, if None.
+    sample: int | None = None
     classification: bool = False
     relevance: str = "spearman"
     joint: bool = False
@@ -114,21 +116,31 @@ def score_step(df: DataFrame, new: list[str], selected: list[str], s: Settings)
     return None if value is None else (value, sorted(red))
 
 
-def search(lake: Lake, base: str, s: Settings) -> Found:
+def prefixes(lake: Lake, base: str, s: Settings, folder: str | None = None, whole: bool = False) -> Prefixes:
+    """The trie of joins from a base table under these settings, on the search's sample of it or on all rows."""
+    sampled = None if whole else s.sample
+
+    def start() -> DataFrame:
+        df = lake.prefixed(base, s.target)
+        return base_sample(df, sampled, [c for c in df.columns if c != s.target], s.target if s.classification else None) if sampled else df
+
+    name = repr((base, s.target, sampled, sampled and s.classification, s.temporal_key, s.tolerance, s.direction))
+    return Prefixes(start, lambda df, step: step_join(lake, df, step, s), name, folder)
+
+
+def search(lake: Lake, base: str, s: Settings, trie: Prefixes | None = None) -> Found:
     """Walk the graph from the base table. Every accepted join makes the path longer; a refused one leaves it as it was.
 
-    Of the edges to a neighbour those of the largest weight are tried. Paths are known by their steps, not by parts of names, and none is lost.
+    Of the edges to a neighbour those of the largest weight are tried. Paths are known by their steps, not by parts of names, and none is lost. Every
+    join is written once to the work folder and read from there; with a trie that other searches have used, their joins and statistics serve again.
     """
-    start = lake.prefixed(base, s.target)
+    trie = trie or prefixes(lake, base, s)
+    start = trie.frame(base)
     keys = [c for c in start.columns if c != s.target]
-    if s.sample:
-        start = base_sample(start, s.sample, keys, s.target if s.classification else None)
-    start = start.cache()
-    held = [start]
     edges = lake.edges()
     own = numeric(start, keys)
     ranking, features, refused = {base: 0.0}, {base: own}, []
-    live: list[tuple[str, DataFrame, list[str]]] = [(base, start, own)]
+    live: list[tuple[str, list[str]]] = [(base, own)]
     seen, queue = {base}, deque([base])
     while queue:
         node = queue.popleft()
@@ -139,58 +151,52 @@ def search(lake: Lake, base: str, s: Settings) -> Found:
             hits = [e for e in edges if e[0] == node and e[1] == neighbour and e[3] != s.target]
             best = [e for e in hits if e[2] == min(h[2] for h in hits)]
             after = []
-            for path, df, selected in live:
-                grown = False
+            for path, selected in live:
+                grown, before = False, trie.frame(path).columns
                 for e in best:
                     step = Step(node, e[3], e[4], neighbour)
-                    joined = step_join(lake, df, step, s)
+                    name, key = extend(path, step), f"{neighbour}{SEP}{e[4]}"
+                    joined = trie.frame(name)
                     if joined is None:
                         continue
-                    if s.sample:  # at most `sample` rows, read three times
-                        held.append(joined := joined.persist())
-                    name, key = extend(path, step), f"{neighbour}{SEP}{e[4]}"
-                    if not passes_quality(joined, key, s.value_ratio):
+                    if trie.matched(name, key) < s.value_ratio:
                         refused.append(name)
                         continue
-                    if not s.sample and length(name) % CHECKPOINT_EVERY == 0 and joined.sparkSession.sparkContext.getCheckpointDir():
-                        joined = joined.checkpoint()
                     grown = True
-                    new = numeric(joined, [c for c in joined.columns if c not in df.columns and c != key])
-                    scored = score_step(joined, new, selected, s)
+                    new = numeric(joined, [c for c in joined.columns if c not in before and c != key])
+                    how = (s.relevance, s.joint, s.use_relevance, s.use_redundancy, s.parity)
+                    scored = trie.once(("score", name, tuple(selected), how), lambda: score_step(joined, new, selected, s))  # noqa: B023
                     if scored is None:
                         refused.append(name)
-                        after.append((name, joined, selected))
+                        after.append((name, selected))
                         continue
                     ranking[name], kept = scored[0], [*selected, *[f for f in scored[1] if f not in selected]]
                     features[name] = kept
-                    after.append((name, joined, kept))
+                    after.append((name, kept))
                 if not grown:
-                    after.append((path, df, selected))
+                    after.append((path, selected))
             live = after
-    for df in held:
-        df.unpersist()
     return Found(ranking, features, refused)
 
 
-def materialise(lake: Lake, path: str, features: list[str], s: Settings) -> DataFrame:
-    """The whole base table with the features: only tables that own one, and those on the way, are joined."""
+def materialise(lake: Lake, path: str, features: list[str], s: Settings, trie: Prefixes | None = None) -> DataFrame:
+    """The whole base table with the features: only tables that own one, and those on the way, are joined. A trie of whole rows serves its prefixes."""
     base, steps = parse(path)
-    out = lake.prefixed(base, s.target)
-    owners = {f.split(SEP, 1)[0] for f in features} - {base}
-    for step in needed(steps, owners):
-        joined = step_join(lake, out, step, s)
-        if joined is None:
-            raise ValueError(f"step {step} can't be joined")
-        out = joined
+    steps = needed(steps, {f.split(SEP, 1)[0] for f in features} - {base})
+    out = _joined(lake, base, steps, s, trie)
     return out.select(*[f for f in features if f in out.columns], s.target)
 
 
-def replay(lake: Lake, path: str, s: Settings) -> DataFrame:
+def replay(lake: Lake, path: str, s: Settings, trie: Prefixes | None = None) -> DataFrame:
     """Every join of a path on the whole tables."""
-    base, steps = parse(path)
-    out = lake.prefixed(base, s.target)
+    return _joined(lake, *parse(path), s, trie)
+
+
+def _joined(lake: Lake, base: str, steps: list[Step], s: Settings, trie: Prefixes | None) -> DataFrame:
+    path, out = base, trie.frame(base) if trie else lake.prefixed(base, s.target)
     for step in steps:
-        out = step_join(lake, out, step, s)
+        path = extend(path, step)
+        out = trie.frame(path) if trie else step_join(lake, out, step, s)
         if out is None:
             raise ValueError(f"step {step} can't be joined")
     return out
@@ -253,7 +259,7 @@ def budget_batches(lake: Lake, base: str, rows: int | None = None) -> list[list[
 def budget_join(lake: Lake, base: str, s: Settings, regression: bool = True, rounds: int = 2, threshold: float = 0.1, seed: int = 7) -> list[str]:
     """Features that stand before random columns, batch by batch of the tables next to the base; those of earlier batches go on with the next.
 
-    Selection sees at most `Settings.sample` base rows; what it chooses is materialised on all.
+    Selection sees all base rows, or a sample of `Settings.sample`; what it chooses is materialised on all.
     """
     start = lake.prefixed(base, s.target)
     keys = [c for c in start.columns if c != s.target]

@@ -162,46 +162,6 @@ def _values(rows: list[tuple]) -> str:
 UNDIRECTED = f"u AS (SELECT from_id, to_id, weight FROM {_values(LINKS)} UNION ALL SELECT to_id, from_id, weight FROM {_values(LINKS)})"
 
 
-@query(f"SELECT from_id, to_id, from_column, to_column, max(weight)::DOUBLE AS weight FROM (SELECT * FROM {_values(LINKS)} UNION ALL SELECT * FROM {_values(MORE)}) GROUP BY ALL")
-def edge_upsert_max(spark, d):
-    return graph.upsert(graph.edges(spark, LINKS), graph.edges(spark, MORE))
-
-
-@query(f"WITH {UNDIRECTED} SELECT to_id AS node, max(weight)::DOUBLE AS weight FROM u WHERE from_id = 'nation' GROUP BY 1")
-def adjacent_tables(spark, d):
-    return graph.adjacent(graph.edges(spark, LINKS), "nation")
-
-
-@query(f"WITH RECURSIVE {UNDIRECTED}, r AS (SELECT 'orders' AS node, 0 AS hops UNION ALL SELECT to_id, hops + 1 FROM r JOIN u ON u.from_id = r.node WHERE hops < 3) SELECT node, min(hops)::INT AS hops FROM r WHERE node <> 'orders' GROUP BY 1")
-def reachable_tables(spark, d):
-    return graph.reachable(graph.edges(spark, LINKS), "orders", 3)
-
-
-@query(f"WITH {UNDIRECTED} SELECT from_id AS node, count(DISTINCT to_id) AS degree FROM u GROUP BY 1")
-def graph_degrees(spark, d):
-    return graph.degrees(graph.edges(spark, LINKS))
-
-
-@query(f"SELECT from_id, to_id, from_column, to_column, weight::DOUBLE AS weight FROM {_values(LINKS)} WHERE from_id = 'orders' AND to_id = 'customer'")
-def edges_between(spark, d):
-    return graph.between(graph.edges(spark, LINKS), "orders", "customer")
-
-
-@query(f"SELECT to_id AS node, from_column, to_column FROM {_values(LINKS)} WHERE from_id = 'orders' AND weight = 1 UNION SELECT from_id, to_column, from_column FROM {_values(LINKS)} WHERE to_id = 'orders' AND weight = 1")
-def key_neighbours(spark, d):
-    return graph.key_neighbours(graph.edges(spark, LINKS), "orders")
-
-
-@query(f"SELECT from_id, count(*) AS n FROM {_values(LINKS)} GROUP BY 1")
-def edges_per_source(spark, d):
-    return graph.edge_counts(graph.edges(spark, LINKS))
-
-
-@query(f"SELECT from_id, to_id, from_column, to_column, weight::DOUBLE AS weight FROM {_values(LINKS)} WHERE weight >= 0.9 AND (from_id LIKE '%nation%' OR to_id LIKE '%nation%')")
-def filtered_edges(spark, d):
-    return graph.filtered(graph.edges(spark, LINKS), 0.9, "nation")
-
-
 def lake(spark: SparkSession, d: str) -> search.Lake:
     names = ("orders", "customer", "nation", "region")
     return search.Lake({n: read(spark, d, n) for n in names}, graph.edges(spark, [e for e in LINKS if e[0] in names and e[1] in names]), {"customer": ["c_name"], "nation": ["n_name"], "region": ["r_name"]})
@@ -236,7 +196,7 @@ def replay_path(spark, d):
 
 @query()
 def search_paths(spark, d):
-    found = search.search(lake(spark, d), "orders", search.Settings("o_totalprice", parity=False, sample=None))
+    found = search.search(lake(spark, d), "orders", search.Settings("o_totalprice", parity=False))
     return spark.createDataFrame([(p, float(r), paths.length(p), len(found.features.get(p, []))) for p, r in found.ranking.items()], "path string, rank double, length int, n_features int")
 
 
@@ -346,13 +306,6 @@ def score_plus_topk(spark, d):
     return rounded(selection.chosen(scores, 3).select("feature", "score_plus"), "score_plus")
 
 
-@query("SELECT * FROM (VALUES ('l_shipdate', true), ('l_quantity', false), ('orders.user_id', true), ('lat95', true), ('x.time', true), ('timer', false)) AS t(name, sensitive)")
-def sensitive_names(spark, d):
-    patterns = [*policy.SENSITIVE, *policy.policy_patterns(["time-private", "target-proxy-private"])]
-    names = ["l_shipdate", "l_quantity", "orders.user_id", "lat95", "x.time", "timer"]
-    return spark.createDataFrame([(n, policy.is_sensitive(n, patterns)) for n in names], "name string, sensitive boolean")
-
-
 # ---- profiles and discovery ----
 
 
@@ -826,22 +779,6 @@ def connections_file(spark, d):
     return staged(spark, d)[1].graph
 
 
-@query(f"SELECT from_id, to_id, from_column, to_column, weight::DOUBLE AS weight FROM {_values(LINKS)} WHERE from_id LIKE '%o%' AND to_id LIKE '%o%'")
-def exported_edges(spark, d):
-    return graph.export(graph.edges(spark, LINKS), "o")
-
-
-@query("SELECT * FROM (VALUES ('customer', 'Customer'), ('nation', 'N'), ('orders', 'Orders')) AS t(id, label)")
-def node_upsert(spark, d):
-    old = spark.createDataFrame([("orders", "Orders"), ("nation", "old")], "id string, label string")
-    return graph.upsert_nodes(old, spark.createDataFrame([("nation", "N"), ("customer", "Customer")], "id string, label string"))
-
-
-@query(f"SELECT from_id, to_id, max(weight)::DOUBLE AS weight, CASE WHEN max(made) = 1 THEN 'hybrid' ELSE 'given' END AS method FROM (SELECT *, 0 AS made FROM {_values(LINKS)} UNION ALL SELECT *, 1 FROM {_values(MORE)}) GROUP BY from_id, to_id, from_column, to_column")
-def graph_overlay(spark, d):
-    return graph.overlaid(graph.edges(spark, LINKS), graph.edges(spark, MORE), "hybrid").select("from_id", "to_id", "weight", "method")
-
-
 @query("SELECT event_id, epoch_us(ts) // 1000000 AS time FROM events WHERE event_id % 3 <> 0")
 def timed_table(spark, d):
     """A time series from a file whose time is text; rows without a time go."""
@@ -851,14 +788,6 @@ def timed_table(spark, d):
     return lakes.read_timed(spark, f"{place}.parquet", "time", order=True).select("event_id", "time")
 
 
-@query("SELECT * FROM (VALUES ('b', 'regression', 60::BIGINT)) AS t(label, dataset_type, temporal_tolerance)")
-def dataset_registry(spark, d):
-    place = session.work_dir(spark, "registry")
-    rows = spark.createDataFrame([("a", "x.csv", "x", "y", "binary", 5), ("b", "z.csv", "z", "y", "regression", None)], "base_table_label string, base_table_path string, base_table_name string, target_column string, dataset_type string, temporal_tolerance int")
-    rows.coalesce(1).write.option("header", True).csv(place)
-    return columns.datasets(registry.read_registry(spark, place), problem="regression").select("label", "dataset_type", "temporal_tolerance")
-
-
 @query("WITH r AS (SELECT o_orderpriority AS scenario, o_orderstatus AS approach, count(*) AS n FROM orders GROUP BY ALL) SELECT scenario, approach, n FROM r WHERE scenario IN ('1-URGENT', '2-HIGH') OR scenario = '3-MEDIUM' AND approach = 'F'")
 def results_by_manifest(spark, d):
     """Summaries of two scenarios, a raw file for a third, and one that the manifest hasn't."""
@@ -877,13 +806,6 @@ def augmented_sink(spark, d):
     return lakes.read_table(spark, written)
 
 
-@query("SELECT * FROM (VALUES ('BASE', 'a', 0.5::DOUBLE), ('BASE', 'b', 0.25::DOUBLE)) AS t(approach, feature, importance)")
-def result_sinks(spark, d):
-    rows = [{"approach": "BASE", "algorithm": "RF", "score": 0.1, "n_features": 2, "total_time": 1.0, "features": ["a", "b"], "importance": {"a": 0.5, "b": 0.25}}]
-    place = sinks.write_results(spark, rows, session.work_dir(spark, "results"), "x")
-    return spark.read.parquet(place["features"]).select("approach", "feature", "importance")
-
-
 @query(f"WITH {WINDOWS} SELECT user_id, start, len(win) AS n, y FROM w WHERE start % 4 = 0")
 def window_sink(spark, d):
     place = sinks.write_windows(windows(spark, d), session.work_dir(spark, "windows"), "events")
@@ -929,23 +851,6 @@ def latency_filter(spark, d):
     return columns.above(telemetry(spark, d), "lat95", 10).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('time', 'time'), ('ts', 'kpi__ts'), ('nope', NULL)) AS t(key, found)")
-def time_columns(spark, d):
-    names = ["a", "kpi__ts", "other__ts", "time"]
-    return spark.createDataFrame([(k, columns.time_column(names, k)) for k in ("time", "ts", "nope")], "key string, found string")
-
-
-@query("SELECT * FROM (VALUES ('/a/b/c.csv', 'b/c.csv'), ('/a', '.'), ('/z/u/x.csv', 'x.csv')) AS t(path, shown)")
-def shown_paths(spark, d):
-    return spark.createDataFrame([(p, columns.shown_path(p, "/a")) for p in ("/a/b/c.csv", "/a", "/z/u/x.csv")], "path string, shown string")
-
-
-@query("SELECT * FROM (VALUES ('time-private,workload-private', 'y'), ('target-proxy-private', 'lat99'), ('none', 'y')) AS t(policies, target)")
-def inferred_policies(spark, d):
-    cases = [(["time", "N"], "y"), (["a"], "lat99"), (["a"], "y")]
-    return spark.createDataFrame([(",".join(policy.infer_policies(c, t)), t) for c, t in cases], "policies string, target string")
-
-
 @query("SELECT * FROM (VALUES ('kpi__lat95', 1), ('kpi__LAT99', 1), ('kpi__mean', 1), ('kpi__latency', 0), ('kpi__n', 0)) AS t(feature, pattern_risk)")
 def policy_on_joined_names(spark, d):
     """Columns of a joined table are told by their own name, whatever the prefix and case."""
@@ -1031,26 +936,7 @@ def budget_batches(spark, d):
 
 @query()
 def budget_join(spark, d):
-    return spark.createDataFrame([(f,) for f in search.budget_join(star(spark, d), "lineitem", search.Settings("l_extendedprice", sample=500), rounds=1)], "feature string")
-
-
-@query("SELECT * FROM (VALUES ('a--a|k|k|b', 1, 0.74::DOUBLE), ('a--a|k|k|c', 2, 0.615::DOUBLE)) AS t(path, place, rank)")
-def reranked_paths(spark, d):
-    found = search.Found({"a": 0.0, "a--a|k|k|b": 0.75, "a--a|k|k|c": 0.75}, {"a--a|k|k|b": ["b__x"], "a--a|k|k|c": ["c__x", "c__user_id"]}, [])
-    ranking = search.plus_ranking(found)
-    return spark.createDataFrame([(p, i + 1, ranking[p]) for i, p in enumerate(paths.best_paths(ranking))], "path string, place int, rank double")
-
-
-@query("SELECT * FROM (VALUES ('a--a|k|k|b', 0), ('a--a|k|k|b--b|j|j|c', 1), ('a--a|k|k|d', 2)) AS t(path, place)")
-def top_paths(spark, d):
-    ranking = {"a": 0.95, "a--a|k|k|d": 0.5, "a--a|k|k|b--b|j|j|c": 0.9, "a--a|k|k|b": 0.9, "a--a|k|k|e": 0.1}
-    return spark.createDataFrame([(p, i) for i, p in enumerate(paths.best_paths(ranking, 4))], "path string, place int")
-
-
-@query("SELECT * FROM (VALUES ('a', 'k', 'l', 'b', 1), ('b', 'm', 'n', 'c', 2)) AS t(source, source_column, target_column, target, step)")
-def path_steps(spark, d):
-    name = paths.extend(paths.extend("a", paths.Step("a", "k", "l", "b")), paths.Step("b", "m", "n", "c"))
-    return spark.createDataFrame([(x.source, x.source_column, x.target_column, x.target, i + 1) for i, x in enumerate(paths.parse(name)[1])], "source string, source_column string, target_column string, target string, step int")
+    return spark.createDataFrame([(f,) for f in search.budget_join(star(spark, d), "lineitem", search.Settings("l_extendedprice"))], "feature string")
 
 
 # ---- more statistics ----
@@ -1219,11 +1105,6 @@ def tensor_rows(spark, d):
 # ---- more scalars ----
 
 
-@query("SELECT * FROM (VALUES ('60', 60.0::DOUBLE), ('5min', 300.0::DOUBLE), ('200ms', 0.2::DOUBLE), ('1h', 3600.0::DOUBLE), ('1d', 86400.0::DOUBLE), ('-3', NULL), ('x', NULL)) AS t(text, seconds)")
-def tolerances(spark, d):
-    return spark.createDataFrame([(t, scalars.tolerance_seconds(t)) for t in ("60", "5min", "200ms", "1h", "1d", "-3", "x")], "text string, seconds double")
-
-
 @query("SELECT * FROM (VALUES ('l_extendedprice', 'regression'), ('l_returnflag', 'multiclass'), ('l_linenumber', 'multiclass')) AS t(target, problem)")
 def problem_types(spark, d):
     rows = read(spark, d, "lineitem").withColumn("l_returnflag", F.col("l_returnflag"))
@@ -1241,16 +1122,6 @@ def diagnosis(spark, d):
     return spark.createDataFrame([(len(found["errors"]), len(found["warnings"]), found["problem_type"])], "errors int, warnings int, problem_type string")
 
 
-@query("SELECT * FROM (VALUES ('XGB', 'XGBoost'), ('RF', 'RandomForest'), ('Other', 'Other')) AS t(short, name)")
-def algorithm_names(spark, d):
-    return spark.createDataFrame([("XGB",), ("RF",), ("Other",)], "short string").select("short", scalars.algorithm_name(F.col("short")).alias("name"))
-
-
-@query("""SELECT substr(sha1('{"a": 1, "b": "x"}'), 1, 12) AS id""")
-def run_ids(spark, d):
-    return spark.createDataFrame([(scalars.run_id(b="x", a=1),)], "id string")
-
-
 # ---- learners and random draws: rows only ----
 
 
@@ -1331,18 +1202,18 @@ def neighbour_imputation(spark, d):
 
 @query()
 def centroid_imputation_error(spark, d):
-    """Hourly means of the event types with a tenth of the cells hidden: error of the line between neighbours, the mean, and the centroid decomposition."""
-    e = read(spark, d, "events").select(F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("hour"), "event_type", "value")
-    kinds = [r[0] for r in e.select("event_type").where("event_type is not null").distinct().orderBy("event_type").collect()]  # the table's few types
-    wide = e.groupBy("hour").pivot("event_type", kinds).agg(F.avg("value")).where("hour is not null")
+    """Hourly counts, users, sums and squares of events with a tenth of the cells hidden: error of the line between neighbours, the mean, and the centroid decomposition."""
+    hour = F.expr("unix_micros(cast(ts as timestamp)) div 3600000000")
+    wide = read(spark, d, "events").where("ts is not null").groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_distinct("user_id").cast("double").alias("users"), F.sum("value").alias("total"), F.sum(F.col("value") ** 2).alias("squares"))
+    kinds = ["n", "users", "total", "squares"]
     hide = {k: F.col(k).isNotNull() & (augment.unit(30 + i, F.col("hour")) < 0.1) for i, k in enumerate(kinds)}
     holes = wide.select("hour", *[F.when(~hide[k], F.col(k)).alias(k) for k in kinds], *[F.when(hide[k], F.col(k)).alias(f"truth_{k}") for k in kinds])
     out = None
     for method in ("linear", "mean", "centroid"):
         filled = timeseries.impute(holes, kinds, "hour", [], method)
-        cells = filled.select(F.explode(F.array(*[F.struct(F.col(k).alias("v"), F.col(f"truth_{k}").alias("truth")) for k in kinds])).alias("c")).select("c.*")
-        one = timeseries.imputation_error(cells, "v").select(F.lit(method).alias("method"), "n", "mae", "rmse")
-        out = one if out is None else out.unionByName(one)
+        for k in kinds:
+            one = timeseries.imputation_error(filled.select(F.col(k).alias("v"), F.col(f"truth_{k}").alias("truth")), "v").select(F.lit(method).alias("method"), F.lit(k).alias("series"), "n", "mae", "rmse")
+            out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -1376,3 +1247,132 @@ def composite_matches(spark, d):
     tables = _columns(spark, d)
     out = matching.composite_matches(tables, discovery.value_jaccard(discovery.all_values(tables)), 0.5, approximate=False)
     return rounded(out.select(*matching.KEY, "score", "chosen"), "score", places=5)
+
+
+# ---- the graph of what the given tables share ----
+
+FOUND = f"{OVERLAP}, e AS (SELECT left_table AS from_id, right_table AS to_id, left_column AS from_column, right_column AS to_column, round(common / (p.n + q.n - common), 6) AS weight FROM o JOIN z p ON p.t = left_table AND p.c = left_column JOIN z q ON q.t = right_table AND q.c = right_column), u AS (SELECT * FROM e UNION ALL SELECT to_id, from_id, to_column, from_column, weight FROM e)"
+
+
+def found_edges(spark, d) -> DataFrame:
+    """Columns of the given tables that share values, with their Jaccard."""
+    pairs = discovery.value_jaccard(discovery.all_values(_columns(spark, d)))
+    return pairs.select(F.col("left_table").alias("from_id"), F.col("right_table").alias("to_id"), F.col("left_column").alias("from_column"), F.col("right_column").alias("to_column"), F.round("jaccard", 6).alias("weight"))
+
+
+@query(f"WITH {FOUND} SELECT from_id, to_id, from_column, to_column, CASE WHEN weight < 0.3 THEN round(weight * 3, 6) ELSE weight END AS weight FROM e")
+def edge_upsert_max(spark, d):
+    e = found_edges(spark, d)
+    return rounded(graph.upsert(e, e.withColumn("weight", F.when(F.col("weight") < 0.3, F.col("weight") * 3).otherwise(F.col("weight") / 2))), "weight")
+
+
+@query(f"WITH {FOUND} SELECT to_id AS node, max(weight) AS weight FROM u WHERE from_id = 'nation' AND to_id <> 'nation' GROUP BY 1")
+def adjacent_tables(spark, d):
+    return graph.adjacent(found_edges(spark, d), "nation")
+
+
+@query(f"WITH RECURSIVE {FOUND}, r AS (SELECT 'orders' AS node, 0 AS hops UNION ALL SELECT to_id, hops + 1 FROM r JOIN u ON u.from_id = r.node WHERE hops < 3) SELECT node, min(hops)::INT AS hops FROM r WHERE node <> 'orders' GROUP BY 1")
+def reachable_tables(spark, d):
+    return graph.reachable(found_edges(spark, d), "orders", 3)
+
+
+@query(f"WITH {FOUND} SELECT from_id AS node, count(DISTINCT to_id) AS degree FROM u GROUP BY 1")
+def graph_degrees(spark, d):
+    return graph.degrees(found_edges(spark, d))
+
+
+@query(f"WITH {FOUND} SELECT * FROM e WHERE from_id = 'customer' AND to_id = 'orders'")
+def edges_between(spark, d):
+    return graph.between(found_edges(spark, d), "customer", "orders")
+
+
+@query(f"WITH {FOUND} SELECT DISTINCT to_id AS node, from_column, to_column FROM u WHERE from_id = 'nation' AND weight = 1")
+def key_neighbours(spark, d):
+    return graph.key_neighbours(found_edges(spark, d), "nation")
+
+
+@query(f"WITH {FOUND} SELECT from_id, count(*) AS n FROM e GROUP BY 1")
+def edges_per_source(spark, d):
+    return graph.edge_counts(found_edges(spark, d))
+
+
+@query(f"WITH {FOUND} SELECT * FROM e WHERE weight >= 0.2 AND (from_id LIKE '%nation%' OR to_id LIKE '%nation%')")
+def filtered_edges(spark, d):
+    return graph.filtered(found_edges(spark, d), 0.2, "nation")
+
+
+@query(f"WITH {FOUND} SELECT * FROM e WHERE contains(from_id, 'o') AND contains(to_id, 'o')")
+def exported_edges(spark, d):
+    return graph.export(found_edges(spark, d), "o")
+
+
+@query(f"WITH {FOUND} SELECT id, CASE WHEN id IN (SELECT to_id FROM e) THEN upper(id) ELSE id END AS label FROM (SELECT from_id AS id FROM e UNION SELECT to_id FROM e)")
+def node_upsert(spark, d):
+    e = found_edges(spark, d)
+    old = e.select(F.col("from_id").alias("id"), F.col("from_id").alias("label")).distinct()
+    return graph.upsert_nodes(old, e.select(F.col("to_id").alias("id"), F.upper("to_id").alias("label")).distinct())
+
+
+@query(f"WITH {FOUND} SELECT from_id, to_id, weight, CASE WHEN weight >= 0.5 THEN 'overlap' ELSE 'given' END AS method FROM e")
+def graph_overlay(spark, d):
+    e = found_edges(spark, d)
+    return graph.overlaid(e.where("weight < 0.7"), e.where("weight >= 0.5"), "overlap").select("from_id", "to_id", "weight", "method")
+
+
+# ---- names and settings that come from rows ----
+
+_NAMES = ("time", "user_id", "lat95", "timer", "n", "shipped")
+_PART = lambda i: f"[{', '.join(repr(n) for n in _NAMES)}][1 + {i} % {len(_NAMES)}]"
+
+
+@query(f"SELECT DISTINCT l_returnflag || '__' || {_PART('l_linenumber')} AS name, {_PART('l_linenumber')} IN ('time', 'user_id', 'lat95', 'shipped') AS sensitive FROM lineitem")
+def sensitive_names(spark, d):
+    patterns = [*policy.SENSITIVE, *policy.policy_patterns(["time-private", "target-proxy-private"])]
+    part = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (1 + F.col("l_linenumber") % len(_NAMES)).cast("int"))
+    return read(spark, d, "lineitem").select(F.concat("l_returnflag", F.lit("__"), part).alias("name")).distinct().withColumn("sensitive", policy.sensitive(F.col("name"), patterns))
+
+
+@query("""WITH k AS (SELECT event_id, list_transform(json_keys(props), lambda k: lower(k)) AS ks, event_type AS t FROM events),
+p AS (SELECT event_id, list_filter(['time-private', 'workload-private', 'target-proxy-private'], lambda x: CASE x WHEN 'time-private' THEN len(list_filter(ks, lambda k: k = 'time' OR contains(k, 'time_'))) > 0 WHEN 'workload-private' THEN list_contains(ks, 'n') OR list_contains(ks, 'c') ELSE starts_with(t, 'lat') END) AS ps FROM k)
+SELECT event_id, CASE WHEN len(ps) = 0 THEN 'none' ELSE array_to_string(ps, ',') END AS policies FROM p WHERE ps IS NOT NULL""")
+def inferred_policies(spark, d):
+    """Policies that the keys of each event's properties call for."""
+    e = read(spark, d, "events").where("props is not null")
+    return e.select("event_id", F.array_join(policy.inferred(F.json_object_keys("props"), F.col("event_type")), ",").alias("policies"))
+
+
+_UNITS = ("", "s", "min", "ms", "us", "ns", "h", "d", "weeks")
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, (l_quantity::INT - 5)::VARCHAR || [{', '.join(repr(u) for u in _UNITS)}][1 + l_orderkey % {len(_UNITS)}] AS text, l_quantity::INT - 5 AS n, [1.0, 1.0, 60.0, 1e-3, 1e-6, 1e-9, 3600.0, 86400.0, NULL][1 + l_orderkey % {len(_UNITS)}]::DOUBLE AS unit FROM lineitem)
+SELECT l_orderkey, l_linenumber, text, CASE WHEN n >= 0 THEN round(n * unit, 9) END AS seconds FROM t""")
+def tolerances(spark, d):
+    rows = read(spark, d, "lineitem")
+    text = F.concat((F.col("l_quantity").cast("int") - 5).cast("string"), F.element_at(F.array(*[F.lit(u) for u in _UNITS]), (1 + F.col("l_orderkey") % len(_UNITS)).cast("int")))
+    return rounded(rows.select("l_orderkey", "l_linenumber", text.alias("text")).withColumn("seconds", scalars.tolerance(F.col("text"))), "seconds", places=9)
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'XGBoost' WHEN 1 THEN 'RandomForest' ELSE o_orderpriority END AS name FROM orders")
+def algorithm_names(spark, d):
+    short = F.when(F.col("o_orderkey") % 3 == 0, "XGB").when(F.col("o_orderkey") % 3 == 1, "RF").otherwise(F.col("o_orderpriority"))
+    return read(spark, d, "orders").select("o_orderkey", scalars.algorithm_name(short).alias("name"))
+
+
+@query("SELECT p_name AS label, 'regression' AS dataset_type, coalesce(nullif(p_size, 7), 60)::BIGINT AS temporal_tolerance FROM part WHERE p_size % 2 = 1")
+def dataset_registry(spark, d):
+    """A registry written from the parts, read and filtered."""
+    place = session.work_dir(spark, "registry")
+    part = read(spark, d, "part")
+    kind = F.when(F.col("p_size") % 2 == 1, "regression").otherwise("binary")
+    rows = part.select(F.col("p_name").alias("base_table_label"), F.concat("p_name", F.lit(".csv")).alias("base_table_path"), F.col("p_name").alias("base_table_name"), F.lit("y").alias("target_column"), kind.alias("dataset_type"), F.nullif("p_size", F.lit(7)).alias("temporal_tolerance"))
+    rows.write.option("header", True).csv(place)
+    return columns.datasets(registry.read_registry(spark, place), problem="regression").select("label", "dataset_type", "temporal_tolerance")
+
+
+@query("SELECT o_orderpriority AS approach, unnest(['high', 'low']) AS feature, round(unnest([max(o_totalprice), min(o_totalprice)]), 6) AS importance FROM orders GROUP BY 1")
+def result_sinks(spark, d):
+    """A result for each priority, written and read back."""
+    groups = read(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("m"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi")).collect()  # five rows
+    rows = [{"approach": r.o_orderpriority, "algorithm": "mean", "score": r.m, "n_features": r.n, "total_time": 0.0, "features": ["low", "high"], "importance": {"low": r.lo, "high": r.hi}} for r in groups]
+    place = sinks.write_results(spark, rows, session.work_dir(spark, "results"), "x")
+    return rounded(spark.read.parquet(place["features"]).select("approach", "feature", "importance"), "importance")

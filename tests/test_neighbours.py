@@ -108,7 +108,7 @@ def plain_centroids(x, missing, rank, tolerance):
         for j in range(rank):
             z = np.ones(len(x)) if before is None or j >= len(before) else np.where(rest @ before[j] >= 0, 1, -1)
             c = z @ rest
-            for _ in range(lowrank.STEPS):
+            for _ in range(lowrank.STEPS if before is None else 0):
                 d = np.where(rest @ c >= 0, 1, -1) @ rest
                 if np.linalg.norm(d) <= np.linalg.norm(c) * (1 + 1e-12):
                     break
