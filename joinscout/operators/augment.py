@@ -97,16 +97,30 @@ def augment_windows(df: DataFrame, window: str, key: str, kind: str, strength: f
     return df.withColumn(window, new)
 
 
+#: Slabs of a column's values, cut at approximate quantiles.
+SLABS = 256
+
+
 def distribution_distance(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, ks, wasserstein) of each column's two empirical distributions."""
+    """(column, ks, wasserstein) of each column's two empirical distributions.
+
+    A column's distinct values are cut into slabs of about equal numbers. Sums run within a slab and are carried from slab to slab by one row each, so a column of many
+    values isn't put in order in one task.
+    """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
     rows = a.select(F.explode(cells).alias("c"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(F.explode(cells).alias("c"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     counts = rows.select("c.column", "c.x", "a", "b").where("x is not null").groupBy("column", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto = Window.partitionBy("column").orderBy("x")
+    cuts = counts.groupBy("column").agg(F.percentile_approx("x", [i / SLABS for i in range(1, SLABS)], 2000).alias("q"))  # a row a column
+    placed = counts.join(F.broadcast(cuts), "column").withColumn("slab", F.size(F.filter("q", lambda c: c <= F.col("x")))).drop("q")
+    over = Window.partitionBy("column").orderBy("slab")  # a row a slab
+    before = lambda c: F.coalesce(F.sum(c).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = Window.partitionBy("column")
-    fa = F.try_divide(F.sum("a").over(upto), F.sum("a").over(whole))
-    fb = F.try_divide(F.sum("b").over(upto), F.sum("b").over(whole))
-    gaps = counts.select("column", F.abs(fa - fb).alias("gap"), (F.lead("x").over(upto) - F.col("x")).alias("width"))
+    sums = placed.groupBy("column", "slab").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.min("x").alias("lo"))
+    sums = sums.select("column", "slab", before("sa").alias("ba"), before("sb").alias("bb"), F.sum("sa").over(whole).alias("ta"), F.sum("sb").over(whole).alias("tb"), F.lead("lo").over(over).alias("next"))
+    inside = Window.partitionBy("column", "slab").orderBy("x")
+    rows = placed.withColumns({"ia": F.sum("a").over(inside), "ib": F.sum("b").over(inside), "up": F.lead("x").over(inside)}).join(sums, ["column", "slab"])
+    gap = F.abs(F.try_divide(F.col("ba") + F.col("ia"), F.col("ta")) - F.try_divide(F.col("bb") + F.col("ib"), F.col("tb")))
+    gaps = rows.select("column", gap.alias("gap"), (F.coalesce("up", "next") - F.col("x")).alias("width"))
     return gaps.groupBy("column").agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * F.col("width")), F.lit(0.0)).alias("wasserstein"))
 
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import session
+from . import api, session
 from .functions import columns, policy, scalars
-from .operators import augment, discovery, joins, lowrank, matching, models, neighbours, profile, rollups, selection, stats, timeseries
+from .operators import augment, discovery, joins, lowrank, matching, models, neighbours, profile, residual, rollups, selection, stats, timeseries
 from .plans import graph, ingest, paths, search
 from .sources import lake as lakes
 from .sources import registry, sinks
@@ -297,7 +297,7 @@ SELECT feature, round(score, 6) AS utility, 0 AS pattern_risk, 0 AS identifier_r
 
 @query(SCORES)
 def feature_scores(spark, d):
-    return rounded(selection.score_features(chain(spark, d), "y"), "utility", "missing_ratio", "score_plus")
+    return rounded(selection.score_features(chain(spark, d), "y", approximate=False), "utility", "missing_ratio", "score_plus")
 
 
 @query(f"SELECT feature, score_plus FROM ({SCORES}) ORDER BY score_plus DESC, utility DESC, feature LIMIT 3")
@@ -1376,3 +1376,29 @@ def result_sinks(spark, d):
     rows = [{"approach": r.o_orderpriority, "algorithm": "mean", "score": r.m, "n_features": r.n, "total_time": 0.0, "features": ["low", "high"], "importance": {"low": r.lo, "high": r.hi}} for r in groups]
     place = sinks.write_results(spark, rows, session.work_dir(spark, "results"), "x")
     return rounded(spark.read.parquet(place["features"]).select("approach", "feature", "importance"), "importance")
+
+
+@query()
+def residual_forecast(spark, d):
+    """Errors of the residual stack and of the moving average on held-out windows of the events."""
+    rows = windows(spark, d).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), F.col("start").cast("string")))
+    rows = timeseries.exact_split(rows, "key", {"train": 0.8, "test": 0.2})
+    model = residual.fit(rows.where("part = 'train'"), 16, epochs=3)
+    out = timeseries.naive_forecasts(model.predict(rows.where("part = 'test'")))
+    return models.regression_metrics(out).withColumn("method", F.lit("residual_stack")).unionByName(models.regression_metrics(out, prediction="naive_moving_average").withColumn("method", F.lit("moving_average")))
+
+
+@query()
+def fixed_split_evaluation(spark, d):
+    """Scores of four learners on one split of exact size."""
+    rows = chain(spark, d).select(*CHAIN, "y").withColumn("key", F.xxhash64(*CHAIN, "y"))
+    rows = timeseries.exact_split(rows, "key", {"train": 0.8, "test": 0.2}).withColumn("is_train", F.col("part") == "train").drop("part", "key")
+    out = [api.evaluate_split(rows, api.AugmentationConfig("y", algorithm=name), "BASE", True) for name in ("ExtraTrees", "KNeighbors", "BoostedTrees", "Ridge")]
+    return spark.createDataFrame([(r["approach"], r["algorithm"], float(r["score"]), r["n_features"]) for r in out], "approach string, algorithm string, score double, n_features long")
+
+
+@query()
+def importance_by_permutation(spark, d):
+    """How much a forest's score falls for each feature that is permuted."""
+    model = models.fit(chain(spark, d), CHAIN, "y", "RandomForest")
+    return spark.createDataFrame(list(models.permutation_importance(model, chain(spark, d), CHAIN, "y").items()), "feature string, importance double")

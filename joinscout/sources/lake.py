@@ -68,7 +68,13 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("v.*")
 
 
-def wide_from_files(spark: SparkSession, folder: str, pattern: str, keys: list[str], label: str = "subcarrier", width: int = 200) -> DataFrame:
-    """Files of one number a line to one row a file: keys from the file name, and a column for each of the first `width` lines (null where a file has fewer)."""
+def wide_from_files(spark: SparkSession, folder: str, pattern: str, keys: list[str], label: str = "subcarrier", width: int | None = None) -> DataFrame:
+    """Files of one number a line to one row a file: keys from the file name, and a column for each line of the longest file (null where a file has fewer).
+
+    width: how many columns instead; a file of more lines is an error then, never cut.
+    """
     rows = spark.read.text(folder, recursiveFileLookup=True, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("v"))
-    return rows.select(*[F.regexp_extract("path", pattern, i + 1).alias(k) for i, k in enumerate(keys)], *[F.get("v", F.lit(i)).try_cast("double").alias(f"{label}_{i}") for i in range(width)])
+    longest = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    if width is not None and longest > width:
+        raise ValueError(f"a file has {longest} lines, more than {width}")
+    return rows.select(*[F.regexp_extract("path", pattern, i + 1).alias(k) for i, k in enumerate(keys)], *[F.get("v", F.lit(i)).try_cast("double").alias(f"{label}_{i}") for i in range(longest if width is None else width)])

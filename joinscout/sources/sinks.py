@@ -37,14 +37,18 @@ def write_results(spark: SparkSession, rows: list[dict], folder: str, label: str
 
 
 def append_upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "run_id", order: str = "time") -> DataFrame:
-    """Add rows to a table of runs; a run that is there already is replaced. Versions lie beside each other and the newest is read."""
+    """Add rows to a table of runs; a run that is there already is replaced. Versions lie beside each other and the newest whose write has ended is read.
+
+    For one writer at a time: of two that begin at the same version the later one's rows are kept.
+    """
     import time
 
     versions = f"{path.rstrip('/')}/v="
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = max((s.getPath().getName() for s in files.listStatus(there)), default=None) if files.exists(there) else None
+    ended = lambda p: files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    old = max((s.getPath().getName() for s in files.listStatus(there) if ended(s.getPath())), default=None) if files.exists(there) else None
     merged = keep_last(spark.read.parquet(f"{path.rstrip('/')}/{old}"), rows, key, order) if old else rows
     place = f"{versions}{time.time_ns():020d}"
     merged.write.parquet(place)

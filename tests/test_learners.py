@@ -137,3 +137,16 @@ def test_draws_have_no_cap(spark, ratio):
     df = spark.range(4000).select("id", augment._times(42, F.col("id"), ratio).alias("n"))
     r = df.agg(F.avg("n").alias("m"), F.var_samp("n").alias("v"), F.max("n").alias("top")).first()
     assert r.m == pytest.approx(ratio, abs=4 * math.sqrt(ratio / 4000)) and r.v == pytest.approx(ratio, rel=0.12) and r.top > ratio + 2 * math.sqrt(ratio)
+
+
+def test_distribution_distance_by_slabs(spark, monkeypatch):
+    monkeypatch.setattr(augment, "SLABS", 8)
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=500), np.round(rng.normal(0.5, 2, 700), 1)
+    frames = [spark.createDataFrame([(float(v), float(i % 3)) for i, v in enumerate(x)] + [(None, 1.0)], "x double, y double").repartition(3) for x in (a, b)]
+    got = {r.column: r for r in augment.distribution_distance(*frames, ["x", "y"]).collect()}
+    at = np.sort(np.unique(np.concatenate([a, b])))
+    fa, fb = ((x[None, :] <= at[:, None]).mean(1) for x in (a, b))
+    assert got["x"].ks == pytest.approx(np.abs(fa - fb).max()) and got["x"].wasserstein == pytest.approx((np.abs(fa - fb)[:-1] * np.diff(at)).sum())
+    plan = augment.distribution_distance(*frames, ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "slab" in plan and augment.distribution_distance(frames[0].limit(0), frames[1], ["x"]).first().ks is None
