@@ -26,10 +26,32 @@ def _seconds(df: DataFrame, time: str) -> Column:
     return F.col(time).cast("double")
 
 
+def _keyed(df: DataFrame, by: list[str]) -> tuple[list[Column], list[str]]:
+    """Series columns under names of their own, to join summaries back by."""
+    names = [f"__k{i}" for i in range(len(by))]
+    return [F.col(b).alias(k) for b, k in zip(by, names, strict=True)], names
+
+
+def _same(by: list[str], names: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, names, strict=True)], F.col("__slab") == F.col("__s"))
+
+
+def _slabs(df: DataFrame, time: str) -> DataFrame:
+    """`__t`, seconds, and `__slab`: slabs of about equal numbers of rows, -1 for rows without a time, which come first."""
+    rows = with_slab(df.withColumn("__t", _seconds(df, time)), _seconds(df, time))
+    return rows.withColumn("__slab", F.when(F.col("__t").isNotNull(), F.col("__slab")).otherwise(-1))
+
+
 def with_delta(df: DataFrame, time: str, by: list[str], tie: str | None = None) -> DataFrame:
-    """`delta`: seconds since the row before in its series."""
-    t = _seconds(df, time)
-    return df.withColumn("delta", t - F.lag(t).over(Window.partitionBy(*by).orderBy(time, *([tie] if tie else []))))
+    """`delta`: seconds since the row before in its series. A slab's first row gets the last time before the slab, so a long series isn't sorted in one task."""
+    rows = _slabs(df, time)
+    keys, names = _keyed(df, by)
+    over = Window.partitionBy(*names or [F.lit(0)]).orderBy("__s")  # a row a slab
+    sums = rows.groupBy(*keys, F.col("__slab").alias("__s")).agg(F.max("__t").alias("__hi"))
+    sums = sums.withColumn("__before", F.lag("__hi").over(over)).drop("__hi")
+    inside = Window.partitionBy(*by, "__slab").orderBy("__t", *([tie] if tie else []))
+    rows = rows.withColumn("__lag", F.lag("__t").over(inside)).join(sums, _same(by, names))
+    return rows.withColumn("delta", F.col("__t") - F.coalesce("__lag", "__before")).select(*df.columns, "delta")
 
 
 def gap_segments(df: DataFrame, time: str, by: list[str], gap: float, tie: str | None = None, slab: float = 86_400) -> DataFrame:
@@ -56,14 +78,14 @@ def write_segments(segmented: DataFrame, path: str, by: list[str]) -> None:
     segmented.write.mode("overwrite").partitionBy(*by, "segment").parquet(path)
 
 
-def frequency(df: DataFrame, time: str, by: list[str]) -> DataFrame:
-    """by, step: the median positive delta."""
-    return with_delta(df, time, by).where("delta > 0").groupBy(*by).agg(F.median("delta").alias("step"))
+def frequency(df: DataFrame, time: str, by: list[str], exact: bool = False) -> DataFrame:
+    """by, step: the median positive delta, approximate unless `exact`, which gathers a series' distinct deltas."""
+    return with_delta(df, time, by).where("delta > 0").groupBy(*by).agg(_median(F.col("delta"), exact).alias("step"))
 
 
-def gap_report(df: DataFrame, time: str, by: list[str], factor: float = 1.5) -> DataFrame:
+def gap_report(df: DataFrame, time: str, by: list[str], factor: float = 1.5, exact: bool = False) -> DataFrame:
     """Gaps above factor times the usual step, with the slots missing in them (none of 0)."""
-    rows = with_delta(df, time, by).join(frequency(df, time, by), by).where(F.col("delta") > F.col("step") * factor)
+    rows = with_delta(df, time, by).join(frequency(df, time, by, exact), by).where(F.col("delta") > F.col("step") * factor)
     return rows.select(*by, time, "delta", "step", (F.floor(F.col("delta") / F.col("step")) - 1).cast("long").alias("missing")).where("missing > 0")
 
 
@@ -81,20 +103,16 @@ def _around(df: DataFrame, columns: list[str], by: list[str], time: str) -> Data
     Time is cut into slabs; a slab gets the last value before it and the first after it from one summary row a slab and series, so a long series isn't
     sorted in one task. Of equal times the larger value counts backwards and the smaller one forwards. Rows without a time get what is first.
     """
-    t = _seconds(df, time)
-    rows = with_slab(df.withColumn("__t", t), t)
+    rows = _slabs(df, time)
     rows = rows.withColumns({f"__p{i}": F.when(F.col(c).isNotNull() & F.col("__t").isNotNull(), F.struct(F.col("__t").alias("t"), F.col(c).alias("v"))) for i, c in enumerate(columns)})
-    slab = F.when(F.col("__t").isNotNull(), F.col("__slab")).otherwise(-1)
-    rows = rows.withColumn("__slab", slab)
-    keys = [F.col(b).alias(f"__k{i}") for i, b in enumerate(by)]
-    names = [f"__k{i}" for i in range(len(by))]
+    keys, names = _keyed(df, by)
     n = range(len(columns))
     sums = rows.groupBy(*keys, F.col("__slab").alias("__s")).agg(*[f(f"__p{i}").alias(f"{k}{i}") for i in n for k, f in (("__hi", F.max), ("__lo", F.min))])
     over = Window.partitionBy(*names or [F.lit(0)])  # a row a slab
     back = {f"__before{i}": F.last(f"__hi{i}", True).over(over.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)) for i in n}
     ahead = {f"__after{i}": F.last(f"__lo{i}", True).over(over.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)) for i in n}
     sums = sums.withColumns(back | ahead).drop(*[f"{k}{i}" for i in n for k in ("__hi", "__lo")])
-    on = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, names, strict=True)], F.col("__slab") == F.col("__s"))
+    on = _same(by, names)
     inside = Window.partitionBy(*by, "__slab")
     own = {f"__b{i}": F.max(f"__p{i}").over(inside.orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)) for i in n}
     own |= {f"__a{i}": F.min(f"__p{i}").over(inside.orderBy("__t").rangeBetween(0, Window.unboundedFollowing)) for i in n}
@@ -150,17 +168,31 @@ def time_profile(df: DataFrame, time: str, by: list[str], exact: bool = False) -
     return ends.join(far, by, "left").na.fill(0, ["large_gaps"])
 
 
+#: Rows of a block of a series, of which windows are made.
+BLOCK = 8192
+
+
 def sliding_windows(df: DataFrame, value: str, time: str, by: list[str], size: int = 32, stride: int = 8, horizon: int = 1, tie: str | None = None) -> DataFrame:
-    """by, start (from 0), window (array), y (the value `horizon` rows after the window's end); complete ones only."""
-    order = Window.partitionBy(*by).orderBy(time, *([tie] if tie else []))
-    rows = df.select(
-        *by,
-        (F.row_number().over(order) - 1).alias("start"),
-        F.collect_list(value).over(order.rowsBetween(0, size - 1)).alias("window"),
-        F.lead(value, size + horizon - 1).over(order).alias("y"),
-        F.lead(F.lit(1), size + horizon - 1).over(order).alias("__whole"),
-    )
-    return rows.where(F.col("__whole").isNotNull() & (F.col("start") % stride == 0)).drop("__whole")
+    """by, start (from 0), window (array), y (the value `horizon` rows after the window's end); complete ones only.
+
+    A series is numbered slab by slab and cut into blocks of rows, each with the first size + horizon - 1 rows of the next one, so a long series is many tasks.
+    """
+    order = [F.asc_nulls_first(time), *([F.asc_nulls_first(tie)] if tie else [])]
+    rows = _slabs(df, time)
+    keys, names = _keyed(df, by)
+    over = Window.partitionBy(*names or [F.lit(0)]).orderBy("__s")  # a row a slab
+    sums = rows.groupBy(*keys, F.col("__slab").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__slab").orderBy(*order)) - 1).join(sums, _same(by, names))
+    rows = rows.select(*by, F.col(value).alias("__v"), (F.col("__before") + F.col("__r")).alias("start"))
+    block, reach = max(BLOCK, size + horizon), size + horizon - 1
+    own = F.floor(F.col("start") / block)
+    near = F.when((F.col("start") % block < reach) & (own > 0), own - 1)
+    rows = rows.withColumn("__block", F.explode(F.filter(F.array(own, near), lambda x: x.isNotNull()))).withColumn("__own", own == F.col("__block"))
+    at = Window.partitionBy(*by, "__block").orderBy("start")
+    out = rows.select(*by, "start", "__own", F.collect_list("__v").over(at.rowsBetween(0, size - 1)).alias("window"), F.lead("__v", reach).over(at).alias("y"), F.lead(F.lit(1), reach).over(at).alias("__whole"))
+    out = out.where(F.col("__own") & F.col("__whole").isNotNull() & (F.col("start") % stride == 0))
+    return out.select(*by, F.col("start").cast("int").alias("start"), "window", "y")
 
 
 def naive_forecasts(windows: DataFrame, horizon: int = 1, moving: int = 8, season: int = 1) -> DataFrame:

@@ -513,12 +513,12 @@ def gap_segments(spark, d):
 
 @query(f"WITH {DELTAS} SELECT user_id, round(median(delta), 4) AS step FROM g WHERE delta > 0 GROUP BY 1")
 def infer_frequency(spark, d):
-    return rounded(timeseries.frequency(read(spark, d, "events"), "ts", ["user_id"]), "step", places=4)
+    return rounded(timeseries.frequency(read(spark, d, "events"), "ts", ["user_id"], exact=True), "step", places=4)
 
 
 @query(f"WITH {DELTAS}, f AS (SELECT user_id, median(delta) AS step FROM g WHERE delta > 0 GROUP BY 1), x AS (SELECT g.user_id, ts, delta, step, floor(delta / step)::BIGINT - 1 AS missing FROM g JOIN f USING (user_id) WHERE delta > step * 1.5) SELECT user_id, epoch_us(ts) AS at, round(delta, 4) AS delta, missing FROM x WHERE missing > 0")
 def gap_report(spark, d):
-    out = timeseries.gap_report(read(spark, d, "events"), "ts", ["user_id"])
+    out = timeseries.gap_report(read(spark, d, "events"), "ts", ["user_id"], exact=True)
     return rounded(out.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "delta", "missing"), "delta", places=4)
 
 

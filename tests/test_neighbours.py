@@ -174,3 +174,23 @@ def test_slabbed_impute_of_series(spark):
             assert got["linear", k, t] == pytest.approx(float(np.interp(t, [u for u, _ in seen], [v for _, v in seen])))
     plan = timeseries.impute(df, ["v"], "t", ["k"], "linear")._jdf.queryExecution().executedPlan().toString()
     assert F.lit(1) is not None and "__slab" in plan
+
+
+@pytest.mark.parametrize("block", [8192, 1])
+def test_windows_and_deltas_over_slabs_and_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(timeseries, "BLOCK", block)
+    rng = random.Random(2)
+    rows = [(k, rng.randint(0, 3000), i, None if rng.random() < 0.1 else rng.random()) for k in ("a", None) for i in range(400)] + [("b", 5, 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, v double").repartition(3)
+    got = {(r.k, r.start): (r.window, r.y) for r in timeseries.sliding_windows(df, "v", "t", ["k"], size=7, stride=3, horizon=2, tie="i").collect()}
+    want, deltas = {}, []
+    for k in ("a", None, "b"):
+        mine = sorted((t, i, v) for kk, t, i, v in rows if kk == k)
+        deltas += [(k, t, i, None if j == 0 else float(t - mine[j - 1][0])) for j, (t, i, _) in enumerate(mine)]
+        for s in range(0, len(mine) - 8, 3):
+            want[k, s] = ([v for _, _, v in mine[s : s + 7] if v is not None], mine[s + 8][2])
+    assert got == want
+    found = timeseries.with_delta(df, "t", ["k"], "i").collect()
+    assert sorted(((r.k, r.t, r.i, r.delta) for r in found), key=repr) == sorted(deltas, key=repr)
+    alone = timeseries.with_delta(df.drop("k"), "t", [], "i").agg(F.sum("delta"), F.count("delta")).first()
+    assert tuple(alone) == (max(r[1] for r in rows) - min(r[1] for r in rows), len(rows) - 1)
