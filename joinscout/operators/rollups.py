@@ -62,6 +62,14 @@ def feature_counts(df: DataFrame, keys: list[str], feature: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count_distinct(feature).alias("n_features"))
 
 
+def with_feature_counts(results: DataFrame, features: DataFrame, keys: list[str], feature: str) -> DataFrame:
+    """Results with `n_features`: their own number where they have one, else how many features the other table has for their keys, else 0. Null keys meet."""
+    counts = feature_counts(features, keys, feature).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("n_features").alias("__n"))
+    own = F.col("n_features") if "n_features" in results.columns else F.lit(None)
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return results.join(counts, on, "left").withColumn("n_features", F.coalesce(own.cast("long"), F.col("__n"), F.lit(0))).drop("__n", *[f"__{k}" for k in keys])
+
+
 def group_median(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.groupBy(key).agg(*[F.median(c).alias(f"median_{c}") for c in columns])
 

@@ -1402,3 +1402,20 @@ def importance_by_permutation(spark, d):
     """How much a forest's score falls for each feature that is permuted."""
     model = models.fit(chain(spark, d), CHAIN, "y", "RandomForest")
     return spark.createDataFrame(list(models.permutation_importance(model, chain(spark, d), CHAIN, "y").items()), "feature string, importance double")
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS approach, CASE WHEN o_orderstatus <> 'F' THEN count(*) END AS n_features, o_orderstatus AS status FROM orders GROUP BY 1, 3),
+c AS (SELECT o_orderpriority AS approach, o_orderstatus AS status, count(DISTINCT o_custkey) AS n FROM orders WHERE o_orderstatus <> 'O' GROUP BY ALL)
+SELECT r.approach, r.status, coalesce(r.n_features, c.n, 0) AS n_features FROM r LEFT JOIN c ON r.approach = c.approach AND r.status = c.status""")
+def backfilled_counts(spark, d):
+    """Results of which some lack a count, filled from the rows behind them."""
+    rows = read(spark, d, "orders").withColumnsRenamed({"o_orderpriority": "approach", "o_orderstatus": "status"})
+    results = rows.groupBy("approach", "status").agg(F.count(F.lit(1)).alias("n")).select("approach", "status", F.when(F.col("status") != "F", F.col("n")).alias("n_features"))
+    return rollups.with_feature_counts(results, rows.where("status <> 'O'"), ["approach", "status"], "o_custkey")
+
+
+@query(f"WITH {WINDOWS} SELECT user_id, start, 'naive_mean' AS method, round(list_sum(win) / 16, 6) AS prediction FROM w WHERE start % 4 = 0 UNION ALL SELECT user_id, start, 'naive_drift', round(win[16] + (win[16] - win[1]) / 15, 6) FROM w WHERE start % 4 = 0")
+def forecast_sink(spark, d):
+    """Forecasts written by method and read back."""
+    place = sinks.write_forecasts(timeseries.naive_forecasts(windows(spark, d)), session.work_dir(spark, "forecasts"), "events", ["user_id"])
+    return rounded(spark.read.parquet(place).where("method in ('naive_mean', 'naive_drift')").select("user_id", "start", "method", "prediction"), "prediction")

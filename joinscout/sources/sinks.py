@@ -6,6 +6,7 @@ import json
 from hashlib import sha1
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.rollups import keep_last
 
@@ -64,3 +65,12 @@ def write_windows(windows: DataFrame, folder: str, label: str) -> str:
     place = f"{folder.rstrip('/')}/{label}_windows.parquet"
     windows.write.mode("overwrite").parquet(place)
     return place
+
+
+def write_forecasts(forecasts: DataFrame, folder: str, label: str, by: list[str]) -> str:
+    """Forecasts in long form, a row a series, window and method: by, start, y, method and prediction, in a folder a method."""
+    methods = [c for c in forecasts.columns if c == "prediction" or c.startswith("naive_")]
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).cast("double").alias("prediction")) for m in methods])).alias("c")
+    place = f"{folder.rstrip('/')}/{label}_forecasts.parquet"
+    forecasts.select(*by, "start", "y", cells).select(*by, "start", "y", "c.*").write.mode("overwrite").partitionBy("method").parquet(place)
+    return place
