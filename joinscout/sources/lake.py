@@ -73,7 +73,7 @@ def wide_from_files(spark: SparkSession, folder: str, pattern: str, keys: list[s
 
     width: how many columns instead; a file of more lines is an error then, never cut.
     """
-    rows = spark.read.text(folder, recursiveFileLookup=True, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("v"))
+    rows = spark.read.text(folder, recursiveFileLookup=True, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+").alias("v"))
     longest = rows.agg(F.max(F.size("v"))).first()[0] or 0
     if width is not None and longest > width:
         raise ValueError(f"a file has {longest} lines, more than {width}")

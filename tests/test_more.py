@@ -95,10 +95,10 @@ def test_text_that_reads_as_numbers_is_compared_as_numbers(spark):
     assert discovery.value_jaccard(discovery.all_values({"a": a, "b": b})).first().jaccard == 1.0
 
 
-def test_minhash_estimates_the_jaccard(spark):
+def test_minhash_counts_the_jaccard(spark):
     tables = {"a": spark.range(0, 300).selectExpr("id as k"), "b": spark.range(60, 360).selectExpr("id as k"), "c": spark.range(5000, 5100).selectExpr("id as k")}
     got = discovery.minhash_edges(discovery.all_values(tables), 0.5).collect()
-    assert [(r.left_table, r.right_table) for r in got] == [("a", "b")] and abs(got[0].estimate - 240 / 360) < 0.15
+    assert [(r.left_table, r.right_table) for r in got] == [("a", "b")] and got[0].jaccard == 240 / 360
 
 
 def test_discovery_feeds_the_graph_and_the_search(spark):
@@ -136,6 +136,11 @@ def test_files_to_one_row_each(spark, tmp_path):
     (tmp_path / "u2_s1.txt").write_text("3\n")
     out = lake.wide_from_files(spark, str(tmp_path), r"u(\d+)_s(\d+)\.txt", ["user", "sample"], width=2).orderBy("user").collect()
     assert [tuple(r) for r in out] == [("1", "2", 1.5, 2.5), ("2", "1", 3.0, None)]
+    (tmp_path / "u3_s1.txt").write_text("\n".join(str(i) for i in range(250)) + "\n")
+    whole = lake.wide_from_files(spark, str(tmp_path), r"u(\d+)_s(\d+)\.txt", ["user", "sample"])
+    assert len(whole.columns) == 252 and whole.where("user = 3").first()["subcarrier_249"] == 249.0  # the longest file, whole
+    with pytest.raises(ValueError, match="250"):
+        lake.wide_from_files(spark, str(tmp_path), r"u(\d+)_s(\d+)\.txt", ["user", "sample"], width=2)
 
 
 def test_manifest():
