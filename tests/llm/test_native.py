@@ -17,6 +17,32 @@ def test_directory_splits_until_it_fits():
     assert {b for _, b, _ in exact_dedup.split_directory({}, 4, bits=3)} == {0}
 
 
+def test_owners_have_ranges_of_keys():
+    rng = random.Random(3)
+    load = {s: rng.randint(1, 50) for s in range(64)}
+    rows = exact_dedup.with_owners(exact_dedup.split_directory(dict.fromkeys(range(64), 1), 1, bits=6), load, 5)
+    owners = [o for *_, o in sorted(rows)]
+    assert owners == sorted(owners) and set(owners) == set(range(5))
+    each = [sum(load[s] for s, _, _, o in rows if o == k) for k in range(5)]
+    assert max(each) - min(each) <= 2 * max(load.values())
+    assert {o for *_, o in exact_dedup.with_owners([(0, 0, 0)], {}, 7)} == {0}
+
+
+def test_index_files_are_key_ranges(spark):
+    df = spark.createDataFrame([(i, f"text {i % 150}") for i in range(400)], "doc_id long, text string").repartition(5)
+    index = exact_dedup.build_index(spark, df)
+    rows = index.entries.select("owner", "bucket", F.col("key"), F.input_file_name().alias("file")).collect()
+    unsigned = lambda k: k % (1 << 64)
+    spans = {}
+    for r in rows:
+        spans.setdefault(r.file, []).append(unsigned(r.key))
+    edges = sorted((min(k), max(k)) for k in spans.values())
+    assert len(edges) > 1 and all(a[1] < b[0] for a, b in zip(edges[:-1], edges[1:], strict=True))
+    assert all(len({r.owner for r in rows if r.file == f}) == 1 for f in spans)
+    plan = exact_dedup.exact_groups(spark, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_exact_groups(spark):
     docs = [(1, "Ab"), (2, "aB"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, "x" * 100_000), (8, "X" * 100_000)]
     df = spark.createDataFrame([(*d, 0, 0) for d in docs], "doc_id long, text string, key int, chain int").repartition(3)
