@@ -2,9 +2,11 @@
 
 Terms are all words of the labelled examples. Their TF-IDF weights are multiplied by their chi-square with the label, so words that
 go with neither class hardly count, but none is left out (near copies among the examples count once). Document frequencies are those of
-all documents. Examples are dealt into blocks; for each term a block keeps the largest weight of its postings, so the products of a
+all documents. Words that no example has are in the length of a text's vector, with the weight of a word of one document and the chi-square
+that is expected of a word that goes with neither class, which is 1. Examples are dealt into blocks; for each term a block keeps the largest weight of its postings, so the products of a
 query's weights with these bound every example of the block from above. A query's best blocks are scored first, then those whose
-bound reaches its k-th similarity. The neighbours vote by nearness; an isotonic fit to leave-one-out votes makes it a probability.
+bound reaches its k-th similarity. The neighbours vote by nearness; an isotonic fit to leave-one-out votes makes it a probability. An example that has
+near copies among the labelled rows of its class is left with them when it is left out, so it stays its own neighbour.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .training import labelled_sample
 PER_CLASS, K, BLOCK, FIRST, TOGETHER, TERMS = 2000, 15, 64, 4, 100, 30_000
 #: Terms that more than this part of the examples have are kept as columns of a matrix, others as postings.
 COMMON = 1 / 16
+#: Bytes of that matrix at most; the most frequent terms have its columns.
+MATRIX_BYTES = 64 << 20
 #: Characters of texts that are cut into words together.
 AT_ONCE = 4_000_000
 _BETWEEN = r"[^\p{L}\p{Nl}\p{No}]+"
@@ -74,32 +78,36 @@ def _example_words(batches):
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(own, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64()))], names=["id", "label", "words", "marks"])
 
 
-def choose_terms(scratch: Scratch, docs: DataFrame, sample: DataFrame) -> tuple[DataFrame, list[str], np.ndarray]:
-    """(examples kept, terms, the chi-square of each). Of examples that share three of four min-hashes the smallest id is kept."""
+def choose_terms(scratch: Scratch, docs: DataFrame, sample: DataFrame) -> tuple[DataFrame, set[int], list[str], np.ndarray]:
+    """(examples kept, those of them with copies, terms, the chi-square of each). Of examples of a class that share three of four min-hashes the smallest id is kept."""
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id")  # at most 2 * PER_CLASS rows
     rows = rows.select("id", "label", "text").mapInArrow(_example_words, "id long, label int, words array<string>, marks array<long>")
     rows = rows.groupBy("id", "label").agg(F.min(F.struct("words", "marks")).alias("e"))  # of an id that repeats one text
     rows = scratch.save(rows.select("id", "label", "e.words", "e.marks"), "examples")
     marks = rows.select("id", "label", F.posexplode("marks").alias("j", "mark"))
     first = marks.groupBy("label", "j", "mark").agg(F.min("id").alias("first"))
-    copies = marks.join(first, ["label", "j", "mark"]).where("id <> first").select("id").distinct()
+    copies = scratch.save(marks.join(first, ["label", "j", "mark"]).where("id <> first").groupBy("id").agg(F.min("first").alias("first")), "copies")
     kept = rows.join(copies, "id", "left_anti")
+    stands = {r.id: r.first for r in copies.orderBy("id").collect()}  # at most 2 * PER_CLASS rows
+    for i in stands:  # in order of id, and first < id, so the first of a first is known
+        stands[i] = stands.get(stands[i], stands[i])
+    copied = set(stands.values())
     n = {r.label: r["count"] for r in kept.groupBy("label").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
-        return kept.select("id", "label"), [], np.zeros(0)
+        return kept.select("id", "label"), copied, [], np.zeros(0)
     seen = kept.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum("label").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("m"))
     total = pos + neg
     a, m = F.col("a"), F.col("m")
     chi2 = total * (a * (neg - (m - a)) - (m - a) * (pos - a)) ** 2 / (F.lit(float(pos * neg)) * m * F.greatest(total - m, F.lit(0.5)))
-    best = seen.select("word", chi2.alias("chi2")).where("chi2 > 0").toArrow()  # words of at most 2 * PER_CLASS rows
+    best = seen.select("word", chi2.alias("chi2")).toArrow()  # words of at most 2 * PER_CLASS rows
     words, weights = np.array(best.column("word").to_pylist(), object), best.column("chi2").to_numpy()
     order = np.argsort(words, kind="stable")
-    return kept.select("id", "label"), words[order].tolist(), weights[order]
+    return kept.select("id", "label"), copied, words[order].tolist(), weights[order]
 
 
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, terms (indexes) and counts of each row's whole text."""
+    """doc_id, terms (indexes) and counts of each row's whole text, and rest: the sum of (1 + ln tf)^2 of its words that are no terms."""
     index = {w: i for i, w in enumerate(terms)}
 
     def run(batches):
@@ -108,14 +116,18 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
         for b in batches:
             for at, k in batches_of(b.column("text")):
                 ends, numbers, words = cut_words(b.column("text").slice(at, k))
-                term = np.array([index.get(w, -1) for w in words], np.int64)[numbers]
-                row = np.repeat(np.arange(k), np.diff(ends))[term >= 0]
-                cell, n = np.unique(row * max(len(terms), 1) + term[term >= 0], return_counts=True)
-                lists = pa.array(np.searchsorted(cell, np.arange(k + 1) * max(len(terms), 1)).astype(np.int32))
-                each = [pa.ListArray.from_arrays(lists, pa.array(x.astype(np.int32))) for x in (cell % max(len(terms), 1), n)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, k), *each], names=["doc_id", "terms", "counts"])
+                # terms first, then other words by their number in the batch; -1 is no word
+                code = np.array([index.get(w, len(terms) + i) if w else -1 for i, w in enumerate(words)], np.int64)[numbers]
+                wide = len(terms) + len(words) + 1
+                cell, n = np.unique((np.repeat(np.arange(k), np.diff(ends)) * wide + code)[code >= 0], return_counts=True)
+                row, code = cell // wide, cell % wide
+                known = code < len(terms)
+                rest = np.bincount(row[~known], (1 + np.log(n[~known])) ** 2, k)
+                lists = pa.array(np.searchsorted(row[known], np.arange(k + 1)).astype(np.int32))
+                each = [pa.ListArray.from_arrays(lists, pa.array(x[known].astype(np.int32))) for x in (code, n)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, k), *each, pa.array(rest, pa.float64())], names=["doc_id", "terms", "counts", "rest"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>, rest double")
 
 
 @dataclass
@@ -152,18 +164,19 @@ def _spread(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n), n
 
 
-def vectors(terms: list, counts: list, weight: np.ndarray) -> Rows:
-    """Unit vectors of (1 + ln tf) * weight; no terms where a text has none."""
+def vectors(terms: list, counts: list, weight: np.ndarray, rest=0.0) -> Rows:
+    """Unit vectors of (1 + ln tf) * weight; no terms where a text has none. rest: squared length of each text's other words."""
     ends = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(int)
     flat = lambda x, kind: np.concatenate([np.asarray(v, kind) for v in x]) if len(x) else np.empty(0, kind)
-    return weighted(ends, flat(terms, int), flat(counts, float), weight)
+    return weighted(ends, flat(terms, int), flat(counts, float), weight, rest)
 
 
-def weighted(ends: np.ndarray, t: np.ndarray, c: np.ndarray, weight: np.ndarray) -> Rows:
-    n = np.diff(ends)
-    v = (1 + np.log(c)) * weight[t]
-    norm = np.sqrt(np.bincount(np.repeat(np.arange(len(n)), n), v * v, len(n)))
-    return Rows(ends, t, v / np.repeat(norm, n))
+def weighted(ends: np.ndarray, t: np.ndarray, c: np.ndarray, weight: np.ndarray, rest=0.0) -> Rows:
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    some = weight[t] > 0
+    row, t, v = row[some], t[some], (1 + np.log(c[some])) * weight[t[some]]
+    norm = np.sqrt(np.bincount(row, v * v, len(ends) - 1) + rest)
+    return Rows(np.searchsorted(row, np.arange(len(ends))), t, v / norm[row])
 
 
 def flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +217,10 @@ class BlockMaxIndex:
         ids, labels, weights, x = ids[order], labels[order], weights[order], x.take(order)
         at = x.row_numbers()
         n_terms = int(x.terms.max()) + 1 if len(x.terms) else 0
-        many = np.bincount(x.terms, minlength=n_terms) > COMMON * len(ids)
+        many = np.bincount(x.terms, minlength=n_terms)
+        most = MATRIX_BYTES // (8 * max(1, len(ids)))
+        least = np.partition(many, n_terms - most - 1)[n_terms - most - 1] if n_terms > most else 0
+        many = many > max(COMMON * len(ids), least)
         column = np.where(many, np.cumsum(many) - 1, -1)
         n_blocks = -(-len(ids) // size)
         matrix = np.zeros((n_blocks * size, int(many.sum())))
@@ -296,13 +312,14 @@ class BlockMaxIndex:
 @dataclass
 class Model:
     weight: np.ndarray
+    unseen: float
     index: BlockMaxIndex
     prior: float
     votes: np.ndarray
     shares: np.ndarray
 
     def score(self, terms: Rows, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of texts, their nearest examples and similarities; a text that is an example itself (own: its row, or -1) isn't its own neighbour."""
+        """Scores of texts, their nearest examples and similarities; a text that is an example itself (own: its row, or -1) isn't its own neighbour, unless it has copies."""
         best, sim = self.index.search(terms, K, own)
         return self.calibrated(self.index.vote(best, sim, self.prior)), best, sim
 
@@ -332,17 +349,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     scratch = Scratch(spark, "toxicity")
     sample, counts = labelled_sample(labels, label, per_class)
     sample = scratch.save(sample, "sample")
-    examples, terms, chi2 = choose_terms(scratch, docs, sample)
+    examples, copied, terms, chi2 = choose_terms(scratch, docs, sample)
     compact = scratch.save(term_counts(docs, terms), "terms")
     n = compact.count()
     df = np.ones(len(terms))
     seen = compact.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # words of at most 2 * per_class rows
     df[seen.column("t").to_numpy()] = seen.column("count").to_numpy()
     by_term = (np.log((1 + n) / (1 + df)) + 1) * chi2
-    found = compact.withColumnRenamed("doc_id", "id").join(F.broadcast(examples), "id").groupBy("id", "label").agg(F.min(F.struct("terms", "counts")).alias("e"))
-    found = found.select("id", "label", "e.terms", "e.counts").orderBy("id").collect()  # at most 2 * per_class rows
+    unseen = float(np.log((1 + n) / 2) + 1) ** 2 if n else 0.0  # of a word that one document has, with a chi-square of 1
+    found = compact.withColumnRenamed("doc_id", "id").join(F.broadcast(examples), "id").groupBy("id", "label").agg(F.min(F.struct("terms", "counts", "rest")).alias("e"))
+    found = found.select("id", "label", "e.terms", "e.counts", "e.rest").orderBy("id").collect()  # at most 2 * per_class rows
     y = np.array([r.label for r in found], float)
-    x = vectors([np.array(r.terms, int) for r in found], [np.array(r.counts) for r in found], by_term)
+    x = vectors([np.array(r.terms, int) for r in found], [np.array(r.counts) for r in found], by_term, unseen * np.array([r.rest for r in found]))
     # a class's examples stand for all of its labelled rows
     share = {c: counts.get(c, 0) / max(1.0, (y == c).sum()) for c in (0, 1)}
     weight = np.where(y == 1, share[1], share[0]) if len(y) else y
@@ -350,13 +368,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     total = sum(counts.values())
     prior = float((weight * y)[none].sum() / weight[none].sum()) if none.any() else (counts.get(1, 0) / total if total else 0.0)
     index = BlockMaxIndex.build(np.array([r.id for r in found], np.int64)[~none], y[~none], weight[~none], x.take(np.flatnonzero(~none)))
-    back = {int(i): k for k, i in enumerate(index.ids)}
+    alone = {int(i): k for k, i in enumerate(index.ids) if int(i) not in copied}
     vote = np.full(len(y), prior)
     if (~none).any():
-        own = np.array([back[r.id] for r, z in zip(found, none, strict=True) if not z])
+        own = np.array([alone.get(r.id, -1) for r, z in zip(found, none, strict=True) if not z])
         vote[~none] = index.vote(*index.search(x.take(np.flatnonzero(~none)), K, own), prior)
     votes, shares = calibrate(vote, y, weight) if terms else (np.empty(0), np.empty(0))
-    model = Model(by_term, index, prior, votes, shares)
+    model = Model(by_term, unseen, index, prior, votes, shares)
 
     def run(batches):
         import pyarrow as pa
@@ -365,8 +383,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                own = np.array([back.get(i, -1) for i in part.column("doc_id").to_pylist()], int)
-                score, best, sim = model.score(weighted(*flat_lists(part.column("terms")), flat_lists(part.column("counts"))[1], model.weight), own)
+                own = np.array([alone.get(i, -1) for i in part.column("doc_id").to_pylist()], int)
+                rest = model.unseen * part.column("rest").to_numpy()
+                score, best, sim = model.score(weighted(*flat_lists(part.column("terms")), flat_lists(part.column("counts"))[1], model.weight, rest), own)
                 near = [[{"doc_id": int(index.ids[r]), "label": int(index.labels[r]), "cosine": float(s)} for r, s in zip(rs[:3], ss[:3], strict=True) if r >= 0] for rs, ss in zip(best, sim, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64()), pa.array(near, kind)], names=["doc_id", "score", "evidence"])
 

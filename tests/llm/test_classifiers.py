@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -127,3 +129,48 @@ def test_scores_do_not_depend_on_partitions(spark, score):
 def test_isotonic_calibration():
     votes, shares = toxicity.calibrate(np.array([0.1, 0.2, 0.2, 0.6, 0.7, 0.9]), np.array([0.0, 0, 1, 1, 0, 1]), np.ones(6))
     assert list(shares) == sorted(shares) and np.allclose(np.interp([0.1, 0.2, 0.65, 0.95], votes, shares), [0, 0.5, 0.5, 1])
+
+
+def test_evidence_against_brute_force(spark):
+    """Cosines of whole texts, words of no example among them, from plain counts."""
+    rng = random.Random(12)
+    words = [a + b for a in "abcdefgh" for b in "klmnopqr"]
+    docs = [(i, " ".join(rng.choices(words[: 60 if i < 40 else 50], k=rng.randint(4, 30)) + [f"{words[i - 40]}x{words[j % 7]}" for j in range(0 if i < 40 else rng.randint(0, 12))])) for i in range(70)]
+    labels = {i: int(rng.random() < 0.4) for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    rows = toxicity.toxicity(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()
+    bags = {i: Counter(t.split()) for i, t in docs}
+    known = {w for i in labels for w in bags[i]}
+    df = Counter(w for b in bags.values() for w in b)
+    pos, total = sum(labels.values()), len(labels)
+    weight = {}
+    for w in known:
+        a, m = sum(y for i, y in labels.items() if w in bags[i]), sum(w in bags[i] for i in labels)
+        chi2 = total * (a * (total - pos - m + a) - (m - a) * (pos - a)) ** 2 / (pos * (total - pos) * m * max(total - m, 0.5))
+        weight[w] = (math.log((1 + len(docs)) / (1 + df[w])) + 1) * chi2
+    unseen = math.log((1 + len(docs)) / 2) + 1
+    vec = {i: {w: (1 + math.log(c)) * weight.get(w, unseen) for w, c in b.items()} for i, b in bags.items()}
+    dot = lambda a, b: sum(v * b[w] for w, v in a.items() if w in b)
+    for r in rows:
+        want = sorted((dot(vec[r.doc_id], vec[j]) / math.sqrt(dot(vec[r.doc_id], vec[r.doc_id]) * dot(vec[j], vec[j])) for j in labels if j != r.doc_id), reverse=True)[:3]
+        assert [e.cosine for e in r.evidence] == pytest.approx(want, abs=1e-9)
+
+
+def test_copies_are_each_others_neighbours(spark):
+    """Twenty labelled rows of one toxic text and twenty of one clean one: a copy of either is known."""
+    docs = [(i, "poison bile spite venom scorn malice" if i % 2 else "bread and butter with some fresh tea") for i in range(60)]
+    labels = [(i, i % 2) for i in range(50)]
+    rows = toxicity.toxicity(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert all(r.predicted == r.doc_id % 2 and abs(r.score - r.predicted) < 0.1 for r in rows)
+
+
+def test_matrix_is_bounded_in_bytes(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.random((200, 40)) * (rng.random((200, 40)) < 0.4)
+    q = rng.random((30, 40))
+    make = lambda: toxicity.BlockMaxIndex.build(np.arange(200), np.zeros(200), np.ones(200), x, size=16)
+    wide = make()
+    monkeypatch.setattr(toxicity, "MATRIX_BYTES", 200 * 8 * 6)
+    narrow = make()
+    assert wide.matrix.shape[1] == 40 and narrow.matrix.shape[1] <= 6
+    for a, b in zip(wide.search(q, 5), narrow.search(q, 5), strict=True):
+        assert np.allclose(a, b)
