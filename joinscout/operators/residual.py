@@ -3,12 +3,14 @@
 A block is two layers with a backcast and a forecast head; the backcast is taken from the window before the next block sees it, and forecasts add up. Rows
 are dealt to `workers` tasks by hash and stay there; an epoch is one job in which all tasks go through their rows together: each step every task sends
 its gradient's sum and takes everybody's, added up in the order of tasks, so all make the same update and only one returns the weights. These are written
-to the folder after each epoch, so a fit that was interrupted goes on from there and ends with the same weights. A task holds one batch of rows.
+to the folder after each epoch, so a fit that was interrupted goes on from there and ends with the same weights. Tasks wait for each other once a step (about a
+second, whatever is sent), so an epoch has at most STEPS steps: with more rows a step's gradient is over more of them, added up batch by batch. A task holds one batch of rows.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..session import work_dir
 
-#: Rows of a task's batch.
-BATCH = 256
+#: Rows of a task's batch, and steps of an epoch at most.
+BATCH, STEPS = 256, 32
 
 
 def start_weights(size: int, hidden: int, blocks: int, seed: int):
@@ -93,8 +95,8 @@ def adam(state: dict, grad, rate: float) -> dict:
     return {"w": w, "m": m, "v": v, "t": t}
 
 
-def _epoch(state: dict, hidden: int, blocks: int, rate: float, share):
-    """One pass over a task's rows in step with the others. share: sends a text and returns all tasks' in order (a barrier's allGather if None)."""
+def _epoch(state: dict, hidden: int, blocks: int, rate: float, share, per_step: int = 1):
+    """One pass over a task's rows in step with the others, per_step batches a step. share: sends a text and returns all tasks' in order (a barrier's allGather if None)."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -122,9 +124,11 @@ def _epoch(state: dict, hidden: int, blocks: int, rate: float, share):
 
         now, rows, loss, n = state, pieces(), 0.0, 0
         while True:
-            piece = next(rows, None)
-            grad, error = (np.zeros_like(now["w"]), 0.0) if piece is None else gradient(now["w"], *piece, hidden, blocks)
-            sent = json.dumps({"n": 0 if piece is None else len(piece[1]), "e": error, "g": base64.b64encode(grad.tobytes()).decode() if piece is not None else ""})
+            grad, error, own = np.zeros_like(now["w"]), 0.0, 0
+            for piece in itertools.islice(rows, per_step):
+                more, wrong = gradient(now["w"], *piece, hidden, blocks)
+                grad, error, own = grad + more, error + wrong, own + len(piece[1])
+            sent = json.dumps({"n": own, "e": error, "g": base64.b64encode(grad.tobytes()).decode() if own else ""})
             told = [json.loads(t) for t in gather(sent)]
             count = sum(t["n"] for t in told)
             if not count:
@@ -186,6 +190,8 @@ def fit(windows: DataFrame, size: int, hidden: int = 32, blocks: int = 3, epochs
     mean, spread = stats.m or 0.0, stats.s or 1.0
     scaled = rows.select(F.transform("window", lambda v: (v - mean) / spread).alias("window"), ((F.col("y") - mean) / spread).alias("y"), "place")
     scaled.repartition(workers, "place").write.parquet(f"{folder}/rows", mode="ignore")
+    most = spark.read.parquet(f"{folder}/rows").groupBy(F.pmod(F.hash("place"), F.lit(workers))).count().agg(F.max("count")).first()[0] or 0  # rows of the fullest task
+    per_step = max(1, -(-most // (BATCH * STEPS)))
     weights = start_weights(size, hidden, blocks, seed)
     state = {"w": weights, "m": np.zeros_like(weights), "v": np.zeros_like(weights), "t": 0}
     jvm = spark.sparkContext._jvm
@@ -195,7 +201,7 @@ def fit(windows: DataFrame, size: int, hidden: int = 32, blocks: int = 3, epochs
         done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
             dealt = spark.read.parquet(f"{folder}/rows").repartition(workers, "place").sortWithinPartitions("place", "window", "y").drop("place")
-            dealt.mapInPandas(_epoch(state, hidden, blocks, rate, None), _STATE, barrier=True).write.mode("overwrite").parquet(path)
+            dealt.mapInPandas(_epoch(state, hidden, blocks, rate, None, per_step), _STATE, barrier=True).write.mode("overwrite").parquet(path)
         r = spark.read.schema(_STATE).parquet(path).first()  # one row: the weights
         if r is None:
             break

@@ -22,6 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df from the work folder, so that what reads it more than once doesn't make it again."""
+    place = session.work_dir(spark, name)
+    df.write.parquet(place)
+    return spark.read.parquet(place)
+
+
 def query(sql: str | None = None):
     """Register a query and its SQL under the function's name."""
 
@@ -1382,7 +1389,7 @@ def result_sinks(spark, d):
 def residual_forecast(spark, d):
     """Errors of the residual stack and of the moving average on held-out windows of the events."""
     rows = windows(spark, d).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), F.col("start").cast("string")))
-    rows = timeseries.exact_split(rows, "key", {"train": 0.8, "test": 0.2})
+    rows = written(spark, timeseries.exact_split(written(spark, rows, "windows"), "key", {"train": 0.8, "test": 0.2}), "split")
     model = residual.fit(rows.where("part = 'train'"), 16, epochs=3)
     out = timeseries.naive_forecasts(model.predict(rows.where("part = 'test'")))
     return models.regression_metrics(out).withColumn("method", F.lit("residual_stack")).unionByName(models.regression_metrics(out, prediction="naive_moving_average").withColumn("method", F.lit("moving_average")))

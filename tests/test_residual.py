@@ -1,6 +1,9 @@
 """The residual-stack forecaster: gradient, training against the moving average, seeds, and going on after a failure."""
 
+import json
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +70,33 @@ def test_seed_partitioning_and_resuming(spark, windows, tmp_path, monkeypatch):
 def test_no_rows(spark, windows):
     empty = residual.fit(windows.limit(0), 12, epochs=2, workers=2)
     assert empty.predict(windows.limit(3)).where(F.col("prediction").isNotNull()).count() == 3
+
+
+def test_steps_of_an_epoch_are_bounded():
+    """Tasks meet at most STEPS times and once to end, over all rows, whatever their number."""
+    rng, met = np.random.default_rng(4), []
+    n = residual.BATCH * residual.STEPS * 2 + 7
+    x, y = rng.normal(size=(n, 5)), rng.normal(size=n)
+    w = residual.start_weights(5, 4, 2, 1)
+    state = {"w": w, "m": np.zeros_like(w), "v": np.zeros_like(w), "t": 0}
+
+    def share(text):
+        met.append(json.loads(text)["n"])
+        return [text]
+
+    rows = pd.DataFrame({"window": list(x), "y": y})
+    (out,) = residual._epoch(state, 4, 2, 3e-3, share, per_step=3)(iter([rows[:1000], rows[1000:]]))
+    assert len(met) <= residual.STEPS + 1 and sum(met) == n and out.n[0] == n
+    (one,) = residual._epoch(state, 4, 2, 3e-3, lambda t: [t], per_step=10**6)(iter([rows]))
+    g, _ = residual.gradient(w, x, y, 4, 2)
+    assert one.t[0] == 1 and np.allclose(one.w[0], residual.adam(state, g / n, 3e-3)["w"])
+
+
+def test_fit_bounds_its_steps(spark, windows, monkeypatch):
+    monkeypatch.setattr(residual, "BATCH", 64)
+    monkeypatch.setattr(residual, "STEPS", 4)
+    seen, real = [], residual._epoch
+    monkeypatch.setattr(residual, "_epoch", lambda *args: seen.append(args[-1]) or real(*args))
+    fitted = residual.fit(windows, 12, epochs=1, workers=2)
+    n = windows.count()
+    assert seen == [seen[0]] and n / 2 / 64 / 4 <= seen[0] <= n / 2 / 64 / 4 + 2 and len(fitted.losses) == 1
