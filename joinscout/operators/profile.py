@@ -50,16 +50,48 @@ def candidate_join_keys(df: DataFrame, top_k: int = 5, approximate: bool = True)
     return describe(df, approximate=approximate).where("not is_constant").select("column", "cardinality_ratio").orderBy("cardinality_ratio", "column").limit(top_k)
 
 
+#: Slabs of a column's values, cut at approximate quantiles.
+SLABS = 256
+
+
+def exact_percentiles(df: DataFrame, columns: list[str], parts: list[int]) -> DataFrame:
+    """column and p<part> of each part of 100, interpolated between neighbours as by `percentile`.
+
+    Values are counted and cut into slabs of about as many distinct ones; a slab's count tells whether a wanted rank is in it, and only such slabs are put in
+    order, so no task holds a whole column.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    counts = df.select(F.explode(cells).alias("c")).select("c.*").where("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+    cuts = counts.groupBy("column").agg(F.percentile_approx("x", [i / SLABS for i in range(1, SLABS)], 2000).alias("q"))
+    placed = counts.join(F.broadcast(cuts), "column").withColumn("slab", F.size(F.filter("q", lambda c: c <= F.col("x")))).drop("q")  # a row a column
+    whole = Window.partitionBy("column")  # a row a slab
+    sums = placed.groupBy("column", "slab").agg(F.sum("n").alias("sn"))
+    sums = sums.withColumns({"before": F.sum("sn").over(whole.orderBy("slab")) - F.col("sn"), "total": F.sum("sn").over(whole)})
+    at = {p: (F.col("total") - 1) * (p / 100) for p in parts}
+    ranks = {p: (F.floor(x), F.ceil(x)) for p, x in at.items()}
+    hit = reduce(lambda a, b: a | b, [(r >= F.col("before")) & (r < F.col("before") + F.col("sn")) for both in ranks.values() for r in both])
+    rows = placed.join(F.broadcast(sums.where(hit)), ["column", "slab"])  # at most two slabs a part
+    rows = rows.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column", "slab").orderBy("x")))
+    of = lambda r: F.max(F.when((r < F.col("upto")) & (r >= F.col("upto") - F.col("n")), F.col("x")))
+    found = rows.groupBy("column", "total").agg(*[of(r).alias(f"{e}{p}") for p, both in ranks.items() for e, r in zip("lh", both, strict=True)])
+    between = {p: (ranks[p][1] - at[p]) * F.col(f"l{p}") + (at[p] - ranks[p][0]) * F.col(f"h{p}") for p in parts}
+    return found.select("column", *[F.when(ranks[p][0] == ranks[p][1], F.col(f"l{p}")).otherwise(between[p]).alias(f"p{p}") for p in parts])
+
+
 def numeric_profile(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
-    """column, mean, std, min, p50, p95, p99, max, missing_ratio; percentiles are approximate (a ten-thousandth of the ranks) unless `exact`, which gathers all distinct values."""
+    """column, mean, std, min, p50, p95, p99, max, missing_ratio; percentiles are approximate (a ten-thousandth of the ranks) unless `exact`, which counts all values."""
     n = F.count(F.lit(1))
+    parts = [50, 95, 99]
 
     def of(c: str) -> dict[str, Column]:
         x = F.col(c).cast("double")
-        q = {f"p{p}": F.percentile(x, p / 100) if exact else F.percentile_approx(x, p / 100, 10_000) for p in (50, 95, 99)}
+        q = {} if exact else {f"p{p}": F.percentile_approx(x, p / 100, 10_000) for p in parts}
         return {"mean": F.avg(x), "std": F.stddev(x), "min": F.min(x), **q, "max": F.max(x), "missing_ratio": 1 - F.try_divide(F.count(x), n)}
 
-    return _stacked(df, {c: of(c) for c in columns})
+    out = _stacked(df, {c: of(c) for c in columns})
+    if exact:
+        out = out.join(exact_percentiles(df, columns, parts), "column", "left")
+    return out.select("column", "mean", "std", "min", *[f"p{p}" for p in parts], "max", "missing_ratio")
 
 
 def parse_ratios(df: DataFrame, columns: list[str]) -> DataFrame:
