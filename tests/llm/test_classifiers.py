@@ -174,3 +174,23 @@ def test_matrix_is_bounded_in_bytes(monkeypatch):
     assert wide.matrix.shape[1] == 40 and narrow.matrix.shape[1] <= 6
     for a, b in zip(wide.search(q, 5), narrow.search(q, 5), strict=True):
         assert np.allclose(a, b)
+
+
+def test_quality_is_fitted_on_every_labelled_row(spark):
+    """Far more than 2000 rows a class: every row outside the fold counts in mean, pairs and threshold, on either side of an uneven split."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(9000) < 0.97).astype(int)
+    x = np.round(rng.random((9000, len(quality.FEATURES))) + 0.2 * y[:, None], 6)
+    rows = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(9000)], "id long, label int, x array<double>")
+    model, again = (quality.fit(spark, rows.repartition(n)) for n in (3, 7))
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0))
+    assert np.array_equal(model.weights, again.weights) and model.threshold == again.threshold and model.quantile == again.quantile
+    placed = quality.numbered(quality.Scratch(spark, "test"), rows.select(F.col("label").alias("grp"), "id", "x"), ["id"])
+    blocks = quality._blocks(placed, {0: int((y == 0).sum()), 1: int((y == 1).sum())})
+    assert all({r.grp for r in b.rows} == {0, 1} and len(b.rows) <= 2 * quality.BLOCK for b in blocks.collect())
+    assert blocks.select(F.explode("rows.pos"), F.size("rows")).count() >= 9000
+    strength = np.round(model.strength(x), 9)
+    cuts = [strength.min() - 1, *sorted(set(strength)), strength.max() + 1]
+    errors = [(y[strength < c] == 1).sum() + (y[strength >= c] == 0).sum() for c in cuts]
+    got = (y[strength < model.threshold] == 1).sum() + (y[strength >= model.threshold] == 0).sum()
+    assert got == min(errors) and abs(model.quantile - (strength < model.threshold).mean()) < 1e-9
