@@ -6,7 +6,8 @@ common subsequence has in both pages are shared by the site's template. Pages of
 Differencing alone takes too much and too little: copies of one article share all of its lines, and menus may
 differ on every page. So the page's own structure goes beside it: lines in an article or main element, but not in one of its
 boilerplate parts, stay though they are shared; lines in boilerplate elements go; of lines outside an article those of pages that have one go, and those
-of pages without stay unless they are shared with one of the NEAREST pages that aren't (nearly) copies of them.
+of pages without stay unless they are shared with one of the NEAREST pages that aren't (nearly) copies of them. Where all pages within REACH are copies, the
+search goes on over the rest of the host, nearest first, to blocks ever farther off, as far as pages ask for them.
 
 Only hashes and lengths of lines are put in order and compared. Pages are numbered within their host and compared in blocks of PAGES, to which REACH pages either
 side are given as well, so a hot host is many tasks, a run of copies takes no more memory than other pages, and results don't depend on where partitions fall.
@@ -18,6 +19,7 @@ import html
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,8 +195,8 @@ def copies(a: list[Line], b: list[Line]) -> bool:
     return a == b or _shares_all(a, b) and _shares_all(b, a)
 
 
-def shared_with(tokens: list, sizes: list[int], counted: list[int], neighbours, has_main: bool, nearest: int = NEAREST) -> set[int]:
-    """Indexes of tokens (lines, or hashes of them) that a longest common subsequence with one of the neighbours has, nearest first.
+def shared_with(tokens: list, sizes: list[int], counted: list[int], neighbours, has_main: bool, nearest: int = NEAREST) -> tuple[set[int], int]:
+    """Indexes of tokens (lines, or hashes of them) that a longest common subsequence with one of the neighbours has, nearest first; and how many that aren't copies were met.
 
     A page without an article isn't compared with (nearly) a copy of itself, by the sizes of its `counted` lines, and only with the first `nearest` others. A neighbour that
     has none of the lines that are still unshared adds nothing and is passed over.
@@ -213,7 +215,7 @@ def shared_with(tokens: list, sizes: list[int], counted: list[int], neighbours,
         shared |= found
         if len(shared) == len(tokens) or not has_main and met >= nearest:
             break
-    return shared
+    return shared, met
 
 
 def main_text(lines: list[Line], neighbours: list[Line] | list[list[Line]] | None) -> tuple[str, int]:
@@ -223,7 +225,7 @@ def main_text(lines: list[Line], neighbours: list[Line] | list[list[Line]] | Non
     outside = [i for i, x in enumerate(lines) if not x.main]
     own = [lines[i].text for i in outside]
     counted = [k for k, i in enumerate(outside) if not lines[i].boilerplate]
-    shared = {outside[k] for k in shared_with(own, [len(t) for t in own], counted, [_outside(x) for x in some], has_main)}
+    shared = {outside[k] for k in shared_with(own, [len(t) for t in own], counted, [_outside(x) for x in some], has_main)[0]}
     kept = [x.text for i, x in enumerate(lines) if not x.boilerplate and (x.main if has_main else i not in shared)]
     return "\n".join(kept), len(shared)
 
@@ -254,8 +256,15 @@ def _parsed(batches):
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(6)], texts, flags], names=["page_id", "url", "host", "path", "key", "other", "lines", "flags"])
 
 
+def _tokens(r: dict, structure: bool) -> tuple[list[int], list, list[int], list[int]]:
+    """Of a page's row: the indexes of its lines outside an article, their hashes and sizes, and places among them of lines that count as text."""
+    outside = [i for i, f in enumerate(r["flags"]) if not structure or not f & _MAIN]
+    counted = [k for k, i in enumerate(outside) if not structure or not r["flags"][i] & _BOILER]
+    return outside, [r["h"][i] for i in outside], [r["sizes"][i] for i in outside], counted
+
+
 def _differenced(structure: bool, nearest: int):
-    """A block's own pages to the lines that they share with pages near them."""
+    """A block's own pages to the lines that they share with pages near them, and how many more pages that aren't copies they need."""
 
     def run(table):
         import pyarrow as pa
@@ -264,25 +273,94 @@ def _differenced(structure: bool, nearest: int):
         pages = []
         for r in rows:
             main = any(f == _MAIN for f in r["flags"])
-            outside = [i for i, f in enumerate(r["flags"]) if not structure or not f & _MAIN]
-            counted = [k for k, i in enumerate(outside) if not structure or not r["flags"][i] & _BOILER]
-            pages.append((r["path"].strip("/").split("/"), outside, [r["h"][i] for i in outside], [r["sizes"][i] for i in outside], counted, main and structure))
-        keys, others, found = [], [], []
+            pages.append((r["path"].strip("/").split("/"), *_tokens(r, structure), main and structure))
+        keys, others, found, need = [], [], [], []
         for k, r in enumerate(rows):
             if r["halo"]:
                 continue
             path, outside, tokens, sizes, counted, has_main = pages[k]
             near = [(-_nearness(pages[j][0], path), abs(rows[j]["pos"] - r["pos"]), j > k, j) for j in range(max(0, k - REACH), min(len(rows), k + REACH + 1)) if j != k]
             # without structure every page is compared with all of them, but not with copies
-            shared = shared_with(tokens, sizes, counted, (pages[j][2] for *_, j in sorted(near)), has_main, nearest if structure else len(near))
+            shared, met = shared_with(tokens, sizes, counted, (pages[j][2] for *_, j in sorted(near)), has_main, nearest if structure else len(near))
             keys.append(r["key"])
             others.append(r["other"])
             found.append(sorted(outside[i] for i in shared))
-        return pa.table({"host": pa.array([rows[0]["grp"]] * len(keys), pa.string()), "key": pa.array(keys, pa.int64()), "other": pa.array(others, pa.int64()), "shared": pa.array(found, pa.list_(pa.int32()))})
+            need.append(max(nearest - met, 0) if structure and not has_main and any(sizes[i] for i in counted) and len(shared) < len(tokens) else 0)
+        names = {"host": pa.array([rows[0]["grp"]] * len(keys), pa.string()), "key": pa.array(keys, pa.int64()), "other": pa.array(others, pa.int64())}
+        return pa.table(names | {"shared": pa.array(found, pa.list_(pa.int32())), "need": pa.array(need, pa.int32())})
 
     return run
 
 
+def _farther(near: int, far: int):
+    """Pages that ask (`need` above 0) and those of one block to the first `need` of the block that aren't copies, at a distance above `near` and up to `far`."""
+
+    def run(table):
+        import pyarrow as pa
+
+        rows = sorted(table.to_pylist(), key=lambda r: r["pos"])
+        block = [(r["pos"], _tokens(r, True)[1]) for r in rows if not r["need"]]
+        out = []
+        for r in rows:
+            if not r["need"]:
+                continue
+            outside, tokens, sizes, counted = _tokens(r, True)
+            own, total, known, hits = set(tokens), sum(sizes[i] for i in counted), {}, []
+            for distance, after, other in sorted((abs(p - r["pos"]), p > r["pos"], k) for k, (p, _) in enumerate(block) if near < abs(p - r["pos"]) <= far):
+                lines = tuple(t for t in block[other][1] if t in own)  # no others can be shared
+                if lines not in known:
+                    found = shared_lines(tokens, lines)
+                    known[lines] = None if sum(sizes[i] for i in counted if i not in found) < LEFT * total else sorted(outside[i] for i in found)
+                if known[lines] is not None:
+                    hits.append({"distance": distance, "after": after, "lines": known[lines]})
+                    if len(hits) == r["need"]:
+                        break
+            if hits:
+                out.append({"host": r["grp"], "key": r["key"], "other": r["other"], "hits": hits})
+        hit = pa.list_(pa.struct([("distance", pa.int64()), ("after", pa.bool_()), ("lines", pa.list_(pa.int32()))]))
+        return pa.Table.from_pylist(out, pa.schema([("host", pa.string()), ("key", pa.int64()), ("other", pa.int64()), ("hits", hit)]))
+
+    return run
+
+
+def _searched_on(scratch: Scratch, placed: DataFrame, found: DataFrame) -> DataFrame:
+    """found(host, key, other, shared), where pages that still need others have searched their host to its end.
+
+    A round goes twice as far as the one before. Pages that ask, by blocks, meet one block of others in a task, so a task holds two blocks at most.
+    """
+    page = placed.withColumn("block", F.floor(F.col("pos") / PAGES)).select(F.col("grp").alias("host"), "key", "other", "pos", "n", "block", "h", "sizes", "flags")
+    more = lambda near: (F.col("need") > 0) & ((F.col("pos") > near) | (F.col("pos") + near < F.col("n") - 1))
+    ids = ["host", "key", "other"]
+    asking = scratch.save(found.where("need > 0").join(page, ids).where(more(REACH)), "asking")
+    if asking.isEmpty():
+        return found.select(*ids, "shared")
+    done = [found.join(asking.select(*ids), ids, "left_anti").select(*ids, "shared")]
+    near, far = REACH, PAGES
+    while True:
+        last = F.floor((F.col("n") - 1) / PAGES)
+        blocks = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+        at = lambda p: F.floor(p / PAGES)
+        left = F.when(F.col("pos") > near, blocks(at(F.greatest(F.col("pos") - far, F.lit(0))), at(F.col("pos") - near - 1)))  # noqa: B023
+        right = F.when(F.col("pos") + near < F.col("n") - 1, blocks(at(F.col("pos") + near + 1), F.least(at(F.col("pos") + far), last)))  # noqa: B023
+        none = F.array().cast("array<bigint>")
+        asked = asking.withColumn("to", F.explode(F.array_union(F.coalesce(left, none), F.coalesce(right, none))))
+        columns = ["pos", "key", "other", "h", "sizes", "flags"]
+        asked = asked.select(F.col("host").alias("grp"), F.col("block").alias("from"), "to", *columns, "need")
+        met = asked.select("grp", "from", "to").distinct().join(page.withColumnRenamed("block", "to").withColumnRenamed("host", "grp"), ["grp", "to"])
+        pairs = asked.unionByName(met.select("grp", "from", "to", *columns, F.lit(0).alias("need")))
+        hits = pairs.groupBy("grp", "from", "to").applyInArrow(_farther(near, far), "host string, key long, other long, hits array<struct<distance:long,after:boolean,lines:array<int>>>")
+        hits = hits.groupBy(*ids).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # at most `need` a block
+        taken = F.slice(F.coalesce("hits", F.array().cast("array<struct<distance:bigint,after:boolean,lines:array<int>>>")), F.lit(1), F.col("need"))
+        went = asking.join(hits, ids, "left").withColumn("taken", taken)
+        went = went.withColumn("shared", F.array_distinct(F.concat("shared", F.flatten(F.transform("taken", lambda x: x["lines"]))))).withColumn("need", F.col("need") - F.size("taken"))
+        went = scratch.save(went.drop("hits", "taken"), "asking")
+        done.append(went.where(~more(far)).select(*ids, "shared"))
+        asking = went.where(more(far))
+        if asking.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        near, far = far, 2 * far
+
+
 def shared_of(spark: SparkSession, parsed: DataFrame, structure: bool = True, nearest: int = NEAREST) -> DataFrame:
     """(host, key, other, shared): the lines of each html of a host that pages near it share. Without `structure` all lines are compared, else those outside an article."""
     scratch = Scratch(spark, "pages")
@@ -292,7 +370,8 @@ def shared_of(spark: SparkSession, parsed: DataFrame, structure: bool = True, ne
     block, at = F.floor(F.col("pos") / PAGES), F.col("pos") % PAGES
     copies_to = [F.struct(block.alias("block"), F.lit(False).alias("halo")), F.when((at < REACH) & (block > 0), F.struct((block - 1).alias("block"), F.lit(True).alias("halo"))), F.when(at >= PAGES - REACH, F.struct((block + 1).alias("block"), F.lit(True).alias("halo")))]
     dealt = placed.withColumn("to", F.explode(F.filter(F.array(*copies_to), lambda x: x.isNotNull()))).select("grp", "key", "other", "path", "h", "sizes", "flags", "pos", "to.block", "to.halo")
-    return dealt.groupBy("grp", "block").applyInArrow(_differenced(structure, nearest), "host string, key long, other long, shared array<int>")
+    found = dealt.groupBy("grp", "block").applyInArrow(_differenced(structure, nearest), "host string, key long, other long, shared array<int>, need int")
+    return _searched_on(scratch, placed, scratch.save(found, "shared"))
 
 
 def extract(spark: SparkSession, pages: DataFrame, structure: bool = True, nearest: int = NEAREST) -> DataFrame:
@@ -315,7 +394,8 @@ def extract(spark: SparkSession, pages: DataFrame, structure: bool = True, neare
     # lines that can't stay whatever is shared go before rows move
     text = F.transform("lines", lambda x, i: F.when(~F.lit(structure) | (F.get("flags", i).bitwiseAND(_BOILER) == 0) & (~F.col("has_main") | (F.get("flags", i).bitwiseAND(_MAIN) > 0)), x))
     light = parsed.withColumn("has_main", has_main).select("page_id", "url", "host", "key", "other", "has_main", text.alias("lines"))
-    joined = light.join(found, ["host", "key", "other"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
+    joined = light.join(found.hint("merge"), ["host", "key", "other"], "left")  # found grows with the pages
+    joined = joined.withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
     stays = lambda x, i: F.when(F.col("has_main") | ~F.array_contains("shared", i), x)
     kept = F.filter(F.transform("lines", stays), lambda x: x.isNotNull())
     out = joined.select("page_id", "url", F.array_join(kept, "\n").alias("text"), F.size("shared").cast("long").alias("n_shared"), (F.size("lines") - F.size(kept)).cast("long").alias("gone"))

@@ -111,3 +111,18 @@ def test_empty_and_odd_pages(spark):
     rows = [(1, "http://h/a", None), (2, "http://h/b", ""), (3, "http://h/c", "<p>x" * 20_000), (None, None, "<p>y</p>"), (4, "http://h/d", "<p>x</p>")]
     got = {r.page_id: r for r in H.extract(spark, spark.createDataFrame(rows, schema)).collect()}
     assert got[1].text == got[2].text == "" and got[None].text == "y" and got[3].n_chars in (20_000 * 2 - 1, 20_000 * 2 - 3, 19_999 * 2 - 1)
+
+
+@pytest.mark.parametrize("nearest", [1, 2])
+def test_long_runs_of_near_copies_find_a_page_beyond_reach(spark, nearest):
+    """Pages without an article, all (nearly) copies of each other but for two at the one end and one at the other, more than a block away."""
+    n = 2 * H.PAGES + 150
+    story = "".join(f"<p>Sentence {i} of the story that all of these pages tell, word for word</p>" for i in range(9))
+    page = lambda own: f"<body><div>Site name</div><div>Motto of the site</div>{own}</body>"
+    rows = [(i, f"http://run.x/p{i:05}", page(f"{story}<p>no {i}</p>")) for i in range(n)]
+    rows[0], rows[1], rows[-1] = ((i, rows[i][1], page(f"<p>{'Something else altogether ' * 9}{i}</p>").replace("Motto of the site", motto)) for i, motto in ((0, "Motto of the site"), (1, "no"), (n - 1, "no")))
+    got = {r.page_id: r.text for r in H.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), nearest=nearest).collect()}
+    near = lambda i: sorted((abs(k - i), k > i, k) for k in (0, 1, n - 1))[:nearest]
+    for i in range(2, n - 1):
+        lines = got[i].split("\n")
+        assert "Site name" not in lines and lines[-1] == f"no {i}" and len(lines) == 10 + (not any(k == 0 for *_, k in near(i)))
