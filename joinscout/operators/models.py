@@ -88,11 +88,29 @@ def _numbered(df: DataFrame, features: list[str], target: str, *more: Column) ->
     return df.select(*[F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)], F.col(target).cast("double").alias(TARGET), *more)
 
 
+#: Learners that keep all rows of a partition as one piece, and the values that such a piece has at most, about.
+SPREADS, PIECE = ("RandomForest", "BoostedTrees"), 4_000_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows as they lie, or if a partition has more than PIECE values dealt to so many that none has, so what a task holds doesn't grow with the rows."""
+    most = max(1, PIECE // len(rows.columns))
+    found = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+    return rows if (found.most or 0) <= most else rows.repartition(-(-found.n // most))
+
+
 def fit(train: DataFrame, features: list[str], target: str, name: str = "RandomForest", regression: bool = True, seed: int = 42) -> PipelineModel:
     """Median imputation, scaling and the learner."""
     raw, filled = [f"__f{i}" for i in range(len(features))], [f"__g{i}" for i in range(len(features))]
     steps = [Imputer(strategy="median", inputCols=raw, outputCols=filled), VectorAssembler(inputCols=filled, outputCol=VECTOR, handleInvalid="keep"), StandardScaler(inputCol=VECTOR, outputCol=SCALED), learner(name, regression, seed)]
-    return Pipeline(stages=steps).fit(_numbered(train, features, target).where(F.col(TARGET).isNotNull()))
+    rows = _numbered(train, features, target).where(F.col(TARGET).isNotNull())
+    if learner_name(name) not in SPREADS:
+        return Pipeline(stages=steps).fit(rows)
+    rows = spread(rows).persist()  # read by each step and by the learner several times
+    try:
+        return Pipeline(stages=steps).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], target: str) -> DataFrame:

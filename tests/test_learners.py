@@ -150,3 +150,18 @@ def test_distribution_distance_by_slabs(spark, monkeypatch):
     assert got["x"].ks == pytest.approx(np.abs(fa - fb).max()) and got["x"].wasserstein == pytest.approx((np.abs(fa - fb)[:-1] * np.diff(at)).sum())
     plan = augment.distribution_distance(*frames, ["x"])._jdf.queryExecution().executedPlan().toString()
     assert "slab" in plan and augment.distribution_distance(frames[0].limit(0), frames[1], ["x"]).first().ks is None
+
+
+def test_forests_take_rows_in_pieces_of_bounded_size(spark, monkeypatch):
+    """Rows of one partition are dealt to as many as their number asks for, none is lost, and nothing stays cached."""
+    from pyspark.sql import functions as F
+
+    from joinscout.operators import models
+
+    monkeypatch.setattr(models, "PIECE", 300)
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("a"), (F.col("id") * 7 % 13).alias("b"), (F.col("id") * 2.0).alias("y"))
+    sizes = [r["count"] for r in models.spread(df).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 30 and max(sizes) <= 110 and sum(sizes) == 3000
+    model = models.fit(df, ["a", "b"], "y", "RandomForest")
+    assert models.regression_metrics(models.predict(model, df, ["a", "b"], "y")).first().r2 > 0.9
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
