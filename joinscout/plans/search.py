@@ -269,8 +269,9 @@ def budget_join(lake: Lake, base: str, s: Settings, regression: bool = True, rou
     chosen, rows = numeric(start, keys), start.count()
     for batch in budget_batches(lake, base, rows):
         before = sorted({c.split(SEP, 1)[0] for c in chosen} - {base})
-        joined = join_some(small, base, [*before, *batch], s).persist()
+        joined = join_some(small, base, [*before, *batch], s)
         new = numeric(joined, [c for c in joined.columns if c.split(SEP, 1)[0] in batch])
+        joined = joined.select(*dict.fromkeys([*chosen, *new]), s.target).persist()  # no column that isn't a feature is joined or kept
         chosen = selection.random_injection(joined, [*chosen, *new], s.target, regression, rounds, threshold=threshold, seed=seed)
         joined.unpersist()
     return chosen
