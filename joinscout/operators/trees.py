@@ -46,22 +46,42 @@ def candidates(seed: int, tree: int, node: int, width: int, tried: int) -> list[
     return sorted(range(width), key=lambda f: drawn(seed, tree, node, f, 0))[:tried]
 
 
-def route(tree: dict[int, Node], x):
-    """The heap number of the leaf that each row reaches."""
+class Flat(NamedTuple):
+    """A tree as arrays over its nodes, in the order of their heap numbers; the root is at 0. A node's children stand at 2i and 2i + 1 of `child`; a leaf's are itself."""
+
+    heap: object
+    feature: object
+    threshold: object
+    child: object
+    levels: int
+
+
+def flat(tree: dict[int, Node]) -> Flat:
     import numpy as np
 
-    at = np.ones(len(x), np.int64)
-    todo = [1]
-    while todo:
-        i = todo.pop()
-        n = tree[i]
-        if n.feature >= 0:
-            here = np.flatnonzero(at == i)
-            at[here] = 2 * i + (x[here, n.feature] >= n.threshold)
-            todo += [2 * i, 2 * i + 1]
+    heap = sorted(tree)
+    place = {i: at for at, i in enumerate(heap)}
+    cut = [tree[i].feature >= 0 for i in heap]
+    child = [place[2 * i + side] if c else place[i] for i, c in zip(heap, cut, strict=True) for side in (0, 1)]
+    return Flat(np.array(heap, np.int64), np.array([max(tree[i].feature, 0) for i in heap], np.int64), np.array([tree[i].threshold for i in heap], float), np.array(child, np.int64), heap[-1].bit_length() - 1)
+
+
+def reached(tree: Flat, x):
+    """The place among the tree's nodes of the leaf that each row reaches; all rows go down a level at once."""
+    import numpy as np
+
+    at, values, start = np.zeros(len(x), np.int64), x.ravel(), np.arange(len(x)) * x.shape[1]
+    for _ in range(tree.levels):
+        at = tree.child.take(2 * at + (values.take(start + tree.feature.take(at)) >= tree.threshold.take(at)))
     return at
 
 
+def route(tree: dict[int, Node], x):
+    """The heap number of the leaf that each row reaches."""
+    made = flat(tree)
+    return made.heap[reached(made, x)]
+
+
 def _table(batch):
     import numpy as np
 
@@ -70,53 +90,95 @@ def _table(batch):
     return (x.reshape(len(y), -1) if len(y) else np.zeros((0, 0))), y
 
 
+def _slots(tree: Flat, nodes: dict[int, list]):
+    """The nodes in order, and for each node of the tree its place among them (-1: it isn't one)."""
+    import numpy as np
+
+    order = sorted(nodes)
+    place = {i: s for s, i in enumerate(order)}
+    return order, np.array([place.get(int(i), -1) for i in tree.heap], np.int64)
+
+
 def _ranges(trees: Trees, open_nodes: list[dict[int, list[int]]]):
-    """(tree, node, feature, lo, hi) of a batch's rows."""
+    """(tree, node, feature, lo, hi) of a task's rows."""
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        work = []
+        for t, nodes in enumerate(open_nodes):
+            if nodes:
+                tree = flat(trees[t])
+                order, slots = _slots(tree, nodes)
+                tried = np.array([nodes[i] for i in order], np.int64)
+                work.append((t, tree, order, slots, tried, np.full(tried.shape, np.inf), np.full(tried.shape, -np.inf)))
         for batch in batches:
             x, _ = _table(batch)
-            rows = []
-            for t, nodes in enumerate(open_nodes):
-                leaf = route(trees[t], x) if nodes else None
-                for i, features in nodes.items():
-                    here = x[leaf == i]
-                    if len(here):
-                        rows += [(t, i, f, float(here[:, f].min()), float(here[:, f].max())) for f in features]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*rows, strict=True)], names=["tree", "node", "feature", "lo", "hi"])
+            for _, tree, _, slots, tried, lo, hi in work if len(x) else []:
+                slot = slots.take(reached(tree, x))
+                by = np.argsort(slot.astype(np.int16) if len(tried) < 1 << 15 else slot, kind="stable")  # short numbers are sorted by radix
+                slot = slot.take(by)
+                first = np.searchsorted(slot, 0)
+                by, slot = by[first:], slot[first:]
+                if not len(by):
+                    continue
+                starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+                here, values, start = slot[starts], x.ravel(), by * x.shape[1]
+                for j in range(tried.shape[1]):
+                    v = values.take(start + tried[:, j].take(slot))
+                    lo[here, j] = np.minimum(lo[here, j], np.minimum.reduceat(v, starts))
+                    hi[here, j] = np.maximum(hi[here, j], np.maximum.reduceat(v, starts))
+        rows = [(t, i, int(f), float(low), float(high)) for t, _, order, _, tried, lo, hi in work for i, fs, ls, hs in zip(order, tried, lo, hi, strict=True) for f, low, high in zip(fs, ls, hs, strict=True) if not (low == np.inf and high == -np.inf)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*rows, strict=True)], names=["tree", "node", "feature", "lo", "hi"])
 
     return run
 
 
 def _sums(trees: Trees, cuts: list[dict[int, list[tuple[int, float]]]], classes: int):
-    """(tree, node, cut, side, sums) of a batch's rows; a side's sums are class counts, or rows, sum and sum of squares in two parts."""
+    """(tree, node, cut, side, j, s) of a task's rows; a side's sums are class counts, or rows, sum and sum of squares in two parts."""
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        work, kinds = [], classes or 4
+        for t, nodes in enumerate(cuts):
+            if nodes:
+                tree = flat(trees[t])
+                order, slots = _slots(tree, nodes)
+                most = max(map(len, nodes.values()))
+                padded = [[*nodes[i], *[(0, np.inf)] * (most - len(nodes[i]))] for i in order]  # a node may have fewer cuts
+                feature = np.array([[f for f, _ in some] for some in padded], np.int64)
+                at = np.array([[a for _, a in some] for some in padded], float)
+                real = np.array([[c < len(nodes[i]) for c in range(most)] for i in order])
+                work.append((t, tree, order, slots, feature, at, real, np.zeros((len(order), most, 2, kinds), np.int64)))
         for batch in batches:
             x, y = _table(batch)
             whole = y.astype(np.int64)
-            rows = []
-            for t, nodes in enumerate(cuts):
-                leaf = route(trees[t], x) if nodes else None
-                for i, some in nodes.items():
-                    here = np.flatnonzero(leaf == i)
-                    if not len(here):
-                        continue
-                    for c, (f, at) in enumerate(some):
-                        above = x[here, f] >= at
-                        for side in (0, 1):
-                            part = whole[here[above == bool(side)]]
-                            sums = np.bincount(part, minlength=classes).tolist() if classes else [len(part), int(part.sum()), *divmod(int((part * part).sum()), SPLIT)]
-                            rows += [(t, i, c, side, j, int(s)) for j, s in enumerate(sums) if s]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*rows, strict=True)], names=["tree", "node", "cut", "side", "j", "s"])
+            square = whole * whole
+            # sums of a batch's parts are below 2^53, so they are exact as doubles
+            parts = [] if classes else [whole.astype(float), (square // SPLIT).astype(float), (square % SPLIT).astype(float)]
+            for _, tree, order, slots, feature, at, _, total in work if len(x) else []:
+                slot = slots.take(reached(tree, x))
+                by = np.flatnonzero(slot >= 0)
+                slot, n = slot.take(by), len(order)
+                some, values, start = [p.take(by) for p in parts], x.ravel(), by * x.shape[1]
+                for c in range(feature.shape[1]):
+                    place = 2 * slot + (values.take(start + feature[:, c].take(slot)) >= at[:, c].take(slot))
+                    if classes:
+                        total[:, c] += np.bincount(place * classes + whole[by], minlength=2 * n * classes).reshape(n, 2, classes)
+                    else:
+                        total[:, c, :, 0] += np.bincount(place, minlength=2 * n).reshape(n, 2)
+                        for j, p in enumerate(some):
+                            total[:, c, :, j + 1] += np.bincount(place, weights=p, minlength=2 * n).astype(np.int64).reshape(n, 2)
+        out = []
+        for t, _, order, _, _, _, real, total in work:
+            s, c, side, j = np.nonzero(total * real[:, :, None, None])
+            out.append([np.full(len(s), t), np.array(order, np.int64)[s], c, side, j, total[s, c, side, j]])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["tree", "node", "cut", "side", "j", "s"])
 
     return run
 
@@ -202,19 +264,18 @@ class ExtraTreesModel(Model):
         self.of, self.trees, self.classes = of, trees, classes
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        trees, classes = self.trees, self.classes
+        import numpy as np
+        import pyarrow as pa
+
+        classes = self.classes
+        whole = [(flat(t), np.array([t[i].answer for i in sorted(t)], float)) for t in self.trees]
 
-        @F.pandas_udf("double")
+        @F.arrow_udf("double")
         def predicted(x):
-            import numpy as np
-            import pandas as pd
-
-            rows = np.array(x.tolist(), float).reshape(len(x), -1)
-            total = np.zeros((len(x), max(classes, 1)))
-            for tree in trees:
-                leaf = route(tree, rows)
-                for i in np.unique(leaf).tolist():
-                    total[leaf == i] += np.array(tree[i].answer)
-            return pd.Series(total.argmax(1).astype(float) if classes else total[:, 0] / len(trees))
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) if len(x) else np.zeros((0, 1))
+            total = np.zeros((len(rows), max(classes, 1)))
+            for made, answers in whole:
+                total += answers[reached(made, rows)]
+            return pa.array(total.argmax(1).astype(float) if classes else total[:, 0] / len(whole))
 
         return dataset.withColumn("prediction", predicted(vector_to_array(self.of.features)))

@@ -1398,8 +1398,9 @@ def residual_forecast(spark, d):
 @query()
 def fixed_split_evaluation(spark, d):
     """Scores of four learners on one split of exact size."""
-    rows = chain(spark, d).select(*CHAIN, "y").withColumn("key", F.xxhash64(*CHAIN, "y"))
+    rows = written(spark, chain(spark, d).select(*CHAIN, "y").withColumn("key", F.xxhash64(*CHAIN, "y")), "chain")
     rows = timeseries.exact_split(rows, "key", {"train": 0.8, "test": 0.2}).withColumn("is_train", F.col("part") == "train").drop("part", "key")
+    rows = written(spark, rows, "split")  # read by each step of four fits
     out = [api.evaluate_split(rows, api.AugmentationConfig("y", algorithm=name), "BASE", True) for name in ("ExtraTrees", "KNeighbors", "BoostedTrees", "Ridge")]
     return spark.createDataFrame([(r["approach"], r["algorithm"], float(r["score"]), r["n_features"]) for r in out], "approach string, algorithm string, score double, n_features long")
 
