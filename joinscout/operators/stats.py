@@ -29,28 +29,6 @@ def pair_counts(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return long_pairs(df, features, target).groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-def average_ranks(counts: DataFrame, value: str, weight: str = "n") -> DataFrame:
-    """(feature, value, rank) from (feature, value, weight): ties have the mean of their places, from 1."""
-    each = counts.groupBy("feature", value).agg(F.sum(weight).alias("n"))
-    span = each.groupBy("feature").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    step = F.coalesce(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * (RANGES - 1)
-    placed = each.join(span, "feature").withColumn("range", F.floor(step).cast("int")).drop("lo", "hi")
-    sums = placed.groupBy("feature", "range").agg(F.sum("n").alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("before", before).drop("m")
-    inside = F.sum("n").over(Window.partitionBy("feature", "range").orderBy(value))
-    ranked = placed.withColumn("upto", inside).join(sums, ["feature", "range"])
-    return ranked.select("feature", value, (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
-
-
-def _weighted_corr(x: Column, y: Column, n: Column) -> Column:
-    s = F.sum(n)
-    mx, my = F.sum(x * n) / s, F.sum(y * n) / s
-    cov = F.sum(x * y * n) / s - mx * my
-    vx, vy = F.sum(x * x * n) / s - mx * mx, F.sum(y * y * n) / s - my * my
-    return F.when((vx > 1e-12) & (vy > 1e-12), F.try_divide(cov, F.sqrt(vx * vy))).otherwise(F.lit(0.0))
-
-
 def pearson(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, correlation, n) over the rows that have both; 0 where the denominator isn't above 0. One aggregate, no row is multiplied."""
     number = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
@@ -66,14 +44,59 @@ def pearson(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return flat.select(F.explode(rows).alias("r")).select("r.*").where("n > 0")
 
 
+def _target_ranks(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(y, r0, r1, ...): each value's average rank among the rows that have the i-th feature, less half their number; null where none has.
+
+    Values are counted where they lie and ranked in RANGES ranges for all features at once, so a row a value is sorted, not one a value and feature.
+    """
+    counts = df.groupBy("y").agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(features))])
+    span = counts.agg(F.min("y").alias("lo"), F.max("y").alias("hi"), *[F.sum(f"n{i}").alias(f"s{i}") for i in range(len(features))])
+    step = F.coalesce(F.try_divide(F.col("y") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * (RANGES - 1)
+    placed = counts.crossJoin(F.broadcast(span)).withColumn("range", F.floor(step).cast("int"))  # one row
+    sums = placed.groupBy("range").agg(*[F.sum(f"n{i}").alias(f"m{i}") for i in range(len(features))])
+    earlier = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    sums = sums.select("range", *[F.coalesce(F.sum(f"m{i}").over(earlier), F.lit(0)).alias(f"b{i}") for i in range(len(features))])
+    inside = Window.partitionBy("range").orderBy("y")
+    upto = placed.select("*", *[F.sum(f"n{i}").over(inside).alias(f"u{i}") for i in range(len(features))]).join(F.broadcast(sums), "range")
+    rank = lambda i: F.col(f"b{i}") + F.col(f"u{i}") - (F.col(f"n{i}") - 1) / 2 - F.col(f"s{i}") / 2
+    return upto.select("y", *[F.when(F.col(f"n{i}") > 0, rank(i)).alias(f"r{i}") for i in range(len(features))])
+
+
 def spearman(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, correlation, n): Pearson of average ranks over the rows that have both."""
-    counts = pair_counts(df, features, target)
-    rx, ry = average_ranks(counts, "x").withColumnRenamed("rank", "rx"), average_ranks(counts, "y").withColumnRenamed("rank", "ry")
-    ranked = counts.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
-    size = counts.groupBy("feature").agg((F.sum("n") / 2).alias("half"))  # ranks about their middle, for exactness
-    ranked = ranked.join(size, "feature")
-    return ranked.groupBy("feature").agg(_weighted_corr(F.col("rx") - F.col("half"), F.col("ry") - F.col("half"), F.col("n")).alias("correlation"), F.sum("n").alias("n"))
+    """(feature, correlation, n): Pearson of average ranks over the rows that have both.
+
+    Ranks of the target come to the rows by one join for all features. A feature's values need their rows' number and sums of those ranks only, which are added
+    up where they lie, so no row is joined with its feature's ranks.
+    """
+    parts = [_spearman(df, features[at : at + WIDE], target) for at in range(0, len(features), WIDE)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _spearman(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    number = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+    rows = df.select(number(target).alias("y"), *[number(f).alias(f"x{i}") for i, f in enumerate(features)]).where("y is not null")
+    ranked = rows.join(_target_ranks(rows, features, target).withColumnRenamed("y", "__y"), F.col("y") == F.col("__y"))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("x"), F.col(f"r{i}").alias("ry")) for i in range(len(features))])
+    long = ranked.select(F.explode(cells).alias("p")).select("p.*").where("x is not null")
+    each = long.groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("ry").alias("sy"), F.sum(F.col("ry") * F.col("ry")).alias("syy"))
+    span = rows.agg(*[f(f"x{i}").alias(f"{k}{i}") for i in range(len(features)) for k, f in (("lo", F.min), ("hi", F.max), ("c", F.count))])
+    span = span.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"{k}{i}").alias(k) for k in ("lo", "hi", "c")]) for i in range(len(features))])).alias("p")).select("p.*")
+    step = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * (RANGES - 1)
+    placed = each.join(F.broadcast(span), "i").withColumn("range", F.floor(step).cast("int"))  # one row a feature
+    inside = Window.partitionBy("i", "range").orderBy("x")
+    local = placed.withColumn("rank", F.sum("n").over(inside) - (F.col("n") - 1) / 2)
+    # a range's sums of the ranks inside it; what stands before it is added to them afterwards
+    sums = local.groupBy("i", "range").agg(
+        F.first("c").alias("c"), F.count(F.lit(1)).alias("d"), F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), F.sum(F.col("rank") * F.col("n")).alias("sx"), F.sum(F.col("rank") * F.col("rank") * F.col("n")).alias("sxx"), F.sum(F.col("rank") * F.col("sy")).alias("sxy")
+    )
+    earlier = Window.partitionBy("i").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("off", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("c") / 2)  # at most RANGES rows a feature; ranks about their middle, for exactness
+    off, s = F.col("off"), F.sum("n")
+    sx, sxx, sxy = F.sum(F.col("sx") + off * F.col("n")), F.sum(F.col("sxx") + 2 * off * F.col("sx") + off * off * F.col("n")), F.sum(F.col("sxy") + off * F.col("sy"))
+    mx, my = sx / s, F.sum("sy") / s
+    cov, vx, vy = sxy / s - mx * my, sxx / s - mx * mx, F.sum("syy") / s - my * my
+    found = sums.groupBy("i").agg(F.when((F.sum("d") > 1) & (vx > 1e-12) & (vy > 1e-12), F.try_divide(cov, F.sqrt(vx * vy))).otherwise(F.lit(0.0)).alias("correlation"), s.alias("n"))
+    return found.select(F.get(F.array(*map(F.lit, features)), F.col("i")).alias("feature"), "correlation", "n")
 
 
 def relevance(df: DataFrame, features: list[str], target: str, method: str = "spearman") -> DataFrame:
