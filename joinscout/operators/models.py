@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -121,12 +125,15 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str], target: st
 def regression_metrics(df: DataFrame, y: str = "y", prediction: str = "prediction", by: tuple[str, ...] = ()) -> DataFrame:
     """n, mae, rmse, mape and r2 over the rows where both are finite, for each of `by`."""
     a, p = F.col(y), F.col(prediction)
-    good = df.where(a.isNotNull() & p.isNotNull() & ~F.isnan(a) & ~F.isnan(p) & (F.abs(a) < float("inf")) & (F.abs(p) < float("inf")))
+    both = a.isNotNull() & p.isNotNull() & ~F.isnan(a) & ~F.isnan(p) & (F.abs(a) < float("inf")) & (F.abs(p) < float("inf"))
+    # a condition inside the aggregate: as a filter it would be put below the prediction and make it anew for each of its comparisons
+    a, p = F.when(both, a), F.when(both, p)
     e = p - a
-    return good.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(F.try_divide(e, F.nullif(a, F.lit(0.0))))).alias("mape"),
+    out = df.groupBy(*by).agg(
+        F.count(a).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(F.try_divide(e, F.nullif(a, F.lit(0.0))))).alias("mape"),
         (1 - F.try_divide(F.sum(e * e), F.nullif(F.var_pop(a) * F.count(a), F.lit(0.0)))).alias("r2"),
     )
+    return out.where("n > 0") if by else out
 
 
 def classification_metrics(df: DataFrame, y: str = "y", prediction: str = "prediction") -> DataFrame:
@@ -149,23 +156,34 @@ PERMUTED = 50_000
 def permuted(df: DataFrame, features: list[str], target: str, seed: int = 42) -> DataFrame:
     """`feature` and the rows once for each feature, with that one taken from another row; and once as they are, of null `feature`.
 
-    Rows are dealt to buckets and there numbered twice by hashes of the row's own number and a seed, never of a value. A feature's value goes from a row's
-    number in one order to the row of that number in the other, so it is a permutation of the bucket, and all features take one join.
+    Rows are dealt to buckets and there put in an order for each feature, and one more, by hashes of the row's own number and a seed, never of a value. A
+    feature's value goes to the row that has its place in the last order, so it is a permutation of the bucket. One shuffle by bucket serves all features.
     """
     path = work_dir(df.sparkSession, "permuted")
     df.select(*features, target).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
     buckets = max(1, rows.count() // PERMUTED)
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(buckets)))
-    place = lambda i: F.row_number().over(Window.partitionBy("__bucket").orderBy(F.xxhash64("__id", F.lit(seed + i)), "__id"))
     n = len(features)
-    given = rows.withColumns({f"__from{i}": place(1 + i) for i in range(n)})
-    given = given.select("__bucket", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__from{i}").alias("at"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)])).alias("g"))
-    given = given.select(F.col("__bucket").alias("__b"), "g.*")
-    taken = rows.withColumn("__at", place(1 + n)).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    mixed = taken.join(given, (F.col("__bucket") == F.col("__b")) & (F.col("__i") == F.col("i")) & (F.col("__at") == F.col("at")))
-    mixed = mixed.select(F.element_at(F.array(*[F.lit(f) for f in features]), F.col("__i") + 1).alias("feature"), *[F.when(F.col("__i") == i, F.col("v")).otherwise(F.col(f).cast("double")).alias(f"__f{i}") for i, f in enumerate(features)], F.col(target).cast("double").alias(TARGET))
-    return mixed.unionByName(_numbered(rows, features, target, F.lit(None).cast("string").alias("feature")))
+    dealt = _numbered(rows, features, target, F.col("__id"), F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(buckets)).alias("__bucket")).repartition("__bucket")
+    dealt = dealt.withColumns({f"__h{i}": F.xxhash64("__id", F.lit(seed + 1 + i)) for i in range(n + 1)})
+    names = [*[f"__f{i}" for i in range(n)], TARGET]
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = pa.Table.from_batches(batches)
+        order = lambda i: np.lexsort((bucket["__id"].to_numpy(), bucket[f"__h{i}"].to_numpy()))
+        last = order(n)
+        yield from _named(bucket.select(names), None)
+        taken = bucket.select(names).take(pa.array(last)).combine_chunks()
+        for i in range(n):
+            yield from _named(taken.set_column(i, f"__f{i}", bucket[f"__f{i}"].take(pa.array(order(i)))), features[i])
+
+    kinds = ", ".join(f"{c} double" for c in names)
+    return dealt.groupBy("__bucket").applyInArrow(mix, f"feature string, {kinds}")
+
+
+def _named(rows: pa.Table, feature: str | None) -> list[pa.RecordBatch]:
+    """rows with the feature's name before them."""
+    return rows.add_column(0, "feature", pa.array([feature], pa.string()).take(pa.array(np.zeros(len(rows), np.int64)))).to_batches(10_000)
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], target: str, regression: bool = True, seed: int = 42) -> dict[str, float]:
