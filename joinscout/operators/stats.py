@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 RANGES = 1024
 #: Columns that go into one unpivoting pass.
 WIDE = 200
+#: Counts of bins that a value of the target keeps at once, and cells of a block of binned columns; both at most, about.
+COUNTERS, CELLS = 20, 8192
 
 
 def long_pairs(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -175,21 +177,75 @@ def between_bounds(score: DataFrame, column: str = "raw") -> DataFrame:
     return scaled.where("score > 0").drop("lo", "hi", "top").orderBy(F.desc("score"), "feature")
 
 
+def _target_information(binned: DataFrame, new: list[str], target: str, bins: int) -> DataFrame:
+    """(feature, value): I(bin; target) of each new column as i|t. A row a value of the target has the numbers of its rows in each bin of some columns."""
+    parts, some = [], max(1, COUNTERS // bins)
+    zero, nlogn = F.lit(0.0), lambda n: F.coalesce(n * F.log(n), F.lit(0.0))  # the logarithm of 0 is null
+    for at in range(0, len(new), some):
+        ids = range(at, min(at + some, len(new)))
+        y = F.nullif(F.col(target).cast("double"), F.lit(float("nan")))
+        rows = binned.select(y.alias("y"), *[F.col(new[i]).alias(f"b{i}") for i in ids]).where("y is not null")
+        counts = rows.groupBy("y").agg(*[F.count_if(F.col(f"b{i}") == b).alias(f"n{i}_{b}") for i in ids for b in range(bins)])
+        cells = {i: [F.col(f"n{i}_{b}") for b in range(bins)] for i in ids}
+        sums = counts.agg(
+            *[F.sum(c).alias(f"s{i}_{b}") for i in ids for b, c in enumerate(cells[i])],
+            *[F.sum(reduce(Column.__add__, map(nlogn, cells[i]), zero)).alias(f"xy{i}") for i in ids],
+            *[F.sum(nlogn(reduce(Column.__add__, cells[i]))).alias(f"y{i}") for i in ids],
+        )
+        entries = []
+        for i in ids:
+            each = [F.col(f"s{i}_{b}") for b in range(bins)]
+            n = reduce(Column.__add__, each)
+            # H(x) + H(y) - H(x, y), each ln n - sum(m ln m) / n
+            entries.append(F.struct(F.lit(f"{i}|t").alias("feature"), F.when(n > 0, F.log(n) + F.try_divide(F.col(f"xy{i}") - F.col(f"y{i}") - reduce(Column.__add__, map(nlogn, each), zero), n)).alias("value")))
+        parts.append(sums.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("value is not null"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _bin_information(binned: DataFrame, new: list[str], selected: list[str], bins: int) -> DataFrame:
+    """(feature, value): I(bin; bin) of each new and each selected column as i|sj.
+
+    Columns go in blocks of some new and some selected ones, whose bins make one number of at most CELLS values; rows are counted by it once a block, and the
+    counts of a block's pairs come from these few cells.
+    """
+    base, width = bins + 1, 2
+    while base ** (width + 1) <= CELLS:
+        width += 1
+    across = min(len(selected), width - min(len(new), width // 2))
+    down = min(len(new), width - across)
+    columns = -(-len(selected) // across)
+    code = lambda c: F.coalesce(F.col(c).cast("long") + 1, F.lit(0))
+    cells = []
+    for u in range(-(-len(new) // down)):
+        for v in range(columns):
+            block = [(p, new[u * down + p]) for p in range(down) if u * down + p < len(new)] + [(down + q, selected[v * across + q]) for q in range(across) if v * across + q < len(selected)]
+            cells.append(reduce(Column.__add__, [code(c) * base**at for at, c in block], F.lit((u * columns + v) * base**width).cast("long")))
+    parts = [binned.select(F.explode(F.array(*cells[at : at + WIDE])).alias("code")) for at in range(0, len(cells), WIDE)] if len(cells) > 1 else [binned.select(cells[0].alias("code"))]
+    counts = reduce(DataFrame.unionByName, parts).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    digit = lambda at: F.pmod(F.floor(F.col("code") / base**at), F.lit(base))
+    block = F.floor(F.col("code") / base**width)
+    i, j = lambda p: F.floor(block / columns) * down + p, lambda q: F.pmod(block, F.lit(columns)) * across + q
+    pairs = F.array(*[F.struct(F.concat_ws("|s", i(p).cast("string"), j(q).cast("string")).alias("feature"), digit(p).alias("x"), digit(down + q).alias("y")) for p in range(down) for q in range(across)])
+    return _information(counts.select("n", F.explode(pairs).alias("p")).select("p.*", "n").where("x > 0 and y > 0"))
+
+
 def redundancy(df: DataFrame, selected: list[str], new: list[str], target: str, bins: int = 5, joint: bool = False, parity: bool = True) -> DataFrame:
     """(feature, raw, score): MI(f; target) less the mean MI with the selected features, plus the mean conditional MI if `joint`.
 
     Features are binned, the target isn't. With `parity` scores are put between 0 and 1 and only those above 0 stay, so the
-    lowest (and a single candidate) is refused; without it raw scores are returned. All pairs of columns go through one pass, and all triples through one.
+    lowest (and a single candidate) is refused; without it raw scores are returned. Rows are counted where they lie, not written out once a pair of columns;
+    all triples go through one pass.
     """
     columns = list(dict.fromkeys([*selected, *new]))
     binned = bin_uniform(df.select(*columns, target), columns, bins)
-    pairs = [(f"{i}|t", f, target) for i, f in enumerate(new)] + [(f"{i}|s{j}", f, s) for i, f in enumerate(new) for j, s in enumerate(selected)]
-    found = [_information(_stacked(binned, pairs, "xy")).withColumn("value", F.when(F.endswith("feature", F.lit("|t")), F.col("value")).otherwise(-F.col("value") / max(len(selected), 1)))]
+    found = [_target_information(binned, new, target, bins)]
+    if selected:
+        found.append(_bin_information(binned, new, selected, bins).withColumn("value", -F.col("value") / len(selected)))
     if joint and selected:
         triples = [(f"{i}|c{j}", f, s, target) for i, f in enumerate(new) for j, s in enumerate(selected)]
         found.append(_information(_stacked(df, triples, "xyz")).withColumn("value", F.col("value") / len(selected)))
     score = _numbered(found).groupBy("i").agg(F.round(F.sum("value"), 9).alias("raw"), F.count(F.lit(1)).alias("m"))
-    score = _named(score.where(F.col("m") == 1 + len(selected) * len(found)).drop("m"), new).select("feature", "raw")
+    score = _named(score.where(F.col("m") == 1 + len(selected) * (2 if joint else 1)).drop("m"), new).select("feature", "raw")
     if not parity:
         return score.withColumn("score", F.col("raw")).orderBy(F.desc("score"), "feature")
     return between_bounds(score).select("feature", "raw", "score")

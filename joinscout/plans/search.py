@@ -7,7 +7,7 @@ statistics of the new columns.
 from __future__ import annotations
 
 import itertools
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -116,28 +116,38 @@ def score_step(df: DataFrame, new: list[str], selected: list[str], s: Settings)
     return None if value is None else (value, sorted(red))
 
 
-def prefixes(lake: Lake, base: str, s: Settings, folder: str | None = None, whole: bool = False) -> Prefixes:
-    """The trie of joins from a base table under these settings, on the search's sample of it or on all rows."""
+def prefixes(lake: Lake, base: str, s: Settings, folder: str | None = None, whole: bool = False, ends: set[str] | None = None) -> Prefixes:
+    """The trie of joins from a base table under these settings, on the search's sample of it or on all rows.
+
+    With `ends`, the columns at the edges' ends, its tables hold these, the target and numbers only, which is all that a search reads.
+    """
     sampled = None if whole else s.sample
+    named = Counter(f"{t}{SEP}{c}" for t, df in lake.tables.items() for c in df.columns)
+
+    def kept(df: DataFrame | None) -> DataFrame | None:
+        if ends is None or df is None:
+            return df
+        return df.select(*[f.name for f in df.schema if f.name == s.target or f.name in ends or isinstance(f.dataType, T.NumericType) or named[f.name] > 1])  # a name of two tables stops a join
 
     def start() -> DataFrame:
         df = lake.prefixed(base, s.target)
-        return base_sample(df, sampled, [c for c in df.columns if c != s.target], s.target if s.classification else None) if sampled else df
+        return kept(base_sample(df, sampled, [c for c in df.columns if c != s.target], s.target if s.classification else None) if sampled else df)
 
-    name = repr((base, s.target, sampled, sampled and s.classification, s.temporal_key, s.tolerance, s.direction))
-    return Prefixes(start, lambda df, step: step_join(lake, df, step, s), name, folder)
+    name = repr((base, s.target, sampled, sampled and s.classification, s.temporal_key, s.tolerance, s.direction, *([] if ends is None else [sorted(ends)])))
+    return Prefixes(start, lambda df, step: kept(step_join(lake, df, step, s)), name, folder)
 
 
 def search(lake: Lake, base: str, s: Settings, trie: Prefixes | None = None) -> Found:
     """Walk the graph from the base table. Every accepted join makes the path longer; a refused one leaves it as it was.
 
     Of the edges to a neighbour those of the largest weight are tried. Paths are known by their steps, not by parts of names, and none is lost. Every
-    join is written once to the work folder and read from there; with a trie that other searches have used, their joins and statistics serve again.
+    join is written once to the work folder and read from there; with a trie that other searches have used, their joins and statistics serve again. A trie of
+    the search's own holds no text but keys.
     """
-    trie = trie or prefixes(lake, base, s)
+    edges = lake.edges()
+    trie = trie or prefixes(lake, base, s, ends={f"{e[0]}{SEP}{e[3]}" for e in edges})
     start = trie.frame(base)
     keys = [c for c in start.columns if c != s.target]
-    edges = lake.edges()
     own = numeric(start, keys)
     ranking, features, refused = {base: 0.0}, {base: own}, []
     live: list[tuple[str, list[str]]] = [(base, own)]
