@@ -81,18 +81,16 @@ def inject_noise(df: DataFrame, features: list[str], part: float = 0.2, seed: in
     """Random columns, ceil(part * features), normal with the rows' means and the rows' covariance over the features.
 
     Such a column is the row's mean plus the sum of its features' differences to it, each times one normal number for all rows, over
-    the root of features - 1; so no matrix of rows by rows is needed. Null counts as 0.
+    the root of features - 1; so no matrix of rows by rows is needed, and a column is a sum of the features with fixed weights. Null counts as 0.
     """
     count = max(0, -int(-part * len(features) // 1))
-    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / len(features)
     names = [f"__noise_{i}" for i in range(count)]
-    out = df.withColumn("__mean", mean)
-    draw = random.Random(seed).gauss
+    out, draw = df, random.Random(seed).gauss
     for n in names:
         z = [draw(0, 1) / max(len(features) - 1, 1) ** 0.5 for _ in features]
-        out = out.withColumn(n, F.col("__mean") + sum(((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.col("__mean")) * w for c, w in zip(features, z, strict=True)), F.lit(0.0)))
-    return out.drop("__mean"), names
+        of_mean = (1.0 - sum(z)) / len(features)
+        out = out.withColumn(n, sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * (w + of_mean) for c, w in zip(features, z, strict=True)), F.lit(0.0)))
+    return out, names
 
 
 def before_noise(importances: list[float], is_noise: list[bool], size: int) -> list[int]:
@@ -129,12 +127,18 @@ def by_threshold(rounds: list[list[int]], features: list[str], thresholds: Itera
 
 
 def random_injection(df: DataFrame, features: list[str], target: str, regression: bool = True, rounds: int = 3, part: float = 0.2, threshold: float = 0.1, seed: int = 7) -> list[str]:
-    """Features that forests put before random columns in more than a part of the rounds."""
-    from .models import forest_importances
+    """Features that forests put before random columns in more than a part of the rounds; the forests of all rounds grow together."""
+    from . import forests
 
-    votes = []
+    if not features or not rounds:
+        return []
+    noises = max(0, -int(-part * len(features) // 1))
+    noisy, few = forests.condensed(df, features, target, len(features) + rounds * noises)
+    sets = []
     for r in range(rounds):
-        noisy, noise = inject_noise(df, features, part, seed + 100 * r)
-        scores = forest_importances(noisy, [*features, *noise], target, regression, seed + r)
-        votes.append(before_noise([scores[c] for c in [*features, *noise]], [False] * len(features) + [True] * len(noise), len(features)))
+        noisy, noise = inject_noise(noisy, features, part, seed + 100 * r)
+        noisy = noisy.withColumnsRenamed({n: f"{n}_{r}" for n in noise})
+        sets.append([*features, *[f"{n}_{r}" for n in noise]])
+    scores = forests.importances(noisy, few, target, sets, [seed + r for r in range(rounds)], regression)
+    votes = [before_noise([s[c] for c in names], [i >= len(features) for i in range(len(names))], len(features)) for s, names in zip(scores, sets, strict=True)]
     return [features[i] for i in stable_features(votes, threshold)]

@@ -18,6 +18,7 @@ from ..functions.policy import SENSITIVE, is_sensitive
 from ..operators import selection, stats
 from ..operators.augment import unit
 from ..operators.joins import asof_join, first_per_key
+from ..session import work_dir
 from .graph import undirected
 from .paths import Step, best_paths, extend, length, needed, parse
 from .prefixes import Prefixes
@@ -281,9 +282,10 @@ def budget_join(lake: Lake, base: str, s: Settings, regression: bool = True, rou
         before = sorted({c.split(SEP, 1)[0] for c in chosen} - {base})
         joined = join_some(small, base, [*before, *batch], s)
         new = numeric(joined, [c for c in joined.columns if c.split(SEP, 1)[0] in batch])
-        joined = joined.select(*dict.fromkeys([*chosen, *new]), s.target).persist()  # no column that isn't a feature is joined or kept
-        chosen = selection.random_injection(joined, [*chosen, *new], s.target, regression, rounds, threshold=threshold, seed=seed)
-        joined.unpersist()
+        # written once, so its shuffles aren't made again; no column that isn't a feature is joined or kept
+        spark, path = joined.sparkSession, work_dir(joined.sparkSession, "budget")
+        joined.select(*dict.fromkeys([*chosen, *new]), s.target).write.option("compression", "zstd").parquet(path)
+        chosen = selection.random_injection(spark.read.parquet(path), [*chosen, *new], s.target, regression, rounds, threshold=threshold, seed=seed)
     return chosen
 
 
