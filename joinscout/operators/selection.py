@@ -126,7 +126,7 @@ def by_threshold(rounds: list[list[int]], features: list[str], thresholds: Itera
     return chosen
 
 
-def random_injection(df: DataFrame, features: list[str], target: str, regression: bool = True, rounds: int = 3, part: float = 0.2, threshold: float = 0.1, seed: int = 7) -> list[str]:
+def random_injection(df: DataFrame, features: list[str], target: str, regression: bool = True, rounds: int = 10, part: float = 0.2, threshold: float = 0.1, seed: int = 7) -> list[str]:
     """Features that forests put before random columns in more than a part of the rounds; the forests of all rounds grow together."""
     from . import forests
 

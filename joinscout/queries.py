@@ -1135,7 +1135,7 @@ def diagnosis(spark, d):
 @query()
 def random_injection(spark, d):
     rows = items(spark, d)
-    kept = selection.random_injection(rows, ITEMS, "y", regression=False, rounds=1)
+    kept = selection.random_injection(rows, ITEMS, "y", regression=False)
     return spark.createDataFrame([(f,) for f in kept], "feature string")
 
 

@@ -29,6 +29,15 @@ def test_budget_join_keeps_no_rows_but_files(spark, monkeypatch):
     assert "lineitem__l_quantity" in found
 
 
+def test_random_injection_is_decided_by_ten_rounds(spark, monkeypatch):
+    seen, decide = [], selection.stable_features
+    monkeypatch.setattr(selection, "stable_features", lambda votes, threshold: seen.append(votes) or decide(votes, threshold))
+    found = [r.feature for r in __spark_entry__.queries()["random_injection"](spark, SMALL).collect()]
+    (votes,) = seen
+    assert len(votes) == 10 and all(len(v) == 4 for v in votes)  # a part of one round is all or nothing
+    assert [i for i in range(4) if sum(v[i] for v in votes) > 1] == [["l_quantity", "l_discount", "l_tax", "l_linenumber"].index(f) for f in found]
+
+
 @pytest.mark.parametrize("regression", [True, False])
 def test_forests_agree_by_level_and_by_tree(spark, monkeypatch, regression):
     df, xs, y = table(spark), ["x0", "x1", "x2", "x3"], "y" if regression else "c"
