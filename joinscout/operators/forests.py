@@ -137,6 +137,12 @@ def _drawn(ids: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return DRAWS.take(x.view(np.uint16)[tree % 4 :: 4])
 
 
+def _classes(lowest: float, highest: float, whole: bool) -> int:
+    if lowest < 0 or not whole:
+        raise ValueError("labels of a classification must be 0, 1, 2, ...")
+    return int(highest) + 1
+
+
 def _parts(y: np.ndarray, classes: int) -> list[np.ndarray]:
     return [y == k for k in range(1, classes)] if classes else [y]
 
@@ -172,7 +178,7 @@ def _grown_here(rows: DataFrame, target: str, columns: list[str], places: list[n
     if not x.shape[1]:
         return [t.gains for t in trees]
     n, y = x[-1].astype(np.int64), x[-2]
-    classes = 0 if regression else int(y.max()) + 1
+    classes = 0 if regression else _classes(y.min(), y.max(), bool((y == np.floor(y)).all()))
     ys = _parts(y - (y * n).sum() / n.sum() if regression else y.astype(np.int64), classes)
     flat = np.stack([binned(v, *cut_points(weighted_quantiles(v, n))) for v in x[:-2]], axis=1).ravel()
     width = len(columns)
@@ -196,9 +202,9 @@ def _grown(rows: DataFrame, target: str, columns: list[str], places: list[np.nda
     """Gains of trees that are grown level by level, on rows written once as a byte a column."""
     spark = rows.sparkSession
     at = F.array(*[F.lit(i / FINE) for i in range(1, FINE)])
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean"), F.min(target).alias("lo"), F.max(target).alias("hi"), *[F.percentile_approx(c, at, 4 * FINE).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean"), F.min(target).alias("lo"), F.max(target).alias("hi"), F.bool_and(F.col(target) == F.floor(target)).alias("whole"), *[F.percentile_approx(c, at, 4 * FINE).alias(f"q{i}") for i, c in enumerate(columns)]).first()
     cuts = [cut_points(stats[f"q{i}"]) for i in range(len(columns))]
-    classes = 0 if regression else int(stats.hi) + 1
+    classes = 0 if regression else _classes(stats.lo, stats.hi, stats.whole)
     # whole units of the target's distance to its mean, so that sums don't depend on their order
     unit = (stats.hi - stats.lo) / (1 << min(30, 60 - int(stats.n).bit_length())) or 1.0
     scaled = F.round((F.col(target) - stats.mean) / unit) if regression else F.col(target)

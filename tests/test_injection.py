@@ -86,3 +86,11 @@ def test_rows_of_no_target_and_no_value(spark):
         assert counted.count() <= 3
         assert forests.importances(counted, few, "y", [["a", "e"]], [1])[0] == {"a": 0.0, "e": 0.0}  # missing values are the median, so all are equal
     assert selection.random_injection(df, [], "y") == [] and selection.random_injection(df, ["a"], "y", rounds=0) == []
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("label", [-1.0, 0.5])
+def test_labels_that_are_no_classes_are_refused(spark, few, label):
+    rows = spark.createDataFrame([(1.0, 0.0, 1), (2.0, label, 1)], "a double, y double, __n long")
+    with pytest.raises(ValueError, match="labels"):
+        forests.importances(rows, few, "y", [["a"]], [1], regression=False)
